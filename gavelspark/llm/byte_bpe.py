@@ -8,6 +8,8 @@ Defined results: a null text is the empty text: no ids, empty bytes. Every text
 from __future__ import annotations
 
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +30,24 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
+class _Kept(dict):
+    """From a match to its ids; a match that is not kept goes through the library."""
+
+    def __init__(self, tokenize) -> None:
+        self.tokenize, self.characters = tokenize, {b: c for c, b in byte_alphabet().items()}
+
+    def __missing__(self, match: str) -> bytes:
+        ids = array("I", [t.id for t in self.tokenize(match.encode().decode("latin-1").translate(self.characters))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        out = ids.tobytes()
+        if len(match) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[match] = out
+        return out
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file; made once in a worker."""
 
@@ -35,10 +55,8 @@ class Codec:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        self.match_ids = library.model.tokenize
-        self.characters = {b: c for c, b in byte_alphabet().items()}
         self.cut = regex.compile(pattern).findall
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Kept(library.model.tokenize)
         back = byte_alphabet()
         vocab = library.get_vocab(with_added_tokens=True)
         tokens = [b""] * (max(vocab.values()) + 1)
@@ -50,17 +68,7 @@ class Codec:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        parts = self.cut(text)
-        try:
-            return b"".join(map(self.kept.__getitem__, parts))
-        except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in self.kept]
-        made = {p: np.array([t.id for t in self.match_ids(p.encode().decode("latin-1").translate(self.characters))], "<u4").tobytes() for p in new}
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-            return b"".join([made.get(p) or self.ids(p) for p in parts])
-        self.kept.update((p, x) for p, x in made.items() if len(p) <= LONGEST)
-        return b"".join([self.kept.get(p) or made[p] for p in parts])
+        return b"".join(map(self.kept.__getitem__, self.cut(text)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         n = self.lengths[ids]
