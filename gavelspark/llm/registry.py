@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import byte_bpe, fingerprints, language_id, quality, secrets
+from . import byte_bpe, fingerprints, language_id, quality, secrets, simhash
 
-QUERIES = {"op3_byte_bpe": byte_bpe.op3, "op4_quality": quality.op4, "op5_secrets": secrets.op5, "op8_fingerprints": fingerprints.op8, "op10_language_id": language_id.op10}
+QUERIES = {"op3_byte_bpe": byte_bpe.op3, "op4_quality": quality.op4, "op5_secrets": secrets.op5, "op6_simhash": simhash.op6, "op8_fingerprints": fingerprints.op8, "op10_language_id": language_id.op10}
 ORACLE_SQL: dict[str, str] = {}
