@@ -169,5 +169,21 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, and whole: do the ids decode to the text's bytes?"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                texts = [t.as_py() or "" for t in b.column("text")]
+                ids = [np.frombuffer(c.ids(t), "<u4") for t in texts]
+                same = [c.decode(i) == t.encode() for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), _lists(ids), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "whole"])
+
+    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, whole boolean")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
