@@ -87,7 +87,8 @@ def plan(docs: DataFrame, budget: float = 1.0, cover: bool = False, entropy_shar
     asked = total * max(budget, norm / least if cover else 0.0)
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(alpha)) / F.lit(norm)).otherwise(F.lit(0.0))
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-9)).otherwise(F.lit(1)).cast("bigint")
-    wanted = by_source.select("*", weight.alias("weight")).select("*", (F.col("weight") * F.lit(float(asked))).alias("budget")).select("*", epochs.alias("epochs")).select("*", F.greatest(F.lit(0.0), F.col("budget") - F.col("epochs") * F.col("tokens")).alias("part"))
+    rest = F.col("budget") - F.col("epochs") * F.col("tokens")
+    wanted = by_source.select("*", weight.alias("weight")).select("*", (F.col("weight") * F.lit(float(asked))).alias("budget")).select("*", epochs.alias("epochs")).select("*", F.when(rest > F.col("budget") * 1e-9, rest).otherwise(F.lit(0.0)).alias("part"))
     order = F.xxhash64(F.lit("rank"), F.lit(seed), F.col("block"))
     before = Window.partitionBy("source").orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
     walked = by_block.select("*", order.alias("rank")).select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
