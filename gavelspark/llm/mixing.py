@@ -1,6 +1,6 @@
 """Mixing sources to target weights by temperature, in DataFrame functions only.
 
-A source's weight is its token share to the power of an exponent, normalised. Entropy falls as the exponent grows, so the exponent that meets a target entropy is found by bisection; from 0 (all alike) to 1 (as they are) repetition falls too, and a repetition limit raises the exponent as far as needed. Each pass over the sources evaluates all the points that six halvings could visit, so the driver sees 63 sums a pass, however many sources there are.
+A source's weight is its token share to the power of an exponent, normalised. Entropy falls as the exponent grows, so the exponent that meets a target entropy is found by bisection; from 0 (all alike) to 1 (as they are) repetition falls too, and a repetition limit raises the exponent as far as needed. Each pass over the sources evaluates all the points that eight halvings could visit, so the driver sees 255 rows a pass, however many sources there are.
 
 The budget of a source, its weight times the tokens asked for, is realised in epochs: whole ones over all its documents, then a part of one. In an epoch documents lie in a random order in blocks, themselves in a random order; the part ends inside one block, with the document that reaches the budget. So a document's number of copies follows from its place against its source's end, and texts are never shuffled.
 
@@ -18,7 +18,9 @@ from ._common import DOCUMENT_COLUMNS, materialize, pick, table
 
 #: Target entropy as a share of the largest possible, and the most often that a document may be taken. Shares that have the entropy already stay as they are: STEEPEST bounds the exponent.
 ENTROPY_SHARE, REPEATS = 0.95, 4.0
-POINTS, PASSES, STEEPEST = 63, 6, 1.0
+POINTS, PASSES, STEEPEST = 255, 4, 1.0
+#: What a budget may miss a whole number of epochs by, in epochs, and count as that.
+SLACK = 1e-6
 #: The largest table of sources that is broadcast.
 SMALL = 50_000
 
@@ -32,12 +34,13 @@ def _grid(lo: float, hi: float) -> list[float]:
     return [lo + (hi - lo) * (i + 1) / (POINTS + 1) for i in range(POINTS)]
 
 
-def _bisect(shares: DataFrame, lo: float, hi: float, measure, reached) -> float:
-    """The least exponent between lo and hi at which reached(its measures) holds, if it then stays so; hi if none does."""
+def _bisect(shares: DataFrame, lo: float, hi: float, sums: list[Column], reached) -> float:
+    """The least exponent a between lo and hi at which reached(row of its sums) holds, if it then stays so; hi if none does."""
     for _ in range(PASSES):
         points = _grid(lo, hi)
-        got = shares.agg(*(F.struct(*measure(F.col("share"), a)).alias(f"a{i}") for i, a in enumerate(points))).first()
-        at = next((i for i in range(POINTS) if reached(points[i], got[i])), POINTS)
+        tried = shares.select("share", F.explode(F.lit(points)).alias("a")).groupBy("a").agg(*sums)
+        got = {r["a"]: r for r in tried.collect()}  # POINTS rows
+        at = next((i for i in range(POINTS) if reached(got[points[i]])), POINTS)
         lo, hi = (points[at - 1] if at else lo), (points[at] if at < POINTS else hi)
     return hi
 
@@ -49,13 +52,12 @@ def exponent(shares: DataFrame, n: int, largest_budget_ratio: float, entropy_sha
     """
     if n < 2:
         return 1.0
-    power = lambda s, a: F.pow(s, F.lit(a))
-    sums = lambda s, a: (F.sum(power(s, a)), F.sum(power(s, a) * F.ln(s) * F.lit(a)))
-    entropy = lambda a, r: math.log(r[0]) - r[1] / r[0] if r[0] else 0.0
-    best = _bisect(shares, 0.0, STEEPEST, sums, lambda a, r: entropy(a, r) <= entropy_share * math.log(n))
-    most = lambda s, a: (F.sum(power(s, a)), F.max(power(s, a - 1)))
+    power = F.pow("share", "a")
+    sums = [F.sum(power).alias("norm"), F.sum(power * F.ln("share") * F.col("a")).alias("logs"), F.max(F.pow("share", F.col("a") - 1)).alias("most")]
+    entropy = lambda r: math.log(r["norm"]) - r["logs"] / r["norm"]
+    best = _bisect(shares, 0.0, STEEPEST, sums, lambda r: entropy(r) <= entropy_share * math.log(n))
     if best < 1.0:
-        limit = _bisect(shares, 0.0, 1.0, most, lambda a, r: r[1] / r[0] * largest_budget_ratio <= repeats)
+        limit = _bisect(shares, 0.0, 1.0, sums, lambda r: r["most"] / r["norm"] * largest_budget_ratio <= repeats)
         best = max(best, limit)
     return best
 
@@ -86,9 +88,9 @@ def plan(docs: DataFrame, budget: float = 1.0, cover: bool = False, entropy_shar
     norm, least = shares.agg(F.sum(F.pow("share", F.lit(alpha))), F.min(F.pow("share", F.lit(alpha - 1)))).first() if n else (1.0, 1.0)
     asked = total * max(budget, norm / least if cover else 0.0)
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(alpha)) / F.lit(norm)).otherwise(F.lit(0.0))
-    epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-9)).otherwise(F.lit(1)).cast("bigint")
+    epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + SLACK)).otherwise(F.lit(1)).cast("bigint")
     rest = F.col("budget") - F.col("epochs") * F.col("tokens")
-    wanted = by_source.select("*", weight.alias("weight")).select("*", (F.col("weight") * F.lit(float(asked))).alias("budget")).select("*", epochs.alias("epochs")).select("*", F.when(rest > F.col("budget") * 1e-9, rest).otherwise(F.lit(0.0)).alias("part"))
+    wanted = by_source.select("*", weight.alias("weight")).select("*", (F.col("weight") * F.lit(float(asked))).alias("budget")).select("*", epochs.alias("epochs")).select("*", F.when(rest > F.col("tokens") * SLACK, rest).otherwise(F.lit(0.0)).alias("part"))
     order = F.xxhash64(F.lit("rank"), F.lit(seed), F.col("block"))
     before = Window.partitionBy("source").orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
     walked = by_block.select("*", order.alias("rank")).select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))

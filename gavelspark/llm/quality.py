@@ -112,21 +112,21 @@ def _gradients(net: Network, chunks: np.ndarray, first: np.ndarray, y: np.ndarra
     return [de, win.T @ da, da.sum(0), f.T @ dpre, dpre.sum(0), h.T @ dz, dz.sum(0)], loss
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 32, chunks_a_text: int = 4, seed: int = 7) -> Network:
-    """Adam on the cross-entropy, classes weighed alike; an epoch sees up to chunks_a_text chunks of each text, drawn anew."""
+def train(texts: list[str], labels: np.ndarray, epochs: int = 6, batch: int = 32, chunks_a_text: int = 4, seed: int = 7, least_steps: int = 450) -> Network:
+    """Adam on the cross-entropy, classes weighed alike; an epoch sees up to chunks_a_text chunks of each text, drawn anew; few texts are seen in more epochs, least_steps batches in all."""
     net, r = new_network(seed), np.random.default_rng(seed)
     parts = net.parts()
     m1, m2, t = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
     cut = [chunked(x) for x in texts]
     groups = [np.flatnonzero(labels == c) for c in (0, 1)]
-    steps = -(-len(texts) // batch)
-    for step in range(epochs * steps):
+    total = max(epochs * -(-len(texts) // batch), least_steps)
+    for step in range(total):
         rows = np.concatenate([r.choice(g, batch // 2) for g in groups])
         some = [c[np.sort(r.choice(len(c), min(len(c), chunks_a_text), replace=False))] for c in (cut[i] for i in rows)]
         first = np.concatenate([[0], np.cumsum([len(c) for c in some])[:-1]])
         grads, _ = _gradients(net, np.concatenate(some), first, labels[rows].astype(np.float32))
         t += 1
-        rate = 0.004 * (1 - 0.9 * step / (epochs * steps))
+        rate = 0.004 * (1 - 0.9 * step / total)
         for p, g, a, b in zip(parts, grads, m1, m2, strict=True):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)

@@ -186,7 +186,7 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_quality_edge_texts(spark):
-    net = quality.train(["good words here " * 20, "zz1 99 zz1 " * 20], np.array([1, 0]), epochs=2)
+    net = quality.train(["good words here " * 20, "zz1 99 zz1 " * 20], np.array([1, 0]), epochs=2, least_steps=2)
     got = rows_of(quality.score(documents(spark, edge_rows()), net, ["doc_id"]))
     assert len(got) == len(edge_rows()) and all(0 <= r["score"] <= 1 for r in got)
     same = [r["score"] for r in got if r["doc_id"] in (8, 9)]
