@@ -9,7 +9,6 @@ Defined results: vectors that are null, or hold a null or a component that is no
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,47 +17,47 @@ from pyspark.sql import functions as F
 
 from ._common import pick, table
 
-QUERY_BLOCK, DATA_BLOCK, LEAF = 2_000, 8_000, 48
+QUERY_BLOCK, DATA_BLOCK, LEAF, FANOUT = 2_000, 8_000, 128, 12
 
 
 class Tree:
     """Cover tree over the rows of x: node i has the centre's row, a covering radius, and either children or the points of a leaf.
 
-    A node's points within half its radius of its centre go with it, the others to further centres, each at least that half away from all before; so radii halve from level to level.
+    A node's points go to the nearest of a few centres, each further than half the node's radius from those before it (the farthest point comes next). Where points lie too sparsely for that, groups that are far smaller than a leaf stay with the node's own centre, and if all do, the node is parted into a ball and the shell around it.
     """
 
     def __init__(self, x: np.ndarray) -> None:
         self.x, self.norms = x, np.sqrt((x * x).sum(1))
         self.centre, self.radius, self.children, self.points = [], [], [], []
-        self._grow()
-
-    def _grow(self) -> None:
-        rows = np.arange(len(self.x))
-        away = np.sqrt(((self.x - self.x[0]) ** 2).sum(1))
+        rows = np.arange(len(x))
+        away = self._away(rows, 0)
         stack = [(self._node(0, away), rows, away)]
         while stack:
             node, rows, away = stack.pop()
             if len(rows) <= LEAF or self.radius[node] == 0:
                 self.points[node] = rows
                 continue
-            half, kids = self.radius[node] / 2, []
-            centre = self.centre[node]
-            while len(rows):
-                near = away <= half
-                if not near.any():  # rounding only
-                    near[:] = True
-                kids.append((centre, rows[near], away[near]))
-                rows = rows[~near]
-                if len(rows):
-                    centre = int(rows[np.argmax(away[~near])])
-                    away = np.sqrt(((self.x[rows] - self.x[centre]) ** 2).sum(1))
-                    if len(kids) >= 4 * LEAF:  # a spread without structure: what is left is one child
-                        kids.append((centre, rows, away))
-                        break
-            for c, r, a in kids:
-                child = self._node(c, a)
+            for c, part, d in self._parts(self.centre[node], self.radius[node], rows, away):
+                child = self._node(c, d)
                 self.children[node].append(child)
-                stack.append((child, r, a))
+                stack.append((child, part, d))
+
+    def _away(self, rows: np.ndarray, centre: int) -> np.ndarray:
+        return np.sqrt(((self.x[rows] - self.x[centre]) ** 2).sum(1))
+
+    def _parts(self, centre: int, radius: float, rows: np.ndarray, away: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        centres, nearest, owner = [centre], away.copy(), np.zeros(len(rows), int)
+        while len(centres) < FANOUT and nearest.max() > radius / 2:
+            centres.append(int(rows[nearest.argmax()]))
+            d = self._away(rows, centres[-1])
+            closer = d < nearest
+            owner[closer], nearest[closer] = len(centres) - 1, d[closer]
+        few = np.bincount(owner, minlength=len(centres))[owner] < LEAF // 4
+        owner[few], nearest[few] = 0, away[few]
+        if not owner.any():
+            order = np.argsort(away, kind="stable")
+            return [(centre, rows[half], away[half]) for half in np.array_split(order, 2)]
+        return [(c, rows[owner == k], nearest[owner == k]) for k, c in enumerate(centres) if (owner == k).any()]
 
     def _node(self, centre: int, away: np.ndarray) -> int:
         self.centre.append(centre)
@@ -92,15 +91,21 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
         return (xt.x[centres] @ q[c]) + qt.norms[c] * rp + xt.norms[centres] * r + r * rp + 1e-6 * (1 + qt.norms[c] * xt.norms[centres])
 
     def base(i: int, j: int) -> None:
+        """Only scores that reach a query's kth one so far are sorted in."""
         rows, cols = qt.points[i], xt.points[j]
         s = _products(q[rows], x[cols], exact)
-        own = q_ids[rows][:, None] == ids[cols][None]
-        low = np.iinfo(np.int64).min
-        s[own] = low
-        all_s = np.concatenate([best[rows], s], 1)
-        all_w = np.concatenate([where[rows], np.where(own, -1, cols[None])], 1)
-        pick_ = np.lexsort((np.where(all_w < 0, len(ids), all_w), -all_s.astype(np.float64) if exact else ~all_s), axis=1)[:, :k]
-        best[rows], where[rows] = np.take_along_axis(all_s, pick_, 1), np.take_along_axis(all_w, pick_, 1)
+        r, c = np.nonzero((s >= best[rows, -1][:, None]) & (q_ids[rows][:, None] != ids[cols][None]))
+        if not len(r):
+            return
+        hit = np.unique(r)
+        of = np.concatenate([r, np.repeat(hit, k)])
+        scores = np.concatenate([s[r, c], best[rows[hit]].ravel()])
+        places = np.concatenate([cols[c], where[rows[hit]].ravel()])
+        order = np.lexsort((np.where(places < 0, len(ids), places), ~scores, of))
+        of, scores, places = of[order], scores[order], places[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        keep = place < k
+        best[rows[of[keep]], place[keep]], where[rows[of[keep]], place[keep]] = scores[keep], places[keep]
 
     def kth(i: int) -> float:
         m = members[i]
