@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import grid_cell, round_half_up
+
 c = F.col
 
 
@@ -89,7 +91,7 @@ def monthly(sales: DataFrame) -> DataFrame:
     return sales.groupBy(F.date_format("sale_date", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("n"),
         F.round(F.median("starting_price_eur"), 2).alias("median_price"),
-        F.round(F.median(F.when(c("surface_m2") > 0, c("starting_price_eur") / c("surface_m2"))), 2).alias("median_m2"),
+        round_half_up(F.median(F.when(c("surface_m2") > 0, c("starting_price_eur") / c("surface_m2"))), 2).alias("median_m2"),
     )
 
 
@@ -166,8 +168,6 @@ def canonical_mutations(lines: DataFrame) -> DataFrame:
 
 
 def cell_log_stats(rows: DataFrame, lat: Column, lng: Column, price: Column) -> DataFrame:
-    from ..functions.numbers import grid_cell
-
     y, x = grid_cell(lat, lng)
     return rows.where(price > 0).groupBy(y.alias("cell_y"), x.alias("cell_x")).agg(F.count("*").alias("n"), F.round(F.sum(F.ln(price)), 6).alias("sum_log"), F.round(F.stddev_samp(F.ln(price)), 6).alias("std_log"))
 
