@@ -1,6 +1,6 @@
 """Secret scans in DataFrame functions only.
 
-Base rules find assignments, access keys and hexadecimal strings by pattern. Beside them, runs of key-like characters are scanned for randomness: for each run's character class (hex, alnum, base64) a window slides over it, the Shannon entropy of the window follows from the counts of the one character that leaves and the one that enters, and a run is a secret when some window reaches the class's threshold. An allow-list suppresses runs that are known not to be secrets, and runs that overlap a base span add nothing.
+Base rules find assignments, access keys and hexadecimal strings by pattern. Beside them, runs of key-like characters are scanned for randomness: for each run's character class (hex, alnum, base64) a window slides over it, the Shannon entropy of the window follows from the counts of the one character that leaves and the one that enters, and a run is a secret when some window reaches the class's threshold. An allow-list suppresses runs that are known not to be secrets as a whole; of runs of joined words the words are left out, and what is between them is scanned. Runs that overlap a base span add nothing.
 
 Spans are (start, end, kind) in code points, end exclusive, by start, then kind in the order of KINDS.
 
@@ -24,8 +24,23 @@ WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Least entropy in bits of a window, by class.
 CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 3.0), "alnum": (r"^[0-9A-Za-z]+$", 3.7), "base64": (r"^", 3.9)}
-#: Runs that no secret looks like: words and dashed or joined words without digits, dates and numbers, UUIDs, paths and file names, digests that say so, place-holders and the alphabet.
-ALLOWED = r"(?i)^([a-z_/=+-]+|[0-9_/=+-]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|/?([a-z][a-z_-]*[0-9]{0,4}/)+[a-z0-9_-]{0,24}|sha(1|256|384|512)[-=_].*|.*(example|placeholder|xxxxxx|012345678|abcdefghij).*)$"
+#: Runs that no secret looks like: words and dashed or joined words without digits, dates and numbers, UUIDs, and digests of the length that their name says.
+ALLOWED = r"(?i)^([a-z_/=+-]+|[0-9_/=+-]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|sha1[-=_]([0-9a-f]{40}|[a-z0-9+/]{27}=)|sha256[-=_]([0-9a-f]{64}|[a-z0-9+/]{43}=)|sha384[-=_]([0-9a-f]{96}|[a-z0-9+/]{64})|sha512[-=_]([0-9a-f]{128}|[a-z0-9+/]{86}==))$"
+#: Runs of joined words, as paths, names of digests and place-holders are: a window over some of the words is as mixed as a key, so they are scanned without the words.
+JOINED = r"(?i)^sha(1|256|384|512)[-=_]|example|placeholder|xxxxxx|012345678|abcdefghij"
+#: Folders of a path, which each match FOLDER. They are split, as a group repeated for each of them would overflow the stack.
+FOLDERS, FOLDER = r"(?i)^/?(.*)/[a-z0-9_-]{0,24}$", r"(?i)^[a-z][a-z_-]*[0-9]{0,4}$"
+
+
+def _prefixes(letters: str, least: int) -> str:
+    """Matches the first letters, `least` or more."""
+    return letters[:least] + "".join(f"(?:{c}" for c in letters[least:]) + ")?" * (len(letters) - least)
+
+
+#: A piece between separators that is a word, with four digits at most, or a number; with digits it is shorter than a window.
+_WORD = rf"(?:(?=[A-Za-z]+(?![A-Za-z0-9+])|[0-9]+(?![A-Za-z0-9+])|[A-Za-z0-9]{{1,{WINDOW - 1}}}(?![A-Za-z0-9+]))(?:(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{{2,}}){{0,9}})[0-9]{{0,4}}|[0-9]+)(?![A-Za-z0-9+]))"
+#: What is left out of joined words: the first piece behind a leading "example-"; words that others lead up to, of four characters anywhere, or at the end; place-holders and alphabets.
+WORDS = rf"^(?i:example|placeholder)[-_][A-Za-z0-9+]+|\G[/=_-]*{_WORD}|(?<![A-Za-z0-9+])(?=[A-Za-z0-9]{{4}}){_WORD}|[/=_-]{_WORD}[/=_-]*$|(?i:x{{6,}}|0?{_prefixes('123456789', 8)}|{_prefixes('abcdefghijklmnopqrstuvwxyz', 10)})"
 
 
 def found(text: Column, pattern: str, at_least: tuple[int, int] = (0, 0)) -> Column:
@@ -70,12 +85,38 @@ def window_entropy(run: Column, width: int = WINDOW) -> Column:
     return F.aggregate(F.split(run, ""), start, step, lambda acc: F.log2(F.lit(float(width))) - acc["least"] / width)
 
 
+def without(run: Column, spans: Column) -> Column:
+    """What spans (by start) leave of a run, as array<struct<start, end, match>>: pieces of WINDOW or more characters, without separators at their ends."""
+    kind = "struct<at:int,out:array<struct<start:int,end:int>>>"
+    gap = lambda acc, end: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))
+    start = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")).cast(kind)
+    gaps = F.aggregate(spans, start, lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap(acc, s["start"]).alias("out")).cast(kind), lambda acc: gap(acc, run["end"]))
+
+    def piece(g: Column) -> Column:
+        text = F.substring(run["match"], g["start"] - run["start"] + 1, g["end"] - g["start"])
+        first = g["start"] + F.char_length(F.regexp_extract(text, "^[/=_-]*", 0))
+        core = F.regexp_extract(text, "^[/=_-]*(.*[^/=_-])", 1)
+        return F.struct(first.alias("start"), (first + F.char_length(core)).alias("end"), core.alias("match"))
+
+    long = lambda x: x["end"] - x["start"] >= WINDOW
+    return F.filter(F.transform(F.filter(gaps, long), piece), long)
+
+
+def scanned_pieces(run: Column) -> Column:
+    """What of a run is scanned: nothing if it is allowed, what is between the words if it is of joined words, else all."""
+    words = F.transform(found(run["match"], WORDS), lambda w: F.struct((run["start"] + w["start"]).alias("start"), (run["start"] + w["end"]).alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    folders = F.regexp_extract(run["match"], FOLDERS, 1)
+    joined = run["match"].rlike(JOINED) | ((folders != "") & F.forall(F.split(folders, "/"), lambda x: x.rlike(FOLDER)))
+    return F.when(run["match"].rlike(ALLOWED), none).when(joined, without(run, words)).otherwise(F.array(run))
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """The columns of documents and secret_spans: array<struct<start, kind (place in KINDS), end>>, sorted. Missing columns are null, further ones are left out."""
     docs = pick(docs, **DOCUMENT_COLUMNS)
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = lambda name, k: F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
-    scanned = docs.select("*", found(text, ASSIGN, (2, 8)).alias("_assign"), found(text, ACCESS).alias("_access"), found(text, HEX).alias("_hex"), F.filter(found(text, CANDIDATE), lambda x: ~x["match"].rlike(ALLOWED)).alias("_runs"))
+    scanned = docs.select("*", found(text, ASSIGN, (2, 8)).alias("_assign"), found(text, ACCESS).alias("_access"), found(text, HEX).alias("_hex"), found(text, CANDIDATE).alias("_runs"))
     base = scanned.select("*", F.array_sort(F.concat(spans("_assign", 0), spans("_access", 1), spans("_hex", 2))).alias("_base"))
 
     def random(x: Column) -> Column:
@@ -85,7 +126,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         return window_entropy(x["match"]) >= ladder
 
     apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    entropy = F.filter(F.filter("_runs", apart), random)
+    entropy = F.filter(F.flatten(F.transform(F.filter("_runs", apart), scanned_pieces)), random)
     return base.select(*(F.col(c) for c in docs.columns), F.array_sort(F.concat("_base", spans(entropy, 3))).alias("secret_spans"))
 
 

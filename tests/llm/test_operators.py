@@ -264,6 +264,18 @@ def test_redacted_texts_hold_no_secret(spark):
     assert got[2]["text"] == "clean" and got[3]["text"] is None
 
 
+def test_words_around_a_secret_do_not_hide_it(spark):
+    key, parts = "Qf8Zt2LxN0vK7mRw4HbJ9sPq", "9fK2xLq8-ZtN0vK7m_Rw4HbJ"
+    hidden = [f"s3/{key[:20]}", f"keys/{key}", f"a/b/{key}", f"my-example-key={key}", f"sha256_key={key}", f"sha256-{key}", f"keys/{parts}", f"abcdefghijklm{key}", f"{key}012345678", f"xxxxxxxx-{key}-v2", f"example-a1-{key}", f"placeholder/{key}/image/{key}"]
+    clean = ["src/main/java2/file_name/IMG_20240102-1", "example-" + key, "sha256-" + "aB3/" * 10 + "xY9=", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "x" * 5000 + "1", "a/" * 4000 + "1b"]
+    texts = [f"\U0001f600 {x}, end" for x in hidden + clean]
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["secret_spans"]] for r in rows_of(secrets.find_secrets(documents(spark, enumerate(texts))))}
+    wanted = lambda x: [key[:20]] if x.startswith("s3") else [parts] if parts in x else [key] * x.count(key)
+    assert [found[i] for i in range(len(texts))] == [wanted(x) for x in hidden] + [[]] * len(clean)
+    left = rows_of(secrets.redact(documents(spark, enumerate(texts[: len(hidden)]))))
+    assert not any(key[:20] in r["text"] or parts in r["text"] for r in left)
+
+
 # 6. near-duplicates
 
 
