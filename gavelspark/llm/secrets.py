@@ -1,6 +1,6 @@
 """Secret scans in DataFrame functions only.
 
-Base rules find assignments, access keys and hexadecimal strings by pattern. Beside them, runs of key-like characters are scanned for randomness: for each run's character class (hex, alnum, base64) a window slides over it, the Shannon entropy of the window follows from the counts of the one character that leaves and the one that enters, and a run is a secret when some window reaches the class's threshold. An allow-list suppresses runs that are known not to be secrets as a whole; of runs of joined words the words are left out, and what is between them is scanned. Runs that overlap a base span add nothing.
+Base rules find assignments, access keys and hexadecimal strings by pattern. Beside them, runs of key-like characters are scanned for randomness: for each run's character class (hex, alnum, base64) a window slides over it, the Shannon entropy of the window follows from the counts of the one character that leaves and the one that enters, and a run is a secret when some window reaches the class's threshold. An allow-list suppresses runs that are known not to be secrets as a whole; of runs of joined words the words are left out, and what is between them is scanned. What base spans cover of a run is cut out of it first; each piece that is left is a run of its own.
 
 Spans are (start, end, kind) in code points, end exclusive, by start, then kind in the order of KINDS.
 
@@ -125,8 +125,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             ladder = ladder.when(x["match"].rlike(pattern), F.lit(least))
         return window_entropy(x["match"]) >= ladder
 
-    apart = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    entropy = F.filter(F.flatten(F.transform(F.filter("_runs", apart), scanned_pieces)), random)
+    def apart(x: Column) -> Column:
+        over = F.filter("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        return F.when(F.size(over) > 0, without(x, over)).otherwise(F.array(x))
+
+    entropy = F.filter(F.flatten(F.transform(F.flatten(F.transform("_runs", apart)), scanned_pieces)), random)
     return base.select(*(F.col(c) for c in docs.columns), F.array_sort(F.concat("_base", spans(entropy, 3))).alias("secret_spans"))
 
 
