@@ -35,8 +35,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their mixing weights. The budget covers every source once, so every document is there at least once and those of small sources are repeated."""
-    return mixing.mix(docs, cover=True)
+    """Sources at their mixing weights. The budget covers every source once, so every document is there at least once and those of small sources are repeated, mixing.REPEATS times at most."""
+    return mixing.mix(docs, cover=True, hold_repeats=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,19 +45,19 @@ def _bisect(shares: DataFrame, lo: float, hi: float, sums: list[Column], reached
     return hi
 
 
-def exponent(shares: DataFrame, n: int, largest_budget_ratio: float, entropy_share: float = ENTROPY_SHARE, repeats: float = REPEATS) -> float:
+def exponent(shares: DataFrame, n: int, largest_budget_ratio: float, entropy_share: float = ENTROPY_SHARE, repeats: float = REPEATS, cover: bool = False) -> float:
     """For a column share (positive, sum 1) of n sources. largest_budget_ratio: tokens asked for to tokens there are.
 
-    The exponent, STEEPEST at most, whose weights have entropy_share of the entropy ln n; greater where else a source would be taken more than `repeats` times (at most 1 then, the natural shares).
+    The exponent, STEEPEST at most, whose weights have entropy_share of the entropy ln n; greater where else a source would be taken more than `repeats` times (at most 1 then, the natural shares); cover: also not where the budget is raised until every source has a whole epoch.
     """
     if n < 2:
         return 1.0
     power = F.pow("share", "a")
-    sums = [F.sum(power).alias("norm"), F.sum(power * F.ln("share") * F.col("a")).alias("logs"), F.max(F.pow("share", F.col("a") - 1)).alias("most")]
+    sums = [F.sum(power).alias("norm"), F.sum(power * F.ln("share") * F.col("a")).alias("logs"), F.max(F.pow("share", F.col("a") - 1)).alias("most"), F.min(F.pow("share", F.col("a") - 1)).alias("least")]
     entropy = lambda r: math.log(r["norm"]) - r["logs"] / r["norm"]
     best = _bisect(shares, 0.0, STEEPEST, sums, lambda r: entropy(r) <= entropy_share * math.log(n))
     if best < 1.0:
-        limit = _bisect(shares, 0.0, 1.0, sums, lambda r: r["most"] / r["norm"] * largest_budget_ratio <= repeats)
+        limit = _bisect(shares, 0.0, 1.0, sums, lambda r: r["most"] * max(largest_budget_ratio / r["norm"], 1 / r["least"] if cover else 0.0) <= repeats)
         best = max(best, limit)
     return best
 
@@ -68,10 +68,10 @@ def _place(seed: int, doc_id: Column, text_hash: Column, blocks: int) -> tuple[C
     return F.pmod(h, F.lit(blocks)), F.xxhash64(F.lit("place"), h)
 
 
-def plan(docs: DataFrame, budget: float = 1.0, cover: bool = False, entropy_share: float = ENTROPY_SHARE, repeats: float = REPEATS, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+def plan(docs: DataFrame, budget: float = 1.0, cover: bool = False, entropy_share: float = ENTROPY_SHARE, repeats: float = REPEATS, seed: int = 0, hold_repeats: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """(documents, ends, blocks). documents: doc_id, source, n_tokens, block, place; ends: for each source its weight, tokens, budget, whole epochs, and where its partial epoch ends (end_rank of the block, end_place in it).
 
-    budget: tokens asked for, as a multiple of all tokens; cover: raised until every source has a whole epoch.
+    budget: tokens asked for, as a multiple of all tokens; cover: raised until every source has a whole epoch. hold_repeats: the exponent is such that the raised budget, too, takes no source more than `repeats` times; else that holds for `budget` as it is given.
     """
     d = pick(docs, doc_id="bigint", text="string", source="string")
     counted = d.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("text_hash"))
@@ -84,7 +84,7 @@ def plan(docs: DataFrame, budget: float = 1.0, cover: bool = False, entropy_shar
     n, total = by_source.where("tokens > 0").agg(F.count("*"), F.sum("tokens")).first()
     total = total or 0
     shares = materialize(by_source.where("tokens > 0").select((F.col("tokens") / F.lit(float(total or 1))).alias("share")), "shares")
-    alpha = exponent(shares, n, budget, entropy_share, repeats)
+    alpha = exponent(shares, n, budget, entropy_share, repeats, cover and hold_repeats)
     norm, least = shares.agg(F.sum(F.pow("share", F.lit(alpha))), F.min(F.pow("share", F.lit(alpha - 1)))).first() if n else (1.0, 1.0)
     asked = total * max(budget, norm / least if cover else 0.0)
     weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(alpha)) / F.lit(norm)).otherwise(F.lit(0.0))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gavelspark.llm import byte_bpe, chat, components, fingerprints, html_text, language_id, mixing, quality, secrets, simhash, topk
 from gavelspark.llm.labelled_pages import labelled_pages
 
@@ -137,6 +138,20 @@ def test_mixing_meets_budgets(spark, budget, cover):
     assert mixed == Counter({r["doc_id"]: r["n_copies"] for r in got if r["n_copies"]})
 
 
+@pytest.mark.parametrize("repeats", [mixing.REPEATS, 2.5])
+def test_repetition_limit_holds_for_the_raised_budget(spark, repeats):
+    """A source of 44 % and 39 others of shares in proportion to 1, 1/2, ... 1/39."""
+    sizes = {"s0": 104, **{f"s{k}": max(1, round(32 / k)) for k in range(1, 40)}}
+    rows = list(enumerate(s for s, n in sizes.items() for _ in range(n)))
+    docs = documents(spark, [(i, "ten words of text are in each of these documents", s) for i, s in rows])
+    got = rows_of(mixing.schedule(docs, cover=True, hold_repeats=True, repeats=repeats))
+    assert len(got) == len(rows) and min(r["n_copies"] for r in got) == 1
+    assert repeats <= max(r["n_copies"] for r in got) <= math.ceil(repeats)
+    assert max(r["n_copies"] for r in rows_of(mixing.schedule(docs, cover=True, repeats=repeats))) > math.ceil(repeats)
+    mixed = Counter(r["doc_id"] for r in rows_of(corpus_pipeline.mix_sources(spark, docs, "")))
+    assert set(mixed) == {i for i, _ in rows} and max(mixed.values()) <= mixing.REPEATS
+
+
 def test_mixing_of_no_documents(spark):
     assert mixing.schedule(documents(spark, []).limit(0)).count() == 0
 
