@@ -1,6 +1,6 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words have a score from what they stand in (elements, and words of their class, id and role); tags score below zero. Both kinds of weights are learnt from labelled pages. One linear scan finds the contiguous region with the greatest sum; in it, words of negative score (an advert, a form, comments amid the text) are left out. The loss from one such stretch is bounded, so that it does not cut a text in two.
+A page is a sequence of words and tags. Words have a score from what they stand in (elements, and words of their class, id and role; of what is around an article, only what sets it apart, as a sidebar or comments do); tags score below zero. Both kinds of weights are learnt from labelled pages. One linear scan finds the contiguous region with the greatest sum; in it, words of negative score (an advert, a form, comments amid the text) are left out. The loss from one such stretch is bounded, so that it does not cut a text in two.
 
 Defined results: null html is the empty page; a page without a word of positive score has the empty text. The whole html is read. Character references are decoded; white space inside a block becomes one space; blocks are joined by one line feed; a line break (br) is white space. Repeated rows are read each.
 """
@@ -28,7 +28,8 @@ _BLOCK = set("address article aside blockquote body button caption center dd det
 _TELLING = set("a article aside button footer form head header label legend main menu nav noscript select dialog h1 fieldset option".split())
 HINTS = {*CONTENT, *(w for words in BOILERPLATE.values() for w in words.split())}
 _OFF = {f"hint:{w}" for words in BOILERPLATE.values() for w in words.split()} - {f"hint:{w}" for w in CONTENT}
-_ROOT = re.compile(r"<main\b|<article\b(?![^>]*(?:comment|repl|respon))", re.I)
+#: What an article may stand in that makes it a teaser or a comment; other elements around it, a form or a label of the whole page, say nothing.
+_APART = {*_OFF, "in:aside", "in:nav", "in:footer", "in:menu", "in:dialog"}
 #: The most that a stretch of left-out words takes from a region.
 BOUND = 2.0
 
@@ -40,37 +41,43 @@ def _features(tag: str, attributes: str) -> tuple[str, ...]:
 
 def tokens(html: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
     """("text", decoded text, features of what is around it) and ("tag", name, ()); closing tags have the same name."""
+    read = list(_read(html))
+    roots = any(kind == "root" for kind, _, _, _ in read)
+    for kind, x, features, own in read:
+        if kind != "root":
+            yield kind, x, (*features, "outside") if kind == "text" and roots and not own else features
+
+
+def _read(html: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
+    """tokens() without what depends on the whole page: each with whether it is in an article or main of its own, and ("root", name, ...) where one opens that does not stand apart."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     at = 0
-    roots = _ROOT.search(html) is not None
 
-    def around() -> tuple[str, ...]:
+    def around() -> tuple[tuple[str, ...], bool]:
         own = [i for i, (t, fs) in enumerate(stack) if t in ("article", "main") and not _OFF.intersection(fs)]
         start = own[-1] if own else 0
-        out = dict.fromkeys(f for _, fs in stack[start:] for f in fs)
-        if roots and not own:
-            out["outside"] = None
-        return tuple(out)
+        above = [f for _, fs in stack[:start] for f in fs if f in _APART]
+        return tuple(dict.fromkeys([*above, *(f for _, fs in stack[start:] for f in fs)])), bool(own)
 
     while at < len(html):
         m = _TOKEN.search(html, at)
         end = m.start() if m else len(html)
         if end > at:
-            yield "text", unescape(html[at:end]), around()
+            yield "text", unescape(html[at:end]), *around()
         if not m:
             return
         at = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             if m[0].startswith("<![CDATA["):
-                yield "text", m[0][9:].removesuffix("]]>"), around()
+                yield "text", m[0][9:].removesuffix("]]>"), *around()
             continue
         tag = tag.lower()
         if tag in _RAW and not closing:
             stop = None if attributes.endswith("/") else _RAW[tag].search(html, at)
             at = at if attributes.endswith("/") else stop.end() if stop else len(html)
             continue
-        yield "tag", tag, ()
+        yield "tag", tag, (), False
         if closing:
             places = [i for i, (t, _) in enumerate(stack) if t == tag]
             if places:
@@ -82,6 +89,8 @@ def tokens(html: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
             fs = _features(tag, attributes)
             if fs or tag in _BLOCK - {"p", "li", "tr", "td", "th", "dd", "dt", "option"}:
                 stack.append((tag, fs))
+                if tag in ("article", "main") and not any(_APART.intersection(x) for _, x in stack):
+                    yield "root", tag, (), True
 
 
 Weights = dict[str, float]

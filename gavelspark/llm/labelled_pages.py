@@ -30,7 +30,7 @@ WRAPPERS = [
 
 
 def labelled_pages(copies: int = 80, seed: int = 11) -> list[str]:
-    r = random.Random(seed)
+    r, cards = random.Random(seed), random.Random(seed + 1)
     say = lambda lo, hi: " ".join(r.choices(WORDS, k=r.randint(lo, hi))).capitalize() + "."
     kinds = [(tag, word) for tag, words in BOILERPLATE.items() for word in words.split()]
     pages = []
@@ -42,6 +42,8 @@ def labelled_pages(copies: int = 80, seed: int = 11) -> list[str]:
         if word.startswith("comment"):
             shape = r.choice(["<article class='comment'><p>{}</p></article>", "<p>{}</p>", "<div class='reply'>{}</div>"])
             inner = "".join(shape.format(say(5, 40)) for _ in range(r.randint(1, 4)))
+        elif tag in ("div", "aside", "section") and cards.random() < 0.15:
+            inner = "".join(f"<article{cards.choice(['', ' class=card'])}>{inner}</article>" for _ in range(cards.randint(1, 3)))
         if tag == "header":
             inner = r.choice(["<h1>{}</h1>", "<h1><a href='/'>{}</a></h1>", "<h1>{}</h1><p>x</p>"]).format(say(1, 5))
         return f"<{tag} {r.choice(['class', 'class', 'id'])}='{r.choice(['', 'site-', 'main-', 'x_'])}{word}'>{inner}</{tag}>"

@@ -79,6 +79,20 @@ def test_region_is_the_best_of_all_contiguous_ones(weights):
         assert math.isclose(best, score(xs), abs_tol=1e-9)
 
 
+def test_articles_in_boilerplate(weights):
+    text = "A paragraph of the main text with enough words to be seen. " * 3
+    more = "Some other story that has quite many words to read about a thing. " * 4
+    want = " ".join(text.split())
+    for around in ("<aside class='related'><article class='card'><p>{}</p></article></aside>", "<section class='comments'><article><p>{}</p></article></section>", "<div class='sidebar'><article>{}</article></div>"):
+        for main in ("<article><p>{}</p></article>", "<main><p>{}</p></main>", "<div><p>{}</p></div>"):
+            assert html_text.main_text(f"<body><nav><a>Home</a></nav>{main.format(text)}{around.format(more)}</body>", weights) == want, (around, main)
+    features = lambda page: [f for k, x, f in html_text.tokens(page) if k == "text" and x == "words"]
+    for teaser in ("<aside class='related'><article>x</article></aside>", "<!-- <article> -->", "<script>var a = '<main>';</script>"):
+        assert features(f"<div>words</div>{teaser}") == [()]
+    assert features("<div>words</div><article>x</article>") == [("outside",)]
+    assert features("<form><div class='layout'><article>words</article></div></form>") == [("in:article",)]
+
+
 def test_main_text_of_no_pages(spark, weights):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string"), weights).count() == 0
 
