@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; own choice only where the session names none."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (own or "/tmp/checkpoints/gavelspark").rstrip("/")
+    """The folder that driver and executors share. Only a session whose executors are threads of the driver (local[...]) may do without the setting: its own folder is then shared."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "/tmp/checkpoints/gavelspark").rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: cuts the lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Written to the shared folder and read again: cuts the lineage, and survives lost executors. The table goes when the application ends, as results may be read from it until then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def n_partitions(spark: SparkSession) -> int:

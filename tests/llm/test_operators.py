@@ -215,13 +215,43 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_quality_edge_texts(spark):
-    net = quality.train(["good words here " * 20, "zz1 99 zz1 " * 20], np.array([1, 0]), epochs=2, least_steps=2)
-    got = rows_of(quality.score(documents(spark, edge_rows()), net, ["doc_id"]))
+    net = quality.train(["good words here " * 20, "zz1 99 zz1 " * 20], np.array([1, 0]), steps=2)
+    got = rows_of(quality.score(documents(spark, edge_rows(), clash=True), net, ["doc_id"]))
     assert len(got) == len(edge_rows()) and all(0 <= r["score"] <= 1 for r in got)
     same = [r["score"] for r in got if r["doc_id"] in (8, 9)]
     assert same[0] == same[1]
     assert {r["score"] for r in rows_of(quality.score(documents(spark, [(1, "a")]), None, ["doc_id"]))} == {0.5}
-    assert quality.fit(spark.createDataFrame([], "doc_id long, text string, label int")) is None
+    assert quality.score(documents(spark, []).limit(0), net, ["doc_id"]).count() == 0
+    none = spark.createDataFrame([], "doc_id long, label int")
+    assert quality.fit(documents(spark, edge_rows()), none) is None
+
+
+def test_lessons_are_bounded_and_repeatable(spark):
+    rows = [(i, f"text {i} " * (1 + i % 5)) for i in range(300)] + [(7, "text 7 " * 3)] * 50 + [(500, "w " * 4000), (501, None), (None, "no id")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(4, 1), (500, 1), (501, 0), (None, 1), (502, 1), (6, None), (8, 3)], "doc_id long, label int")
+    docs = documents(spark, rows, clash=True)
+    texts, marks = quality.lessons(docs, labels)
+    sure = {t or "": i % 2 for i, t in rows[:300] if i != 4} | {"w " * 4000: 1, "": 0}
+    assert dict(zip(texts, marks.tolist(), strict=True)) == sure and len(texts) == len(sure)
+    few, some = quality.lessons(docs.repartition(3), labels, sample=40, most_bytes=3000)
+    assert len(few) == 40 and some.sum() == 20 and "w " * 4000 not in few
+    assert (few, some.tolist()) == (lambda t, m: (t, m.tolist()))(*quality.lessons(docs, labels, sample=40, most_bytes=3000))
+
+
+def test_score_is_that_of_a_loop_over_windows():
+    net = quality.train(["good words here " * 60, "zz1 99 zz1 " * 90], np.array([1, 0]), steps=3)
+    for text in ("", "abc", "good words \U0001f600 " * 70, "z" * 1200):
+        b = [*text.encode()]
+        step = quality.CHUNK - quality.WIDTH + 1
+        n = max(1, -(-max(len(b) - quality.WIDTH + 1, 1) // step))
+        b += [256] * (n * step + quality.WIDTH - 1 - len(b))
+        each = [[np.maximum(net.embed[b[at + i : at + i + quality.WIDTH]].ravel() @ net.conv + net.bias, 0) for i in range(step)] for at in range(0, n * step, step)]
+        pools = np.array([np.concatenate([np.max(c, 0), np.mean(c, 0)]) for c in each])
+        f = np.concatenate([pools.max(0), pools.min(0), pools.mean(0)])
+        z = np.maximum(f @ net.dense + net.dense_bias, 0) @ net.out + net.out_bias
+        chunks = quality.chunked(text)
+        got = quality.probabilities(net, quality.pooled(net, chunks), np.array([0]))[0]
+        assert len(chunks) == n and math.isclose(got, 1 / (1 + math.exp(-float(z[0]))), rel_tol=1e-3)
 
 
 def test_chunks_cover_every_window():
