@@ -4,7 +4,9 @@ Base rules find assignments, access keys and hexadecimal strings by pattern. Bes
 
 Spans are (start, end, kind) in code points, end exclusive, by start, then kind in the order of KINDS.
 
-Defined results: a null text is the empty text: no spans, and the digest of the empty string. Repeated rows are scanned each. Runs shorter than the window have no entropy.
+Work grows in proportion to a text, however many spans it has: places are running sums over blocks, and no pattern repeats a group without bound (that would overflow the stack).
+
+Defined results: a null text is the empty text: no spans, and the digest of the empty string. Repeated rows are scanned each. Runs shorter than the window have no entropy. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,7 +23,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: A run shorter than asked for holds no longer match, so a count in the pattern drops the same matches as a test behind it.
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
 WINDOW = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+#: A run of key-like characters, with the FILL beside it where a base span was.
+FILL = "\x00"
+CANDIDATE = rf"(?:\x00|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{{{WINDOW},}}\x00?"
+SEPARATORS = "/=_-"
 #: Least entropy in bits of a window, by class.
 CLASSES = {"hex": (r"^[0-9a-fA-F]+$", 3.0), "alnum": (r"^[0-9A-Za-z]+$", 3.7), "base64": (r"^", 3.9)}
 #: Runs that no secret looks like: words and dashed or joined words without digits, dates and numbers, UUIDs, and digests of the length that their name says.
@@ -39,8 +44,55 @@ def _prefixes(letters: str, least: int) -> str:
 
 #: A piece between separators that is a word, with four digits at most, or a number; with digits it is shorter than a window.
 _WORD = rf"(?:(?=[A-Za-z]+(?![A-Za-z0-9+])|[0-9]+(?![A-Za-z0-9+])|[A-Za-z0-9]{{1,{WINDOW - 1}}}(?![A-Za-z0-9+]))(?:(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{{2,}}){{0,9}})[0-9]{{0,4}}|[0-9]+)(?![A-Za-z0-9+]))"
-#: What is left out of joined words: the first piece behind a leading "example-"; words that others lead up to, of four characters anywhere, or at the end; place-holders and alphabets.
-WORDS = rf"^(?i:example|placeholder)[-_][A-Za-z0-9+]+|\G[/=_-]*{_WORD}|(?<![A-Za-z0-9+])(?=[A-Za-z0-9]{{4}}){_WORD}|[/=_-]{_WORD}[/=_-]*$|(?i:x{{6,}}|0?{_prefixes('123456789', 8)}|{_prefixes('abcdefghijklmnopqrstuvwxyz', 10)})"
+#: What is left out of lines of joined words: line feeds; the first piece behind a leading "example-"; words that others lead up to, of four characters anywhere, or at the end; place-holders and alphabets.
+WORDS = rf"\n+|(?m:^)(?i:example|placeholder)[-_][A-Za-z0-9+]+|\G[/=_-]*{_WORD}|(?<![A-Za-z0-9+])(?=[A-Za-z0-9]{{4}}){_WORD}|[/=_-]{_WORD}[/=_-]*(?m:$)|(?i:x{{6,}}|0?{_prefixes('123456789', 8)}|{_prefixes('abcdefghijklmnopqrstuvwxyz', 10)})"
+
+
+#: How many elements a step below may copy; running sums and substrings go over blocks of so many.
+BLOCK = 256
+SPANS = "array<struct<start:int,end:int>>"
+MATCHES = "array<struct<start:int,end:int,match:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(xs: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(xs) - 1) / BLOCK), F.lit(0)).cast("int")), lambda i: F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(xs: Column, join) -> Column:
+    """Of an array of ints: for each element what `join` (addition or the maximum) makes of 0 and all before it.
+
+    A fold that appends copies what it has so far, so folds run over blocks of BLOCK elements, from the folds of the blocks before them: work grows all but in proportion to the array.
+    """
+    kind = "struct<at:int,out:array<int>>"
+
+    def each(part: Column, start: Column) -> Column:
+        add = lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")).cast(kind), lambda acc, x: add(acc, x).cast(kind), lambda acc: acc["out"])
+
+    fold = lambda part: F.aggregate(part, F.lit(0), join)
+    return _let(xs, lambda v: F.when(F.size(v) <= BLOCK, each(v, F.lit(0))).otherwise(_let(_blocks(v), lambda bs: F.flatten(F.zip_with(bs, each(F.transform(bs, fold), F.lit(0)), each)))))
+
+
+def cut_out(text: Column, spans: Column) -> Column:
+    """The parts of a text within spans (by start, apart from each other), as matches. A substring is found by counting from the text's beginning, so many are cut from parts of it."""
+    part = lambda t, at, s: F.substring(t, s["start"] - at + 1, s["end"] - s["start"])
+    hull = lambda ss: F.struct(F.get(ss, F.lit(0))["start"].alias("start"), F.element_at(ss, -1)["end"].alias("end"))
+    cut = lambda t, at, ss: F.transform(ss, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), part(t, at, s).alias("match")))
+    block = lambda ss: _let(F.struct(part(text, F.lit(0), hull(ss)).alias("text"), hull(ss)["start"].alias("at")), lambda b: cut(b["text"], b["at"], ss))
+    return F.when(F.size(spans) <= BLOCK, cut(text, F.lit(0), spans)).otherwise(F.flatten(F.transform(_blocks(spans), block)))
+
+
+def gaps(spans: Column, start: Column, end: Column) -> Column:
+    """What spans (by start; they may overlap) leave of start to end; parts may be empty."""
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    before = _let(running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), lambda ends: F.zip_with(spans, ends, lambda s, e: span(F.greatest(e, start), s["start"])))
+    last = F.greatest(start, F.array_max(F.transform(spans, lambda s: s["end"])))
+    return F.filter(F.concat(before, F.array(span(last, end))), lambda g: g["end"] >= g["start"]).cast(SPANS)
 
 
 def found(text: Column, pattern: str, at_least: tuple[int, int] = (0, 0)) -> Column:
@@ -48,18 +100,15 @@ def found(text: Column, pattern: str, at_least: tuple[int, int] = (0, 0)) -> Col
 
     What lies between the matches (split) and the matches (extract) have the lengths that add up to the places.
     """
-    steps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.char_length(gap).alias("gap"), m.alias("m")))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,match:string>>>"
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    steps = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.coalesce(F.char_length(m), F.lit(0)).alias("size"), m.alias("m")))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match"))
-        fits = F.char_length(F.regexp_extract(x["m"], pattern, at_least[0])) >= at_least[1]
-        return F.struct(end.alias("at"), F.when(fits, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def placed(xs: Column) -> Column:
+        at = running(F.transform(xs, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        return F.zip_with(xs, at, lambda x, a: F.struct((a + x["gap"]).alias("start"), (a + x["gap"] + x["size"]).alias("end"), x["m"].alias("match")))
 
-    walked = F.aggregate(F.filter(steps, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")).cast(kind), lambda a, x: add(a, x).cast(kind))["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    fits = lambda x: x["match"].isNotNull() & (F.char_length(F.regexp_extract(x["match"], pattern, at_least[0])) >= at_least[1])
+    return F.when(text.rlike(pattern), F.filter(_let(steps, placed), fits)).otherwise(F.array().cast(MATCHES)).cast(MATCHES)
 
 
 def window_entropy(run: Column, width: int = WINDOW) -> Column:
@@ -85,39 +134,62 @@ def window_entropy(run: Column, width: int = WINDOW) -> Column:
     return F.aggregate(F.split(run, ""), start, step, lambda acc: F.log2(F.lit(float(width))) - acc["least"] / width)
 
 
-def without(run: Column, spans: Column) -> Column:
-    """What spans (by start) leave of a run, as array<struct<start, end, match>>: pieces of WINDOW or more characters, without separators at their ends."""
-    kind = "struct<at:int,out:array<struct<start:int,end:int>>>"
-    gap = lambda acc, end: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"))))
-    start = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")).cast(kind)
-    gaps = F.aggregate(spans, start, lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap(acc, s["start"]).alias("out")).cast(kind), lambda acc: gap(acc, run["end"]))
+def _long(xs: Column) -> Column:
+    return F.filter(xs, lambda x: x["end"] - x["start"] >= WINDOW)
+
+
+def _core(piece: Column, lead: Column, tail: Column) -> Column:
+    """A piece without the separators (and fill) at its beginning, where lead holds, and at its end, where tail does."""
+    drop = F.lit(FILL + SEPARATORS)
+    front = F.when(lead, F.ltrim(piece["match"], drop)).otherwise(piece["match"])
+    start = piece["start"] + F.char_length(piece["match"]) - F.char_length(front)
+    return _let(F.when(tail, F.rtrim(front, drop)).otherwise(front), lambda m: F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"), m.alias("match")))
+
+
+def spaced(parts: Column, fill: str) -> Column:
+    """Matches (by start, apart from each other) as one text in which they keep their places, with fill between them."""
+    before = lambda i: F.coalesce(F.get(parts, i - 1)["end"], F.lit(0))
+    return F.array_join(F.transform(parts, lambda x, i: F.concat(F.repeat(F.lit(fill), x["start"] - before(i)), x["match"])), "")
 
-    def piece(g: Column) -> Column:
-        text = F.substring(run["match"], g["start"] - run["start"] + 1, g["end"] - g["start"])
-        first = g["start"] + F.char_length(F.regexp_extract(text, "^[/=_-]*", 0))
-        core = F.regexp_extract(text, "^[/=_-]*(.*[^/=_-])", 1)
-        return F.struct(first.alias("start"), (first + F.char_length(core)).alias("end"), core.alias("match"))
 
-    long = lambda x: x["end"] - x["start"] >= WINDOW
-    return F.filter(F.transform(F.filter(gaps, long), piece), long)
+def with_left(df: DataFrame, text: str, spans: str, name: str, least: int = 0) -> DataFrame:
+    """df with a column more: the parts, of `least` characters or more, that spans leave of a text."""
+    df = df.withColumn("_gaps", F.filter(gaps(F.col(spans), F.lit(0), F.char_length(text)), lambda g: g["end"] - g["start"] >= least))
+    return df.withColumn(name, cut_out(F.col(text), F.col("_gaps"))).drop("_gaps")
 
 
-def scanned_pieces(run: Column) -> Column:
-    """What of a run is scanned: nothing if it is allowed, what is between the words if it is of joined words, else all."""
-    words = F.transform(found(run["match"], WORDS), lambda w: F.struct((run["start"] + w["start"]).alias("start"), (run["start"] + w["end"]).alias("end")))
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    folders = F.regexp_extract(run["match"], FOLDERS, 1)
-    joined = run["match"].rlike(JOINED) | ((folders != "") & F.forall(F.split(folders, "/"), lambda x: x.rlike(FOLDER)))
-    return F.when(run["match"].rlike(ALLOWED), none).when(joined, without(run, words)).otherwise(F.array(run))
+def with_runs(df: DataFrame) -> DataFrame:
+    """_text and _base: also _runs, the runs of key-like characters in what base spans leave of a text. A run that a base span cuts is a run each side of it, without the separators next to the cut."""
+    df = with_left(df.withColumn("_cuts", F.when(F.size("_base") > 0, F.col("_base"))), "_text", "_cuts", "_left")
+    df = df.withColumn("_masked", F.coalesce(spaced(F.col("_left"), FILL), "_text"))
+    df = df.withColumn("_found", found(F.col("_masked"), CANDIDATE))
+    cored = F.transform("_found", lambda x: _core(x, x["match"].startswith(FILL), x["match"].endswith(FILL)))
+    return df.withColumn("_runs", _long(cored)).drop("_cuts", "_left", "_masked", "_found")
+
+
+def with_pieces(df: DataFrame) -> DataFrame:
+    """_runs: also _pieces, what of them is scanned: nothing of a run that is allowed, what is between the words (without separators at its ends) of one of joined words, else all."""
+
+    def joined(text: Column) -> Column:
+        folders = F.regexp_extract(text, FOLDERS, 1)
+        return text.rlike(JOINED) | ((folders != "") & F.forall(F.split(folders, "/"), lambda x: x.rlike(FOLDER)))
+
+    kind = lambda x: F.when(x["match"].rlike(ALLOWED), "allowed").when(joined(x["match"]), "joined").otherwise("plain")
+    df = df.withColumn("_kinds", F.transform("_runs", lambda x: F.struct(kind(x).alias("kind"), x.alias("run"))))
+    of = lambda k: F.transform(F.filter("_kinds", lambda x: x["kind"] == k), lambda x: x["run"])
+    df = df.withColumn("_plain", of("plain")).withColumn("_lines", spaced(of("joined"), "\n"))
+    df = with_left(df.withColumn("_words", found(F.col("_lines"), WORDS)), "_lines", "_words", "_between", WINDOW)
+    between = _long(F.transform("_between", lambda x: _core(x, F.lit(True), F.lit(True))))
+    return df.withColumn("_pieces", F.when(F.col("_lines") == "", F.col("_plain")).otherwise(F.concat("_plain", between))).drop("_kinds", "_plain", "_lines", "_words", "_between")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """The columns of documents and secret_spans: array<struct<start, kind (place in KINDS), end>>, sorted. Missing columns are null, further ones are left out."""
     docs = pick(docs, **DOCUMENT_COLUMNS)
-    text = F.coalesce(F.col("text"), F.lit(""))
     spans = lambda name, k: F.transform(name, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
-    scanned = docs.select("*", found(text, ASSIGN, (2, 8)).alias("_assign"), found(text, ACCESS).alias("_access"), found(text, HEX).alias("_hex"), found(text, CANDIDATE).alias("_runs"))
-    base = scanned.select("*", F.array_sort(F.concat(spans("_assign", 0), spans("_access", 1), spans("_hex", 2))).alias("_base"))
+    df = docs.select("*", F.coalesce("text", F.lit("")).alias("_text"))
+    df = df.select("*", found(F.col("_text"), ASSIGN, (2, 8)).alias("_assign"), found(F.col("_text"), ACCESS).alias("_access"), found(F.col("_text"), HEX).alias("_hex"))
+    df = with_pieces(with_runs(df.withColumn("_base", F.array_sort(F.concat(spans("_assign", 0), spans("_access", 1), spans("_hex", 2))))))
 
     def random(x: Column) -> Column:
         ladder = F
@@ -125,12 +197,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             ladder = ladder.when(x["match"].rlike(pattern), F.lit(least))
         return window_entropy(x["match"]) >= ladder
 
-    def apart(x: Column) -> Column:
-        over = F.filter("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.when(F.size(over) > 0, without(x, over)).otherwise(F.array(x))
-
-    entropy = F.filter(F.flatten(F.transform(F.flatten(F.transform("_runs", apart)), scanned_pieces)), random)
-    return base.select(*(F.col(c) for c in docs.columns), F.array_sort(F.concat("_base", spans(entropy, 3))).alias("secret_spans"))
+    df = df.withColumn("_random", F.filter("_pieces", random))
+    return df.select(*docs.columns, F.array_sort(F.concat("_base", spans("_random", 3))).alias("secret_spans"))
 
 
 def span_text(spans: Column) -> Column:
@@ -141,15 +209,8 @@ def span_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The columns of documents, each stretch of secrets in text replaced by [SECRET], and n_chars as it then is; rows without a secret stay as they are."""
-    kind = "struct<at:int,out:array<string>>"
-
-    def cut(acc: Column, s: Column) -> Column:
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]")))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out")).cast(kind)
-
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-    clean = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind), cut, end)
-    done = find_secrets(docs).withColumn("_clean", F.when(F.size("secret_spans") > 0, clean))
+    done = find_secrets(docs).withColumn("_cuts", F.when(F.size("secret_spans") > 0, F.col("secret_spans")))
+    done = with_left(done, "text", "_cuts", "_left").withColumn("_clean", F.array_join(F.transform("_left", lambda x: x["match"]), "[SECRET]"))
     changed = {"text": F.coalesce("_clean", "text"), "n_chars": F.coalesce(F.char_length("_clean").cast("bigint"), "n_chars")}
     return done.withColumns(changed).select(*DOCUMENT_COLUMNS)
 
