@@ -3,4 +3,4 @@
 from . import byte_bpe, chat, fingerprints, html_text, language_id, mixing, quality, secrets, simhash, topk
 
 QUERIES = {"op1_html_text": html_text.op1, "op2_mixing": mixing.op2, "op3_byte_bpe": byte_bpe.op3, "op4_quality": quality.op4, "op5_secrets": secrets.op5, "op6_simhash": simhash.op6, "op7_chat": chat.op7, "op8_fingerprints": fingerprints.op8, "op9_topk": topk.op9, "op10_language_id": language_id.op10}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_topk": topk.SQL}

@@ -37,6 +37,23 @@ def edge_rows():
     return [(i, t) for i, t in enumerate(TEXTS)] + [(3, "one"), (None, "no id"), (None, None)]
 
 
+def same_as_sql(spark, tables, query, sql):
+    """Rows of a query function over small tables, and what DuckDB says; tables: name to (rows, schema)."""
+    import tempfile
+
+    import duckdb
+
+    d = tempfile.mkdtemp()
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{d}/{name}.parquet/*.parquet')")
+    got = query(spark, d)
+    want = con.execute(sql)
+    at = [[x[0] for x in want.description].index(c) for c in got.columns]
+    return Counter(map(tuple, got.collect())) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 def rows_of(df):
     return [r.asDict() for r in df.collect()]
 
@@ -537,29 +554,70 @@ def test_likeness_estimates_jaccard(spark):
 
 
 def brute_top(rows, asks, k):
-    ok = sorted({(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
+    ok = sorted((i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v))
     out = Counter()
-    for q, qv in ok:
+    for q, qv in sorted(set(ok)):
         if asks(q):
             near = sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in ok if i != q and len(v) == len(qv))
             out.update((q, n + 1, i, -s) for n, (s, i) in enumerate(near[:k]))
     return out
 
 
-@pytest.mark.parametrize("block", [7, 8_000])
-def test_top_k(spark, monkeypatch, block):
+def vector_rows(n=150, seed=2):
+    r = np.random.default_rng(seed)
+    rows = [(i, [float(x) for x in np.float32(r.normal(0, 1, 8) + (i % 5) * 4)]) for i in range(n)]
+    rows += [(200 + i, rows[3][1]) for i in range(15)] + [rows[5]] + [rows[7]] * 13 + [(20, rows[1][1])]
+    return rows + [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] + [0.0] * 7), (303, [0.0] * 8), (None, rows[1][1]), (400, []), (401, []), (500, [1.0, 2.0]), (501, [-3.0, 2.0])]
+
+
+@pytest.mark.parametrize("block,sample", [(7, 40), (60, 2_048), (8_000, 2_048)])
+def test_top_k(spark, monkeypatch, block, sample):
     monkeypatch.setattr(topk, "DATA_BLOCK", block)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", max(3, block // 4))
+    monkeypatch.setattr(topk, "SAMPLE", sample)
+    monkeypatch.setattr(topk, "CELLS", 12)
     monkeypatch.setattr(topk, "LEAF", 4)
-    r = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in np.float32(r.normal(0, 1, 8))]) for i in range(150)]
-    rows += [(200 + i, rows[3][1]) for i in range(15)] + [rows[5], (300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] + [0.0] * 7), (303, [0.0] * 8), (None, rows[1][1])]
+    rows = vector_rows()
     df = beside(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "v", "query", "EMBEDDING")
     got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in rows_of(topk.top_k(df, F.col("vec_id") % 10 == 0, 10)))
     assert got == brute_top(rows, lambda i: i % 10 == 0, 10)
-    assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
-    few = topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0)
-    assert few.count() == 2
+    if block == 7:
+        assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+        assert topk.top_k(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.3, 30.0])
+def test_trees_cover_and_separate(monkeypatch, spread):
+    monkeypatch.setattr(topk, "LEAF", 8)
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (900, 3)).round(1) + spread * r.integers(0, 4, (900, 1))
+    t = topk.Tree(x)
+    away = lambda a, b: np.sqrt(((x[a] - x[b]) ** 2).sum(-1))
+    below = lambda i: t.points[i] if t.points[i] is not None else np.concatenate([below(c) for c in t.children[i]])
+    assert sorted(below(0)) == list(range(900))
+    for i in range(len(t.centre)):
+        assert away(below(i), t.centre[i]).max() <= min(t.radius[i], topk.BASE ** t.level[i]) * (1 + 1e-9)
+        kids = t.children[i]
+        for n, a in enumerate(kids):
+            assert t.level[a] < t.level[i] and all(away(t.centre[a], t.centre[b]) > topk.BASE ** t.level[a] for b in kids[:n])
+
+
+def test_a_query_goes_to_few_cells(spark, monkeypatch):
+    """In groups of vectors far from each other, a query meets a small part of the blocks, and no less is found."""
+    monkeypatch.setattr(topk, "CELLS", 16)
+    r = np.random.default_rng(8)
+    axes = np.eye(16)
+    rows = [(i, [float(v) for v in axes[i % 16] * 5 + r.normal(0, 0.05, 16)]) for i in range(800)]
+    sent = []
+    cells = topk._cells_to_search
+    monkeypatch.setattr(topk, "_cells_to_search", lambda *a: sent.append(cells(*a)) or sent[-1])
+    got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in rows_of(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0)))
+    assert got == brute_top(rows, lambda i: i % 10 == 0, 10)
+    assert sent[0].count() == 80 and sent[1].count() < 80
+
+
+def test_top_k_is_that_of_sql(spark):
+    rows = [r for r in vector_rows() if r[1] is None or r[1]]
+    assert same_as_sql(spark, {"embeddings": (rows, "vec_id long, embedding array<float>")}, topk.op9, topk.SQL)
 
 
 # 10. language
