@@ -1,10 +1,10 @@
 """Mixing sources to target weights by temperature, in DataFrame functions only.
 
-A source's weight is its token share to the power of an exponent, normalised. Entropy falls as the exponent grows, so the exponent that meets a target entropy is found by bisection; from 0 (all alike) to 1 (as they are) repetition falls too, and a repetition limit raises the exponent as far as needed. Each pass over the sources evaluates all the points that eight halvings could visit, so the driver sees 255 rows a pass, however many sources there are.
+A source's weight is its token share to the power of an exponent, normalised. Entropy falls as the exponent grows, so the exponent that meets a target entropy is found by bisection, in a bracket that is opened until it holds the target. A repetition limit bounds the exponent: below 1 small sources are repeated, so it is raised as far as needed, above 1 large ones are, so it is lowered. Each pass over the sources evaluates all the points that eight halvings could visit, so the driver sees 255 rows a pass, however many sources there are.
 
-The budget of a source, its weight times the tokens asked for, is realised in epochs: whole ones over all its documents, then a part of one. In an epoch documents lie in a random order in blocks, themselves in a random order; the part ends inside one block, with the document that reaches the budget. So a document's number of copies follows from its place against its source's end, and texts are never shuffled.
+The budget of a source, its weight times the tokens asked for, is realised in epochs: whole ones over all its documents, then a part of one. Every epoch has an order of its own: blocks in a random order, and documents in a random order in each. The part ends inside one block, with the document that reaches the budget. So a document's number of copies follows from its place against its source's end; mix() deals the texts out in that order, epoch by epoch and block by block.
 
-Defined results: a null text has no tokens; a null source is a source of its own. A document without tokens, or of a source without tokens, goes with every whole epoch; each source has at least one if `cover` is set. Documents with the same doc_id and text have the same place (repeated rows are taken or left together). An empty table gives an empty one.
+Defined results: a null text has no tokens; a null source is a source of its own. A document without tokens, or of a source without tokens, goes with every whole epoch; each source has at least one if `cover` is set. Documents with the same doc_id and text have the same place (repeated rows are taken or left together). Where sources tie for the largest share, no exponent has less entropy than theirs alike: if the target lies below that, natural shares are kept and entropy_met is false. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from ._common import DOCUMENT_COLUMNS, materialize, pick, table
 
-#: Target entropy as a share of the largest possible, and the most often that a document may be taken. Shares that have the entropy already stay as they are: STEEPEST bounds the exponent.
+#: Target entropy as a share of the largest possible, and the most often that a document may be taken.
 ENTROPY_SHARE, REPEATS = 0.95, 4.0
-POINTS, PASSES, STEEPEST = 255, 4, 1.0
+#: Points of a pass, passes of a bisection, and the exponent beyond which a target counts as out of reach: shares to this power are those of the largest alone.
+POINTS, PASSES, STEEPEST = 255, 4, 1024.0
+#: What the entropy may miss its target by, in nats, and count as met.
+NEAR = 1e-6
 #: What a budget may miss a whole number of epochs by, in epochs, and count as that.
 SLACK = 1e-6
 #: The largest table of sources that is broadcast.
@@ -38,65 +41,89 @@ def _bisect(shares: DataFrame, lo: float, hi: float, sums: list[Column], reached
     """The least exponent a between lo and hi at which reached(row of its sums) holds, if it then stays so; hi if none does."""
     for _ in range(PASSES):
         points = _grid(lo, hi)
-        tried = shares.select("share", F.explode(F.lit(points)).alias("a")).groupBy("a").agg(*sums)
+        tried = shares.select("rel", F.explode(F.lit(points)).alias("a")).groupBy("a").agg(*sums)
         got = {r["a"]: r for r in tried.collect()}  # POINTS rows
         at = next((i for i in range(POINTS) if reached(got[points[i]])), POINTS)
         lo, hi = (points[at - 1] if at else lo), (points[at] if at < POINTS else hi)
     return hi
 
 
-def exponent(shares: DataFrame, n: int, largest_budget_ratio: float, entropy_share: float = ENTROPY_SHARE, repeats: float = REPEATS, cover: bool = False) -> float:
-    """For a column share (positive, sum 1) of n sources. largest_budget_ratio: tokens asked for to tokens there are.
+def exponent(shares: DataFrame, n: int, largest_budget_ratio: float, entropy_share: float = ENTROPY_SHARE, repeats: float = REPEATS, cover: bool = False) -> tuple[float, bool]:
+    """The exponent, and whether its weights have the target entropy. For a column share (positive, sum 1) of n sources; largest_budget_ratio: tokens asked for to tokens there are.
 
-    The exponent, STEEPEST at most, whose weights have entropy_share of the entropy ln n; greater where else a source would be taken more than `repeats` times (at most 1 then, the natural shares); cover: also not where the budget is raised until every source has a whole epoch.
+    Weights have entropy_share of the entropy ln n, but for the repetition limit: where a source would be taken more than `repeats` times the exponent is as near to the target as the limit lets it (and to 1, the natural shares, where none is within it); cover: also where the budget is raised until every source has a whole epoch.
     """
     if n < 2:
-        return 1.0
-    power = F.pow("share", "a")
-    sums = [F.sum(power).alias("norm"), F.sum(power * F.ln("share") * F.col("a")).alias("logs"), F.max(F.pow("share", F.col("a") - 1)).alias("most"), F.min(F.pow("share", F.col("a") - 1)).alias("least")]
+        return 1.0, True
+    # relative to the largest share, so that no power runs out of range
+    power = F.pow("rel", "a")
+    sums = [F.sum(power).alias("norm"), F.sum(F.when(power > 0, power * F.ln("rel") * F.col("a")).otherwise(0.0)).alias("logs"), F.max(F.pow("rel", F.col("a") - 1)).alias("most"), F.min(F.pow("rel", F.col("a") - 1)).alias("least")]
+    top = shares.agg(F.max("share")).first()[0]
+    rel = shares.select((F.col("share") / F.lit(top)).alias("rel"))
+    target = entropy_share * math.log(n)
     entropy = lambda r: math.log(r["norm"]) - r["logs"] / r["norm"]
-    best = _bisect(shares, 0.0, STEEPEST, sums, lambda r: entropy(r) <= entropy_share * math.log(n))
-    if best < 1.0:
-        limit = _bisect(shares, 0.0, 1.0, sums, lambda r: r["most"] * max(largest_budget_ratio / r["norm"], 1 / r["least"] if cover else 0.0) <= repeats)
-        best = max(best, limit)
-    return best
+    taken = lambda r: r["most"] / top * max(largest_budget_ratio / r["norm"], top / r["least"] if cover else 0.0)
+    at = lambda a: rel.select("rel", F.lit(float(a)).alias("a")).agg(*sums).first()
+    high = 1.0
+    while entropy(at(high)) > target and high < STEEPEST:
+        high *= 2
+    if entropy(at(high)) > target + NEAR:
+        return 1.0, False
+    best = _bisect(rel, 0.0 if high == 1.0 else high / 2, high, sums, lambda r: entropy(r) <= target)
+    if taken(at(best)) > repeats:
+        if best < 1.0:
+            best = _bisect(rel, best, 1.0, sums, lambda r: taken(r) <= repeats)
+        elif best > 1.0:
+            best = max(1.0, _bisect(rel, 1.0, best, sums, lambda r: taken(r) > repeats) - (best - 1.0) / (POINTS + 1) ** PASSES)
+    return best, abs(entropy(at(best)) - target) <= 1e-3
 
 
-def _place(seed: int, doc_id: Column, text_hash: Column, blocks: int) -> tuple[Column, Column]:
-    """Block of a document in the last, partial epoch, and its place in the block."""
-    h = F.xxhash64(F.lit("order"), doc_id, text_hash, F.lit(seed))
-    return F.pmod(h, F.lit(blocks)), F.xxhash64(F.lit("place"), h)
+def _hash(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(F.lit("order"), doc_id, F.xxhash64(text))
+
+
+def _block(h: Column, seed: int, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), h), F.lit(blocks))
+
+
+def _order(seed: int, epoch: Column, block: Column, h: Column) -> tuple[Column, Column]:
+    """Rank of a block in an epoch, and place of a document (by its hash) in the block."""
+    return F.xxhash64(F.lit("rank"), F.lit(seed), epoch, block), F.xxhash64(F.lit("place"), F.lit(seed), epoch, h)
 
 
 def plan(docs: DataFrame, budget: float = 1.0, cover: bool = False, entropy_share: float = ENTROPY_SHARE, repeats: float = REPEATS, seed: int = 0, hold_repeats: bool = False) -> tuple[DataFrame, DataFrame, int]:
-    """(documents, ends, blocks). documents: doc_id, source, n_tokens, block, place; ends: for each source its weight, tokens, budget, whole epochs, and where its partial epoch ends (end_rank of the block, end_place in it).
+    """(documents, ends, blocks). documents: doc_id, source, n_tokens, block, h (a hash for its place); ends: for each source its weight, tokens, budget, whole epochs, where its partial epoch ends (end_rank of the block, end_place in it), and entropy_met.
 
     budget: tokens asked for, as a multiple of all tokens; cover: raised until every source has a whole epoch. hold_repeats: the exponent is such that the raised budget, too, takes no source more than `repeats` times; else that holds for `budget` as it is given.
     """
     d = pick(docs, doc_id="bigint", text="string", source="string")
-    counted = d.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("text_hash"))
+    counted = d.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), _hash(F.col("doc_id"), F.col("text")).alias("h"))
     counted = materialize(counted, "tokens")
     n_rows = counted.count()
     blocks = max(1, math.isqrt(n_rows))
-    rows = counted.withColumns(dict(zip(("block", "place"), _place(seed, F.col("doc_id"), F.col("text_hash"), blocks), strict=True)))
+    rows = counted.withColumn("block", _block(F.col("h"), seed, blocks))
     by_block = materialize(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs")), "blocks")
     by_source = by_block.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.sum("n_docs").alias("docs"))
     n, total = by_source.where("tokens > 0").agg(F.count("*"), F.sum("tokens")).first()
     total = total or 0
     shares = materialize(by_source.where("tokens > 0").select((F.col("tokens") / F.lit(float(total or 1))).alias("share")), "shares")
-    alpha = exponent(shares, n, budget, entropy_share, repeats, cover and hold_repeats)
-    norm, least = shares.agg(F.sum(F.pow("share", F.lit(alpha))), F.min(F.pow("share", F.lit(alpha - 1)))).first() if n else (1.0, 1.0)
-    asked = total * max(budget, norm / least if cover else 0.0)
-    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(alpha)) / F.lit(norm)).otherwise(F.lit(0.0))
+    alpha, met = exponent(shares, n, budget, entropy_share, repeats, cover and hold_repeats)
+    top = shares.agg(F.max("share")).first()[0] or 1.0
+    rel = F.col("share") / F.lit(top)
+    norm, least = shares.agg(F.sum(F.pow(rel, F.lit(alpha))), F.min(F.pow(rel, F.lit(alpha - 1)))).first() if n else (1.0, 1.0)
+    asked = total * max(budget, norm * top / least if cover else 0.0)
+    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(total or 1) * top), F.lit(alpha)) / F.lit(norm)).otherwise(F.lit(0.0))
     epochs = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + SLACK)).otherwise(F.lit(1)).cast("bigint")
     rest = F.col("budget") - F.col("epochs") * F.col("tokens")
     wanted = by_source.select("*", weight.alias("weight")).select("*", (F.col("weight") * F.lit(float(asked))).alias("budget")).select("*", epochs.alias("epochs")).select("*", F.when(rest > F.col("tokens") * SLACK, rest).otherwise(F.lit(0.0)).alias("part"))
-    order = F.xxhash64(F.lit("rank"), F.lit(seed), F.col("block"))
+    wanted = materialize(wanted.withColumn("entropy_met", F.lit(met)), "wanted")
+    last_epoch = wanted.select("source", "part", "epochs")
+    walked = _on_source(by_block, last_epoch).withColumn("rank", _order(seed, F.col("epochs"), F.col("block"), F.lit(0))[0])
     before = Window.partitionBy("source").orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
-    walked = by_block.select("*", order.alias("rank")).select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
-    last = _on_source(walked, wanted.select("source", "part")).where((F.col("before") < F.col("part")) & (F.col("part") <= F.col("before") + F.col("n_tokens")))
-    last = last.groupBy("source").agg(F.min(F.struct("rank", "block", "before", "part")).alias("e")).select("source", "e.*")
-    inside = _on_source(rows, last.withColumnRenamed("block", "end_block")).where("block = end_block")
+    walked = walked.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    last = walked.where((F.col("before") < F.col("part")) & (F.col("part") <= F.col("before") + F.col("n_tokens")))
+    last = last.groupBy("source").agg(F.min(F.struct("rank", "block", "before", "part", "epochs")).alias("e")).select("source", "e.*")
+    inside = _on_source(rows, last.withColumnRenamed("block", "end_block")).where("block = end_block").withColumn("place", _order(seed, F.col("epochs"), F.col("block"), F.col("h"))[1])
     upto = Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     reached = inside.select("source", "rank", "place", (F.col("before") + F.sum("n_tokens").over(upto) >= F.col("part") - 1e-6).alias("full")).where("full")
     ends = reached.groupBy("source").agg(F.min("rank").alias("end_rank"), F.min("place").alias("end_place"))
@@ -114,9 +141,9 @@ def _on_source(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.withColumn("_k", _key()).join(right.withColumn("_k", _key()).drop("source"), "_k").drop("_k")
 
 
-def copies(seed: int, block: Column, place: Column) -> Column:
+def copies(seed: int, block: Column, h: Column) -> Column:
     """Of a document beside its source's row of ends: whole epochs, and one more if it lies before the end of the part."""
-    rank = F.xxhash64(F.lit("rank"), F.lit(seed), block)
+    rank, place = _order(seed, F.col("epochs"), block, h)
     before = (rank < F.col("end_rank")) | ((rank == F.col("end_rank")) & (place <= F.col("end_place")))
     return (F.col("epochs") + F.coalesce(before, F.lit(False)).cast("bigint")).cast("bigint")
 
@@ -132,19 +159,21 @@ def _with_ends(docs: DataFrame, ends: DataFrame, columns: list[str]) -> DataFram
 
 
 def mix(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
-    """The columns of documents, each row as often as its source's budget takes it, from epoch to epoch in blocks in random order."""
+    """The columns of documents, each row as often as its source's budget takes it, in the order of the permutation: epoch by epoch, in each the blocks in an order of its own, in each of these the documents. Copies of a document lie in different epochs. The rows are dealt out in ranges of that order, which hashes make even."""
     _, ends, blocks = plan(docs, seed=seed, **how)
-    own = pick(docs, **DOCUMENT_COLUMNS)
-    block, place = _place(seed, F.col("doc_id"), F.xxhash64("text"), blocks)
-    taken = _with_ends(own, ends, ["epochs", "end_rank", "end_place"]).withColumn("_n", copies(seed, block, place))
-    return taken.where("_n > 0").select(*DOCUMENT_COLUMNS, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_e")).select(*DOCUMENT_COLUMNS)
+    own = pick(docs, **DOCUMENT_COLUMNS).withColumn("_h", _hash(F.col("doc_id"), F.col("text"))).withColumn("_block", _block(F.col("_h"), seed, blocks))
+    taken = _with_ends(own, ends, ["epochs", "end_rank", "end_place"]).withColumn("_n", copies(seed, F.col("_block"), F.col("_h"))).where("_n > 0")
+    each = taken.select(*DOCUMENT_COLUMNS, "_block", "_h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_epoch"))
+    rank, place = _order(seed, F.col("_epoch"), F.col("_block"), F.col("_h"))
+    return each.select(*DOCUMENT_COLUMNS, "_epoch", rank.alias("_rank"), place.alias("_place")).orderBy("_epoch", "_rank", "_place").select(*DOCUMENT_COLUMNS)
 
 
 def schedule(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
-    """doc_id, source, n_tokens, weight of the source, n_copies, and block_rank and place: a document's place in each epoch (by these two)."""
+    """doc_id, source, n_tokens, weight of the source, n_copies, block_rank and place (a document's place, by these two, in the last epoch of its source, which may be a part), and entropy_met."""
     rows, ends, _ = plan(docs, seed=seed, **how)
-    beside = _with_ends(rows, ends, ["weight", "epochs", "end_rank", "end_place"])
-    return beside.select("doc_id", "source", "n_tokens", "weight", copies(seed, F.col("block"), F.col("place")).alias("n_copies"), F.xxhash64(F.lit("rank"), F.lit(seed), F.col("block")).alias("block_rank"), "place")
+    beside = _with_ends(rows, ends, ["weight", "epochs", "end_rank", "end_place", "entropy_met"])
+    rank, place = _order(seed, F.col("epochs"), F.col("block"), F.col("h"))
+    return beside.select("doc_id", "source", "n_tokens", "weight", copies(seed, F.col("block"), F.col("h")).alias("n_copies"), rank.alias("block_rank"), place.alias("place"), "entropy_met")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,8 +130,38 @@ def brute_exponent(shares, ratio, share=mixing.ENTROPY_SHARE, repeats=mixing.REP
             lo, hi = (lo, mid) if ok(mid) else (mid, hi)
         return hi
 
-    best = bisect(lambda a: entropy(a) <= share * math.log(len(s)), 0.0, 1.0)
-    return max(best, bisect(lambda a: most(a) <= repeats, 0.0, 1.0)) if best < 1 else best
+    high = 1.0
+    while entropy(high) > share * math.log(len(s)):
+        high *= 2
+    best = bisect(lambda a: entropy(a) <= share * math.log(len(s)), 0.0, high)
+    if most(best) > repeats:
+        best = bisect(lambda a: most(a) <= repeats, best, 1.0) if best < 1 else bisect(lambda a: most(a) > repeats, 1.0, best)
+    return best
+
+
+@pytest.mark.parametrize("share,ratio", [(0.5, 1.0), (0.95, 1.0), (0.99, 1.0), (0.05, 1.0), (0.3, 3.0)])
+def test_exponent_meets_the_entropy_from_either_side(spark, share, ratio):
+    shares = [0.3, 0.25, 0.2, 0.15, 0.1]
+    got, met = mixing.exponent(spark.createDataFrame([(x,) for x in shares], "share double"), 5, ratio, entropy_share=share, repeats=2.5 * ratio)
+    assert math.isclose(got, brute_exponent(shares, ratio, share, 2.5 * ratio), rel_tol=1e-5)
+    weight = np.array(shares) ** got / np.sum(np.array(shares) ** got)
+    assert met == (abs(-np.sum(weight * np.log(weight)) - share * math.log(5)) < 1e-3) and met == (share > 0.3)
+
+
+def test_target_out_of_reach(spark):
+    tied = spark.createDataFrame([(0.25,)] * 4, "share double")
+    assert mixing.exponent(tied, 4, 1.0) == (1.0, False)
+    got = rows_of(mixing.schedule(documents(spark, [(i, "two words", f"s{i % 4}") for i in range(40)])))
+    assert all(r["n_copies"] == 1 and not r["entropy_met"] for r in got) and len(got) == 40
+
+
+def test_mixture_is_in_block_order_and_epochs_differ(spark):
+    rows = [(i, "ten words of text are in each of these documents", "small" if i % 10 == 0 else "large") for i in range(300)]
+    got = [r["doc_id"] for r in rows_of(mixing.mix(documents(spark, rows), entropy_share=0.999, budget=1.0))]
+    small = [d for d in got if d % 10 == 0]
+    n = len(small) // 30
+    epochs = [small[30 * e : 30 * e + 30] for e in range(n)]
+    assert n >= 3 and all(sorted(e) == list(range(0, 300, 10)) for e in epochs) and len({tuple(e) for e in epochs}) == n
 
 
 @pytest.mark.parametrize("budget,cover", [(1.0, False), (2.5, False), (1.0, True)])
