@@ -1,8 +1,10 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words have a score from what they stand in (elements, and words of their class, id and role; of what is around an article, only what sets it apart, as a sidebar or comments do); tags score below zero. Both kinds of weights are learnt from labelled pages. One linear scan finds the contiguous region with the greatest sum; in it, words of negative score (an advert, a form, comments amid the text) are left out. The loss from one such stretch is bounded, so that it does not cut a text in two.
+A page is a sequence of words and tags. Words have a score from what they stand in (elements, and words of their class, id and role; of what is around an article, only what sets it apart, as a sidebar or comments do); tags score below zero. Both kinds of weights are learnt from labelled pages. A text whose words score below zero (an advert, a form, comments amid the text) costs NODE at most, so that it does not cut a text in two. One linear scan finds the contiguous region with the greatest sum; in it, words of negative score are left out.
 
-Defined results: null html is the empty page; a page without a word of positive score has the empty text. The whole html is read. Character references are decoded; white space inside a block becomes one space; blocks are joined by one line feed; a line break (br) is white space. Repeated rows are read each.
+A page is read in one pass whose work grows in proportion to it, however it is nested or cut off: features are kept on the stack of open elements, and an attribute's open quote is looked past once a page.
+
+Defined results: null html is the empty page; a page without a word of positive score has the empty text. The whole html is read. Character references are decoded; white space inside a block becomes one space; blocks are joined by one line feed; a line break (br) is white space. Repeated rows are read each. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,78 +21,132 @@ from pyspark.sql import functions as F
 from ._common import pick, table
 from .labelled_pages import BOILERPLATE, CONTENT, labelled_pages
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STEP = re.compile(r"""[^>=]*(?:(=\s*["'])|(>)|=)""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "template", "iframe", "svg", "math", "object", "noembed", "noframes", "xmp")}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements that say something about their words by themselves; others count for the words of their class, id and role.
 _TELLING = set("a article aside button footer form head header label legend main menu nav noscript select dialog h1 fieldset option".split())
-HINTS = {*CONTENT, *(w for words in BOILERPLATE.values() for w in words.split())}
 _OFF = {f"hint:{w}" for words in BOILERPLATE.values() for w in words.split()} - {f"hint:{w}" for w in CONTENT}
 #: What an article may stand in that makes it a teaser or a comment; other elements around it, a form or a label of the whole page, say nothing.
 _APART = {*_OFF, "in:aside", "in:nav", "in:footer", "in:menu", "in:dialog"}
-#: The most that a stretch of left-out words takes from a region.
-BOUND = 2.0
+#: A name with one of these words says whether something is there, not what the element is ("post-comments-enabled").
+_SWITCHES = set("has no with without enabled disabled allowed count".split())
+#: The most that a text of negative words takes from a region.
+NODE = 1.0
 
 
-def _features(tag: str, attributes: str) -> tuple[str, ...]:
-    words = [w for m in _NAMES.finditer(attributes) for w in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())] if attributes else []
-    return tuple(dict.fromkeys([f"in:{tag}"] * (tag in _TELLING) + [f"hint:{w}" for w in words if w in HINTS]))
+def _features(tag: str, attributes: str, known: dict | None) -> tuple[str, ...]:
+    out = [f"in:{tag}"] * (tag in _TELLING)
+    for m in _NAMES.finditer(attributes) if attributes else ():
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if not _SWITCHES.intersection(words):
+                out += [f"hint:{w}" for w in words]
+    return tuple(dict.fromkeys(f for f in out if known is None or f in known or f in _APART))
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """("text", decoded text, features of what is around it) and ("tag", name, ()); closing tags have the same name."""
-    read = list(_read(html))
+def tokens(html: str, known: dict | None = None) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """("text", decoded text, features of what is around it) and ("tag", name, ()); closing tags have the same name. known: the only features that matter (and what sets an article apart); all if None."""
+    read = list(_read(html, known))
     roots = any(kind == "root" for kind, _, _, _ in read)
     for kind, x, features, own in read:
         if kind != "root":
             yield kind, x, (*features, "outside") if kind == "text" and roots and not own else features
 
 
-def _read(html: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
+class _Open:
+    """Open elements. Each has the features of all around it from the innermost article on, those that set things apart of what is above that, and whether there is an article."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...], tuple[str, ...], bool]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def around(self) -> tuple[tuple[str, ...], bool]:
+        return (self.stack[-1][1], self.stack[-1][3]) if self.stack else ((), False)
+
+    def push(self, tag: str, fs: tuple[str, ...]) -> bool:
+        """True if this begins an article that nothing sets apart."""
+        _, now, apart, own = self.stack[-1] if self.stack else ("", (), (), False)
+        begins = tag in ("article", "main") and not _OFF.intersection(fs)
+        now = tuple(dict.fromkeys([*apart, *fs])) if begins else tuple(dict.fromkeys([*now, *fs])) if fs else now
+        apart = tuple(dict.fromkeys([*apart, *(f for f in fs if f in _APART)])) if fs else apart
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, now, apart, own or begins))
+        return tag in ("article", "main") and not apart
+
+    def pop(self) -> None:
+        self.places[self.stack.pop()[0]].pop()
+
+    def close(self, tag: str) -> None:
+        if at := self.places.get(tag):
+            for _ in range(len(self.stack) - at[-1]):
+                self.pop()
+
+
+def _tag_end(html: str, at: int, quoted: bool) -> tuple[int, bool]:
+    """Where the tag's > is from `at`, -1 if there is none; and whether quoted values are still looked past. A quote that never ends, or has no > behind it, is an ordinary character, here and in the rest of the page."""
+    pos = at
+    while quoted:
+        m = _STEP.match(html, pos)
+        if not m:
+            break
+        if m[2]:
+            return m.end() - 1, True
+        pos = m.end()
+        if m[1]:
+            pos = html.find(m[1][-1], pos) + 1
+            if not pos:
+                break
+    return html.find(">", at), False
+
+
+def _read(html: str, known: dict | None) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
     """tokens() without what depends on the whole page: each with whether it is in an article or main of its own, and ("root", name, ...) where one opens that does not stand apart."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    at = 0
-
-    def around() -> tuple[tuple[str, ...], bool]:
-        own = [i for i, (t, fs) in enumerate(stack) if t in ("article", "main") and not _OFF.intersection(fs)]
-        start = own[-1] if own else 0
-        above = [f for _, fs in stack[:start] for f in fs if f in _APART]
-        return tuple(dict.fromkeys([*above, *(f for _, fs in stack[start:] for f in fs)])), bool(own)
-
-    while at < len(html):
-        m = _TOKEN.search(html, at)
-        end = m.start() if m else len(html)
-        if end > at:
-            yield "text", unescape(html[at:end]), *around()
+    opened, at, start, quoted = _Open(), 0, 0, True
+    text = lambda end: [("text", unescape(html[start:end]), *opened.around())] if end > start else []
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            yield from text(at)
+            end = html.find("-->", at + 4)
+            at = start = end + 3 if end >= 0 else len(html)
+            continue
+        if html.startswith("<![CDATA[", at):
+            yield from text(at)
+            end = html.find("]]>", at)
+            yield "text", html[at + 9 : end if end >= 0 else len(html)], *opened.around()
+            at = start = end + 3 if end >= 0 else len(html)
+            continue
+        m = _TAG.match(html, at)
+        if not m and html[at + 1 : at + 2] not in ("!", "?"):
+            at += 1
+            continue
+        end, quoted = _tag_end(html, m.end(), quoted) if m else (html.find(">", at), quoted)
+        if end < 0:  # no tag ends any more
+            break
+        yield from text(at)
+        at = start = end + 1
         if not m:
-            return
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                yield "text", m[0][9:].removesuffix("]]>"), *around()
             continue
-        tag = tag.lower()
+        closing, tag, attributes = m[1], m[2].lower(), html[m.end() : end]
         if tag in _RAW and not closing:
-            stop = None if attributes.endswith("/") else _RAW[tag].search(html, at)
-            at = at if attributes.endswith("/") else stop.end() if stop else len(html)
+            if not attributes.endswith("/"):
+                stop = _RAW[tag].search(html, at)
+                at = start = stop.end() if stop else len(html)
             continue
         yield "tag", tag, (), False
         if closing:
-            places = [i for i, (t, _) in enumerate(stack) if t == tag]
-            if places:
-                del stack[places[-1] :]
+            opened.close(tag)
         elif tag not in _VOID and tag not in ("html", "body"):
             if tag == "a" or tag in _BLOCK:
-                while stack and stack[-1][0] in ("a", "p") and (stack[-1][0] == "p" or tag == "a"):
-                    stack.pop()
-            fs = _features(tag, attributes)
-            if fs or tag in _BLOCK - {"p", "li", "tr", "td", "th", "dd", "dt", "option"}:
-                stack.append((tag, fs))
-                if tag in ("article", "main") and not any(_APART.intersection(x) for _, x in stack):
-                    yield "root", tag, (), True
+                while opened.stack and opened.stack[-1][0] in ("a", "p") and (opened.stack[-1][0] == "p" or tag == "a"):
+                    opened.pop()
+            fs = _features(tag, attributes, known)
+            if (fs or tag in _BLOCK - {"p", "li", "tr", "td", "th", "dd", "dt", "option"}) and opened.push(tag, fs):
+                yield "root", tag, (), True
+    yield from text(len(html))
 
 
 Weights = dict[str, float]
@@ -137,30 +193,37 @@ def fit(labelled: DataFrame, rounds: int = 4000, ridge: float = 3e-5) -> Weights
     return out
 
 
-def main_text(html: str | None, weights: Weights) -> str:
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Beginning and end of the contiguous stretch of greatest positive sum, the first of equal ones, in one scan; empty if no score is positive."""
+    best, region, total, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        total += score
+        if total <= 0:
+            total, start = 0.0, i + 1
+        elif total > best:
+            best, region = total, (start, i + 1)
+    return region
+
+
+def scored(html: str, weights: Weights) -> list[tuple[float, str, bool]]:
+    """Score, text or tag, and whether it is a text, of all tokens of a page."""
     known: dict[tuple[str, ...], float] = {}
-    items: list[tuple[float, str, bool]] = []  # score, text or tag, is it text
-    for kind, x, features in tokens(html or ""):
+    items = []
+    for kind, x, features in tokens(html, weights):
         if kind == "tag":
             items.append((weights.get(f"tag:{x}", -0.1), x, False))
         else:
             if features not in known:
                 known[features] = weights.get("", 0.0) + sum(weights.get(f, 0.0) for f in features)
-            items.append((known[features] * len(x.split()), x, True))
-    best, region, total, start, lost = 0.0, (0, 0), 0.0, 0, 0.0
-    for i, (score, _, _) in enumerate(items):
-        if score < 0:
-            score = max(score, -BOUND - lost)
-            lost += score
-        elif score > 0:
-            lost = 0.0
-        total += score
-        if total <= 0:
-            total, start, lost = 0.0, i + 1, 0.0
-        elif total > best:
-            best, region = total, (start, i + 1)
+            items.append((max(known[features] * len(x.split()), -NODE), x, True))
+    return items
+
+
+def main_text(html: str | None, weights: Weights) -> str:
+    items = scored(html or "", weights)
+    begin, end = best_region([s for s, _, _ in items])
     blocks, now = [], []
-    for score, x, text in items[region[0] : region[1]]:
+    for score, x, text in items[begin:end]:
         if text:
             if score >= 0:
                 now.append(x)

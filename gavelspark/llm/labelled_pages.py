@@ -16,6 +16,8 @@ BOILERPLATE = {
     "footer": "site bottom x",
 }
 CONTENT = ["article", "content", "entry", "post", "story", "text", "body", "main"]
+#: Asides that are part of the text.
+QUOTES = ["pullquote", "pull-quote", "blockquote", "quote", "callout", "footnote", "footnotes", "definition", "example"]
 WORDS = "the of and to in a is that for it was on as with be by at this from are or an have not which one".split()
 WRAPPERS = [
     ("<article>", "</article>"),
@@ -30,7 +32,7 @@ WRAPPERS = [
 
 
 def labelled_pages(copies: int = 80, seed: int = 11) -> list[str]:
-    r, cards = random.Random(seed), random.Random(seed + 1)
+    r, cards, quotes = random.Random(seed), random.Random(seed + 1), random.Random(seed + 2)
     say = lambda lo, hi: " ".join(r.choices(WORDS, k=r.randint(lo, hi))).capitalize() + "."
     kinds = [(tag, word) for tag, words in BOILERPLATE.items() for word in words.split()]
     pages = []
@@ -62,6 +64,8 @@ def labelled_pages(copies: int = 80, seed: int = 11) -> list[str]:
         if before:
             for _ in range(r.randint(0, 2)):
                 inside.insert(r.randint(1, len(inside)), pick([k for k in kinds if k[0] != "header"]))
+            if quotes.random() < 0.25:
+                inside.insert(quotes.randint(1, len(inside)), f"<aside class='{quotes.choice(QUOTES)}'>{block()}</aside>")
         around = lambda k: "".join(pick() for _ in range(r.randint(1, k)))
         site = r.choice(["", "", f"<header><h1>{say(1, 3)}</h1></header>"]) if before else ""
         nav = "<nav><ul>" + "".join(f"<li><a href='#'>{say(1, 2)}</a></li>" for _ in range(6)) + "</ul></nav>"

@@ -84,16 +84,45 @@ def test_main_text(spark, weights):
 
 
 def test_region_is_the_best_of_all_contiguous_ones(weights):
-    """Kadane's scan finds what trying every region finds, on pages with no stretch long enough to be bounded."""
-    score = lambda xs: max((sum(xs[i:j]) for i in range(len(xs)) for j in range(i, len(xs) + 1)), default=0)
+    """The text of a page is that of the region found by trying all."""
     r = np.random.default_rng(3)
-    for _ in range(200):
-        xs = r.normal(0, 1, r.integers(0, 12)).round(2).tolist()
-        best = total = 0.0
-        for x in xs:
-            total = max(0.0, total + x)
-            best = max(best, total)
-        assert math.isclose(best, score(xs), abs_tol=1e-9)
+    parts = ["<p>", "</p>", "<div>", "</div>", "<nav>", "</nav>", "<article>", "</article>", "<footer>", "</footer>", "<li>", "<a href=x>", "</a>", "<div class='ad'>", "<aside class=x>", "</aside>", "one two three", "a much longer text of very many words that are read", "x", "<br>"]
+    for _ in range(150):
+        page = " ".join(r.choice(parts, r.integers(0, 25)))
+        items = html_text.scored(page, weights)
+        sums = {(i, j): sum(s for s, _, _ in items[i:j]) for i in range(len(items)) for j in range(i + 1, len(items) + 1)}
+        top = max(sums.values(), default=0.0)
+        begin, end = html_text.best_region([s for s, _, _ in items])
+        assert math.isclose(sum(s for s, _, _ in items[begin:end]), max(top, 0.0), abs_tol=1e-9)
+        kept = [x.split() for s, x, text in items[begin:end] if text and s >= 0]
+        assert html_text.main_text(page, weights).split() == [w for ws in kept for w in ws]
+
+
+def test_layouts_that_were_not_learnt(weights):
+    """Class names and layouts that the labelled pages do not have."""
+    text, more = "This is a sentence of the story that people came to read today. " * 4, "Nobody came for these words. "
+    want = " ".join(text.split())
+    for page in (
+        "<div class='l-grid zone-7'><div class='c-hero'></div><div class='zx9 qq'><p>{}</p></div></div><footer class='ft-x'>{}</footer>",
+        "<body class='post-comments-enabled has-sidebar'><div class='post-comments-enabled'><p>{}</p></div><div class='comments'><p>{}</p></div></body>",
+        "<article class='hentry post-42 comments-disabled'><p>{}</p></article><nav class='qz'><ul><li><a href=y>{}</a></li></ul></nav>",
+        "<table><tr><td><p>{}</p></td><td class='sidebar'>{}</td></tr></table>",
+        "<main class=unseen><aside class='pullquote'>{}</aside></main><aside class='zz'>{}</aside>",
+        "<div id=wrap><p>{}</p><form action=z><label>{}</label></form></div>",
+    ):
+        assert html_text.main_text(page.format(text, more), weights) == want, page
+
+
+def test_long_and_broken_pages_take_seconds(weights):
+    import time
+
+    n = 1_000_000
+    start = time.time()
+    for part in ("<section>x", "<a '", "<a b='", '<a b=">', "<", "<div></span>x", "<p class='q", "<!--", "<article>x</p>", "<a b=\"'>x", "&amp;<b", "<div class='k%d'>"):
+        page = (part % 7 if "%d" in part else part) * (n // len(part))
+        html_text.main_text(page, weights)
+    assert html_text.main_text("<p>" + "word " * 200_000 + "</p>", weights).count("word") == 200_000
+    assert time.time() - start < 120
 
 
 def test_articles_in_boilerplate(weights):
