@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 #: Notary fees by bracket (upper bound, rate), taxes and costs.
 BRACKETS = [(6_500, 0.07), (17_000, 0.0385), (30_000, 0.0275), (None, 0.015)]
 VAT, DUTIES, FIXED_COSTS = 0.20, 0.058, 3_000
-#: Fixed value: rent a square metre where none is known.
+#: Rent a square metre by department, and where none is known.
+RENTS = {"75": 32, "92": 26, "93": 19, "94": 21, "78": 18, "77": 14, "91": 15, "95": 15, "69": 15, "13": 14, "06": 17, "33": 14, "31": 13, "44": 13, "67": 12, "59": 11, "35": 13, "34": 13, "76": 11, "38": 12, "83": 14, "42": 9, "29": 11, "21": 11}
 DEFAULT_RENT = 11.0
 
 
@@ -28,8 +29,8 @@ def parse_price(x: Column) -> Column:
 
 
 def confidence(x: Column) -> Column:
-    """0 to 1; what lies above 1, to 100, is per cent; else null."""
-    return F.when((x >= 0) & (x <= 1), x).when((x > 1) & (x <= 100), x / 100)
+    """0 to 1; what lies above 1, to 100, is per cent; further values are held to 0 and 1."""
+    return F.when(x < 0, 0.0).when(x <= 1, x).when(x <= 100, x / 100).when(x > 100, 1.0)
 
 
 def round_half_up(x: Column, digits: int = 0) -> Column:
@@ -70,7 +71,7 @@ def add_months_overflow(d: Column, months: int) -> Column:
 
 def first_date(x: Column) -> Column:
     """One of three formats, else null."""
-    return F.coalesce(*(F.try_to_timestamp(x, F.lit(f)).cast("date") for f in ("dd/MM/yyyy", "yyyy-MM-dd", "yyyyMMdd")))
+    return F.coalesce(*(F.when(x.rlike(p), F.try_to_timestamp(x, F.lit(f)).cast("date")) for p, f in ((r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"), (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"))))
 
 
 def next_dispatch(ts: Column, weekly: bool) -> Column:
@@ -112,9 +113,14 @@ def max_bid(total: Column) -> Column:
     return F.floor(F.greatest(best, F.lit(0.0)) / 100) * 100
 
 
-def gross_yield_pct(price: Column, surface: Column, rent_m2: Column | float = DEFAULT_RENT) -> Column:
-    rent = F.lit(rent_m2) if isinstance(rent_m2, float) else rent_m2
-    return F.when((price > 0) & (surface > 0), surface * rent * 12 / (price * 1.1) * 100)
+def rent_m2(department: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in RENTS.items() for x in (pair[0], float(pair[1]))))
+    return F.coalesce(F.try_element_at(known, department), F.lit(DEFAULT_RENT))
+
+
+def gross_yield_pct(price: Column, surface: Column, rent: Column | None = None) -> Column:
+    """A year's rent over 1.1 prices, in per cent."""
+    return F.when((price > 0) & (surface > 0), surface * (F.lit(DEFAULT_RENT) if rent is None else rent) * 12 / (price * 1.1) * 100)
 
 
 def annuity(principal: Column, yearly_rate: float, years: int) -> Column:
@@ -148,9 +154,11 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def cumulative_probability(x: Column, p10: Column, p50: Column, p90: Column) -> Column:
-    """Piecewise linear in the logarithm through 1 % at p10/2, 10, 50, 90 % and 99 % at 1.5 p90."""
-    knots = [(p10 / 2, 0.01), (p10, 0.1), (p50, 0.5), (p90, 0.9), (p90 * 1.5, 0.99)]
-    out = F.when(x <= knots[0][0], 0.01)
+    """Probability that a price is at most x: linear to half of p10, then linear in the logarithm through 1, 10, 50, 90 and 99 % at half of p10, p10, p50, p90 and 1.5 of p90; 1 from there."""
+    low, high = F.greatest(F.lit(1.0), p10 * 0.5), F.greatest(p90 + 1, p90 * 1.5)
+    price = F.greatest(x, F.lit(0.0))
+    out = F.when(price >= high, 1.0).when(price <= low, price / low * 0.01)
+    knots = [(low, 0.01), (p10, 0.1), (p50, 0.5), (p90, 0.9), (high, 0.99)]
     for (a, pa), (b, pb) in zip(knots, knots[1:], strict=False):
-        out = out.when(x <= b, pa + (pb - pa) * (F.ln(x) - F.ln(a)) / (F.ln(b) - F.ln(a)))
-    return out.otherwise(0.99)
+        out = out.when(price <= b, F.when(a == b, pb).otherwise(pa + (pb - pa) * (F.ln(price) - F.ln(a)) / (F.ln(b) - F.ln(a))))
+    return out.otherwise(1.0)

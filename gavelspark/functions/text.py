@@ -9,9 +9,22 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
-#: Street words and their short forms, applied in this order.
-STREET_WORDS = [("avenue", "av"), ("boulevard", "bd"), ("boul", "bd"), ("chemin", "che"), ("place", "pl"), ("route", "rte"), ("impasse", "imp"), ("allee", "all"), ("square", "sq"), ("faubourg", "fg"), ("saint", "st"), ("sainte", "ste")]
-PARTICLES = r"\b(de|du|des|la|le|les|l|d)\b"
+#: Patterns of short forms in addresses and the words for them, applied in this order; particles that are left out.
+STREET_WORDS = [
+    (r"\b(?:av|aven)\b", "avenue"),
+    (r"\bbd\b", "boulevard"),
+    (r"\b(?:r|ruee)\b", "rue"),
+    (r"\b(?:all|alle)\b", "allee"),
+    (r"\bimp\b", "impasse"),
+    (r"\bch\b", "chemin"),
+    (r"\brte\b", "route"),
+    (r"\bpl\b", "place"),
+    (r"\bsq\b", "square"),
+    (r"\bfg\b", "faubourg"),
+    (r"\bst\b", "saint"),
+    (r"\bste\b", "sainte"),
+]
+PARTICLES = r"\b(?:d|de|du|des|la|le|les|l)\b"
 
 
 def clean_text(x: Column) -> Column:
@@ -34,10 +47,11 @@ def search_norm(x: Column) -> Column:
 
 
 def street_key(x: Column) -> Column:
-    out = search_norm(x)
-    for word, short in STREET_WORDS:
-        out = F.regexp_replace(out, rf"\b{word}\b", short)
-    return F.trim(F.regexp_replace(F.regexp_replace(out, PARTICLES, " "), r"\s+", " "))
+    """An address as a key: folded, without country, cedex and the word for number, short forms written out, without particles."""
+    out = F.regexp_replace(fold(x), r"[^\x00-\x7f]", "")
+    for pattern, by in ((r"\bfrance\b", " "), (r"\bcedex\b\s*\d*", " "), (r"\b(?:n|no|numero)\s+(\d+)\b", "$1"), (r"[^a-z0-9]+", " "), *STREET_WORDS, (PARTICLES, " "), (r"\s+", " ")):
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
 
 
 def postal_code(x: Column) -> Column:

@@ -63,57 +63,90 @@ def gap_report(sales: DataFrame, required: list[str]) -> DataFrame:
     return sales.select("source_name", F.explode(gaps).alias("field")).groupBy("source_name", "field").agg(F.count("*").alias("missing"))
 
 
-def market_summary(sales: DataFrame, by: list[str]) -> DataFrame:
-    price = F.when(c("starting_price_eur") > 0, c("starting_price_eur"))
-    q = lambda p: F.round(F.percentile(price, p), 2)
-    return sales.groupBy(*by).agg(
+def positive(x: Column) -> Column:
+    return F.when(x > 0, x)
+
+
+def market_items(sales: DataFrame, now: str) -> DataFrame:
+    """sales with price_m2 (of the adjudication, else the starting price), days_to_sale (positive, from created_at) and is_upcoming (after now, a date)."""
+    price = F.coalesce(positive(c("adjudication_price_eur")), positive(c("starting_price_eur")))
+    return sales.withColumns({
+        "price_m2": round_half_up(price / positive(c("surface_m2")), 1),
+        "days_to_sale": positive(F.datediff("sale_date", "created_at")),
+        "is_upcoming": F.coalesce(c("sale_date") > F.lit(now).cast("date"), F.lit(False)),
+    })
+
+
+def quantile(x: Column, p: float) -> Column:
+    """Of positive values, one decimal, half up."""
+    return round_half_up(F.percentile(positive(x), p), 1)
+
+
+def mean(x: Column) -> Column:
+    return round_half_up(F.avg(positive(x)), 1)
+
+
+def market_summary(items: DataFrame, by: list[str]) -> DataFrame:
+    price = c("starting_price_eur")
+    return items.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.count_if(c("status") == "upcoming").alias("upcoming"),
-        F.count_if(c("status") != "upcoming").alias("past"),
-        q(0.25).alias("p25"),
-        q(0.5).alias("median"),
-        q(0.75).alias("p75"),
-        F.round(F.avg(price), 2).alias("mean"),
+        F.count_if("is_upcoming").alias("upcoming"),
+        F.count_if(~c("is_upcoming")).alias("past"),
+        quantile(price, 0.25).alias("p25"),
+        quantile(price, 0.5).alias("median"),
+        quantile(price, 0.75).alias("p75"),
+        quantile(c("price_m2"), 0.5).alias("median_m2"),
+        mean(c("investment_score")).alias("mean_score"),
+        mean(c("days_to_sale")).alias("mean_delay"),
     )
 
 
-def histogram(sales: DataFrame, bounds: list[int]) -> DataFrame:
-    """bucket, low, high, n, share_pct of prices in [low, high); empty buckets are there with 0. Counts of all buckets are one aggregate row, turned into rows."""
+#: Bounds of the price buckets.
+PRICE_BOUNDS = [None, 50_000, 100_000, 200_000, 400_000, None]
+
+
+def histogram(sales: DataFrame, bounds: list[int | None] = PRICE_BOUNDS) -> DataFrame:
+    """bucket, low, high, n, share_pct of positive prices in [low, high); empty buckets are there with 0. Counts of all buckets are one aggregate row, turned into rows."""
     price = c("starting_price_eur")
-    pairs = list(zip(bounds, [*bounds[1:], None], strict=True))
-    counts = [F.count_if((price >= lo) & ((price < hi) if hi else F.lit(True))).alias(f"b{i}") for i, (lo, hi) in enumerate(pairs)]
-    one = sales.where(price.isNotNull()).agg(F.count("*").alias("all"), *counts)
+    pairs = list(zip(bounds, bounds[1:], strict=False))
+    within = lambda lo, hi: (price > 0) & (F.lit(True) if lo is None else price >= lo) & (F.lit(True) if hi is None else price < hi)
+    counts = [F.count_if(within(lo, hi)).alias(f"b{i}") for i, (lo, hi) in enumerate(pairs)]
+    one = sales.where(price > 0).agg(F.count("*").alias("all"), *counts)
     rows = F.array(*(F.struct(F.lit(i).cast("bigint").alias("bucket"), F.lit(lo).cast("bigint").alias("low"), F.lit(hi).cast("bigint").alias("high"), c(f"b{i}").alias("n")) for i, (lo, hi) in enumerate(pairs)))
-    return one.select("all", F.inline(rows)).select("bucket", "low", "high", "n", F.round(F.when(c("all") > 0, c("n") * 100 / c("all")).otherwise(0.0), 1).alias("share_pct"))
+    return one.select("all", F.inline(rows)).select("bucket", "low", "high", "n", round_half_up(F.when(c("all") > 0, c("n") * 100 / c("all")).otherwise(0.0), 1).alias("share_pct"))
 
 
-def monthly(sales: DataFrame) -> DataFrame:
-    return sales.groupBy(F.date_format("sale_date", "yyyy-MM").alias("month")).agg(
-        F.count("*").alias("n"),
-        F.round(F.median("starting_price_eur"), 2).alias("median_price"),
-        round_half_up(F.median(F.when(c("surface_m2") > 0, c("starting_price_eur") / c("surface_m2"))), 2).alias("median_m2"),
-    )
+def monthly(items: DataFrame) -> DataFrame:
+    return items.where("sale_date IS NOT NULL").groupBy(F.date_format("sale_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), quantile(c("starting_price_eur"), 0.5).alias("median_price"), quantile(c("price_m2"), 0.5).alias("median_m2"), mean(c("days_to_sale")).alias("mean_delay"))
 
 
-def top_segments(sales: DataFrame, key: str, k: int) -> DataFrame:
-    grouped = sales.groupBy(c(key).alias("label")).agg(F.count("*").alias("n"), F.round(F.median("starting_price_eur"), 2).alias("median_price"))
-    return grouped.where("label IS NOT NULL").orderBy(F.desc("n"), "label").limit(k)
+def top_segments(items: DataFrame, k: int) -> DataFrame:
+    """By city where there is more than one, else by type: the k largest segments, ties by label. The number of cities (2 at most) is a one-row aggregate."""
+    cities = items.where("city <> ''").select("city").distinct().limit(2).agg((F.count("*") > 1).alias("by_city"))
+    label = F.when(c("by_city"), F.coalesce("city", F.lit("Ville non renseignée"))).otherwise(F.coalesce("property_type", F.lit("Type non renseigné")))
+    grouped = items.join(F.broadcast(cities), F.lit(True)).groupBy(label.alias("label")).agg(F.count("*").alias("n"), quantile(c("starting_price_eur"), 0.5).alias("median_price"), quantile(c("price_m2"), 0.5).alias("median_m2"), mean(c("investment_score")).alias("mean_score"))
+    return grouped.orderBy(F.desc("n"), "label").limit(k)
 
 
-def rotation(sales: DataFrame, by: str) -> DataFrame:
+def rotation(items: DataFrame, by: str) -> DataFrame:
+    """Sales a month, upcoming to past ones in per cent, and what these say of liquidity."""
     months = F.count_distinct(F.date_format("sale_date", "yyyy-MM"))
-    per_month = F.round(F.count("*") / months, 2)
-    ratio = F.round(F.count_if(c("status") == "upcoming") / F.count("*"), 4)
-    grouped = sales.groupBy(by).agg(F.count("*").alias("n"), months.alias("months"), per_month.alias("per_month"), ratio.alias("pipeline_ratio"))
-    return grouped.withColumn("liquidity", F.when(c("per_month") >= 10, "high").when(c("per_month") >= 4, "medium").otherwise("low"))
+    g = items.groupBy(by).agg(F.count("*").alias("n"), months.alias("months"), F.count_if("is_upcoming").alias("upcoming"), F.count_if(~c("is_upcoming")).alias("past"), mean(c("days_to_sale")).alias("mean_delay"))
+    g = g.withColumns({"per_month": round_half_up(c("n") / F.greatest(c("months"), F.lit(1)), 1), "pipeline_pct": round_half_up(F.when(c("past") > 0, c("upcoming") / c("past") * 100), 1)})
+    delay = c("mean_delay")
+    liquidity = F.when(c("past") == 0, "unknown").when((c("per_month") >= 6) & (delay.isNull() | (delay <= 45)), "active").when((c("per_month") >= 2) | (delay <= 75), "moderate").otherwise("low")
+    pipeline = F.when((c("past") == 0) & (c("upcoming") > 0), "no history").when(c("pipeline_pct").isNull(), "unknown").when(c("pipeline_pct") >= 80, "full").when(c("pipeline_pct") >= 35, "balanced").otherwise("thin")
+    return g.withColumns({"liquidity": liquidity, "pipeline": pipeline})
 
 
-def trend(sales: DataFrame, by: str) -> DataFrame:
-    """First against last year's median price; 5 per cent either way is stable."""
-    yearly = sales.where("starting_price_eur IS NOT NULL").groupBy(by, F.year("sale_date").alias("year")).agg(F.median("starting_price_eur").alias("m"))
-    ends = yearly.groupBy(by).agg(F.min_by("m", "year").alias("first"), F.max_by("m", "year").alias("last"))
-    change = F.round((c("last") - c("first")) / c("first") * 100, 2)
-    return ends.select(by, F.round("first", 2).alias("first"), F.round("last", 2).alias("last"), change.alias("change_pct")).withColumn("direction", F.when(c("change_pct") > 5, "up").when(c("change_pct") < -5, "down").otherwise("stable"))
+def trend(items: DataFrame, by: str, value: Column) -> DataFrame:
+    """First against last month that has a value; a change below 5 per cent is stable; fewer than two months or no positive first value: missing."""
+    periods = items.where("sale_date IS NOT NULL").groupBy(by, F.date_format("sale_date", "yyyy-MM").alias("period")).agg(value.alias("v")).where("v IS NOT NULL")
+    ends = periods.groupBy(by).agg(F.count("*").alias("periods"), F.min("period").alias("period_from"), F.max("period").alias("period_to"), F.min_by("v", "period").alias("v0"), F.max_by("v", "period").alias("v1"))
+    enough = c("periods") >= 2
+    change = round_half_up(F.when(enough & (c("v0") > 0), (c("v1") - c("v0")) / c("v0") * 100), 1)
+    out = ends.select(by, "period_from", "period_to", F.when(enough, round_half_up(c("v0").cast("double"), 1)).alias("start_value"), F.when(enough, round_half_up(c("v1").cast("double"), 1)).alias("end_value"), change.alias("change_pct"))
+    return out.withColumn("direction", F.when(c("change_pct").isNull(), "missing").when(F.abs("change_pct") < 5, "stable").when(c("change_pct") > 0, "up").otherwise("down"))
 
 
 def sales_stats(sales: DataFrame) -> DataFrame:
@@ -143,13 +176,25 @@ def history_summary(sales: DataFrame, by: str) -> DataFrame:
     )
 
 
+#: Per cent of sales from which a metric is watched, and from which it is healthy.
+METRIC_LIMITS = {"ai_description": (95, 99), "location": (65, 85), "surface": (65, 85), "documents": (65, 85), "dpe": (65, 85), "source_traceability": (65, 85), "opportunity_report": (75, 90), "market_estimate": (70, 88), "dvf_detailed_comparables": (70, 88), "bid_ceiling": (80, 92), "smart_alerts": (80, 94), "investor_api_feed": (80, 94)}
+
+
 def metric_monitor(sales: DataFrame) -> DataFrame:
-    """metric, covered, total, pct, state: healthy from 80 %, watch from 50 %."""
-    checks = {"price": c("starting_price_eur").isNotNull(), "surface": c("surface_m2").isNotNull(), "tribunal": c("tribunal_code").isNotNull(), "rooms": c("rooms_count").isNotNull(), "score": c("investment_score").isNotNull(), "documents": c("documents_count") > 0}
+    """metric, covered, total, pct, state of fields and of what is built on them: healthy, watch or critical by the limits of each."""
+    there = lambda x: F.coalesce(F.trim(x) != "", F.lit(False))
+    location, surface, price, dated = c("latitude").isNotNull() & c("longitude").isNotNull(), c("surface_m2") > 0, c("starting_price_eur") > 0, c("sale_date").isNotNull()
+    source, place, kind = c("source_url").isNotNull() | c("source_name").isNotNull(), there("department") | there("city"), there("property_type")
+    checks = {
+        "ai_description": there("description"), "location": location, "surface": surface, "documents": c("documents_count") > 0, "dpe": c("dpe_class").isNotNull(), "source_traceability": source,
+        "opportunity_report": price & dated & surface & location & source, "market_estimate": location & surface, "dvf_detailed_comparables": location & surface & place & kind,
+        "bid_ceiling": price & surface, "smart_alerts": price & dated & place & kind, "investor_api_feed": source & price & dated & c("tribunal_code").isNotNull(),
+    }
     one = sales.agg(F.count("*").alias("total"), *(F.count_if(e).alias(k) for k, e in checks.items()))
-    rows = one.select("total", F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), c(k).alias("covered")) for k in checks))))
-    pct = F.round(F.when(c("total") > 0, c("covered") * 100 / c("total")).otherwise(0.0), 1)
-    return rows.select("metric", "covered", "total", pct.alias("pct")).withColumn("state", F.when(c("pct") >= 80, "healthy").when(c("pct") >= 50, "watch").otherwise("poor"))
+    limits = METRIC_LIMITS
+    rows = one.select("total", F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), c(k).alias("covered"), F.lit(limits[k][0]).alias("watch"), F.lit(limits[k][1]).alias("healthy")) for k in checks))))
+    pct = round_half_up(F.when(c("total") > 0, c("covered") / c("total") * 100).otherwise(0.0), 1)
+    return rows.withColumn("pct", pct).select("metric", "covered", "total", "pct", F.when(c("pct") >= c("healthy"), "healthy").when(c("pct") >= c("watch"), "watch").otherwise("critical").alias("state"))
 
 
 def canonical_mutations(lines: DataFrame) -> DataFrame:
@@ -182,21 +227,32 @@ def weighted_average(rows: DataFrame, by: str, value: Column, weight: Column) ->
     return rows.groupBy(by).agg(F.round(F.sum(value * weight) / F.sum(weight), 4).alias("weighted"), F.round(F.pow(F.sum(weight), 2) / F.sum(weight * weight), 4).alias("effective_n"))
 
 
-def weighted_quantile(rows: DataFrame, by: str, value: str, weight: str, p: float) -> DataFrame:
-    """The least value whose cumulative weight reaches p of the total. Equal values are summed first."""
-    steps = rows.groupBy(by, value).agg(F.sum(weight).alias("w"))
-    w = Window.partitionBy(by)
-    run = steps.select(by, value, F.sum("w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("w").over(w).alias("total"))
-    return run.where(c("upto") >= c("total") * p).groupBy(by).agg(F.min(value).alias("quantile"))
-
-
-def weighted_trend(rows: DataFrame, by: str, x: Column, y: Column, w: Column) -> DataFrame:
-    """Weighted slope of y over x, shrunk by n / (n + 12) up to .8, within 12 %."""
+def weighted_quantile(rows: DataFrame, by: str, value: str, weight: str, p: float, width: float = 1000.0) -> DataFrame:
+    """The least value whose cumulative weight reaches p of the total. Equal values are summed first; a running sum over buckets of values finds the bucket in which it lies, one over that bucket's values the value: no window holds all values of a group."""
+    steps = rows.groupBy(by, c(value).alias("v")).agg(F.sum(weight).alias("w")).withColumn("bucket", F.floor(c("v") / width))
+    group = Window.partitionBy(by)
+    buckets = steps.groupBy(by, "bucket").agg(F.sum("w").alias("bw"))
+    upto = F.sum("bw").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    run = buckets.select(by, "bucket", (upto - c("bw")).alias("before"), upto.alias("upto"), F.sum("bw").over(group).alias("total"))
+    at = run.where(c("upto") >= c("total") * p).groupBy(by).agg(F.min(F.struct("bucket", "before", "total")).alias("b")).select(by, "b.*")
+    inside = steps.join(at, [by, "bucket"])
+    reached = c("before") + F.sum("w").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) >= c("total") * p
+    return inside.select(by, "v", reached.alias("reached")).where("reached").groupBy(by).agg(F.min("v").alias("quantile"))
+
+
+def market_trend(rows: DataFrame, by: str, price: Column, months_old: Column, distance_m: Column) -> DataFrame:
+    """Yearly change of the price: exp of the weighted slope of the logarithm, held within its 10th and 90th percentile, less 1; shrunk by n / (n + 12), .8 at most, within 12 %. 0 for fewer than 6 rows, less than 12 months, or no spread."""
+    r = rows.select(by, F.ln(price).alias("y"), (-months_old / 12).alias("x"), months_old.alias("m"), F.exp(-distance_m / 1500).alias("w"))
+    limits = r.groupBy(by).agg(F.count("*").alias("n"), F.max("m").alias("span"), F.percentile("y", 0.1).alias("lo"), F.percentile("y", 0.9).alias("hi"))
+    r = r.join(limits, by).withColumn("y", F.greatest("lo", F.least("hi", "y")))
     s = lambda e: F.sum(e)
-    g = rows.groupBy(by).agg(F.count("*").alias("n"), s(w).alias("w"), s(w * x).alias("wx"), s(w * y).alias("wy"), s(w * x * y).alias("wxy"), s(w * x * x).alias("wxx"))
-    slope = (c("w") * c("wxy") - c("wx") * c("wy")) / F.nullif(c("w") * c("wxx") - c("wx") * c("wx"), F.lit(0.0))
-    shrunk = slope * F.least(F.lit(0.8), c("n") / (c("n") + 12))
-    return g.select(by, "n", F.round(F.greatest(F.lit(-0.12), F.least(F.lit(0.12), shrunk)), 6).alias("trend"))
+    w, x, y = c("w"), c("x"), c("y")
+    g = r.groupBy(by).agg(F.max("n").alias("n"), F.max("span").alias("span"), s(w).alias("sw"), s(w * x).alias("wx"), s(w * y).alias("wy"), s(w * x * y).alias("wxy"), s(w * x * x).alias("wxx"))
+    variance = c("wxx") - c("wx") * c("wx") / c("sw")
+    slope = (c("wxy") - c("wx") * c("wy") / c("sw")) / F.nullif(variance, F.lit(0.0))
+    shrunk = (F.exp(slope) - 1) * F.least(F.lit(0.8), c("n") / (c("n") + 12))
+    out = F.when((c("n") < 6) | (c("span") < 12) | (variance <= 1e-9), 0.0).otherwise(F.greatest(F.lit(-0.12), F.least(F.lit(0.12), shrunk)))
+    return g.select(by, "n", F.round(out, 6).alias("trend"))
 
 
 def iqr_filtered(rows: DataFrame, by: str, value: str, least_n: int = 7, keep: int = 4) -> DataFrame:

@@ -44,30 +44,33 @@ def loose_key() -> Column:
     return F.concat_ws("|", street_key(c("address")), c("city"), F.year("sale_date").cast("string"))
 
 
-def within_radius(subjects: DataFrame, points: DataFrame, radius_m: float, residual: Column | None = None) -> DataFrame:
-    """Pairs at most radius_m apart. Both have id, latitude, longitude (points: point_ before these). Cells are as wide as the radius, a subject looks into its own and the eight around it: an equi-join, with the true distance as residual."""
-    step_y = radius_m / 111_000
-    step_x = step_y / 0.6  # the cosine of 53 degrees; wide enough to there
-    cell = lambda lat, lng: (F.floor(lat / step_y), F.floor(lng / step_x))
-    y, x = cell(c("latitude"), c("longitude"))
-    around = F.array(*(F.struct((y + i).alias("cy"), (x + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    left = subjects.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("*", F.inline(around))
-    py, px = cell(c("point_latitude"), c("point_longitude"))
-    right = points.where("point_latitude IS NOT NULL AND point_longitude IS NOT NULL").withColumns({"cy": py, "cx": px})
+def within_radius(subjects: DataFrame, points: DataFrame, radius_m: float, residual: Column | None = None, on: list[str] | None = None) -> DataFrame:
+    """Pairs at most radius_m apart. Both have id, latitude, longitude (points: point_ before these), and may share further key columns (on), such as a type. Cells are as wide as the radius in latitude; their width in longitude is that of the radius at the far edge of their band of latitude, so a subject's own and the eight around it (in the bands above and below by these bands' widths) hold all points: an equi-join, with the true distance as residual."""
+    step = radius_m / 111_000
+    band = lambda lat: F.floor(lat / step)
+    widest = lambda y: F.greatest(F.abs(y), F.abs(y + 1)) * step
+    width = lambda y: F.lit(step * 1.01) / F.greatest(F.cos(F.radians(F.least(widest(y) + step, F.lit(89.9)))), F.lit(1e-3))
+    y = band(c("latitude"))
+    cells = [F.struct((y + i).alias("cy"), (F.floor(c("longitude") / width(y + i)) + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    left = subjects.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("*", F.inline(F.array(*cells)))
+    py = band(c("point_latitude"))
+    right = points.where("point_latitude IS NOT NULL AND point_longitude IS NOT NULL").withColumns({"cy": py, "cx": F.floor(c("point_longitude") / width(py))})
     d = haversine_m(c("latitude"), c("longitude"), c("point_latitude"), c("point_longitude"))
-    pairs = left.join(right, ["cy", "cx"]).withColumn("distance_m", d).where(c("distance_m") <= radius_m)
+    pairs = left.join(right, ["cy", "cx", *(on or [])]).withColumn("distance_m", d).where(c("distance_m") <= radius_m)
     return (pairs if residual is None else pairs.where(residual)).drop("cy", "cx")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_date: str, right_date: str, value: str) -> DataFrame:
-    """left beside the value of right's last row of its key strictly before its own date. Both sides go through one sort by key and date (a union and a running last), not through a join of all pairs."""
-    a = left.select("*", c(left_date).alias("_d"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != key else c(key) for f in left.schema]
-    latest = right.groupBy(key, right_date).agg(F.max(value).alias(value))
-    b = latest.select(*blank, c(right_date).alias("_d"), F.lit(0).alias("_side"), c(value).alias("_v"))
-    w = Window.partitionBy(key).orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
-    ordered = a.unionByName(b).withColumn("_d", F.unix_date("_d"))
-    return ordered.withColumn("as_of_value", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_d", "_side", "_v")
+    """left beside the value of right's last row of its key strictly before its own date.
+
+    The running last value goes over the distinct (key, date) pairs of both sides, which days bound, not over rows; it is joined back by key and date, which Spark can split where a key is hot.
+    """
+    latest = right.groupBy(key, c(right_date).alias("_d")).agg(F.max(value).alias("_v"))
+    asked = left.select(key, c(left_date).alias("_d")).distinct().withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
+    days = asked.unionByName(latest).withColumn("_n", F.unix_date("_d"))
+    w = Window.partitionBy(key).orderBy("_n").rangeBetween(Window.unboundedPreceding, -1)
+    found = days.withColumn("as_of_value", F.last("_v", ignorenulls=True).over(w)).groupBy(key, "_d").agg(F.max("as_of_value").alias("as_of_value"))
+    return left.withColumn("_d", c(left_date)).join(found, [key, "_d"], "left").drop("_d")
 
 
 def nearest_round(lots: DataFrame, rounds: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import gross_yield_pct, rent_m2
 from ..functions.text import fold
 
 STATUSES = {"upcoming": ["upcoming"], "past": ["past", "adjudicated"], "all": ["upcoming", "past", "adjudicated", "unknown"]}
@@ -104,14 +105,15 @@ def client_filters(sales: DataFrame, max_price_m2: float, max_price: int, min_pr
     )
 
 
-def house_with_land() -> Column:
-    house = (F.col("property_type") == "house") | F.coalesce(fold(F.col("title")).rlike(r"\b(maison|villa|pavillon)\b"), F.lit(False))
-    land = (F.coalesce(F.col("land_surface_m2"), F.lit(0)) > 0) | F.coalesce(fold(F.col("title")).contains("jardin"), F.lit(False))
-    return F.coalesce(house, F.lit(False)) & land
+def house_with_land(at: str = "") -> Column:
+    """A house or building, by type or title, with a garden or land."""
+    kind = F.lower(F.concat_ws(" ", F.col(f"{at}property_type"), F.col(f"{at}title")))
+    return kind.rlike("house|maison|villa|immeuble|building") & (F.coalesce(F.col(f"{at}has_garden"), F.lit(False)) | (F.coalesce(F.col(f"{at}land_surface_m2"), F.lit(0)) > 0))
 
 
 def quality_issues(sales: DataFrame) -> DataFrame:
-    return sales.where(any_of([F.col(x).isNull() for x in ("starting_price_eur", "surface_m2", "tribunal_code", "latitude", "property_type")]))
+    """Sales with a quality flag, or without surface, rooms, bedrooms or place."""
+    return sales.where((F.coalesce(F.col("quality_flags"), F.lit("")) != "") | any_of([F.col(x).isNull() for x in ("surface_m2", "rooms_count", "bedrooms_count", "latitude", "longitude")]))
 
 
 def candidates(sales: DataFrame) -> DataFrame:
@@ -119,13 +121,52 @@ def candidates(sales: DataFrame) -> DataFrame:
     return sales.where((F.col("status") == "upcoming") & F.col("investment_score").isNotNull()).orderBy(F.desc_nulls_last("investment_score"), F.asc_nulls_last("sale_date"), "sale_id")
 
 
+#: The largest number of alerts that is broadcast; more go by department, those without one dealt by the type they ask for.
+SMALL_ALERTS = 50_000
+
+
+def alert_reason(a: str = "a.", s: str = "s.") -> Column:
+    """The first condition of an alert that a sale fails, in the order in which they are tried; null if it passes all. A condition that the alert does not state is passed."""
+    c = F.col
+    stated = lambda n: c(f"{a}{n}").isNotNull()
+    same = lambda x, y: F.coalesce(fold(F.trim(c(x))), F.lit("")) == fold(F.trim(c(y)))
+    under = lambda x, y: F.coalesce(x > c(y), F.lit(True))
+    m2 = F.when((c(f"{s}surface_m2") > 0) & (c(f"{s}starting_price_eur") > 0), c(f"{s}starting_price_eur") / c(f"{s}surface_m2"))
+    conditions = [
+        ("city", stated("city") & ~same(f"{s}city", f"{a}city")),
+        ("department", stated("department") & ~F.coalesce(c(f"{s}department") == c(f"{a}department"), F.lit(False))),
+        ("type", stated("property_type") & ~F.coalesce(fold(c(f"{s}property_type")).contains(fold(c(f"{a}property_type"))), F.lit(False))),
+        ("budget", stated("max_price") & under(c(f"{s}starting_price_eur"), f"{a}max_price")),
+        ("surface", stated("min_surface") & F.coalesce(c(f"{s}surface_m2") < c(f"{a}min_surface"), F.lit(True))),
+        ("occupancy", stated("occupancy_status") & ~same(f"{s}occupancy_status", f"{a}occupancy_status")),
+        ("score", stated("min_score") & F.coalesce(c(f"{s}investment_score") < c(f"{a}min_score"), F.lit(True))),
+        ("price_m2", stated("max_price_m2") & under(m2, f"{a}max_price_m2")),
+        ("yield", stated("min_yield") & F.coalesce(gross_yield_pct(c(f"{s}starting_price_eur"), c(f"{s}surface_m2"), rent_m2(c(f"{s}department"))) < c(f"{a}min_yield"), F.lit(True))),
+        ("dpe", (F.coalesce(c(f"{a}dpe_classes"), F.lit("")) != "") & ~F.coalesce(F.contains(c(f"{a}dpe_classes"), c(f"{s}dpe_class")), F.lit(False))),
+        ("house_with_land", F.coalesce(c(f"{a}house_with_land"), F.lit(False)) & ~house_with_land(s)),
+    ]
+    return F.coalesce(*(F.when(failed, name) for name, failed in conditions))
+
+
+#: What an alert may state: column and kind.
+ALERT = {"alert_id": "bigint", "city": "string", "department": "string", "property_type": "string", "max_price": "double", "min_surface": "double", "occupancy_status": "string", "min_score": "double", "max_price_m2": "double", "min_yield": "double", "dpe_classes": "string", "house_with_land": "boolean"}
+
+
 def alert_matches(alerts: DataFrame, sales: DataFrame) -> DataFrame:
-    """alerts: alert_id, department, max_price, property_type (null: any). Equi-join on department, so no nested loop; the reasons are the conditions that an alert states."""
+    """alert_id, sale_id of all that fit. alerts: the columns of ALERT (a null is a condition that is not stated; dpe_classes is a text of letters).
+
+    Alerts with a department meet sales by it. Those without one fit sales everywhere: they are broadcast if their number is small, else each is copied to every department that sales have (a bounded list) and meets them by that.
+    """
     a, s = alerts.alias("a"), sales.alias("s")
-    c = F.col
-    fits = (c("a.max_price").isNull() | (c("s.starting_price_eur") <= c("a.max_price"))) & (c("a.property_type").isNull() | (c("s.property_type") == c("a.property_type")))
-    reasons = F.array_compact(F.array(F.lit("department"), F.when(c("a.max_price").isNotNull(), "price"), F.when(c("a.property_type").isNotNull(), "type")))
-    return s.join(a, (c("s.department") == c("a.department")) & fits).select("alert_id", "sale_id", F.array_join(reasons, "+").alias("reasons"))
+    fits = alert_reason().isNull()
+    here = s.join(a.where("a.department IS NOT NULL"), F.col("s.department") == F.col("a.department")).where(fits)
+    wide = alerts.where("department IS NULL")
+    if wide.limit(SMALL_ALERTS + 1).count() <= SMALL_ALERTS:
+        there = s.join(F.broadcast(wide.alias("a")), F.lit(True)).where(fits)
+    else:
+        departments = F.broadcast(sales.select(F.col("department").alias("_d")).distinct())
+        there = s.join(wide.join(departments, F.lit(True)).alias("a"), F.col("s.department").eqNullSafe(F.col("a._d"))).where(fits)
+    return here.select("alert_id", "sale_id").unionByName(there.select("alert_id", "sale_id"))
 
 
 def first_failure(max_price: int, department: str, kind: str) -> Column:

@@ -13,6 +13,28 @@ from .registry import query
 c = F.col
 S = f"WITH {SALES_CTE} "
 FOLDED = "lower(strip_accents({}))"
+#: What counts as today in these tables.
+NOW = "1998-07-01"
+
+
+def half_up(e, digits=1):
+    """The SQL for rounding with halves up."""
+    return f"floor(({e}) * {10 ** digits}e0 + 5e-1) / {10 ** digits}e0"
+
+
+def quantile_sql(x, p):
+    return half_up(f"quantile_cont(CASE WHEN {x} > 0 THEN {x} END, {p})")
+
+
+def mean_sql(x):
+    return half_up(f"avg(CASE WHEN {x} > 0 THEN {x} END)")
+
+
+def items(spark, d):
+    return agg.market_items(sales(spark, d), NOW)
+
+
+ITEMS = S + f", items AS (SELECT *, {half_up('coalesce(CASE WHEN adjudication_price_eur > 0 THEN adjudication_price_eur END, CASE WHEN starting_price_eur > 0 THEN starting_price_eur END) / CASE WHEN surface_m2 > 0 THEN surface_m2 END')} AS price_m2, CASE WHEN sale_date > created_at THEN date_diff('day', CAST(created_at AS DATE), sale_date) END AS days_to_sale, coalesce(sale_date > DATE '{NOW}', FALSE) AS is_upcoming FROM sales) "
 
 
 @query("agg_source_coverage", S + "SELECT source_name, department, count(*) AS sales, count(*) FILTER (status = 'upcoming') AS upcoming, count(latitude) AS geocoded, count(*) FILTER (starting_price_eur IS NULL) AS without_price FROM sales GROUP BY ALL")
@@ -64,45 +86,50 @@ def gap_report(spark, d):
     return agg.gap_report(sales(spark, d), REQUIRED)
 
 
-SUMMARY = "count(*) AS n, count(*) FILTER (status = 'upcoming') AS upcoming, count(*) FILTER (status <> 'upcoming') AS past, " + ", ".join(f"round(quantile_cont(CASE WHEN starting_price_eur > 0 THEN starting_price_eur END, {p}), 2) AS {n}" for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))) + ", round(avg(CASE WHEN starting_price_eur > 0 THEN starting_price_eur END), 2) AS mean"
+SUMMARY = "count(*) AS n, count(*) FILTER (is_upcoming) AS upcoming, count(*) FILTER (NOT is_upcoming) AS past, " + ", ".join(f"{quantile_sql('starting_price_eur', p)} AS {n}" for p, n in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))) + f", {quantile_sql('price_m2', 0.5)} AS median_m2, {mean_sql('investment_score')} AS mean_score, {mean_sql('days_to_sale')} AS mean_delay"
 
 
-@query("agg_market_summary", S + f"SELECT {SUMMARY} FROM sales")
+@query("agg_market_summary", ITEMS + f"SELECT {SUMMARY} FROM items")
 def market_summary(spark, d):
-    return agg.market_summary(sales(spark, d), [])
+    return agg.market_summary(items(spark, d), [])
 
 
-@query("agg_portfolio", S + f"SELECT city, property_type, {SUMMARY} FROM sales GROUP BY city, property_type")
+@query("agg_portfolio", ITEMS + f"SELECT city, property_type, {SUMMARY} FROM items GROUP BY city, property_type")
 def portfolio(spark, d):
-    return agg.market_summary(sales(spark, d), ["city", "property_type"])
+    return agg.market_summary(items(spark, d), ["city", "property_type"])
+
+
+BUCKETS = list(zip(agg.PRICE_BOUNDS, agg.PRICE_BOUNDS[1:], strict=False))
 
 
-BOUNDS = [0, 50_000, 100_000, 150_000, 250_000, 10_000_000]
+def bucket_sql(i, lo, hi):
+    n = f"count(*) FILTER ({f'starting_price_eur >= {lo}' if lo else 'TRUE'} AND {f'starting_price_eur < {hi}' if hi else 'TRUE'})"
+    return f"SELECT CAST({i} AS BIGINT) AS bucket, CAST({lo or 'NULL'} AS BIGINT) AS low, CAST({hi or 'NULL'} AS BIGINT) AS high, {n} AS n, {half_up(n + ' * 100 / count(*)')} AS share_pct FROM sales WHERE starting_price_eur > 0"
 
 
-@query("agg_price_histogram", S + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS bucket, CAST({lo} AS BIGINT) AS low, CAST({hi or 'NULL'} AS BIGINT) AS high, count(*) FILTER (starting_price_eur >= {lo}{f' AND starting_price_eur < {hi}' if hi else ''}) AS n, round(count(*) FILTER (starting_price_eur >= {lo}{f' AND starting_price_eur < {hi}' if hi else ''}) * 100 / count(*), 1) AS share_pct FROM sales WHERE starting_price_eur IS NOT NULL" for i, (lo, hi) in enumerate(zip(BOUNDS, [*BOUNDS[1:], None], strict=True))))
+@query("agg_price_histogram", S + " UNION ALL ".join(bucket_sql(i, lo, hi) for i, (lo, hi) in enumerate(BUCKETS)))
 def price_histogram(spark, d):
-    return agg.histogram(sales(spark, d), BOUNDS)
+    return agg.histogram(sales(spark, d))
 
 
-@query("agg_monthly", S + "SELECT strftime(sale_date, '%Y-%m') AS month, count(*) AS n, round(median(starting_price_eur), 2) AS median_price, floor(median(starting_price_eur / surface_m2) * 100e0 + 5e-1) / 100e0 AS median_m2 FROM sales GROUP BY month")
+@query("agg_monthly", ITEMS + f"SELECT strftime(sale_date, '%Y-%m') AS month, count(*) AS n, {quantile_sql('starting_price_eur', 0.5)} AS median_price, {quantile_sql('price_m2', 0.5)} AS median_m2, {mean_sql('days_to_sale')} AS mean_delay FROM items GROUP BY month")
 def monthly(spark, d):
-    return agg.monthly(sales(spark, d))
+    return agg.monthly(items(spark, d))
 
 
-@query("agg_segments_topk", S + "SELECT city AS label, count(*) AS n, round(median(starting_price_eur), 2) AS median_price FROM sales GROUP BY city ORDER BY n DESC, label LIMIT 6")
+@query("agg_segments_topk", ITEMS + f"SELECT CASE WHEN (SELECT count(DISTINCT city) FROM sales) > 1 THEN coalesce(city, 'Ville non renseignée') ELSE coalesce(property_type, 'Type non renseigné') END AS label, count(*) AS n, {quantile_sql('starting_price_eur', 0.5)} AS median_price, {quantile_sql('price_m2', 0.5)} AS median_m2, {mean_sql('investment_score')} AS mean_score FROM items GROUP BY label ORDER BY n DESC, label LIMIT 6")
 def segments_topk(spark, d):
-    return agg.top_segments(sales(spark, d), "city", 6)
+    return agg.top_segments(items(spark, d), 6)
 
 
-@query("agg_rotation", S + "SELECT *, CASE WHEN per_month >= 10 THEN 'high' WHEN per_month >= 4 THEN 'medium' ELSE 'low' END AS liquidity FROM (SELECT city, count(*) AS n, count(DISTINCT strftime(sale_date, '%Y-%m')) AS months, round(count(*) / count(DISTINCT strftime(sale_date, '%Y-%m')), 2) AS per_month, round(count(*) FILTER (status = 'upcoming') / count(*), 4) AS pipeline_ratio FROM sales GROUP BY city)")
+@query("agg_rotation", ITEMS + f", g AS (SELECT city, count(*) AS n, count(DISTINCT strftime(sale_date, '%Y-%m')) AS months, count(*) FILTER (is_upcoming) AS upcoming, count(*) FILTER (NOT is_upcoming) AS past, {mean_sql('days_to_sale')} AS mean_delay FROM items GROUP BY city), r AS (SELECT *, {half_up('n / greatest(months, 1)')} AS per_month, CASE WHEN past > 0 THEN {half_up('upcoming / past * 100')} END AS pipeline_pct FROM g) SELECT *, CASE WHEN past = 0 THEN 'unknown' WHEN per_month >= 6 AND (mean_delay IS NULL OR mean_delay <= 45) THEN 'active' WHEN per_month >= 2 OR mean_delay <= 75 THEN 'moderate' ELSE 'low' END AS liquidity, CASE WHEN past = 0 AND upcoming > 0 THEN 'no history' WHEN pipeline_pct IS NULL THEN 'unknown' WHEN pipeline_pct >= 80 THEN 'full' WHEN pipeline_pct >= 35 THEN 'balanced' ELSE 'thin' END AS pipeline FROM r")
 def rotation(spark, d):
-    return agg.rotation(sales(spark, d), "city")
+    return agg.rotation(items(spark, d), "city")
 
 
-@query("agg_trend", S + ", y AS (SELECT city, year(sale_date) AS y, median(starting_price_eur) AS m FROM sales WHERE starting_price_eur IS NOT NULL GROUP BY ALL), e AS (SELECT city, min_by(m, y) AS a, max_by(m, y) AS b FROM y GROUP BY city), t AS (SELECT city, round(a, 2) AS \"first\", round(b, 2) AS \"last\", round((b - a) / a * 100, 2) AS change_pct FROM e) SELECT *, CASE WHEN change_pct > 5 THEN 'up' WHEN change_pct < -5 THEN 'down' ELSE 'stable' END AS direction FROM t")
+@query("agg_trend", ITEMS + f", p AS (SELECT city, strftime(sale_date, '%Y-%m') AS period, {quantile_sql('price_m2', 0.5)} AS v FROM items GROUP BY ALL HAVING v IS NOT NULL), e AS (SELECT city, count(*) AS k, min(period) AS period_from, max(period) AS period_to, arg_min(v, period) AS v0, arg_max(v, period) AS v1 FROM p GROUP BY city), c AS (SELECT city, period_from, period_to, CASE WHEN k >= 2 THEN {half_up('v0')} END AS start_value, CASE WHEN k >= 2 THEN {half_up('v1')} END AS end_value, CASE WHEN k >= 2 AND v0 > 0 THEN {half_up('(v1 - v0) / v0 * 100')} END AS change_pct FROM e) SELECT *, CASE WHEN change_pct IS NULL THEN 'missing' WHEN abs(change_pct) < 5 THEN 'stable' WHEN change_pct > 0 THEN 'up' ELSE 'down' END AS direction FROM c")
 def trend(spark, d):
-    return agg.trend(sales(spark, d), "city")
+    return agg.trend(items(spark, d), "city", agg.quantile(c("price_m2"), 0.5))
 
 
 @query("agg_sales_stats", S + "SELECT count(*) AS n, round(median(starting_price_eur), 2) AS median_price, round(avg(starting_price_eur), 2) AS mean_price, round(median(starting_price_eur / surface_m2), 2) AS median_m2, count(adjudication_price_eur) AS adjudicated, " + ", ".join(f"count(*) FILTER (dpe_class = '{k}') AS dpe_{k.lower()}" for k in "ABCDEFG") + " FROM sales")
@@ -123,10 +150,15 @@ def history_summary(spark, d):
     return agg.history_summary(sales(spark, d), "region")
 
 
-METRICS = {"price": "starting_price_eur IS NOT NULL", "surface": "surface_m2 IS NOT NULL", "tribunal": "tribunal_code IS NOT NULL", "rooms": "rooms_count IS NOT NULL", "score": "investment_score IS NOT NULL", "documents": "documents_count > 0"}
+LOCATED, PRICED, DATED, SOURCED = "(latitude IS NOT NULL AND longitude IS NOT NULL)", "starting_price_eur > 0", "sale_date IS NOT NULL", "(source_url IS NOT NULL OR source_name IS NOT NULL)"
+METRICS = {
+    "ai_description": ("trim(description) <> ''", 95, 99), "location": (LOCATED, 65, 85), "surface": ("surface_m2 > 0", 65, 85), "documents": ("documents_count > 0", 65, 85), "dpe": ("dpe_class IS NOT NULL", 65, 85), "source_traceability": (SOURCED, 65, 85),
+    "opportunity_report": (f"{PRICED} AND {DATED} AND surface_m2 > 0 AND {LOCATED} AND {SOURCED}", 75, 90), "market_estimate": (f"{LOCATED} AND surface_m2 > 0", 70, 88), "dvf_detailed_comparables": (f"{LOCATED} AND surface_m2 > 0 AND (department <> '' OR city <> '') AND property_type <> ''", 70, 88),
+    "bid_ceiling": (f"{PRICED} AND surface_m2 > 0", 80, 92), "smart_alerts": (f"{PRICED} AND {DATED} AND (department <> '' OR city <> '') AND property_type <> ''", 80, 94), "investor_api_feed": (f"{SOURCED} AND {PRICED} AND {DATED} AND tribunal_code IS NOT NULL", 80, 94),
+}
 
 
-@query("agg_quality_monitor", S + ", m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS metric, count(*) FILTER ({e}) AS covered, count(*) AS total FROM sales" for k, e in METRICS.items()) + "), p AS (SELECT *, round(covered * 100 / total, 1) AS pct FROM m) SELECT *, CASE WHEN pct >= 80 THEN 'healthy' WHEN pct >= 50 THEN 'watch' ELSE 'poor' END AS state FROM p")
+@query("agg_quality_monitor", S + ", m AS (" + " UNION ALL ".join(f"SELECT '{k}' AS metric, count(*) FILTER ({e}) AS covered, count(*) AS total, {w} AS w, {h} AS h FROM sales" for k, (e, w, h) in METRICS.items()) + f"), p AS (SELECT *, {half_up('covered / total * 100')} AS pct FROM m) SELECT metric, covered, total, pct, CASE WHEN pct >= h THEN 'healthy' WHEN pct >= w THEN 'watch' ELSE 'critical' END AS state FROM p")
 def quality_monitor(spark, d):
     return agg.metric_monitor(sales(spark, d))
 
@@ -160,11 +192,10 @@ def weighted_quantile(spark, d):
     return agg.weighted_quantile(priced(spark, d, "surface_m2").where("surface_m2 IS NOT NULL"), "city", "starting_price_eur", "surface_m2", 0.5)
 
 
-@query("agg_weighted_regression", S + ", v AS (SELECT city, datediff('day', DATE '1995-01-01', sale_date) / 365.25e0 AS x, ln(starting_price_eur) AS y, CAST(surface_m2 AS DOUBLE) AS w FROM sales WHERE starting_price_eur > 0 AND surface_m2 IS NOT NULL), g AS (SELECT city, count(*) AS n, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / nullif(sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x), 0) AS slope FROM v GROUP BY city) SELECT city, n, round(greatest(-0.12e0, least(0.12e0, slope * least(0.8e0, n / (n + 12)))), 6) AS trend FROM g")
+@query("agg_weighted_regression", S + f", v AS (SELECT city, date_diff('day', sale_date, DATE '2001-09-01') / 30.4375e0 AS m, ln(starting_price_eur) AS y0, exp(-(sale_id % 2000) / 1500e0) AS w FROM sales WHERE starting_price_eur > 0), q AS (SELECT city, count(*) AS n, max(m) AS span, quantile_cont(y0, 0.1) AS lo, quantile_cont(y0, 0.9) AS hi FROM v GROUP BY city), r AS (SELECT v.city, n, span, w, -m / 12 AS x, greatest(lo, least(hi, y0)) AS y FROM v JOIN q USING (city)), g AS (SELECT city, any_value(n) AS n, any_value(span) AS span, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) AS cov, (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w)) AS var FROM r GROUP BY city) SELECT city, n, round(CASE WHEN n < 6 OR span < 12 OR var <= 1e-9 THEN 0e0 ELSE greatest(-0.12e0, least(0.12e0, (exp(cov / var) - 1) * least(0.8e0, n / (n + 12)))) END, 6) AS trend FROM g")
 def weighted_regression(spark, d):
-    rows = priced(spark, d, "surface_m2", "sale_date").where("starting_price_eur > 0 AND surface_m2 IS NOT NULL")
-    x = F.datediff("sale_date", F.lit("1995-01-01").cast("date")) / F.lit(365.25)
-    return agg.weighted_trend(rows, "city", x, F.ln("starting_price_eur"), c("surface_m2").cast("double"))
+    rows = sales(spark, d).where("starting_price_eur > 0")
+    return agg.market_trend(rows, "city", c("starting_price_eur"), numbers.month_distance(F.lit("2001-09-01").cast("date"), c("sale_date")), c("sale_id") % 2000)
 
 
 @query("agg_iqr_outliers", S + ", f AS (SELECT city, count(*) AS n, quantile_cont(starting_price_eur, 0.25) AS q1, quantile_cont(starting_price_eur, 0.75) AS q3 FROM sales WHERE starting_price_eur IS NOT NULL GROUP BY city), m AS (SELECT sale_id, s.city, starting_price_eur, CASE WHEN n >= 7 AND q3 > q1 THEN starting_price_eur BETWEEN q1 - 1.5e0 * (q3 - q1) AND q3 + 1.5e0 * (q3 - q1) ELSE TRUE END AS inside FROM sales s JOIN f USING (city) WHERE starting_price_eur IS NOT NULL) SELECT sale_id, city, starting_price_eur FROM (SELECT *, count(*) FILTER (inside) OVER (PARTITION BY city) AS stay FROM m) WHERE inside OR stay < 4")
@@ -206,14 +237,17 @@ def viewport(spark, d):
     return sales(spark, d).where(search.in_bbox(44.5, 1.0, 46.0, 3.0)).select(*SHOWN)
 
 
-@query("flt_house_with_land", S + f"SELECT {COLUMNS} FROM sales WHERE (coalesce(property_type = 'house', FALSE) OR coalesce(regexp_matches({FOLDED.format('title')}, '\\b(maison|villa|pavillon)\\b'), FALSE)) AND (coalesce(land_surface_m2, 0) > 0 OR coalesce(contains({FOLDED.format('title')}, 'jardin'), FALSE))")
+HOUSE = "(regexp_matches(lower(concat_ws(' ', {0}property_type, {0}title)), 'house|maison|villa|immeuble|building') AND (coalesce({0}has_garden, FALSE) OR coalesce({0}land_surface_m2, 0) > 0))"
+
+
+@query("flt_house_with_land", S + f"SELECT {COLUMNS} FROM sales WHERE {HOUSE.format('')}")
 def house_with_land(spark, d):
     return sales(spark, d).where(search.house_with_land()).select(*SHOWN)
 
 
-@query("flt_quality_issues", S + f"SELECT {COLUMNS} FROM sales WHERE starting_price_eur IS NULL OR surface_m2 IS NULL OR tribunal_code IS NULL OR latitude IS NULL OR property_type IS NULL")
+@query("flt_quality_issues", S + f"SELECT {COLUMNS}, quality_flags FROM sales WHERE quality_flags <> '' OR surface_m2 IS NULL OR rooms_count IS NULL OR bedrooms_count IS NULL OR latitude IS NULL OR longitude IS NULL")
 def quality_issues(spark, d):
-    return search.quality_issues(sales(spark, d)).select(*SHOWN)
+    return search.quality_issues(sales(spark, d)).select(*SHOWN, "quality_flags")
 
 
 @query("flt_candidates", S + f"SELECT {COLUMNS}, investment_score FROM sales WHERE status = 'upcoming' AND investment_score IS NOT NULL")
@@ -221,17 +255,52 @@ def candidates(spark, d):
     return search.candidates(sales(spark, d)).select(*SHOWN, "investment_score")
 
 
-ALERTS = ["n_nationkey AS alert_id", "lpad(CAST(n_nationkey + 1 AS STRING), 2, '0') AS department", "CASE WHEN n_nationkey % 3 > 0 THEN 50000 + n_nationkey * 10000 END AS max_price", "CASE WHEN n_nationkey % 2 = 0 THEN 'house' END AS property_type"]
-
-
-@query("flt_alert_match", S + f", alerts AS (SELECT {', '.join(ALERTS).replace('STRING', 'VARCHAR')} FROM nation) SELECT alert_id, sale_id, concat_ws('+', 'department', CASE WHEN max_price IS NOT NULL THEN 'price' END, CASE WHEN a.property_type IS NOT NULL THEN 'type' END) AS reasons FROM alerts a JOIN sales s USING (department) WHERE (max_price IS NULL OR starting_price_eur <= max_price) AND (a.property_type IS NULL OR s.property_type = a.property_type)")
+ALERTS = {
+    "alert_id": "n_nationkey",
+    "city": "CASE WHEN n_nationkey % 11 = 3 THEN lower(n_name) END",
+    "department": "CASE WHEN n_nationkey % 4 > 0 THEN lpad(CAST(n_nationkey + 1 AS STRING), 2, '0') END",
+    "property_type": "CASE WHEN n_nationkey % 2 = 0 THEN 'house' END",
+    "max_price": "CASE WHEN n_nationkey % 3 > 0 THEN 50000 + n_nationkey * 10000 END",
+    "min_surface": "CASE WHEN n_nationkey % 5 = 1 THEN 40 END",
+    "occupancy_status": "CASE WHEN n_nationkey % 7 = 2 THEN 'Vacant' END",
+    "min_score": "CASE WHEN n_nationkey % 6 = 5 THEN 30 END",
+    "max_price_m2": "CASE WHEN n_nationkey % 8 = 4 THEN 4000 END",
+    "min_yield": "CASE WHEN n_nationkey % 9 = 1 THEN 5 END",
+    "dpe_classes": "CASE WHEN n_nationkey % 3 = 2 THEN 'ABCD' END",
+    "house_with_land": "n_nationkey % 10 = 6",
+}
+ALERTS_CTE = f"alerts AS (SELECT {', '.join(f'{e} AS {n}' for n, e in ALERTS.items())} FROM nation)".replace("STRING", "VARCHAR")
+RENT = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in numbers.RENTS.items()) + " ELSE 11e0 END"
+M2 = "CASE WHEN s.surface_m2 > 0 AND s.starting_price_eur > 0 THEN s.starting_price_eur / s.surface_m2 END"
+YIELD = f"CASE WHEN s.starting_price_eur > 0 AND s.surface_m2 > 0 THEN s.surface_m2 * {RENT.format('s.department')} * 12 / (s.starting_price_eur * 1.1e0) * 100 END"
+FAILS = {
+    "city": "a.city IS NOT NULL AND coalesce(lower(strip_accents(trim(s.city))), '') <> lower(strip_accents(trim(a.city)))",
+    "department": "a.department IS NOT NULL AND s.department IS DISTINCT FROM a.department",
+    "type": "a.property_type IS NOT NULL AND NOT coalesce(contains(s.property_type, a.property_type), FALSE)",
+    "budget": "a.max_price IS NOT NULL AND coalesce(s.starting_price_eur > a.max_price, TRUE)",
+    "surface": "a.min_surface IS NOT NULL AND coalesce(s.surface_m2 < a.min_surface, TRUE)",
+    "occupancy": "a.occupancy_status IS NOT NULL AND coalesce(s.occupancy_status, '') <> lower(a.occupancy_status)",
+    "score": "a.min_score IS NOT NULL AND coalesce(s.investment_score < a.min_score, TRUE)",
+    "price_m2": f"a.max_price_m2 IS NOT NULL AND coalesce({M2} > a.max_price_m2, TRUE)",
+    "yield": f"a.min_yield IS NOT NULL AND coalesce({YIELD} < a.min_yield, TRUE)",
+    "dpe": "a.dpe_classes IS NOT NULL AND NOT coalesce(contains(a.dpe_classes, s.dpe_class), FALSE)",
+    "house_with_land": f"a.house_with_land AND NOT {HOUSE.format('s.')}",
+}
+FAILURE = "CASE " + " ".join(f"WHEN {e} THEN '{n}'" for n, e in FAILS.items()) + " END"
+
+
+def alerts(spark, d):
+    return read(spark, d, "nation").selectExpr(*(f"{e} AS {n}" for n, e in ALERTS.items()))
+
+
+@query("flt_alert_match", S + f", {ALERTS_CTE} SELECT alert_id, sale_id FROM alerts a, sales s WHERE {FAILURE} IS NULL")
 def alert_match(spark, d):
-    return search.alert_matches(read(spark, d, "nation").selectExpr(*ALERTS), sales(spark, d))
+    return search.alert_matches(alerts(spark, d), sales(spark, d))
 
 
-@query("flt_alert_reason", S + "SELECT sale_id, CASE WHEN department <> '05' THEN 'department' WHEN property_type IS NULL OR property_type <> 'house' THEN 'type' WHEN starting_price_eur IS NULL OR starting_price_eur > 100000 THEN 'price' END AS reason FROM sales")
+@query("flt_alert_reason", S + f", {ALERTS_CTE} SELECT sale_id, {FAILURE} AS reason FROM sales s JOIN alerts a ON a.department = s.department")
 def alert_reason(spark, d):
-    return sales(spark, d).select("sale_id", search.first_failure(100_000, "05", "house").alias("reason"))
+    return sales(spark, d).alias("s").join(alerts(spark, d).alias("a"), "department").select("sale_id", search.alert_reason().alias("reason"))
 
 
 @query("flt_raw_validate", S + "SELECT sale_id, concat_ws(',', CASE WHEN sale_id % 9 = 0 THEN 'source_name' END, CASE WHEN sale_id % 5 = 0 THEN 'source_url' END, CASE WHEN trim(coalesce(title, '')) = '' AND sale_id % 2 = 1 THEN 'content' END) AS errors FROM sales")
@@ -290,10 +359,10 @@ def anti_latest(spark, d):
 
 # scalar functions
 
-STREET_SQL = f"trim(regexp_replace({FOLDED.format('address')}, '[^a-z0-9]+', ' ', 'g'))"
-for _word, _short in text.STREET_WORDS:
-    STREET_SQL = f"regexp_replace({STREET_SQL}, '\\b{_word}\\b', '{_short}', 'g')"
-STREET_SQL = f"trim(regexp_replace(regexp_replace({STREET_SQL}, '{text.PARTICLES}', ' ', 'g'), '\\s+', ' ', 'g'))"
+STREET_SQL = f"regexp_replace({FOLDED.format('address')}, '[^\\x00-\\x7f]', '', 'g')"
+for _pattern, _by in ((r"\bfrance\b", " "), (r"\bcedex\b\s*\d*", " "), (r"\b(?:n|no|numero)\s+(\d+)\b", r"\1"), ("[^a-z0-9]+", " "), *text.STREET_WORDS, (text.PARTICLES, " "), (r"\s+", " ")):
+    STREET_SQL = f"regexp_replace({STREET_SQL}, '{_pattern}', '{_by}', 'g')"
+STREET_SQL = f"trim({STREET_SQL})"
 
 
 @query("sc_street_key", S + f"SELECT sale_id, {STREET_SQL} AS street_key, trim(regexp_replace({FOLDED.format('title')}, '[^a-z0-9]+', ' ', 'g')) AS title_norm, nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), '') AS title_clean FROM sales")

@@ -33,6 +33,10 @@ SALES = {
     "occupancy_status": "CASE o_orderkey % 6 WHEN 0 THEN 'vacant' WHEN 1 THEN 'rented' WHEN 2 THEN 'occupied' WHEN 3 THEN 'owner_occupied' WHEN 4 THEN 'squatted' END",
     "dpe_class": "CASE WHEN o_custkey % 8 < 7 THEN substring('ABCDEFG', CAST(o_custkey % 8 AS INT) + 1, 1) END",
     "documents_count": "o_orderkey % 4",
+    "created_at": "CAST(o_orderdate AS DATE) - CAST(o_orderkey % 120 AS INT)",
+    "has_garden": "CASE o_orderkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END",
+    "quality_flags": "CASE o_orderkey % 9 WHEN 1 THEN 'ambiguous_surface' WHEN 2 THEN 'missing_gps,low_confidence_extraction' ELSE '' END",
+    "description": "CASE WHEN o_orderkey % 20 > 0 THEN 'Lot de vente a ' || n_name END",
 }
 SALES_FROM = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 
