@@ -7,6 +7,14 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import clean_text
+
+PI = math.pi
+#: Works a square metre by scenario.
+WORKS_M2 = {"refresh": 350, "renovation": 900, "full": 1850}
+#: South, north, west and east of departments that are checked.
+DEPARTMENT_BOXES = {"05": (44.1, 45.2, 5.4, 7.1), "16": (45.1, 46.2, -0.5, 1.0), "24": (44.5, 45.8, -0.1, 1.5)}
+
 #: Notary fees by bracket (upper bound, rate), taxes and costs.
 BRACKETS = [(6_500, 0.07), (17_000, 0.0385), (30_000, 0.0275), (None, 0.015)]
 VAT, DUTIES, FIXED_COSTS = 0.20, 0.058, 3_000
@@ -21,11 +29,10 @@ def decimal_fr(x: Column) -> Column:
 
 
 def parse_price(x: Column) -> Column:
-    """The first number, with French separators: 1.234,50 or 1 234 or 1234.5."""
-    token = F.regexp_extract(x, r"(\d[\d .  ]*(?:,\d{1,2})?)", 1)
-    packed = F.regexp_replace(token, r"[   ]", "")
-    plain = F.when(packed.contains(","), F.translate(F.replace(packed, F.lit("."), F.lit("")), ",", ".")).when(packed.rlike(r"^\d{1,3}(\.\d{3})+$"), F.replace(packed, F.lit("."), F.lit(""))).otherwise(F.regexp_replace(packed, r"\.$", ""))
-    return plain.try_cast("double")
+    """The first number, with French separators: 1.234,50 or 1 234 or 1234.5; null if what is found is none."""
+    packed = F.replace(F.regexp_extract(clean_text(x), r"([0-9][0-9\s.,]*)", 1), F.lit(" "), F.lit(""))
+    bare = F.replace(packed, F.lit("."), F.lit(""))
+    return F.when(packed.contains(","), F.replace(bare, F.lit(","), F.lit("."))).when(packed.rlike(r"^\d{1,3}(\.\d{3})+$"), bare).otherwise(packed).try_cast("double")
 
 
 def confidence(x: Column) -> Column:
@@ -80,8 +87,65 @@ def next_dispatch(ts: Column, weekly: bool) -> Column:
     return F.to_timestamp(day) + F.expr("INTERVAL 7 HOURS")
 
 
-def segment(property_type: Column) -> Column:
-    return F.when(property_type.isin("apartment", "house"), property_type).when(property_type == "building", "building").when(property_type == "land", "land").when(property_type == "commercial", "commercial").otherwise("other")
+def segment(kind: Column) -> Column:
+    """Market segment of a type in words; the first that matches."""
+    k = F.lower(F.coalesce(kind, F.lit("")))
+    rules = [("land", r"terrain|\bland\b|parcelle"), ("apartment", r"appartement|apartment|studio|\bapt\b|\bt[1-9]\b"), ("house", "maison|house|villa|pavillon"), ("building", "immeuble|building"), ("commercial", "commerce|commercial|local d'activit|local professionnel|bureau|retail"), ("building", r"\b(mixed|mixte)\b")]
+    return F.coalesce(*(F.when(k.rlike(pattern), name) for name, pattern in rules), F.lit("unsupported"))
+
+
+def type_code(code: Column, kind: Column, built: Column, land: Column) -> Column:
+    """Register code of a type; dwellings and premises need a built surface, bare land a land surface."""
+    k = F.lower(F.coalesce(kind, F.lit("")))
+    has = F.coalesce(code, F.lit(""))
+    needs_built = lambda out: F.when(built.isNotNull(), out)
+    return (
+        F.when(has.isin("111", "121", "112", "122", "123", "141", "142", "151", "152"), code)
+        .when((has == "1") | k.rlike("maison|villa|pavillon|house"), needs_built("111"))
+        .when((has == "2") | k.rlike("appartement|studio|apartment"), needs_built("121"))
+        .when((has == "4") | k.rlike("local industriel|local commercial|commerce|bureau"), needs_built("141"))
+        .when(code.isNull() & (k == "") & built.isNull() & (land > 0), "211")
+    )
+
+
+def urgency(days: Column) -> Column:
+    return F.when(days < 0, "past").when(days < 7, "week").when(days < 30, "month").when(days.isNotNull(), "later")
+
+
+def in_department(lat: Column, lng: Column, department: Column) -> Column:
+    """Whether a place lies in the box of its department; not, for departments without one; null without a place."""
+    out = F
+    for k, (south, north, west, east) in DEPARTMENT_BOXES.items():
+        out = out.when(department == k, lat.between(south, north) & lng.between(west, east))
+    return out.otherwise(F.lit(False))
+
+
+def model_weight(quality: Column, mape: Column) -> Column:
+    """Weight of a model beside comparables: less where these are good, and by its own mean error in per cent."""
+    base = F.when(quality >= 78, 0.35).when(quality >= 58, 0.45).otherwise(0.6)
+    cap = F.when(mape >= 35, 0.3).when(mape >= 25, 0.45).otherwise(0.7)
+    adjusted = base + F.greatest(F.lit(-0.12), F.least(F.lit(0.08), (16 - mape) / 100))
+    return F.when(mape.isNull(), base).otherwise(F.greatest(F.lit(0.2), F.least(cap, adjusted)))
+
+
+def geometric_blend(comparable: Column, model: Column, weight: Column) -> Column:
+    return F.exp(F.ln(comparable) * (1 - weight) + F.ln(model) * weight)
+
+
+def statistic_uncertainty(level: Column, kind: Column) -> Column:
+    scope = F.when(level == "commune", 0.24).when(level == "epci", 0.32).otherwise(0.4)
+    return F.least(F.lit(0.65), F.greatest(scope, F.when(kind == "building", 0.12).when(kind == "commercial", 0.08).otherwise(0.0) + scope))
+
+
+def statistic_quality(level: Column, n: Column, kind: Column) -> Column:
+    """12 to 54: by level, by number of sales, less for buildings."""
+    scope = F.when(level == "commune", 42).when(level == "epci", 32).otherwise(22)
+    score = scope + F.least(F.lit(12.0), round_half_up(F.log10(n + 1) * 6)) - F.when(kind == "building", 8).otherwise(0)
+    return F.greatest(F.lit(12.0), F.least(F.lit(54.0), score))
+
+
+def round_tens(x: Column) -> Column:
+    return F.greatest(F.lit(10.0), round_half_up(x / 10) * 10)
 
 
 def emoluments(price: Column) -> Column:

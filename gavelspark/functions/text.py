@@ -58,18 +58,46 @@ def postal_code(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, r"\b(\d{5})\b", 1), F.lit(""))
 
 
+def city_after_postal(x: Column) -> Column:
+    """What follows the postal code of an address, up to a comma or bracket, without the country."""
+    town = F.replace(F.regexp_extract(x, r"\b\d{5}\s+([^,\n()]+)", 1), F.lit("France"), F.lit(""))
+    return F.nullif(F.trim(town, F.lit(" ,")), F.lit(""))
+
+
 def department(postal: Column) -> Column:
-    """First two digits; three overseas."""
-    return F.when(postal.rlike("^9[78]"), F.substring(postal, 1, 3)).otherwise(F.substring(postal, 1, 2))
+    """First two digits; three overseas; null if there are fewer."""
+    return F.when(postal.rlike("^9[78]"), F.substring(postal, 1, 3)).when(F.char_length(postal) >= 2, F.substring(postal, 1, 2))
 
 
 def insee_code(dept: Column, commune: Column) -> Column:
-    return F.concat(F.lpad(F.upper(dept), 2, "0"), F.lpad(commune, 3, "0"))
+    return F.when((F.char_length(commune) >= 5) | dept.isNull(), commune).otherwise(F.concat(dept, F.lpad(commune, 3, "0")))
+
+
+def parcel_id(dept: Column, commune: Column, prefix: Column, section: Column, plan: Column) -> Column:
+    """14 characters: department and commune, prefix (000 if there is none), section, plan number; null without one of the others."""
+    return F.upper(F.concat(dept, F.lpad(commune, 3, "0"), F.lpad(F.coalesce(prefix, F.lit("000")), 3, "0"), F.lpad(section, 2, "0"), F.lpad(plan, 4, "0")))
+
+
+def sale_signature(sale_date: Column, price: Column) -> Column:
+    """Date and price in whole euros, by which a known listing counts as unchanged."""
+    return F.concat(F.coalesce(F.to_date(sale_date).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.rint(price).cast("bigint").cast("string"), F.lit("")))
+
+
+TYPE_LABELS = {"apartment": "Appartement", "house": "Maison", "building": "Immeuble", "land": "Terrain", "parking": "Parking", "commercial": "Local commercial"}
+
+
+def display_title(kind: Column, city: Column, surface: Column, title: Column) -> Column:
+    """The cleaned title; else one made of type, surface and city."""
+    label = F
+    for k, v in TYPE_LABELS.items():
+        label = label.when(kind == k, v)
+    made = F.concat_ws(" ", label.otherwise("Bien immobilier"), F.when(surface > 0, F.concat(surface.cast("string"), F.lit(" m²"))), F.concat(F.lit("- "), city))
+    return F.coalesce(clean_text(title), made)
 
 
-def parcel_id(insee: Column, prefix: Column, section: Column, plan: Column) -> Column:
-    """14 characters: commune, prefix, section, plan number."""
-    return F.concat(F.lpad(insee, 5, "0"), F.lpad(prefix, 3, "0"), F.lpad(F.upper(section), 2, "0"), F.lpad(plan, 4, "0"))
+def allowed_url(url: Column, hosts: list[str]) -> Column:
+    """https, and exactly one of the hosts."""
+    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("HOST")).isin(hosts), F.lit(False))
 
 
 def content_hash(*parts: Column) -> Column:

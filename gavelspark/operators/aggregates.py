@@ -280,3 +280,19 @@ def promotion_gate(metrics: DataFrame) -> DataFrame:
 def json_object(rows: DataFrame, by: str, key: str, value: str) -> DataFrame:
     """by, entries: key=value sorted by key."""
     return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda s: F.concat_ws("=", s[key], s[value].cast("string"))), ";").alias("entries"))
+
+
+def sum_of_max(rows: DataFrame, by: str, part: str, value: str) -> DataFrame:
+    """The sum over parts of the largest value of each; two levels, so parts are pre-aggregated."""
+    return rows.groupBy(by, part).agg(F.max(value).alias(value)).groupBy(by).agg(F.sum(value).alias(value))
+
+
+def distinct_centroid(rows: DataFrame, by: str) -> DataFrame:
+    """The mean of distinct places."""
+    return rows.select(by, "latitude", "longitude").distinct().groupBy(by).agg(F.round(F.avg("latitude"), 6).alias("latitude"), F.round(F.avg("longitude"), 6).alias("longitude"))
+
+
+def running_weight(rows: DataFrame, by: str, value: str, weight: str) -> DataFrame:
+    """For each distinct value of a group the weight of all up to it."""
+    steps = rows.groupBy(by, c(value).alias("v")).agg(F.sum(weight).alias("w"))
+    return steps.select(by, "v", F.sum("w").over(Window.partitionBy(by).orderBy("v")).alias("upto"))

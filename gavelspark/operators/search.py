@@ -190,3 +190,13 @@ def raw_validate(raw: DataFrame) -> DataFrame:
 def source_links(urls: Column) -> Column:
     """label=url of each link, in order, repeated ones once."""
     return F.transform(F.array_distinct(urls), lambda u: F.concat(F.regexp_extract(u, r"^https://([^./]+)", 1), F.lit("="), u))
+
+
+def valid_training_price(kind: Column, price_m2: Column, surface: Column) -> Column:
+    """Price a square metre within the limits of the type; dwellings of 9 square metres at least."""
+    return F.when(kind == "land", price_m2.between(1, 100_000)).otherwise(price_m2.between(300, 50_000) & (surface >= 9))
+
+
+def dpe_matches(dpe: Column, accepted: list[str]) -> Column:
+    """No accepted class accepts all."""
+    return F.coalesce(dpe.isin(accepted), F.lit(False)) if accepted else F.lit(True)
