@@ -144,3 +144,48 @@ def recent_success(jobs: DataFrame, sources: DataFrame, hours: int) -> DataFrame
     j = jobs.select(c("source").alias("js"), "finished_at")
     fresh = (c("js") == c("source")) & (c("finished_at") >= c("now") - F.expr(f"INTERVAL {hours} HOURS")) & (c("finished_at") <= c("now"))
     return sources.join(j, fresh, "left_semi")
+
+
+def matched_counts(rows: DataFrame, reference: DataFrame, key: str, ref_key: str) -> DataFrame:
+    """One row: rows, how many have a match, how many none, and how many keys of the reference are repeated (it should be none, as rows would be)."""
+    keys = reference.groupBy(c(ref_key).alias(key)).agg(F.count("*").alias("_n"))
+    repeated = keys.agg(F.coalesce(F.sum(c("_n") - 1), F.lit(0)).alias("repeated_keys"))
+    counts = rows.join(keys, key, "left").agg(F.count("*").alias("n"), F.count("_n").alias("matched"), F.count_if(c("_n").isNull()).alias("unmatched"))
+    return counts.join(F.broadcast(repeated), F.lit(True))
+
+
+def late_jobs(expected: DataFrame, runs: DataFrame, now: DataFrame) -> DataFrame:
+    """expected: event_type, max_minutes; late: whether its last run is longer ago than that, or there is none. now: one row."""
+    last = runs.groupBy("event_type").agg(F.max("ts").alias("last"))
+    seconds = F.unix_timestamp(c("now").cast("timestamp")) - F.unix_timestamp(c("last").cast("timestamp"))
+    return expected.join(last, "event_type", "left").join(F.broadcast(now), F.lit(True)).select("event_type", "max_minutes", F.coalesce(seconds > c("max_minutes") * 60, F.lit(True)).alias("late"))
+
+
+def earlier_rows(rows: DataFrame, key: str, row_id: str, date: str) -> DataFrame:
+    """For each row with earlier ones of its key: how many, and the date of the last. Counts a day, summed over days, stand in for pairs of rows, so a hot key makes no pairs."""
+    days = rows.groupBy(key, date).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
+    found = days.select(key, date, F.sum("_n").over(w).alias("earlier"), F.max(date).over(w).alias("last_sale")).where("earlier > 0")
+    return rows.join(found, [key, date]).select(row_id, key, "earlier", "last_sale")
+
+
+def watches(kinds: dict[str, DataFrame], sales: DataFrame) -> DataFrame:
+    """user_id, sale_id, kinds (joined by +) of all watches on sales that there are."""
+    out = None
+    for name, rows in kinds.items():
+        marked = rows.withColumn("kind", F.lit(name))
+        out = marked if out is None else out.unionByName(marked)
+    return out.distinct().join(sales, "sale_id").groupBy("user_id", "sale_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kinds"))
+
+
+def sync_actions(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """What makes stored rows those of a fresh import: insert, update, delete."""
+    s, f = stored.select(key, F.lit(True).alias("_s")), fresh.select(key, F.lit(True).alias("_f"))
+    action = F.when(c("_f").isNull(), "delete").when(c("_s").isNull(), "insert").otherwise("update")
+    return s.join(f, key, "full").select(key, action.alias("action"))
+
+
+def zones_of(zones: DataFrame, sales: DataFrame) -> DataFrame:
+    """Pairs of zones (zone_id, zone_city, lat, lng, km) and sales of their city within their radius."""
+    pairs = zones.join(sales, c("zone_city") == c("city"))
+    return pairs.where(haversine_m(c("lat"), c("lng"), c("latitude"), c("longitude")) <= c("km") * 1000)
