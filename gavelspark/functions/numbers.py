@@ -226,3 +226,38 @@ def cumulative_probability(x: Column, p10: Column, p50: Column, p90: Column) ->
     for (a, pa), (b, pb) in zip(knots, knots[1:], strict=False):
         out = out.when(price <= b, F.when(a == b, pb).otherwise(pa + (pb - pa) * (F.ln(price) - F.ln(a)) / (F.ln(b) - F.ln(a))))
     return out.otherwise(1.0)
+
+
+#: Fixed values of a let property: share of rent lost, of rent for charges, tax and insurance, own funds, yearly rate, years, insurance of the loan, and the yields aimed for.
+VACANCY, CHARGES, OWN, RATE, YEARS, LOAN_INSURANCE, GROSS_AIM, NET_AIM = 0.05, 0.165, 0.2, 0.042, 20, 0.0025, 6.5, 4.5
+
+
+def rentability(rows, price: Column, rent: Column):
+    """rows with gross_yield and net_yield (per cent), cashflow a month, break_even occupancy (per cent) and score (0 to 100) of letting at an estimated rent a month."""
+    total = acquisition_cost(price)
+    gross = rent * 12
+    net = gross * (1 - VACANCY - CHARGES)
+    loan = total * (1 - OWN)
+    debt = (annuity(loan, RATE, YEARS) + loan * LOAN_INSURANCE / 12) * 12
+    gy, ny, cash, even = gross / total * 100, net / total * 100, (net - debt) / 12, (gross * CHARGES + debt) / gross * 100
+    step = lambda x, aim: F.when(x - aim >= 2, 16).when(x - aim >= 0, 10).when(x - aim >= -1, 4).otherwise(-12)
+    score = 50 + step(gy, GROSS_AIM) + step(ny, NET_AIM) + F.when(cash >= 300, 14).when(cash >= 0, 8).when(cash >= -150, -6).otherwise(-14) + F.when(even <= 80, 8).when(even <= 92, 2).when(even <= 100, -4).otherwise(-12) - 4
+    return rows.withColumns({"gross_yield": round_half_up(gy, 1), "net_yield": round_half_up(ny, 1), "cashflow": round_half_up(cash), "break_even": round_half_up(even, 1), "score": F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("bigint")})
+
+
+#: Built surface by number of rooms, the surface a room more adds, and the one without a number.
+ROOM_SURFACES = {"apartment": ([20, 42, 62, 82, 105], 20, 50), "house": ([45, 60, 80, 100, 120], 22, 100)}
+STUDIO = 20
+
+
+def resolved_surface(kind: Column, surface: Column, rooms: Column, bedrooms: Column) -> tuple[Column, Column]:
+    """The surface to show (that of a studio for a flat of one room without one), and the built surface for valuation (estimated from rooms, or bedrooms and one, where it is unknown or below 9; none for land)."""
+    known = F.when(surface > 0, surface)
+    shown = F.coalesce(known, F.when((rooms <= 1) & (kind == "apartment"), STUDIO))
+    n = F.coalesce(F.when(rooms > 0, rooms), F.when(bedrooms > 0, bedrooms + 1))
+    n = F.when(n.isNotNull(), F.greatest(F.lit(1), n))
+    out = F.when(kind == "land", None).when(surface >= 9, surface)
+    for k, (table, more, none) in ROOM_SURFACES.items():
+        out = out.when(kind == k, F.when(n.isNull(), F.lit(none)).otherwise(F.get(F.lit(table), F.least(F.lit(5), n).cast("int") - 1) + F.greatest(F.lit(0), n - 5) * more))
+    out = out.when(kind == "building", F.coalesce(n * 28, F.lit(250))).when(kind == "commercial", F.coalesce(n * 28, F.lit(80)))
+    return shown, out

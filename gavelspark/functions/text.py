@@ -127,3 +127,8 @@ def excerpt(text: Column, needle: str, around: int = 30) -> Column:
 def document_type(label: Column) -> Column:
     t = fold(label)
     return F.when(t.rlike("cahier|conditions"), "sale_conditions").when(t.rlike("proces|descriptif|pv"), "description").when(t.rlike("diagnostic|dpe|amiante"), "diagnostic").when(t.rlike("affiche|annonce"), "notice").otherwise("other")
+
+
+def geojson_point(lng: Column, lat: Column, properties: Column) -> Column:
+    point = F.struct(F.lit("Point").alias("type"), F.array(lng, lat).alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), properties.alias("properties")))

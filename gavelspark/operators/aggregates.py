@@ -296,3 +296,34 @@ def running_weight(rows: DataFrame, by: str, value: str, weight: str) -> DataFra
     """For each distinct value of a group the weight of all up to it."""
     steps = rows.groupBy(by, c(value).alias("v")).agg(F.sum(weight).alias("w"))
     return steps.select(by, "v", F.sum("w").over(Window.partitionBy(by).orderBy("v")).alias("upto"))
+
+
+def mutation_kinds(lines: DataFrame) -> DataFrame:
+    """mutation_id, price_eur, built_m2, kind: home (one built unit, a dwelling), building (two dwellings or more and no shop), land (nothing built), other."""
+    built = F.coalesce(c("built_m2") > 0, F.lit(False))
+    g = lines.groupBy("mutation_id").agg(F.count_if(built).alias("units"), F.count_if(built & c("type_code").isin(1, 2)).alias("homes"), F.count_if(built & (c("type_code") == 4)).alias("shops"), F.max("price_eur").alias("price_eur"), F.sum("built_m2").alias("built_m2"))
+    kind = F.when((c("units") == 1) & (c("homes") == 1), "home").when((c("homes") >= 2) & (c("shops") == 0), "building").when(c("units") == 0, "land").otherwise("other")
+    return g.select("mutation_id", "price_eur", "built_m2", kind.alias("kind"))
+
+
+def parking_estimates(rows: DataFrame, by: str, price: Column, least: int = 8) -> DataFrame:
+    """low, mid, high (to 500) and quality of parking places by group: prices outside 1.5 spreads of the logarithm's quartiles go where there are `least`; groups of fewer have no estimate."""
+    p = rows.where(price > 0).select(by, F.ln(price).alias("l"))
+    q = p.groupBy(by).agg(F.count("*").alias("n"), F.percentile("l", 0.25).alias("a"), F.percentile("l", 0.75).alias("b"))
+    spread = c("b") - c("a")
+    kept = p.join(q, by).where((c("n") < least) | (spread <= 0) | c("l").between(c("a") - 1.5 * spread, c("b") + 1.5 * spread)).select(by, F.exp("l").alias("v"))
+    g = kept.groupBy(by).agg(F.count("*").alias("n"), *(F.percentile("v", x).alias(k) for x, k in ((0.1, "p10"), (0.5, "m"), (0.9, "p90")))).where(c("n") >= least)
+    to500 = lambda e: round_half_up(e / 500) * 500
+    return g.select(by, "n", to500(F.greatest(F.lit(1000.0), F.least("p10", 0.5 * c("m")))).alias("low"), to500(c("m")).alias("mid"), to500(F.greatest(c("p90"), 1.8 * c("m"))).alias("high"), F.greatest(F.lit(28.0), F.least(F.lit(64.0), round_half_up(32 + 18 * F.log10(c("n") + 1)))).alias("quality"))
+
+
+def first_scope(rows: DataFrame, row_id: str, scopes: list[tuple[str, list[str], int]]) -> DataFrame:
+    """Each row's first scope, narrow to wide, that has the least number of rows, and how many it has; all rows if none has."""
+    out = rows
+    for i, (_, keys, _) in enumerate(scopes):
+        counts = rows.groupBy(*keys).agg(F.count("*").alias(f"_n{i}"))
+        out = out.join(counts, keys, "left")
+    whole = rows.agg(F.count("*").alias("_all"))
+    out = out.join(F.broadcast(whole), F.lit(True))
+    pick = lambda e: F.coalesce(*(F.when(c(f"_n{i}") >= least, e(i, name)) for i, (name, _, least) in enumerate(scopes)))
+    return out.select(row_id, F.coalesce(pick(lambda i, name: F.lit(name)), F.lit("all")).alias("scope"), F.coalesce(pick(lambda i, name: c(f"_n{i}")), c("_all")).alias("n"))
