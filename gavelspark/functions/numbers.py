@@ -261,3 +261,8 @@ def resolved_surface(kind: Column, surface: Column, rooms: Column, bedrooms: Col
         out = out.when(kind == k, F.when(n.isNull(), F.lit(none)).otherwise(F.get(F.lit(table), F.least(F.lit(5), n).cast("int") - 1) + F.greatest(F.lit(0), n - 5) * more))
     out = out.when(kind == "building", F.coalesce(n * 28, F.lit(250))).when(kind == "commercial", F.coalesce(n * 28, F.lit(80)))
     return shown, out
+
+
+def progress_pct(done: Column, total: Column) -> Column:
+    """Whole per cent; nothing to do is done."""
+    return F.when(total == 0, 100.0).otherwise(round_half_up(done / total * 100))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import gross_yield_pct, rent_m2
-from ..functions.text import fold
+from ..functions.numbers import gross_yield_pct, haversine_m, rent_m2
+from ..functions.text import fold, search_norm
 
 STATUSES = {"upcoming": ["upcoming"], "past": ["past", "adjudicated"], "all": ["upcoming", "past", "adjudicated", "unknown"]}
 
@@ -200,3 +200,35 @@ def valid_training_price(kind: Column, price_m2: Column, surface: Column) -> Col
 def dpe_matches(dpe: Column, accepted: list[str]) -> Column:
     """No accepted class accepts all."""
     return F.coalesce(dpe.isin(accepted), F.lit(False)) if accepted else F.lit(True)
+
+
+def accent_tolerant(x: Column, pattern: str) -> Column:
+    """Contains the pattern, whatever the accents and case of either side."""
+    return F.coalesce(fold(x).contains(fold(F.lit(pattern))), F.lit(False))
+
+
+def intersect_scopes(a: list[str], b: list[str]) -> list[str]:
+    """Departments of both lists, in order; one that no sale has if there is none, so that nothing is found rather than all."""
+    return [x for x in a if x in b] or ["none"]
+
+
+def all_terms(hay: Column, asked: str) -> Column:
+    """Every word that is asked for is in the text, whatever accents and case."""
+    return all_of([accent_tolerant(hay, w) for w in asked.split()])
+
+
+def in_zone(department: str | None = None, city: str | None = None, postal_prefix: str | None = None, centre: tuple[float, float] | None = None, radius_km: float | None = None) -> Column:
+    """What a watched zone states of department, city, postal code and distance holds; a radius without a centre holds for nothing."""
+    c = F.col
+    same = lambda x, v: F.coalesce(fold(F.trim(c(x))) == v.strip().lower(), F.lit(False))
+    near = F.lit(False) if centre is None else F.coalesce(haversine_m(F.lit(centre[0]), F.lit(centre[1]), c("latitude"), c("longitude")) <= (radius_km or 0) * 1000, F.lit(False))
+    return all_of([*([same("department", department)] if department else []), *([same("city", city)] if city else []), *([F.coalesce(c("postal_code").startswith(postal_prefix), F.lit(False))] if postal_prefix else []), *([near] if radius_km is not None else [])])
+
+
+def resolve_places(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked (id, q) with kind: postal for five digits, else the level of the known place (name, level; the first by level) that q names, with or without a leading "ville de", else text."""
+    c = F.col
+    name = F.regexp_replace(search_norm(c("q")), r"^(ville|region|departement) (de|du|des|d) ", "")
+    places = known.groupBy("name").agg(F.min("level").alias("level"))
+    found = asked.withColumn("name", name).join(places, "name", "left")
+    return found.withColumn("kind", F.when(c("q").rlike(r"^\d{5}$"), "postal").otherwise(F.coalesce("level", F.lit("text"))))
