@@ -107,14 +107,14 @@ def parking_estimate(spark, d):
 
 # scores
 
-PRIME, SECOND = ["FRANCE", "GERMANY", "JAPAN"], ["CANADA", "BRAZIL", "CHINA"]
+PRIME, SECOND = ["NATION_1", "NATION_6", "NATION_7"], ["NATION_2", "NATION_3", "NATION_8"]
 BAND = lambda i: "CASE department WHEN '33' THEN {} WHEN '64' THEN {} ELSE {} END".format(scoring.BANDS["33"][i], scoring.BANDS["64"][i], scoring.OTHER_BAND[i])
 M2 = "starting_price_eur / surface_m2"
 POINTS = {
     "occupation": "CASE occupancy_status WHEN 'vacant' THEN 12 WHEN 'rented' THEN 3 WHEN 'occupied' THEN -10 WHEN 'owner_occupied' THEN -8 WHEN 'squatted' THEN -18 ELSE -3 END",
     "condition": "CASE WHEN sale_id % 8 >= 5 THEN -14 WHEN sale_id % 8 > 0 THEN -6 ELSE 0 END",
     "type": "CASE property_type WHEN 'apartment' THEN 5 WHEN 'house' THEN 4 WHEN 'building' THEN 6 WHEN 'commercial' THEN -2 WHEN 'land' THEN -3 WHEN 'parking' THEN 1 ELSE -2 END",
-    "location": "CASE WHEN city IN ('FRANCE', 'GERMANY', 'JAPAN') THEN 8 WHEN city IN ('CANADA', 'BRAZIL', 'CHINA') THEN 4 WHEN tribunal_code IS NOT NULL THEN 3 ELSE -2 END",
+    "location": "CASE WHEN city IN ('NATION_1', 'NATION_6', 'NATION_7') THEN 8 WHEN city IN ('NATION_2', 'NATION_3', 'NATION_8') THEN 4 WHEN tribunal_code IS NOT NULL THEN 3 ELSE -2 END",
     "surface": "CASE WHEN surface_m2 IS NULL THEN CASE WHEN contains(quality_flags, 'ambiguous_surface') THEN -8 ELSE -6 END WHEN surface_m2 BETWEEN 25 AND 160 THEN 6 WHEN surface_m2 < 15 THEN -5 ELSE 1 END",
     "price_m2": f"CASE WHEN coalesce(surface_m2, 0) = 0 THEN -4 WHEN coalesce(starting_price_eur, 0) = 0 THEN -2 WHEN {M2} < {BAND(0)} THEN 12 WHEN {M2} < {BAND(1)} THEN 6 WHEN {M2} > {BAND(2)} THEN -8 ELSE 0 END",
     "amenities": "CASE WHEN has_garden THEN 3 ELSE 0 END",
