@@ -714,3 +714,49 @@ def test_em_against_single_document_em():
             w = share[:, None] * p[:, g]
             share = (w / w.sum(0)).sum(1) / len(g)
         assert np.abs(share - got).max() < 0.03
+
+
+# pipeline
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage against a brute-force version on its own input, then run() against the stages."""
+    r = np.random.default_rng(9)
+    words = {"aa": "the cat sat on mat and then it ran away from home to find some food near old river bank".split(), "bb": "der hund lief schnell durch den wald und kam nach hause zu seinem alten freund am fluss".split()}
+    say = lambda lang, n: " ".join(r.choice(words[lang], n))
+    key = "9fK2xLq8ZtN0vK7mRw4HbJ3sQd6GyT1cWpXe5UaM"
+    texts = [say("aa" if i % 3 else "bb", 60) for i in range(60)]
+    rows = [(i, t, "aa" if i % 3 else "bb", f"s{i % 10 // 8}", len(t)) for i, t in enumerate(texts)]
+    rows += [(100, texts[1], "aa", "s0", 1), (101, texts[1], "aa", "s1", 1), (102, texts[2].upper(), "aa", "s0", 1), (103, "12 34 !", "aa", "s0", 7), (104, None, None, None, None), (105, "", "bb", "s0", 0), (106, f"{say('aa', 50)} password=hunter2hunter2 {say('aa', 5)} {key} end", "aa", "s0", 1)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        before = rows_of(docs)
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        after = rows_of(docs)
+        kept.append(after)
+        if name != "byte-bpe":
+            assert docs.columns == list(corpus_pipeline.DOCUMENT_COLUMNS)
+        if name == "language":
+            assert {x["doc_id"] for x in after} == {x["doc_id"] for x in before if any(ch.isalpha() for ch in x["text"] or "")}
+            assert all(x["lang"] == ("aa" if x["doc_id"] % 3 else "bb") for x in after if x["doc_id"] < 60)
+        elif name == "near-duplicates":
+            ids = [x["doc_id"] for x in before]
+            assert Counter(x["doc_id"] for x in after) == Counter(set(brute_components(ids, [brute_fingerprint(x["text"]) for x in before])))
+            assert {1, 2} <= {x["doc_id"] for x in after} and not {100, 101, 102} & {x["doc_id"] for x in after}
+        elif name == "secrets":
+            was = {x["doc_id"]: x["text"] for x in before}
+            assert {x["doc_id"]: x["text"] for x in after} == {i: t if i != 106 else t.replace("password=hunter2hunter2", "[SECRET]").replace(key, "[SECRET]") for i, t in was.items()}
+        elif name == "mixing":
+            n = Counter(x["doc_id"] for x in after)
+            assert set(n) == {x["doc_id"] for x in before} and max(n.values()) <= mixing.REPEATS
+            planned = Counter({x["doc_id"]: x["n_copies"] for x in rows_of(mixing.schedule(spark.createDataFrame([tuple(x.values()) for x in before], DOCS), cover=True, hold_repeats=True))})
+            assert n == planned
+        else:
+            c = byte_bpe.codec()
+            said = Counter(x["text"] for x in before)
+            assert all(x["whole"] and x["n_tokens"] == len(x["ids"]) for x in after) and Counter("".join(c.pieces(x["ids"])) for x in after) == said
+    plain = lambda xs: Counter((x["doc_id"], x["n_tokens"], tuple(x["ids"])) for x in xs)
+    assert plain(rows_of(corpus_pipeline.run(spark, str(tmp_path)))) == plain(kept[-1])
