@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gavelspark import storage
 from gavelspark.functions import numbers, text
-from gavelspark.operators import aggregates, entities, joins, search, states
+from gavelspark.operators import aggregates, entities, joins, search, states, training
 from gavelspark.sources import files
 from gavelspark.streaming import feeds
 
@@ -171,3 +171,34 @@ def test_entry_needs_no_session():
     root = os.path.dirname(entry.__file__)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 0)"], cwd=root, capture_output=True, text=True, timeout=120)
     assert said.stdout.strip() == "True", said.stderr[-500:]
+
+
+def test_trees_against_recursion(spark):
+    rng = random.Random(5)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return {"leaf_value": rng.uniform(-0.2, 0.2)}
+        return {"split_feature": rng.randrange(3), "threshold": rng.randrange(10), "decision_type": rng.choice(["<=", "<"]), "default_left": rng.random() < 0.5, "left_child": grow(depth - 1), "right_child": grow(depth - 1)}
+
+    def reach(node, row):
+        if "leaf_value" in node:
+            return node["leaf_value"]
+        v = row[node["split_feature"]]
+        if v is None or not math.isfinite(v):
+            left = node["default_left"]
+        else:
+            left = v < node["threshold"] if node["decision_type"] == "<" else v <= node["threshold"]
+        return reach(node["left_child" if left else "right_child"], row)
+
+    trees = {k: [{"leaf_value": base}] + [grow(5) for _ in range(20)] for k, base in (("p10", 7.0), ("p50", 7.5), ("p90", 8.0))}
+    artifact = {"feature_names": ["a", "b", "x"], "lower": 0.1, "upper": 0.2, "models": {k: {"trees": t} for k, t in trees.items()}}
+    values = [None, float("nan"), float("inf"), *map(float, range(10))]
+    rows = [(i, rng.choice(values), rng.choice(values), rng.choice(values)) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, x double")
+    got = {r.i: r.q for r in df.select("i", training.tree_quantiles(artifact, {n: c(n) for n in "abx"}).alias("q")).collect()}
+    for i, *row in rows:
+        p10, p50, p90 = (math.exp(sum(reach(t, row) for t in trees[k]) + fix) for k, fix in (("p10", -0.1), ("p50", 0), ("p90", 0.2)))
+        assert tuple(got[i]) == tuple(math.floor(v + 0.5) for v in (min(p10, p50), p50, max(p90, p50)))
+    empty = {**artifact, "models": {**artifact["models"], "p50": {"trees": []}}}
+    assert df.where("i = 0").select(training.tree_quantiles(empty, {}).alias("q")).first().q.p50 is None
