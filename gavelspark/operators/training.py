@@ -32,7 +32,8 @@ def transaction_segment(code: Column, kind: Column) -> Column:
 def prepare(rows: DataFrame) -> DataFrame:
     """Register rows as text in, rows fit for training out: numbers and date read (null where they are none), segment, surface_m2, target_price_per_m2. Rows without date, segment, surface or a price within the segment's limits go."""
     rows = rows.withColumns({n: F.col(n).cast("string").try_cast("double") for n in NUMBERS} | {"sale_date": F.col("sale_date").cast("string").try_cast("date")})
-    rows = rows.withColumn("segment", transaction_segment(c("type_code"), c("property_type")))
+    # exploded, so that conditions on the segment are not pushed below it, each with the rules written out: that code would be too long to compile
+    rows = rows.withColumn("segment", F.explode(F.array(transaction_segment(c("type_code"), c("property_type")))))
     rows = rows.withColumn("surface_m2", F.when(c("segment") == "land", c("land_surface_m2")).otherwise(c("built_surface_m2")))
     rows = rows.withColumn("target_price_per_m2", F.when(c("surface_m2") > 0, c("total_price_eur") / c("surface_m2")))
     return rows.where("sale_date IS NOT NULL AND segment IS NOT NULL AND surface_m2 > 0 AND target_price_per_m2 > 0").where(valid_training_price(c("segment"), c("target_price_per_m2"), c("surface_m2")))

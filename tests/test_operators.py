@@ -202,3 +202,54 @@ def test_trees_against_recursion(spark):
         assert tuple(got[i]) == tuple(math.floor(v + 0.5) for v in (min(p10, p50), p50, max(p90, p50)))
     empty = {**artifact, "models": {**artifact["models"], "p50": {"trees": []}}}
     assert df.where("i = 0").select(training.tree_quantiles(empty, {}).alias("q")).first().q.p50 is None
+
+
+def test_official_files(spark, tmp_path):
+    headers = ["CODE", "Nom. tribunal", "Note"]
+    path = tmp_path / "courts.csv"
+    path.write_text('﻿Note;CODE;Nom. tribunal\n"a;""b""";33063;Bordeaux\n;;\nx;3306;Agen\ny;64445\n;2A004;\n;01001;Bourg\n')
+    required = {"CODE": r"^(\d{5}|2[AB]\d{3})$", "Nom. tribunal": "."}
+    good, bad = files.read_official(spark, str(path), headers, ";", required)
+    assert sorted(tuple(r) for r in good.select("CODE", "`Nom. tribunal`", "Note").collect()) == [("01001", "Bourg", None), ("33063", "Bordeaux", 'a;"b"')]
+    assert Counter(r.reason for r in bad.collect()) == {"CODE": 1, "malformed": 1, "Nom. tribunal": 1}
+    (tmp_path / "page.csv").write_text("<html>\n")
+    with pytest.raises(ValueError, match="header"):
+        files.read_official(spark, str(tmp_path / "page.csv"), headers, ";", required)
+
+
+def test_lawyers_file(spark, tmp_path):
+    headers = ["NomBarreau", "avNom", "ville"]
+    path = tmp_path / "lawyers.csv"
+    path.write_text('Export;;\n﻿NomBarreau;avNom;ville\nParis;Dupont;"Paris\n8e"\nLyon;Élan;Lyon\nPARIS;dupont;Paris\n;;\n')
+    got = files.read_lawyers(spark, str(path), headers, ["NomBarreau", "avNom"])
+    assert sorted((r.NomBarreau, r.avNom, r.ville) for r in got.collect()) == [("Lyon", "Élan", "Lyon"), ("PARIS", "dupont", "Paris")]
+    with pytest.raises(ValueError, match="sound"):
+        files.read_lawyers(spark, str(path), headers, ["NomBarreau", "avNom"], most=1)
+    with pytest.raises(ValueError, match="header"):
+        files.read_lawyers(spark, str(path), ["NomBarreau", "prenom", "ville"], ["NomBarreau"])
+
+
+def test_commune_files(spark, tmp_path):
+    for commune, year in (("33063", 2023), ("33063", 2024), ("64445", 2024), ("75056", 2024)):
+        folder = tmp_path / f"commune={commune}" / f"year={year}"
+        folder.mkdir(parents=True)
+        (folder / "rows.csv").write_text(f"id,date,price,surface\nm{commune}{year},{year}-01-02,100000,50\n")
+    rows, known = files.read_communes(spark, str(tmp_path), ["33063", "64445", "01001"], [2023, 2024])
+    assert sorted(r.mutation_id for r in rows.collect()) == ["m330632023", "m330632024", "m644452024"]
+    assert sorted(tuple(r) for r in known.collect()) == [("01001", False, [2023, 2024]), ("33063", True, []), ("64445", False, [2023])]
+
+
+def test_exports_and_reading_them(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "b", c\nd', None), (2, None, 1.5)], "sale_id long, title string, price double")
+    files.write_json_csv(rows, str(tmp_path / "out"))
+    back = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(str(tmp_path / "out" / "csv"))
+    assert sorted((r.sale_id, r.title, r.price) for r in back.collect()) == [("1", 'a "b", c\nd', None), ("2", None, "1.5")]
+    assert sorted(tuple(r) for r in spark.read.schema(rows.schema).json(str(tmp_path / "out" / "json")).collect()) == sorted(tuple(r) for r in rows.collect())
+    listed = tmp_path / "list.json"
+    listed.write_text('[{"sale_id": 1, "title": "x", "more": 1}, {"sale_id": 2}]')
+    assert sorted((r.sale_id, r.title) for r in files.read_json_list(spark, str(listed), "sale_id long, title string", ["sale_id"]).collect()) == [(1, "x"), (2, None)]
+    with pytest.raises(ValueError, match="lack"):
+        files.read_json_list(spark, str(listed), "sale_id long, title string", ["title"])
+    listed.write_text("[{")
+    with pytest.raises(ValueError, match="not a JSON"):
+        files.read_json_list(spark, str(listed), "sale_id long, title string", ["sale_id"])
