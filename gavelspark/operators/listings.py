@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.numbers import haversine_m
+from ..functions.parsing import PLANNING, planning_excerpt, planning_text
 from ..functions.text import fold
 
 c = F.col
@@ -155,3 +156,24 @@ def energy_matches(sales: DataFrame, diagnostics: DataFrame) -> DataFrame:
     sure = F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.35), score)), 2)
     best = full.select("sale_id", F.struct((-sure).alias("less"), "diagnostic_id").alias("one")).groupBy("sale_id").agg(F.min("one").alias("one"))
     return best.select("sale_id", "one.diagnostic_id", (-c("one.less")).alias("confidence"))
+
+
+def planning_signals(texts: DataFrame) -> DataFrame:
+    """sale_id, ordinal, source_kind, text in; a row for each kind of planning signal in each text out: kind, priority, documented (from a file), confidence, excerpt, signal_key. Of equal excerpts of a kind of a sale the first stays."""
+    t = planning_text(c("text"))
+    documented = c("source_kind").isin("pdf", "document")
+    sure = lambda x: F.when(documented, F.greatest(F.lit(x), F.lit(0.72))).otherwise(F.lit(x))
+    kinds = [F.when(t.rlike("|".join(patterns)), F.struct(F.lit(k).alias("kind"), F.lit(priority).alias("priority"), sure(confidence).alias("confidence"))) for k, (priority, confidence, patterns) in PLANNING.items()]
+    found = texts.select("sale_id", "ordinal", "source_kind", documented.alias("documented"), planning_excerpt(c("text")).alias("excerpt"), F.inline(F.array_compact(F.array(*kinds))))
+    same = F.left(planning_text(c("excerpt")), F.lit(220))
+    first = found.withColumn("_same", same).groupBy("sale_id", "kind", "_same").agg(F.min_by(F.struct("ordinal", "priority", "documented", "confidence", "excerpt", "source_kind"), "ordinal").alias("r"))
+    key = F.left(F.sha1(F.concat_ws("|", c("sale_id").cast("string"), "kind", "r.source_kind", "r.excerpt")), F.lit(20))
+    return first.select("sale_id", "kind", "r.ordinal", "r.priority", "r.documented", "r.confidence", "r.excerpt", F.concat_ws("_", "kind", key).alias("signal_key"))
+
+
+def top_signals(signals: DataFrame, by_kind: int = 8, by_sale: int = 80) -> DataFrame:
+    """place (from 1) of the signals that a sale shows: the first `by_kind` of each kind, by priority, files before listings, confidence and key; `by_sale` at most. Ranks are limited before the shuffle."""
+    kept = signals.withColumn("_k", F.row_number().over(Window.partitionBy("sale_id", "kind").orderBy("ordinal"))).where(c("_k") <= by_kind).drop("_k")
+    rank = F.when(c("priority") == "high", 0).when(c("priority") == "medium", 1).when(c("priority") == "low", 2).otherwise(3)
+    order = Window.partitionBy("sale_id").orderBy(rank, ~c("documented"), -c("confidence"), "signal_key")
+    return kept.withColumn("place", F.row_number().over(order)).where(c("place") <= by_sale)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gavelspark import storage
-from gavelspark.functions import numbers, text
+from gavelspark.functions import numbers, parsing, text
 from gavelspark.operators import aggregates, entities, joins, search, states, training
 from gavelspark.sources import files
 from gavelspark.streaming import feeds
@@ -253,3 +253,24 @@ def test_exports_and_reading_them(spark, tmp_path):
     listed.write_text("[{")
     with pytest.raises(ValueError, match="not a JSON"):
         files.read_json_list(spark, str(listed), "sale_id long, title string", ["sale_id"])
+
+
+@pytest.mark.parametrize(
+    "written,moment",
+    [("2024-03-05T14:30:15+02:00", "2024-03-05 12:30:15"), ("le 2024-03-05 14:30", "2024-03-05 14:30:00"), ("Jeudi 1er août 2024 à 9 heures", "2024-08-01 09:00:00"), ("14h30, le 5 décembre 2024", "2024-12-05 14:30:00"), ("31/12/2024", "2024-12-31 00:00:00"), ("31 février 2024", None), ("", None), (None, None)],
+)
+def test_moments(spark, written, moment):
+    got = spark.createDataFrame([(written,)], "t string").select(parsing.french_datetime(c("t")).cast("string").alias("x")).first().x
+    assert got == moment
+
+
+@pytest.mark.parametrize("field,written,price", [(None, "Mise à prix : 50 000 €", 50000.0), (500000.0, "mise a prix 50000", 50000.0), (2e6, "Prix plancher : 80 000", 80000.0), (70000.0, "mise à prix : 50000", 70000.0), (None, "Données des valeurs foncières. Prix de vente : 90 000", None), (None, None, None)])
+def test_starting_prices(spark, field, written, price):
+    df = spark.createDataFrame([(field, written)], "p double, t string")
+    assert df.select(parsing.starting_price(c("p"), c("t")).alias("x")).first().x == price
+
+
+def test_answers_of_models(spark):
+    told = ['```json\n{"a": 1}\n```', '"{\\"a\\": 1}"', '{\\"a\\": 1}', 'Voici {"a": 1}.', "[1]", "{", "", None]
+    rows = spark.createDataFrame(list(enumerate(told)), "i long, t string").select("i", parsing.json_object(c("t")).alias("o")).orderBy("i").collect()
+    assert [r.o for r in rows] == ['{"a":1}'] * 4 + [None] * 4
