@@ -85,3 +85,10 @@ def pressure(components: dict[str, tuple[Column, float]]) -> Column:
 def audit_score(states: list[Column]) -> Column:
     """100 less 8 for each checkpoint to watch, 18 for a risk, 15 for a missing one."""
     return F.lit(100) - sum((F.when(s == "ok", 0).when(s == "watch", 8).when(s == "risk", 18).otherwise(15) for s in states), F.lit(0))
+
+
+def report_lines(report: DataFrame, prefix: str, shares: list[str]) -> DataFrame:
+    """metric and line for each column of a report of one row, as it is printed; shares get a percent sign, nulls are n/a."""
+    long = report.select(F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("string").alias("value")) for n in report.columns))))
+    sign = F.when(F.col("metric").isin(shares), "%").otherwise("")
+    return long.select("metric", F.concat(F.lit(f"- {prefix}_"), "metric", F.lit(": "), F.coalesce("value", F.lit("n/a")), sign).alias("line"))

@@ -65,3 +65,10 @@ def signals(spark, d):
 
 WRAPPED = "CASE sale_id % 6 WHEN 0 THEN '```json {\"id\": ' || CAST(sale_id AS STRING) || '} ```' WHEN 1 THEN 'Voici : {\"id\": ' || CAST(sale_id AS STRING) || '} merci' WHEN 2 THEN '[1, 2]' WHEN 3 THEN 'rien' WHEN 4 THEN '{\"id\":' || CAST(sale_id AS STRING) || '}' END"
 over_sales("sc_llm_json", {"object": (lambda: parsing.json_object(c("t")), "CASE WHEN sale_id % 6 IN (0, 1, 4) THEN '{\"id\":' || CAST(sale_id AS VARCHAR) || '}' END")}, t=WRAPPED)
+
+BLOCKS = "CASE sale_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '[{\"a\":' || CAST(sale_id AS STRING) || '},[true,null]]' ELSE '{\"bien\":{\"ville\":\"' || city || '\",\"lots\":[1,{\"no\":\"' || CAST(sale_id % 9 AS STRING) || '\"}]},\"prix\":' || CAST(sale_id AS STRING) || ',\"vide\":{}}' END AS t"
+
+
+@query("sc_flatten_kv", S + f", b AS (SELECT sale_id, {BLOCKS.replace('AS STRING', 'AS VARCHAR')} FROM sales), o AS (SELECT * FROM b WHERE sale_id % 5 > 2), a AS (SELECT * FROM b WHERE sale_id % 5 = 2) SELECT sale_id, 'bien.ville' AS path, t ->> '$.bien.ville' AS value FROM o UNION ALL SELECT sale_id, 'bien.lots[0]', t ->> '$.bien.lots[0]' FROM o UNION ALL SELECT sale_id, 'bien.lots[1].no', t ->> '$.bien.lots[1].no' FROM o UNION ALL SELECT sale_id, 'prix', t ->> '$.prix' FROM o UNION ALL SELECT sale_id, '[0].a', t ->> '$[0].a' FROM a UNION ALL SELECT sale_id, '[1][0]', t ->> '$[1][0]' FROM a UNION ALL SELECT sale_id, '[1][1]', t ->> '$[1][1]' FROM a")
+def flatten_kv(spark, d):
+    return sales(spark, d).selectExpr("sale_id", BLOCKS).select("sale_id", F.inline(parsing.key_values("t")))

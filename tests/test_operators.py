@@ -274,3 +274,9 @@ def test_answers_of_models(spark):
     told = ['```json\n{"a": 1}\n```', '"{\\"a\\": 1}"', '{\\"a\\": 1}', 'Voici {"a": 1}.', "[1]", "{", "", None]
     rows = spark.createDataFrame(list(enumerate(told)), "i long, t string").select("i", parsing.json_object(c("t")).alias("o")).orderBy("i").collect()
     assert [r.o for r in rows] == ['{"a":1}'] * 4 + [None] * 4
+
+
+def test_leaves_of_json(spark):
+    told = ['{"a": {"b": [1, "x", [], {"c": null}]}, "d": 1.5}', "[]", "5", "{", "", None]
+    rows = spark.createDataFrame(list(enumerate(told)), "i long, t string").select("i", parsing.key_values("t").alias("l")).orderBy("i").collect()
+    assert [[tuple(x) for x in r.l] for r in rows] == [[("a.b[0]", "1"), ("a.b[1]", "x"), ("a.b[3].c", None), ("d", "1.5")], [], [], [], [], []]
