@@ -72,3 +72,14 @@ BLOCKS = "CASE sale_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '[
 @query("sc_flatten_kv", S + f", b AS (SELECT sale_id, {BLOCKS.replace('AS STRING', 'AS VARCHAR')} FROM sales), o AS (SELECT * FROM b WHERE sale_id % 5 > 2), a AS (SELECT * FROM b WHERE sale_id % 5 = 2) SELECT sale_id, 'bien.ville' AS path, t ->> '$.bien.ville' AS value FROM o UNION ALL SELECT sale_id, 'bien.lots[0]', t ->> '$.bien.lots[0]' FROM o UNION ALL SELECT sale_id, 'bien.lots[1].no', t ->> '$.bien.lots[1].no' FROM o UNION ALL SELECT sale_id, 'prix', t ->> '$.prix' FROM o UNION ALL SELECT sale_id, '[0].a', t ->> '$[0].a' FROM a UNION ALL SELECT sale_id, '[1][0]', t ->> '$[1][0]' FROM a UNION ALL SELECT sale_id, '[1][1]', t ->> '$[1][1]' FROM a")
 def flatten_kv(spark, d):
     return sales(spark, d).selectExpr("sale_id", BLOCKS).select("sale_id", F.inline(parsing.key_values("t")))
+
+
+COUNTED = "CASE sale_id % 8 WHEN 0 THEN 'Appartement de ' || CAST(sale_id % 5 + 2 AS STRING) || ' pièces avec deux chambres' WHEN 1 THEN 'Studio au 2e' WHEN 2 THEN 'Maison T' || CAST(sale_id % 5 + 1 AS STRING) WHEN 3 THEN 'chambre 1, chambre 2, chambre 3' WHEN 4 THEN 'Nb de pièces : 4, date de vente 1998' WHEN 5 THEN 'pièce principale et chambre' WHEN 6 THEN 'annexe de 3 pièces' END"
+over_sales(
+    "sc_count_words",
+    {
+        "rooms": (lambda: parsing.dwelling_counts(c("t"))["rooms"], "CAST(CASE sale_id % 8 WHEN 0 THEN sale_id % 5 + 2 WHEN 1 THEN 1 WHEN 2 THEN sale_id % 5 + 1 WHEN 5 THEN 1 END AS INTEGER)"),
+        "bedrooms": (lambda: parsing.dwelling_counts(c("t"))["bedrooms"], "CAST(CASE sale_id % 8 WHEN 0 THEN 2 WHEN 3 THEN 3 END AS INTEGER)"),
+    },
+    t=COUNTED,
+)
