@@ -1,6 +1,6 @@
 """Chat formatting by columnar byte assembly.
 
-A turn is written as its role's opening mark, the escaped text, and the closing mark. An Arrow batch is assembled at once: lengths of all segments, cumulative offsets, and scatter indices in numpy; marks and texts are copied into one preallocated buffer, which becomes the Arrow column. Texts are escaped in the same way: a backslash goes before each backslash and before each control string.
+A turn is written as its role's opening mark, the escaped text, and the closing mark. An Arrow batch is assembled at once: lengths of all segments, cumulative offsets, and scatter indices in numpy; marks and texts are copied into one preallocated buffer, which becomes the Arrow column. Texts are escaped in the same way: a backslash goes before each backslash, and behind the first character of each control string, so that none of them is whole in a text, whatever reads it. In a role's name, > has a backslash, too.
 
 Output is one row a turn (a conversation's turns are consecutive once sorted), so a conversation of any length needs the memory of a batch only. Reading back runs over rows sorted by conversation and turn and keeps a running digest.
 
@@ -22,8 +22,8 @@ from ._common import n_partitions, pick, table
 
 #: Opening and closing mark of a role; any other role has its (escaped) name in its opening mark.
 MARKS = {"user": (b"[INST] ", b" [/INST]"), "assistant": (b"<s> ", b" </s>"), "system": (b"<<SYS>> ", b" <</SYS>>")}
-OTHER = (b"<role:", b"> ", b" </role>")
-CONTROL = (b"[INST]", b"[/INST]", b"<s>", b"</s>", b"<<SYS>>", b"<</SYS>>", b"<role:", b"</role>", b"\\", b">")
+OTHER = (b"<role:", b" > ", b" </role>")
+CONTROL = (b"[INST]", b"[/INST]", b"<s>", b"</s>", b"<<SYS>>", b"<</SYS>>", b"<role:", b"</role>")
 _UNESCAPE = re.compile(rb"\\(.)", re.DOTALL)
 
 
@@ -35,10 +35,10 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def escaped(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with a backslash before each control string that lies within one text."""
+def escaped(data: np.ndarray, offsets: np.ndarray, alone: bytes = b"\\") -> tuple[np.ndarray, np.ndarray]:
+    """Texts with a backslash before each byte of `alone`, and before the second byte of each control string that lies within one text."""
     n = len(data)
-    at = np.zeros(n + 1, bool)
+    at = np.append(np.isin(data, np.frombuffer(alone, np.uint8)), False)
     for c in CONTROL:
         if n >= len(c):
             hit = data[: n - len(c) + 1] == c[0]
@@ -46,7 +46,7 @@ def escaped(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 hit = hit & (data[k : n - len(c) + 1 + k] == c[k])
             places = np.flatnonzero(hit)
             row = np.searchsorted(offsets, places, "right")
-            at[places[places + len(c) <= offsets[row]]] = True
+            at[places[places + len(c) <= offsets[row]] + 1] = True
     before = np.concatenate([[0], np.cumsum(at[:n])])
     out = np.full(n + before[-1], ord("\\"), np.uint8)
     out[np.arange(n) + before[1:]] = data
@@ -73,7 +73,7 @@ def _marks(roles: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _escape(x: bytes) -> bytes:
-    return escaped(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0].tobytes()
+    return escaped(np.frombuffer(x, np.uint8), np.array([0, len(x)]), b"\\>")[0].tobytes()
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def parse(formatted: bytes) -> tuple[str, str]:
     for role, (head, tail) in MARKS.items():
         if formatted.startswith(head):
             return role, _plain(formatted[len(head) : -len(tail)])
-    name = re.match(rb"<role:((?:\\.|[^\\>])*)> ", formatted, re.DOTALL)
+    name = re.match(rb"<role:((?:\\.|[^\\>])*) > ", formatted, re.DOTALL)
     return _plain(name[1]), _plain(formatted[name.end() : -len(OTHER[2])])
 
 

@@ -4,7 +4,7 @@ A page is a sequence of words and tags. Words have a score from what they stand
 
 A page is read in one pass whose work grows in proportion to it, however it is nested or cut off: features are kept on the stack of open elements, and an attribute's open quote is looked past once a page.
 
-Defined results: null html is the empty page; a page without a word of positive score has the empty text. The whole html is read. Character references are decoded; white space inside a block becomes one space; blocks are joined by one line feed; a line break (br) is white space. Repeated rows are read each. An empty table gives an empty one.
+Defined results: null html is the empty page; a page without a word of positive score has the empty text. The whole html is read. Scripts, styles, noscript and their like are left out up to their end tags, as are elements with `hidden`, or a style that does not show them. Character references are decoded; white space inside a block becomes one space; blocks are joined by one line feed; a line break (br) is white space. Repeated rows are read each. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,11 +24,16 @@ from .labelled_pages import BOILERPLATE, CONTENT, labelled_pages
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STEP = re.compile(r"""[^>=]*(?:(=\s*["'])|(>)|=)""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "template", "iframe", "svg", "math", "object", "noembed", "noframes", "xmp")}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "template", "noscript", "iframe", "svg", "math", "object", "noembed", "noframes", "xmp")}
+#: Raw elements that a slash at their tag's end closes.
+_FOREIGN = ("svg", "math")
+_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*(?:false|until-found))", re.I)
+_UNSHOWN = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)\b(?:display\s*:\s*none|visibility\s*:\s*hidden)\b""", re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
+_BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements that say something about their words by themselves; others count for the words of their class, id and role.
-_TELLING = set("a article aside button footer form head header label legend main menu nav noscript select dialog h1 fieldset option".split())
+_TELLING = set("a article aside button footer form head header label legend main menu nav select dialog h1 fieldset option".split())
 _OFF = {f"hint:{w}" for words in BOILERPLATE.values() for w in words.split()} - {f"hint:{w}" for w in CONTENT}
 #: What an article may stand in that makes it a teaser or a comment; other elements around it, a form or a label of the whole page, say nothing.
 _APART = {*_OFF, "in:aside", "in:nav", "in:footer", "in:menu", "in:dialog"}
@@ -57,12 +62,19 @@ def tokens(html: str, known: dict | None = None) -> Iterator[tuple[str, str, tup
             yield kind, x, (*features, "outside") if kind == "text" and roots and not own else features
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element is there but not shown: by the attribute of that name (not by a value that holds the word), or by its style."""
+    low = attributes.lower()
+    return ("hidden" in low and bool(_HIDDEN.search(_QUOTED.sub('=""', attributes)))) or ("style" in low and bool(_UNSHOWN.search(attributes)))
+
+
 class _Open:
     """Open elements. Each has the features of all around it from the innermost article on, those that set things apart of what is above that, and whether there is an article."""
 
     def __init__(self) -> None:
         self.stack: list[tuple[str, tuple[str, ...], tuple[str, ...], bool]] = []
         self.places: dict[str, list[int]] = {}
+        self.hidden: int | None = None  # place of the outermost hidden element
 
     def around(self) -> tuple[tuple[str, ...], bool]:
         return (self.stack[-1][1], self.stack[-1][3]) if self.stack else ((), False)
@@ -79,6 +91,8 @@ class _Open:
 
     def pop(self) -> None:
         self.places[self.stack.pop()[0]].pop()
+        if self.hidden == len(self.stack):
+            self.hidden = None
 
     def close(self, tag: str) -> None:
         if at := self.places.get(tag):
@@ -106,7 +120,7 @@ def _tag_end(html: str, at: int, quoted: bool) -> tuple[int, bool]:
 def _read(html: str, known: dict | None) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
     """tokens() without what depends on the whole page: each with whether it is in an article or main of its own, and ("root", name, ...) where one opens that does not stand apart."""
     opened, at, start, quoted = _Open(), 0, 0, True
-    text = lambda end: [("text", unescape(html[start:end]), *opened.around())] if end > start else []
+    text = lambda end: [("text", unescape(html[start:end]), *opened.around())] if end > start and opened.hidden is None else []
     while (at := html.find("<", at)) >= 0:
         if html.startswith("<!--", at):
             yield from text(at)
@@ -116,7 +130,8 @@ def _read(html: str, known: dict | None) -> Iterator[tuple[str, str, tuple[str,
         if html.startswith("<![CDATA[", at):
             yield from text(at)
             end = html.find("]]>", at)
-            yield "text", html[at + 9 : end if end >= 0 else len(html)], *opened.around()
+            if opened.hidden is None:
+                yield "text", html[at + 9 : end if end >= 0 else len(html)], *opened.around()
             at = start = end + 3 if end >= 0 else len(html)
             continue
         m = _TAG.match(html, at)
@@ -132,11 +147,12 @@ def _read(html: str, known: dict | None) -> Iterator[tuple[str, str, tuple[str,
             continue
         closing, tag, attributes = m[1], m[2].lower(), html[m.end() : end]
         if tag in _RAW and not closing:
-            if not attributes.endswith("/"):
+            if not (tag in _FOREIGN and attributes.endswith("/")):
                 stop = _RAW[tag].search(html, at)
                 at = start = stop.end() if stop else len(html)
             continue
-        yield "tag", tag, (), False
+        if opened.hidden is None:
+            yield "tag", tag, (), False
         if closing:
             opened.close(tag)
         elif tag not in _VOID and tag not in ("html", "body"):
@@ -144,7 +160,10 @@ def _read(html: str, known: dict | None) -> Iterator[tuple[str, str, tuple[str,
                 while opened.stack and opened.stack[-1][0] in ("a", "p") and (opened.stack[-1][0] == "p" or tag == "a"):
                     opened.pop()
             fs = _features(tag, attributes, known)
-            if (fs or tag in _BLOCK - {"p", "li", "tr", "td", "th", "dd", "dt", "option"}) and opened.push(tag, fs):
+            if attributes and opened.hidden is None and _hidden(attributes):
+                opened.push(tag, fs)
+                opened.hidden = len(opened.stack) - 1
+            elif (fs or tag in _BLOCK - {"p", "li", "tr", "td", "th", "dd", "dt", "option"} or opened.hidden is not None) and opened.push(tag, fs) and opened.hidden is None:
                 yield "root", tag, (), True
     yield from text(len(html))
 

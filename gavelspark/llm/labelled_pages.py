@@ -32,7 +32,7 @@ WRAPPERS = [
 
 
 def labelled_pages(copies: int = 80, seed: int = 11) -> list[str]:
-    r, cards, quotes = random.Random(seed), random.Random(seed + 1), random.Random(seed + 2)
+    r, cards, quotes, asides = random.Random(seed), random.Random(seed + 1), random.Random(seed + 2), random.Random(seed + 3)
     say = lambda lo, hi: " ".join(r.choices(WORDS, k=r.randint(lo, hi))).capitalize() + "."
     kinds = [(tag, word) for tag, words in BOILERPLATE.items() for word in words.split()]
     pages = []
@@ -64,6 +64,8 @@ def labelled_pages(copies: int = 80, seed: int = 11) -> list[str]:
         if before:
             for _ in range(r.randint(0, 2)):
                 inside.insert(r.randint(1, len(inside)), pick([k for k in kinds if k[0] != "header"]))
+            if asides.random() < 0.4:  # without a class, it stands apart by itself
+                inside.insert(asides.randint(1, len(inside)), asides.choice(["<aside><p>{}</p></aside>", "<aside>{}</aside>", "<aside><h3>x</h3><ul><li>{}</li></ul></aside>"]).format(" ".join(asides.choices(WORDS, k=asides.randint(3, 30)))))
             if quotes.random() < 0.25:
                 inside.insert(quotes.randint(1, len(inside)), f"<aside class='{quotes.choice(QUOTES)}'>{block()}</aside>")
         around = lambda k: "".join(pick() for _ in range(r.randint(1, k)))

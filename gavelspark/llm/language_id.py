@@ -1,6 +1,6 @@
 """Language identification by multilingual mixture inference.
 
-Training counts hashed character trigrams of every labelled text per language (Spark sums them; what reaches the driver is one fixed-width table a language). Inference treats a document as a mixture of languages: expectation-maximisation estimates the proportions from the trigram likelihoods, and a penalised likelihood selects how many languages the document holds.
+Training counts hashed character trigrams of every labelled text per language (Spark sums them; what reaches the driver is one fixed-width table a language). Inference treats a document as a mixture of languages: expectation-maximisation estimates the proportions from the trigram likelihoods, and a penalised likelihood selects which languages the document holds. How likely the text is under them, a trigram, tells languages that were learnt from letters of no such language.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text when nothing could be learnt. Rows with a null language teach nothing. Ties go to the alphabetically first language. Repeated rows count and are answered each on its own.
 """
@@ -96,49 +96,58 @@ def shares_of(grams: list[np.ndarray], model: LanguageModel, rounds: int = 15) -
     return share
 
 
-def select(g: np.ndarray, model: LanguageModel, shares: np.ndarray, rounds: int = 15, penalty: float = 4.0) -> list[int]:
-    """The selected languages, largest share first.
+def select(g: np.ndarray, model: LanguageModel, rounds: int = 15, penalty: float = 4.0) -> tuple[list[int], float]:
+    """The selected languages, largest share first, and the text's evidence: the mean natural logarithm, a trigram, of how much likelier it is under them than under an even guess.
 
-    A language stays only if it raises the log-likelihood by `penalty` times half the logarithm of the trigram count (overlapping trigrams are not independent, so it is stricter than BIC).
+    A language is taken up only if it raises the log-likelihood by `penalty` times half the logarithm of the trigram count (overlapping trigrams are not independent, so it is stricter than BIC). Every language whose largest possible gain is above that is tried, however small its share: no language gains more than the trigram count times the logarithm of the mean ratio of its probabilities to the mixture's (Jensen's inequality, at the mixture's best shares).
     """
-    order = sorted(range(len(shares)), key=lambda i: (-shares[i], i))
-    if len(order) == 1 or shares[order[1]] <= 0.02:
-        return order[:1]
     at, n = np.unique(g, return_counts=True)
     logp = model.logp[:, at].astype(np.float64)
     top = logp.max(0)
     p, total = np.exp(logp - top), n.sum()
     singles = logp @ n
     chosen = [int(singles.argmax())]
-    value = float(singles[chosen[0]])
-    for i in (i for i in order if i != chosen[0] and shares[i] > 0.02):
+    value, mixed = float(singles[chosen[0]]), p[chosen[0]]
+    least, tried = penalty * np.log(max(total, 2)) / 2, set(chosen)
+    while len(tried) < len(p):
+        possible = total * np.log(np.maximum(p @ (n / mixed) / total, 1e-300))
+        possible[[*tried]] = -np.inf
+        i = int(possible.argmax())
+        if possible[i] <= least:
+            break
+        tried.add(i)
         rows = [*chosen, i]
         q, share = p[rows], np.full(len(rows), 1 / len(rows))
-        for _ in range(rounds):
-            share = share * (q @ (n / (share @ q))) / total
+        for k in range(20 * rounds):
+            new = share * (q @ (n / (share @ q))) / total
+            done = k >= rounds and np.abs(new - share).max() < 1e-4
+            share = new
+            if done:
+                break
         gain = float(n @ (np.log(share @ q) + top)) - value
-        if gain <= penalty * np.log(max(total, 2)) / 2:
-            break
-        chosen, value = [k for _, k in sorted(zip(-share, rows, strict=True))], value + gain
-    return chosen
+        if gain > least:
+            mixed, value = share @ q, value + gain
+            chosen = [k for _, k in sorted(zip(-share, rows, strict=True))]
+            tried = set(chosen)  # those that did not help before may do so now
+    return chosen, value / total + float(np.log(model.logp.shape[1]))
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], prefix: str = "") -> DataFrame:
-    """docs (with a text column): the columns in keep, and lang_pred, score, langs (all selected languages), each with prefix before its name."""
+    """docs (with a text column): the columns in keep, and lang_pred, score, langs (all selected languages) and evidence (above 0: likelier in them than by an even guess; null where lang_pred is `und`), each with prefix before its name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = T.StructType([docs.schema[c] for c in keep])
-    schema = T.StructType([*kept, T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}langs", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*kept, T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}langs", T.ArrayType(T.StringType())), T.StructField(f"{prefix}evidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            pred, score, langs = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows, [[] for _ in range(b.num_rows)]
+            pred, score, langs, evidence = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows, [[] for _ in range(b.num_rows)], [None] * b.num_rows
             for start in range(0, b.num_rows if m.langs else 0, 128):
                 grams = {start + i: g for i, t in enumerate(b.column("text").slice(start, 128)) if len(g := trigrams(t.as_py()))}
                 for (i, g), shares in zip(grams.items(), shares_of([*grams.values()], m) if grams else [], strict=True):
-                    chosen = select(g, m, shares)
+                    chosen, evidence[i] = select(g, m)
                     pred[i], score[i], langs[i] = m.langs[chosen[0]], min(1.0, float(shares[chosen[0]])), [m.langs[k] for k in chosen]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string()))], schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(evidence, pa.float64())], schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 Texts are lower-cased (A-Z), cut into pieces at punctuation and into words at blanks. A phrase is counted where all its words lie in one piece, per language. A sample, one document in SAMPLE, proposes the phrases that are frequent in it at a lowered threshold. One pass over all documents then counts exactly these phrases and their negative border: whatever occurs and is not proposed itself, but whose first and last words but one are. Border phrases that turn out frequent may have longer ones that were not counted; then a further pass, over what is now known to be frequent, counts those, until nothing frequent lies outside of what was passed on. A frequent phrase's parts are frequent, so no phrase is lost, whatever the sample; five passes over all documents are the most.
 
-Tasks know the proposed phrases through a filter of FILTER_BITS bits (16 MiB: a fixed size, whatever the corpus; more phrases make it let more through). It is the same for all tasks, and what it lets through is counted in all of them: a false positive costs time and no exactness. A task counts FLUSH words at a time in numpy and sends on each phrase with its count, so that a phrase of any frequency reaches the shuffle a few times a task.
+Tasks know the proposed phrases through a filter of FILTER_BITS bits at most (16 MiB, whatever the corpus; more phrases than that make it let more through). It is the same for all tasks, and what it lets through is counted in all of them: a false positive costs time and no exactness. A task counts FLUSH words at a time in numpy and sends on each phrase with its count, so that a phrase of any frequency reaches the shuffle a few times a task.
 
 Scores are exact: products in decimals of 38 digits, whole division. The best of a language are chosen in salted parts first.
 
@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ from ._common import materialize, pick, table
 LONGEST, LEAST, MOST, COVERED = 5, 100, 2_000, 100
 #: One document in so many is in the sample; its threshold is LOWERED of the share of LEAST, and 2 at least.
 SAMPLE, LOWERED = 16, 0.4
-FILTER_BITS = 1 << 27
+#: Bits of a filter for each phrase, and in all; a block is what one bitmap of Spark's holds.
+BITS_EACH, FILTER_BITS, BLOCK = 32, 1 << 27, 1 << 15
 FLUSH = 2_000_000
 SALTS = 32
 
@@ -53,18 +55,19 @@ def hashes(lang: str, words: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray
     h = np.full(len(ids), xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")), np.uint64)
     for k in range(LONGEST):
         nxt = np.zeros(len(ids), np.uint64)
-        nxt[: len(ids) - k] = words[ids[k:]]
+        nxt[: max(0, len(ids) - k)] = words[ids[k:]]
         h = _mixed(h) + nxt
         yield h
 
 
-def bits_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    z, most = _mixed(h), np.uint64(FILTER_BITS - 1)
+def bits_of(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash among `size` bits, a power of two."""
+    z, most = _mixed(h), np.uint64(size - 1)
     return (z & most).astype(np.int64), ((z >> np.uint64(32)) & most).astype(np.int64)
 
 
 def let_through(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = bits_of(h)
+    a, b = bits_of(h, 8 * len(bits))
     return ((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)
 
 
@@ -109,9 +112,8 @@ def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.
         yield k + 1, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if k else parts[0], n[hit]
 
 
-def count_phrases(docs: DataFrame, filters: list[np.ndarray | None]) -> DataFrame:
+def count_phrases(docs: DataFrame, filters: list[Broadcast]) -> DataFrame:
     """lang, length, phrase, n of the phrases that are counted under the last filter and under none before; with the first filter, also the number of words, as the phrase of length 0."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # FILTER_BITS each, of five passes at most
     first = len(filters) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def count_phrases(docs: DataFrame, filters: list[np.ndarray | None]) -> DataFram
             for lang, parts in held.items():
                 all_ids = np.concatenate(parts)
                 words = list(ids[lang])
-                found = list(phrases_of(lang, words, all_ids, sent.value))
+                found = list(phrases_of(lang, words, all_ids, [f.value for f in filters]))
                 if first:
                     found.append((0, pa.array([b""], pa.binary()), np.array([(all_ids != 0).sum()])))
                 for length, phrase, counts in found:
@@ -163,45 +165,43 @@ def _hashed(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def filter_of(frequent: DataFrame) -> np.ndarray:
-    """The filter of the phrases that can have longer ones: FILTER_BITS, made by tasks in blocks of 32,768 bits."""
+    """The filter of the phrases that can have longer ones, made by tasks in blocks."""
+    some = frequent.where(f"length between 1 and {LONGEST - 1}").select("lang", "phrase")
+    size = min(FILTER_BITS, max(BLOCK, 1 << (BITS_EACH * some.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits_of(_hashed(b))) + 1)], ["at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bits_of(_hashed(b), size)) + 1)], ["at"])
 
-    some = frequent.where(f"length between 1 and {LONGEST - 1}").select("lang", "phrase")
     blocks = some.mapInArrow(run, "at long").groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in blocks.toLocalIterator():  # FILTER_BITS in all
-        lo = (r["block"] - 1) * 4_096
-        out[lo : lo + 4_096] = np.frombuffer(r["bits"], np.uint8)
+    out = np.zeros(size // 8, np.uint8)
+    for r in blocks.collect():  # FILTER_BITS in all
+        lo = (r["block"] - 1) * BLOCK // 8
+        out[lo : lo + BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def _left_out(frequent: DataFrame, bits: np.ndarray | None) -> DataFrame:
+def _left_out(frequent: DataFrame, sent: Broadcast) -> DataFrame:
     """The frequent phrases that a filter does not let through, of those that can have longer ones."""
-    some = frequent.where(f"length between 1 and {LONGEST - 1}").select("lang", "phrase")
-    if bits is None:
-        return some
-    sent = frequent.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(~let_through(sent.value, _hashed(b))))
+            yield b if sent.value is None else b.filter(pa.array(~let_through(sent.value, _hashed(b))))
 
-    return some.mapInArrow(run, "lang string, phrase string")
+    return frequent.where(f"length between 1 and {LONGEST - 1}").select("lang", "phrase").mapInArrow(run, "lang string, phrase string")
 
 
 def frequent_phrases(docs: DataFrame, least: int, bits: np.ndarray | None, name: str) -> tuple[DataFrame, int]:
     """lang, length, phrase, n of all phrases of n >= least (and the number of words of each lang, at length 0), and how many passes it took from what `bits` proposes (None: nothing)."""
-    filters: list[np.ndarray | None] = [bits]
+    send = docs.sparkSession.sparkContext.broadcast
+    filters = [send(bits)]  # FILTER_BITS each, of five passes at most
     found = None
     while True:
         new = materialize(count_phrases(docs, filters).where(f"length = 0 or n >= {least}"), name)
         found = new if found is None else found.union(new)
         if len(filters) == LONGEST or _left_out(new, filters[-1]).isEmpty():
             return found, len(filters)
-        filters.append(filter_of(found))
+        filters.append(send(filter_of(found)))
 
 
 def mine(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
