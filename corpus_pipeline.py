@@ -11,16 +11,12 @@ from pyspark.sql import functions as F
 from gavelspark.llm import byte_bpe, language_id, mixing, secrets, simhash
 from gavelspark.llm._common import DOCUMENT_COLUMNS, materialize, pick, table
 
-#: A document whose leading language has less of it than this is rejected, as is one without letters.
-LEAST_SHARE = 0.3
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language, which becomes their lang; those without one go."""
+    """Documents of learnt languages; that of the greatest share becomes their lang. Those without letters go, and those whose letters an even guess explains better than the languages that were learnt."""
     own = pick(docs, **DOCUMENT_COLUMNS)
     model = language_id.fit(own.where(~language_id.held_out()))
     found = language_id.identify(own, model, own.columns, prefix="found_")
-    kept = found.where((F.col("found_lang_pred") != language_id.UNKNOWN) & (F.col("found_score") >= LEAST_SHARE))
+    kept = found.where((F.col("found_lang_pred") != language_id.UNKNOWN) & (F.col("found_evidence") > 0))
     return kept.withColumn("lang", F.col("found_lang_pred")).select(*DOCUMENT_COLUMNS)
 
 
