@@ -1,6 +1,6 @@
 """Phrase collocation mining by Toivonen's method.
 
-Texts are lower-cased (A-Z), cut into pieces at punctuation and into words at blanks. A phrase is counted where all its words lie in one piece, per language. A sample, one document in SAMPLE, proposes the phrases that are frequent in it at a lowered threshold. One pass over all documents then counts exactly these phrases and their negative border: whatever occurs and is not proposed itself, but whose first and last words but one are. Border phrases that turn out frequent may have longer ones that were not counted; then a further pass, over what is now known to be frequent, counts those, until nothing frequent lies outside of what was passed on. A frequent phrase's parts are frequent, so no phrase is lost, whatever the sample; five passes over all documents are the most.
+Texts are lower-cased (A-Z), cut into pieces at punctuation and into words at blanks. A phrase is counted where all its words lie in one piece, per language. A sample, one document in SAMPLE, proposes the phrases that are frequent in it at a lowered threshold. One pass over all documents then counts exactly these phrases and their negative border: whatever occurs and is not proposed itself, but whose first and last words but one are. Border phrases that turn out frequent may have longer ones that were not counted; then a further pass, over what is now known to be frequent, counts those and what stands on phrases that it counts for the first time, so that it closes the search. A frequent phrase's parts are frequent, so no phrase is lost, whatever the sample. (In the sample itself, passes go on length by length until closed.)
 
 Tasks know the proposed phrases through a filter of FILTER_BITS bits at most (16 MiB, whatever the corpus; more phrases than that make it let more through). It is the same for all tasks, and what it lets through is counted in all of them: a false positive costs time and no exactness. A task counts FLUSH words at a time in numpy and sends on each phrase with its count, so that a phrase of any frequency reaches the shuffle a few times a task.
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ LONGEST, LEAST, MOST, COVERED = 5, 100, 2_000, 100
 SAMPLE, LOWERED = 16, 0.4
 #: Bits of a filter for each phrase, and in all; a block is what one bitmap of Spark's holds.
 BITS_EACH, FILTER_BITS, BLOCK = 32, 1 << 27, 1 << 15
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 SALTS = 32
 
 END = b"\xff"  # never a byte of a text in UTF-8
@@ -50,14 +50,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def hashes(lang: str, words: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
-    """Hashes of the phrases of 1, 2, ... words that begin at each place of ids, given the words' hashes. Behind the last word they are of no use."""
-    h = np.full(len(ids), xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")), np.uint64)
-    for k in range(LONGEST):
-        nxt = np.zeros(len(ids), np.uint64)
-        nxt[: max(0, len(ids) - k)] = words[ids[k:]]
-        h = _mixed(h) + nxt
-        yield h
+def hash_of(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+
+
+def longer(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one more word behind them."""
+    return _mixed(h) + words
 
 
 def bits_of(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,53 +65,52 @@ def bits_of(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (z & most).astype(np.int64), ((z >> np.uint64(32)) & most).astype(np.int64)
 
 
-def let_through(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def let_through(bits: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    if bits is None:
+        return np.zeros(len(h), bool)
     a, b = bits_of(h, 8 * len(bits))
     return ((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)
 
 
-def counted(real: np.ndarray, bits: np.ndarray | None, hashed: list[np.ndarray]) -> list[np.ndarray]:
-    """Where phrases of 1, 2, ... words begin that are counted under a filter: all words; and phrases whose first and last words but one were counted and passed it."""
-    out, valid = [real], real
-    for length in range(2, LONGEST + 1):
-        if bits is None or not out[-1].any():
-            out.append(np.zeros(len(real), bool))
-            continue
-        go = out[-1].copy()
-        at = np.flatnonzero(go)
-        go[at] = let_through(bits, hashed[length - 2][at])
-        valid = valid & np.append(real[length - 1 :], np.zeros(length - 1, bool))[: len(real)]
-        out.append(go & np.append(go[1:], False) & valid)
-    return out
-
-
-def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.ndarray | None]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """Length, phrases and their counts in ids (places of words; 0 is END) under the last filter, without what was counted under one before."""
-    real = ids != 0
-    hw = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    hashed = list(hashes(lang, hw, ids)) if filters[-1] is not None else []
-    now, before = counted(real, filters[-1], hashed), [counted(real, f, hashed) for f in filters[:-1]]
-    new = [m & ~np.logical_or.reduce([b[k] for b in before]) if before else m for k, m in enumerate(now)]
-    all_words, code = pa.array(words, pa.binary()), ids.astype(np.int64)
-    for k in range(LONGEST):
-        if not any(m.any() for m in new[k:]):
+def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.ndarray | None], eager: bool) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Length, phrases and their counts in ids (places of words; 0 is END) under the last filter, without what was counted under one before.
+
+    All words are counted, and phrases whose first and last words but one were counted and passed the filter; if eager, or are counted now for the first time. Each length's phrases are numbered, so that hashes, filters and counts are taken once a phrase, not once a place.
+    """
+    word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    all_words, n = pa.array(words, pa.binary()), len(ids)
+    at, number = np.flatnonzero(ids != 0), ids[ids != 0]
+    kinds_hash, kinds = longer(np.full(len(words), hash_of(lang), np.uint64), word_hash), len(words)
+    before = [np.ones(kinds, bool) for _ in filters[:-1]]  # of each kind: was it counted under that filter?
+    for k in range(1, LONGEST + 1):
+        new = ~np.logical_or.reduce(before) if before else np.ones(kinds, bool)
+        if new.any():
+            counts = np.bincount(number, minlength=kinds)
+            hit = np.flatnonzero(new & (counts > 0))
+            if len(hit):
+                place = np.zeros(kinds, np.int64)
+                place[number[::-1]] = at[::-1]
+                parts = [all_words.take(pa.array(ids[place[hit] + i])) for i in range(k)]
+                yield k, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if k > 1 else parts[0], counts[hit]
+        if k == LONGEST or not len(at):
             return
-        at = np.flatnonzero(now[k])
-        if k:
-            inverse, kinds = pd.factorize(code[at] * len(words) + ids[at + k])
-            code[at] = inverse
-        else:
-            inverse, kinds = ids[at], words
-        some = new[k][at]
-        n = np.bincount(inverse[some], minlength=len(kinds))
-        place = np.zeros(len(kinds), np.int64)
-        place[inverse[::-1]] = at[::-1]
-        hit = np.flatnonzero(n)
-        parts = [all_words.take(pa.array(ids[place[hit] + i])) for i in range(k + 1)]
-        yield k + 1, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if k else parts[0], n[hit]
-
-
-def count_phrases(docs: DataFrame, filters: list[Broadcast]) -> DataFrame:
+        go = let_through(filters[-1], kinds_hash)
+        go = go | new if eager else go
+        old = [was & let_through(f, kinds_hash) for was, f in zip(before, filters[:-1], strict=True)]
+        reach = [np.zeros(n + 1, bool) for _ in (go, *old)]
+        for places, flags in zip(reach, (go, *old), strict=True):
+            places[at] = flags[number]
+        both = np.flatnonzero(reach[0][at] & reach[0][at + 1])
+        nxt = at[both]
+        number, pairs = pd.factorize(number[both].astype(np.int64) * len(words) + ids[nxt + k])
+        kinds_hash, kinds = longer(kinds_hash[pairs // len(words)], word_hash[pairs % len(words)]), len(pairs)
+        place = np.zeros(kinds, np.int64)
+        place[number] = nxt  # any place of each
+        before = [r[place] & r[place + 1] for r in reach[1:]]
+        at = nxt
+
+
+def count_phrases(docs: DataFrame, filters: list[Broadcast], eager: bool = False) -> DataFrame:
     """lang, length, phrase, n of the phrases that are counted under the last filter and under none before; with the first filter, also the number of words, as the phrase of length 0."""
     first = len(filters) == 1
 
@@ -122,18 +120,14 @@ def count_phrases(docs: DataFrame, filters: list[Broadcast]) -> DataFrame:
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
-                all_ids = np.concatenate(parts)
-                words = list(ids[lang])
-                found = list(phrases_of(lang, words, all_ids, [f.value for f in filters]))
-                if first:
-                    found.append((0, pa.array([b""], pa.binary()), np.array([(all_ids != 0).sum()])))
-                for length, phrase, counts in found:
+            for lang in list(held):
+                all_ids = np.concatenate(held.pop(lang))
+                words = list(ids.pop(lang))
+                size = [(0, pa.array([b""], pa.binary()), np.array([(all_ids != 0).sum()]))] if first else []
+                for length, phrase, counts in chain(size, phrases_of(lang, words, all_ids, [f.value for f in filters], eager and not first)):
                     for lo in range(0, len(phrase), 50_000):
                         some = phrase.slice(lo, 50_000)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(np.full(len(some), length, np.int32)), some, pa.array(counts[lo : lo + 50_000].astype(np.int64))], ["lang", "length", "phrase", "n"])
-            ids.clear()
-            held.clear()
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
@@ -154,13 +148,13 @@ def count_phrases(docs: DataFrame, filters: list[Broadcast]) -> DataFrame:
 
 
 def _hashed(batch: pa.RecordBatch) -> np.ndarray:
-    """Hashes of the phrases of a batch (lang, length, phrase), as hashes() has them."""
+    """Hashes of the phrases of a batch (lang, phrase), as phrases_of has them."""
     out = np.zeros(batch.num_rows, np.uint64)
     for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist(), strict=True)):
-        words = phrase.split(b" ")
-        own = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        *_, last = (h for _, h in zip(words, hashes(lang, own, np.arange(len(words))), strict=False))
-        out[i] = last[0]
+        h = np.array([hash_of(lang)])
+        for w in phrase.split(b" "):
+            h = longer(h, np.array([xxhash.xxh3_64_intdigest(w)], np.uint64))
+        out[i] = h[0]
     return out
 
 
@@ -191,15 +185,18 @@ def _left_out(frequent: DataFrame, sent: Broadcast) -> DataFrame:
     return frequent.where(f"length between 1 and {LONGEST - 1}").select("lang", "phrase").mapInArrow(run, "lang string, phrase string")
 
 
-def frequent_phrases(docs: DataFrame, least: int, bits: np.ndarray | None, name: str) -> tuple[DataFrame, int]:
-    """lang, length, phrase, n of all phrases of n >= least (and the number of words of each lang, at length 0), and how many passes it took from what `bits` proposes (None: nothing)."""
+def frequent_phrases(docs: DataFrame, least: int, bits: np.ndarray | None, name: str, eager: bool = False) -> tuple[DataFrame, int]:
+    """lang, length, phrase, n of all phrases of n >= least (and the number of words of each lang, at length 0), and how many passes it took from what `bits` proposes (None: nothing).
+
+    Until nothing frequent was left out of a pass' filter, another pass counts what can be frequent besides. If eager, that pass counts all phrases over new ones, too, whether or not these turn out frequent, so that it is the last.
+    """
     send = docs.sparkSession.sparkContext.broadcast
     filters = [send(bits)]  # FILTER_BITS each, of five passes at most
     found = None
     while True:
-        new = materialize(count_phrases(docs, filters).where(f"length = 0 or n >= {least}"), name)
+        new = materialize(count_phrases(docs, filters, eager).where(f"length = 0 or n >= {least}"), name)
         found = new if found is None else found.union(new)
-        if len(filters) == LONGEST or _left_out(new, filters[-1]).isEmpty():
+        if len(filters) == (2 if eager else LONGEST) or _left_out(new, filters[-1]).isEmpty():
             return found, len(filters)
         filters.append(send(filter_of(found)))
 
@@ -209,7 +206,7 @@ def mine(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> DataFrame
     rows = pick(docs, doc_id="bigint", text="string", lang="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     some = materialize(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0), "sample")
     proposed, _ = frequent_phrases(some, max(2, int(LOWERED * least / sample)), None, "proposed")
-    found, _ = frequent_phrases(rows.select("lang", "text"), least, filter_of(proposed), "phrases")
+    found, _ = frequent_phrases(rows.select("lang", "text"), least, filter_of(proposed), "phrases", eager=True)
     return found
 
 

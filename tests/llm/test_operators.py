@@ -826,7 +826,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     key = "9fK2xLq8ZtN0vK7mRw4HbJ3sQd6GyT1cWpXe5UaM"
     texts = [say("aa" if i % 3 else "bb", 60) for i in range(60)]
     rows = [(i, t, "aa" if i % 3 else "bb", f"s{i % 10 // 8}", len(t)) for i, t in enumerate(texts)]
-    rows += [(100, texts[1], "aa", "s0", 1), (101, texts[1], "aa", "s1", 1), (102, texts[2].upper(), "aa", "s0", 1), (103, "12 34 !", "aa", "s0", 7), (104, None, None, None, None), (105, "", "bb", "s0", 0), (107, "qxz zvxk qwrt plkj Привет мир", "aa", "s0", 1), (106, f"{say('aa', 50)} password=hunter2hunter2 {say('aa', 5)} {key} end", "aa", "s0", 1)]
+    rows += [(100, texts[1], "aa", "s0", 1), (101, texts[1], "aa", "s1", 1), (102, texts[2].upper(), "aa", "s0", 1), (103, "12 34 !", "aa", "s0", 7), (104, None, None, None, None), (105, "", "bb", "s0", 0), (107, "qxz zvxk qwrt plkj Привет мир", None, "s0", 1), (106, f"{say('aa', 50)} password=hunter2hunter2 {say('aa', 5)} {key} end", "aa", "s0", 1)]
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for name, stage in corpus_pipeline.STAGES:

@@ -163,7 +163,7 @@ def phrase_rows(n=60, seed=2):
 
 @pytest.mark.parametrize("least, sample", [(3, 2), (2, 10**9)])
 def test_frequent_phrases(spark, monkeypatch, least, sample):
-    """All are found, whatever the sample (none at all: five passes), and however many words are counted at a time."""
+    """All are found, whatever the sample (none at all: two passes), and however many words are counted at a time."""
     monkeypatch.setattr(phrases, "FLUSH", 100)
     rows = phrase_rows()
     df = beside(spark.createDataFrame(rows, DOCS), "LANG", "phrase", "n")
@@ -180,6 +180,8 @@ def test_passes_go_on_until_closed(spark):
     assert passes == 5 and found.where("length = 5").select("phrase").collect() == [("p q r s t",)]
     found, passes = phrases.frequent_phrases(docs, 2, phrases.filter_of(found), "f")
     assert passes == 1 and found.where("length = 5").count() == 1
+    found, passes = phrases.frequent_phrases(docs, 2, None, "f", eager=True)
+    assert passes == 2 and sorted(r["n"] for r in found.where("length > 3").collect()) == [2, 2, 2]
 
 
 def test_phrases_are_those_of_sql(spark):
