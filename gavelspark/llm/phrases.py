@@ -21,23 +21,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize, pick, table
 
 LONGEST, LEAST, MOST, COVERED = 5, 100, 2_000, 100
 #: One document in so many is in the sample; its threshold is LOWERED of the share of LEAST, and 2 at least.
-SAMPLE, LOWERED = 16, 0.4
+SAMPLE, LOWERED = 16, 0.8
 #: Bits of a filter for each phrase, and in all; a block is what one bitmap of Spark's holds.
 BITS_EACH, FILTER_BITS, BLOCK = 32, 1 << 27, 1 << 15
 FLUSH = 1_000_000
 SALTS = 32
 
-END = b"\xff"  # never a byte of a text in UTF-8
+END, TAB = b"\xff", b"\t"  # never a byte of a text in UTF-8; never one of a word
 _TABLE = bytes(END[0] if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-COUNTS = "lang string, length int, phrase binary, n long"
+COUNTS = "key binary, n int"
 
 
 def words_and_ends(text: bytes) -> list[bytes]:
@@ -81,6 +81,7 @@ def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.
     all_words, n = pa.array(words, pa.binary()), len(ids)
     at, number = np.flatnonzero(ids != 0), ids[ids != 0]
     kinds_hash, kinds = longer(np.full(len(words), hash_of(lang), np.uint64), word_hash), len(words)
+    order = np.arange(kinds)
     before = [np.ones(kinds, bool) for _ in filters[:-1]]  # of each kind: was it counted under that filter?
     for k in range(1, LONGEST + 1):
         new = ~np.logical_or.reduce(before) if before else np.ones(kinds, bool)
@@ -88,6 +89,7 @@ def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.
             counts = np.bincount(number, minlength=kinds)
             hit = np.flatnonzero(new & (counts > 0))
             if len(hit):
+                hit = hit[np.argsort(order[hit], kind="stable")]  # phrases that begin alike lie together: the shuffle packs them better
                 place = np.zeros(kinds, np.int64)
                 place[number[::-1]] = at[::-1]
                 parts = [all_words.take(pa.array(ids[place[hit] + i])) for i in range(k)]
@@ -103,6 +105,7 @@ def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.
         both = np.flatnonzero(reach[0][at] & reach[0][at + 1])
         nxt = at[both]
         number, pairs = pd.factorize(number[both].astype(np.int64) * len(words) + ids[nxt + k])
+        order = pairs
         kinds_hash, kinds = longer(kinds_hash[pairs // len(words)], word_hash[pairs % len(words)]), len(pairs)
         place = np.zeros(kinds, np.int64)
         place[number] = nxt  # any place of each
@@ -110,8 +113,8 @@ def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.
         at = nxt
 
 
-def count_phrases(docs: DataFrame, filters: list[Broadcast], eager: bool = False) -> DataFrame:
-    """lang, length, phrase, n of the phrases that are counted under the last filter and under none before; with the first filter, also the number of words, as the phrase of length 0."""
+def count_phrases(docs: DataFrame, filters: list[Broadcast], least: int, eager: bool = False) -> DataFrame:
+    """lang, length, phrase, n of the phrases of n >= least that are counted under the last filter and under none before; with the first filter, also the number of words, as the phrase of length 0. What is shuffled is one narrow key and a count a phrase and task."""
     first = len(filters) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +126,12 @@ def count_phrases(docs: DataFrame, filters: list[Broadcast], eager: bool = False
             for lang in list(held):
                 all_ids = np.concatenate(held.pop(lang))
                 words = list(ids.pop(lang))
+                own = pa.scalar(lang.encode("utf-8", "surrogatepass") + TAB, pa.binary())
                 size = [(0, pa.array([b""], pa.binary()), np.array([(all_ids != 0).sum()]))] if first else []
-                for length, phrase, counts in chain(size, phrases_of(lang, words, all_ids, [f.value for f in filters], eager and not first)):
+                for _, phrase, counts in chain(size, phrases_of(lang, words, all_ids, [f.value for f in filters], eager and not first)):
                     for lo in range(0, len(phrase), 50_000):
-                        some = phrase.slice(lo, 50_000)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(np.full(len(some), length, np.int32)), some, pa.array(counts[lo : lo + 50_000].astype(np.int64))], ["lang", "length", "phrase", "n"])
+                        key = pc.binary_join_element_wise(own, phrase.slice(lo, 50_000), pa.scalar(b"", pa.binary()))
+                        yield pa.RecordBatch.from_arrays([key, pa.array(counts[lo : lo + 50_000].astype(np.int32))], ["key", "n"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
@@ -143,8 +147,16 @@ def count_phrases(docs: DataFrame, filters: list[Broadcast], eager: bool = False
                     n = 0
         yield from flush()
 
-    found = docs.mapInArrow(run, COUNTS).groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))
-    return found.withColumn("phrase", F.col("phrase").cast("string"))
+    found = docs.mapInArrow(run, COUNTS).groupBy("key").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("key").cast("string").endswith(TAB.decode()))
+    return found.select(F.col("key").cast("string").alias("key"), "n").select(*_taken_apart("key"), "n")
+
+
+def _taken_apart(key: str) -> list[Column]:
+    """lang, length and phrase of a key: the language, TAB (which no phrase holds) and the phrase."""
+    phrase = F.substring_index(key, TAB.decode(), -1)
+    lang = F.left(F.col(key), F.char_length(key) - F.char_length(phrase) - 1)
+    length = F.when(phrase == "", 0).otherwise(F.char_length(phrase) - F.char_length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1)
+    return [lang.alias("lang"), length.cast("int").alias("length"), phrase.alias("phrase")]
 
 
 def _hashed(batch: pa.RecordBatch) -> np.ndarray:
@@ -194,7 +206,7 @@ def frequent_phrases(docs: DataFrame, least: int, bits: np.ndarray | None, name:
     filters = [send(bits)]  # FILTER_BITS each, of five passes at most
     found = None
     while True:
-        new = materialize(count_phrases(docs, filters, eager).where(f"length = 0 or n >= {least}"), name)
+        new = materialize(count_phrases(docs, filters, least, eager), name)
         found = new if found is None else found.union(new)
         if len(filters) == (2 if eager else LONGEST) or _left_out(new, filters[-1]).isEmpty():
             return found, len(filters)
