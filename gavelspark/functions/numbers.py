@@ -51,14 +51,10 @@ def price_m2(price: Column, surface: Column) -> Column:
 
 
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Metres between two points; null if a coordinate is."""
     r = F.radians
     a = F.pow(F.sin(r(lat2 - lat1) / 2), 2) + F.cos(r(lat1)) * F.cos(r(lat2)) * F.pow(F.sin(r(lng2 - lng1) / 2), 2)
-    return 2 * 6_371_000 * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
-
-
-def grid_cell(lat: Column, lng: Column, step: float = 0.05) -> tuple[Column, Column]:
-    """Cell of a square grid in degrees; stands in for a hexagonal one."""
-    return F.floor(lat / step).cast("bigint"), F.floor(lng / step).cast("bigint")
+    return 2 * 6_371_000 * F.asin(F.sqrt(F.when(a.isNotNull(), F.least(F.lit(1.0), a))))
 
 
 def ring_similarity(ring: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,10 +113,73 @@ def csv_cell(x: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+#: Short codes of property types; words in folded text that tell a type, in the order they are looked for.
+TYPE_CODES = {"app": "apartment", "mai": "house", "ter": "land", "imb": "building", "loc": "commercial", "com": "commercial", "gar": "parking", "pkg": "parking"}
+LAND, WORKED_BUILDING = r"\b(?:terrains?|parcelles?|pres?)\b", r"\b(?:batiments?|hangars?|exploitation|stabulation|locaux?)\b"
+FARM = r"\b(?:exploitation\s+agricole|batiments?\s+agricoles?|hangars?|stabulation|salle\s+de\s+traite)\b"
+BUILT = r"\b(?:appartement|maison|villa|studio|immeuble|commerce|commercial|local)\b"
+TYPE_WORDS = [
+    ("apartment", "apartment|appartement|studio"),
+    ("house", "house|maison|villa"),
+    ("building", "building|batiment|immeuble"),
+    ("land", "land|terrain"),
+    ("commercial", "commercial|magasin|local|commerce"),
+    ("parking", "parking|stationnement"),
+    ("mixed", "propriete agricole|propriete|ensemble immobilier|mixed"),
+    ("other", "autres|autre|other"),
+    ("unknown", "unknown"),
+]
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, which is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def _first(rules: list[tuple[Column | str, Column]], otherwise: Column | str | None = None) -> Column:
+    """The value of the first rule that holds."""
+    out = F
+    for value, test in rules:
+        out = out.when(test, value)
+    return out.otherwise(otherwise)
+
+
 def property_type_of(text: Column) -> Column:
-    """First match wins."""
-    t = fold(text)
-    return F.when(t.rlike(r"\b(parking|garage|box)\b"), "parking").when(t.rlike(r"\b(maison|villa|pavillon)\b"), "house").when(t.rlike(r"\b(appartement|studio|t[1-6])\b"), "apartment").when(t.rlike(r"\bimmeuble\b"), "building").when(t.rlike(r"\b(terrain|parcelle)\b"), "land").when(t.rlike(r"\b(local|bureau|commerce)\b"), "commercial").otherwise("other")
+    """The type that a listing's words tell: short codes; buildings with land, farm buildings, bare land; then the first word. `other` without one, and for null."""
+
+    def kind_of(t: Column) -> Column:
+        codes = [(kind, t == code) for code, kind in TYPE_CODES.items()]
+        land = t.rlike(LAND)
+        estates = [("mixed", t.rlike(WORKED_BUILDING) & land), ("commercial", t.rlike(FARM)), ("land", land & ~t.rlike(BUILT))]
+        return _first([*codes, *estates, *((kind, t.rlike(words)) for kind, words in TYPE_WORDS)], "other")
+
+    return let(F.coalesce(fold(clean_text(text)), F.lit("")), kind_of)
+
+
+#: What folded text says of who is in a dwelling, and of a sale's state.
+RENTED, LET, LEASE = r"\b(?:locataire|rented|leased|tenant|loyer)\b", r"\bloue(?:e|s|es)?\b", r"\bbail\b"
+NO_LEASE = r"\b(?:sans|absence\s+de|aucun(?:e)?|pas\s+de|non\s+soumis\s+a\s+un)\s+(?:bail|contrat\s+de\s+location)\b"
+NOT_SAID = r"\b(?:unknown|inconnu(?:e|s|es)?|a\s+(?:verifier|confirmer|determiner)|non\s+(?:renseigne|precise)(?:e|s|es)?|indetermine(?:e|s|es)?)\b"
+VACANT, USED = "libre|vacant|inoccup|free|vide|disponible", r"\b(?:occup|exploit|habit|utilis)\w*\b"
+ADJUDICATED, STATES = r"\badjuge(?:e|es|s)?\b|\badjudicated\b", ["upcoming", "past", "adjudicated"]
+
+
+def occupancy_of(text: Column) -> Column:
+    """squatted, owner_occupied, rented, unknown (said to be so), vacant, occupied; null where nothing is said. A text that denies a lease tells occupied or, without a word of use, unknown."""
+
+    def kind_of(t: Column) -> Column:
+        denied = t.rlike(NO_LEASE)
+        rented = t.rlike(RENTED) | t.rlike(LET) | (t.rlike(LEASE) & ~denied)
+        return _first([("squatted", t.contains("squat")), ("owner_occupied", t.rlike("proprietaire|owner")), ("rented", rented), ("unknown", t.rlike(NOT_SAID)), ("vacant", t.rlike(VACANT)), ("occupied", denied & t.rlike(USED)), ("unknown", denied), ("occupied", t.contains("occup"))])
+
+    return let(fold(clean_text(text)), kind_of)
+
+
+def sale_state_of(text: Column, sale_date: Column, now: Column) -> Column:
+    """adjudicated, past or upcoming, by what is said, else by the date; unknown without either."""
+    t = F.coalesce(fold(clean_text(text)), F.lit(""))
+    said = [("adjudicated", t.rlike(ADJUDICATED)), ("past", t.contains("passe")), ("upcoming", t.rlike("venir|upcoming")), (t, t.isin(STATES))]
+    return _first([*said, ("past", sale_date < now), ("upcoming", sale_date >= now)], "unknown")
 
 
 def excerpt(text: Column, needle: str, around: int = 30) -> Column:
@@ -124,9 +189,26 @@ def excerpt(text: Column, needle: str, around: int = 30) -> Column:
     return F.when(at > 0, F.substring(text, start, at - start + len(needle) + around))
 
 
-def document_type(label: Column) -> Column:
-    t = fold(label)
-    return F.when(t.rlike("cahier|conditions"), "sale_conditions").when(t.rlike("proces|descriptif|pv"), "description").when(t.rlike("diagnostic|dpe|amiante"), "diagnostic").when(t.rlike("affiche|annonce"), "notice").otherwise("other")
+#: Types of documents and what folded labels and addresses of them hold, in the order they are looked for.
+DOCUMENT_TYPES = [
+    ("diagnostics_techniques", r"diagnostic|dpe|erp|amiante|plomb|termites|crep|\bdiag(?:nostics?)?\b"),
+    ("cahier_conditions_vente", r"cahier|ccv|dossier[ _]de[ _]consultation|dossier[ _]de[ _]presentation|reglement de consultation"),
+    ("conditions_vente", r"conditions[ _]de[ _]vente"),
+    ("pv_notaire", r"notaire|notarie"),
+    ("pv_huissier", r"pv descriptif|pv description|pvd|descriptif|proces-verbal de constat|commissaire de justice|huissier|\bproces[-\s]+verbal\b.*\b(?:description|descriptif|constat)\b|\bpv\b"),
+    ("proces_verbal", r"\bproces[-\s]+verbal\b"),
+    ("annonce_vente", r"avis|simplifie|affiche|insertion|annonce|placard|publicite"),
+    ("bail", r"bail|location"),
+    ("procedure_saisie", r"hypothecaire|commandement"),
+    ("cadastre", r"cadastre|plan|parcelle"),
+    ("pdf", r"\.pdf"),
+]
+
+
+def document_type(label: Column, url: Column | None = None) -> Column:
+    """The type of a document by its label and address: the first that fits; `other` without one, and for nulls."""
+    t = fold(F.concat_ws(" ", label, *([] if url is None else [url])))
+    return let(t, lambda t: _first([(kind, t.rlike(words)) for kind, words in DOCUMENT_TYPES], "other"))
 
 
 def geojson_point(lng: Column, lat: Column, properties: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import grid_cell, round_half_up
+from ..functions.hexagons import cell_of
+from ..functions.numbers import round_half_up
 
 c = F.col
 
@@ -212,9 +213,10 @@ def canonical_mutations(lines: DataFrame) -> DataFrame:
     return whole.where(one).select("mutation_id", c("d0").alias("sale_date"), "price_eur", big(F.get("built", F.lit(0))["built_m2"]).alias("built_m2"), big(c("land_m2")).alias("land_m2"), "lots_count", "lines", "parcels", F.round(mean("latitude"), 6).alias("latitude"), F.round(mean("longitude"), 6).alias("longitude"))
 
 
-def cell_log_stats(rows: DataFrame, lat: Column, lng: Column, price: Column) -> DataFrame:
-    y, x = grid_cell(lat, lng)
-    return rows.where(price > 0).groupBy(y.alias("cell_y"), x.alias("cell_x")).agg(F.count("*").alias("n"), F.round(F.sum(F.ln(price)), 6).alias("sum_log"), F.round(F.stddev_samp(F.ln(price)), 6).alias("std_log"))
+def cell_log_stats(rows: DataFrame, lat: Column, lng: Column, price: Column, size: float) -> DataFrame:
+    """Number, sum and spread of log prices in each hexagonal cell of an edge of `size` metres; sums add up to those of coarser cells."""
+    cell = cell_of(lat, lng, size)
+    return rows.where((price > 0) & cell.isNotNull()).groupBy(cell["q"].alias("q"), cell["r"].alias("r")).agg(F.count("*").alias("n"), F.round(F.sum(F.ln(price)), 6).alias("sum_log"), F.round(F.stddev_samp(F.ln(price)), 6).alias("std_log"))
 
 
 def leave_one_out(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -132,6 +132,14 @@ def _address_parts(city: Column, address: Column) -> tuple[Column, Column]:
     return F.coalesce(number, F.lit("")), F.array_except(telling, words(city))
 
 
+def strong_address(city: Column, address: Column, other_city: Column, other_address: Column) -> Column:
+    """Whether two addresses are one: the same street number and a shared word; without a number two shared words, six in ten of the first's."""
+    (number, terms), (number2, terms2) = _address_parts(city, address), _address_parts(other_city, other_address)
+    shared = F.size(F.array_intersect(terms, terms2))
+    numbered, bare = (number == number2) & (shared > 0), (shared >= 2) & (shared >= F.ceil(F.size(F.array_distinct(terms)) * 0.6))
+    return F.coalesce(F.when(number != "", numbered).otherwise(bare), F.lit(False))
+
+
 def energy_matches(sales: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """sale_id, diagnostic_id, confidence: the likeliest energy diagnostic at each sale's address: same postal code and street number and a shared word; without a number two shared words, six in ten of the sale's.
 
@@ -148,8 +156,7 @@ def energy_matches(sales: DataFrame, diagnostics: DataFrame) -> DataFrame:
     full = pairs.join(there, "diagnostic_id").join(own.drop("number", "terms"), "sale_id")
     add = lambda test, points: F.when(test, points).otherwise(0.0)
     points = [c("latitude"), c("longitude"), c("d_latitude"), c("d_longitude")]
-    # haversine_m of a null coordinate is not null
-    far = F.when(F.forall(F.array(*points), lambda x: x.isNotNull()), haversine_m(*points))
+    far = haversine_m(*points)
     score = F.lit(0.62) + add(c("department") == c("d_department"), 0.05) + add(c("postal_code") == c("d_postal_code"), 0.08) + add(fold(c("city")) == fold(c("d_city")), 0.05)
     score = score + F.coalesce(F.least(F.lit(0.08), F.greatest(F.lit(0.0), c("d_address_score") - 0.55) / 5), F.lit(0.0))
     score = score + F.when(far <= 35, 0.12).when(far <= 120, 0.06).when(far.isNotNull(), -0.12).otherwise(0.0) + 0.08
@@ -158,17 +165,35 @@ def energy_matches(sales: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return best.select("sale_id", "one.diagnostic_id", (-c("one.less")).alias("confidence"))
 
 
+#: How sure a text's kind is in itself, by where it comes from; in files it is SURE_IN_FILES at least.
+TEXT_CONFIDENCE = {"title": 0.5, "description": 0.55, "raw_text": 0.55, "risk_notes": 0.64, "investment_summary": 0.6, "document": 0.72, "score_factor": 0.62, "source_payload": 0.56}
+SURE_IN_FILES = 0.72
+#: Where a text comes from, beside its kind; columns that texts may lack.
+PROVENANCE = {"confidence": "double", "source_name": "string", "document_url": "string", "page_number": "int"}
+
+
 def planning_signals(texts: DataFrame) -> DataFrame:
-    """sale_id, ordinal, source_kind, text in; a row for each kind of planning signal in each text out: kind, priority, documented (from a file), confidence, excerpt, signal_key. Of equal excerpts of a kind of a sale the first stays."""
+    """sale_id, ordinal, source_kind, text and, where known, PROVENANCE in; a row for each kind of planning signal in each text out: kind, priority, documented (from a file), confidence, excerpt, provenance, signal_key.
+
+    The text's own confidence goes before the kind's. Of equal excerpts of a kind, in one page of one file (or in texts without one), the first stays.
+    """
     t = planning_text(c("text"))
     documented = c("source_kind").isin("pdf", "document")
-    sure = lambda x: F.when(documented, F.greatest(F.lit(x), F.lit(0.72))).otherwise(F.lit(x))
+    own = texts.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in PROVENANCE.items() if name not in texts.columns))
+
+    def sure(kind: float) -> Column:
+        said = F.coalesce(F.nullif(c("confidence"), F.lit(0.0)), F.lit(kind))
+        held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), said))
+        return F.when(documented, F.greatest(held, F.lit(SURE_IN_FILES))).otherwise(held)
+
     kinds = [F.when(t.rlike("|".join(patterns)), F.struct(F.lit(k).alias("kind"), F.lit(priority).alias("priority"), sure(confidence).alias("confidence"))) for k, (priority, confidence, patterns) in PLANNING.items()]
-    found = texts.select("sale_id", "ordinal", "source_kind", documented.alias("documented"), planning_excerpt(c("text")).alias("excerpt"), F.inline(F.array_compact(F.array(*kinds))))
+    where = ["source_kind", "source_name", "document_url", "page_number"]
+    found = own.select("sale_id", "ordinal", *where, documented.alias("documented"), planning_excerpt(c("text")).alias("excerpt"), F.inline(F.array_compact(F.array(*kinds))))
     same = F.left(planning_text(c("excerpt")), F.lit(220))
-    first = found.withColumn("_same", same).groupBy("sale_id", "kind", "_same").agg(F.min_by(F.struct("ordinal", "priority", "documented", "confidence", "excerpt", "source_kind"), "ordinal").alias("r"))
-    key = F.left(F.sha1(F.concat_ws("|", c("sale_id").cast("string"), "kind", "r.source_kind", "r.excerpt")), F.lit(20))
-    return first.select("sale_id", "kind", "r.ordinal", "r.priority", "r.documented", "r.confidence", "r.excerpt", F.concat_ws("_", "kind", key).alias("signal_key"))
+    first = found.withColumn("_same", same).groupBy("sale_id", "kind", "_same", "document_url", "page_number").agg(F.min_by(F.struct("ordinal", "priority", "documented", "confidence", "excerpt", "source_kind", "source_name"), "ordinal").alias("r"))
+    said = [c("sale_id"), c("kind"), c("r.source_kind"), c("r.source_name"), c("document_url"), F.nullif(c("page_number"), F.lit(0)), F.left(planning_text(c("r.excerpt")), F.lit(240))]
+    key = F.left(F.sha1(F.concat_ws("|", *(F.coalesce(x.cast("string"), F.lit("")) for x in said))), F.lit(20))
+    return first.select("sale_id", "kind", "r.ordinal", "r.priority", "r.documented", "r.confidence", "r.excerpt", "r.source_kind", "r.source_name", "document_url", "page_number", F.concat_ws("_", "kind", key).alias("signal_key"))
 
 
 def top_signals(signals: DataFrame, by_kind: int = 8, by_sale: int = 80) -> DataFrame:

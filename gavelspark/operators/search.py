@@ -44,41 +44,6 @@ def bbox_around(lat: float, lng: float, radius_m: float) -> tuple[float, float,
     return lat - dy, lng - dx, lat + dy, lng + dx
 
 
-def search(
-    sales: DataFrame,
-    statuses: list[str] | None = None,
-    departments: list[str] | None = None,
-    city: str | None = None,
-    keywords: list[str] | None = None,
-    property_types: list[str] | None = None,
-    min_price: int | None = None,
-    max_price: int | None = None,
-    min_surface: int | None = None,
-    max_surface: int | None = None,
-    min_score: int | None = None,
-    bbox: tuple[float, float, float, float] | None = None,
-    geo_only: bool = True,
-) -> DataFrame:
-    """Parameters that are None add nothing to the plan; all keywords must be in the folded title, city or address."""
-    c = F.col
-    hay = fold(F.concat_ws(" ", "title", "city", "address"))
-    conditions = [
-        *([c("status").isin(statuses)] if statuses else []),
-        *([c("latitude").isNotNull() & c("longitude").isNotNull()] if geo_only else []),
-        *([c("department").isin(departments)] if departments else []),
-        *([fold(c("city")).contains(fold(F.lit(city)))] if city else []),
-        *(hay.contains(fold(F.lit(k))) for k in keywords or []),
-        *([c("property_type").isin(property_types)] if property_types else []),
-        *([c("starting_price_eur") >= min_price] if min_price is not None else []),
-        *([c("starting_price_eur") <= max_price] if max_price is not None else []),
-        *([c("surface_m2") >= min_surface] if min_surface is not None else []),
-        *([c("surface_m2") <= max_surface] if max_surface is not None else []),
-        *([c("investment_score") >= min_score] if min_score is not None else []),
-        *([in_bbox(*bbox)] if bbox else []),
-    ]
-    return sales.where(all_of(conditions))
-
-
 def ordered(sort: str, tie: str = "sale_id") -> list[Column]:
     return [*(F.col(n).asc_nulls_last() if way == "asc" else F.col(n).desc_nulls_last() for n, way in SORTS[sort]), F.col(tie).asc()]
 
@@ -93,18 +58,6 @@ def page_with_total(sales: DataFrame, sort: str, limit: int, offset: int = 0) ->
     return page(sales, sort, limit, offset).join(F.broadcast(total), F.lit(True))
 
 
-def client_filters(sales: DataFrame, max_price_m2: float, max_price: int, min_price: int, dpe: list[str]) -> DataFrame:
-    """Null rules of the list view: a null price fails a maximum, and is 0 against a minimum; no accepted class accepts all."""
-    c = F.col
-    m2 = F.when(c("surface_m2") > 0, c("starting_price_eur") / c("surface_m2"))
-    return sales.where(
-        (F.coalesce(c("starting_price_eur"), F.lit(1 << 60)) <= max_price)
-        & (F.coalesce(c("starting_price_eur"), F.lit(0)) >= min_price)
-        & (F.coalesce(m2, F.lit(float("inf"))) <= max_price_m2)
-        & (F.lit(not dpe) | F.coalesce(c("dpe_class").isin(dpe), F.lit(False)))
-    )
-
-
 def house_with_land(at: str = "") -> Column:
     """A house or building, by type or title, with a garden or land."""
     kind = F.lower(F.concat_ws(" ", F.col(f"{at}property_type"), F.col(f"{at}title")))

@@ -43,11 +43,20 @@ def alert_episodes(checks: DataFrame, key: str, order: list[str], bad: Column, s
 
 
 def up_to_watermark(log: DataFrame, after: Column, cutoff: Column, limit: int) -> DataFrame:
-    """Of an ordered log: rows after the last watermark up to a cut-off, about `limit` of them, never parting rows of one time: counts by time, summed over times, choose the last time that is read."""
+    """Of a log: the first `limit` rows after the last watermark, up to a cut-off, and all others of the last one's time, so that rows of one time are never parted. The last time is a top-k of narrow rows, and a filter for the log's own scan."""
     new = log.where((c("ts") > after) & (c("ts") <= cutoff))
-    times = new.groupBy("ts").agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, -1))
-    return new.join(times.withColumn("_before", F.coalesce(upto, F.lit(0))).where(c("_before") < limit).select("ts"), "ts")
+    last = new.select("ts").orderBy("ts").limit(limit).agg(F.max("ts"))
+    return new.where(c("ts") <= last.scalar())
+
+
+def segment_of(log: DataFrame, after: Column, cutoff: Column, limit: int) -> DataFrame:
+    """One row about up_to_watermark: selected (rows), committed_through (the last time of these; null if there are none), resume_at (the first time that is left; null at the end), scan_complete, and watermark: where the next scan starts. The watermark moves to the cut-off only when the scan is complete; until then, a scan resumes behind committed_through and the watermark stays."""
+    new = log.where((c("ts") > after) & (c("ts") <= cutoff))
+    last = new.select("ts").orderBy("ts").limit(limit).agg(F.max("ts").alias("t"))
+    taken = c("ts") <= last.scalar()
+    out = new.agg(F.count_if(taken).alias("selected"), F.max(F.when(taken, c("ts"))).alias("committed_through"), F.min(F.when(~taken, c("ts"))).alias("resume_at"))
+    done = c("resume_at").isNull()
+    return out.select("selected", "committed_through", "resume_at", done.alias("scan_complete"), F.when(done, cutoff).otherwise(after).alias("watermark"))
 
 
 def skip_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:

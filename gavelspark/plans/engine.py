@@ -285,8 +285,8 @@ def supersession(spark, d):
     return states.current_versions(v, v.where("event_type = 'error' AND version_id % 10 = 0")).select("version_id")
 
 
-@query("st_change_feed", S + ", b AS (SELECT *, sale_id + 0 AS k FROM sales) SELECT sale_id, concat_ws(',', CASE WHEN sale_id % 3 = 0 THEN 'price' END, CASE WHEN sale_id % 5 = 0 THEN 'status' END) AS changed FROM b WHERE (sale_id % 3 = 0 AND starting_price_eur IS NOT NULL) OR sale_id % 5 = 0".replace("CASE WHEN sale_id % 3 = 0 THEN", "CASE WHEN sale_id % 3 = 0 AND starting_price_eur IS NOT NULL THEN"))
-def change_feed(spark, d):
+@query("st_snapshot_changes", S + ", b AS (SELECT *, sale_id + 0 AS k FROM sales) SELECT sale_id, concat_ws(',', CASE WHEN sale_id % 3 = 0 THEN 'price' END, CASE WHEN sale_id % 5 = 0 THEN 'status' END) AS changed FROM b WHERE (sale_id % 3 = 0 AND starting_price_eur IS NOT NULL) OR sale_id % 5 = 0".replace("CASE WHEN sale_id % 3 = 0 THEN", "CASE WHEN sale_id % 3 = 0 AND starting_price_eur IS NOT NULL THEN"))
+def snapshot_changes(spark, d):
     now = sales(spark, d).select("sale_id", c("starting_price_eur").alias("price"), "status")
     before = now.select("sale_id", F.when(c("sale_id") % 3 == 0, c("price") + 1).otherwise(c("price")).alias("price"), F.when(c("sale_id") % 5 == 0, "other").otherwise(c("status")).alias("status"))
     return states.snapshot_changes(before, now, "sale_id", ["price", "status"])

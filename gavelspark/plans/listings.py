@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import listings
+from ..operators import listings, nearby
 from ..sources.adapters import SALES_CTE, read, sales
+from ..storage import hold
 from .queries import NOW
 from .registry import query
 from .scalars import over_sales
@@ -94,3 +95,17 @@ DISTANCE = "2 * 6371000 * asin(sqrt(pow(sin(radians(d_lat - latitude) / 2), 2) +
 def dpe_match(spark, d):
     customer, nation = read(spark, d, "customer"), read(spark, d, "nation")
     return listings.energy_matches(sales(spark, d), customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"]).selectExpr(*DIAGNOSTICS))
+
+
+NEAR_SQL = S + f", diag AS (SELECT {sql(DIAGNOSTICS)} FROM customer JOIN nation ON c_nationkey = n_nationkey), d AS (SELECT *, {NUMBER.format('diag')} AS num, {TERMS.format('diag')} AS terms FROM diag), o AS (SELECT *, {NUMBER.format('sales')} AS num, {TERMS.format('sales')} AS terms FROM sales), "
+NEAR_SQL += "pre AS (SELECT o.*, d.diagnostic_id, d.department AS d_dep, d.postal_code AS d_postal, d.city AS d_city, d.latitude AS d_lat, d.longitude AS d_lng, d.address_score, d.num AS d_num, d.terms AS d_terms FROM o JOIN d ON d.latitude BETWEEN o.latitude - 0.03 AND o.latitude + 0.03 AND d.longitude BETWEEN o.longitude - 0.05 AND o.longitude + 0.05), "
+NEAR_SQL += f"f AS (SELECT *, {DISTANCE} AS dist FROM pre), t AS (SELECT *, row_number() OVER (PARTITION BY sale_id ORDER BY dist, diagnostic_id) AS place FROM f WHERE dist <= 2000 QUALIFY place <= 3), "
+NEAR_SQL += "s AS (SELECT *, CASE WHEN num <> '' THEN num = d_num AND len(list_intersect(terms, d_terms)) > 0 ELSE len(list_intersect(terms, d_terms)) >= greatest(2, ceil(len(terms) * 0.6)) END AS same, 0.72e0 + CASE WHEN department = d_dep THEN 0.05e0 ELSE 0 END + CASE WHEN postal_code = d_postal THEN 0.08e0 ELSE 0 END + CASE WHEN lower(city) = d_city THEN 0.05e0 ELSE 0 END + coalesce(least(0.08e0, greatest(0e0, address_score - 0.55e0) / 5), 0e0) + CASE WHEN dist <= 35 THEN 0.12e0 WHEN dist <= 120 THEN 0.06e0 ELSE -0.12e0 END AS c FROM t) "
+NEAR_SQL += "SELECT sale_id, diagnostic_id, CAST(place AS INTEGER) AS place, round(least(0.95e0, greatest(0.35e0, CASE WHEN same THEN c + 0.08e0 ELSE least(c, 0.69e0) END)), 2) AS confidence FROM s"
+
+
+@query("join_dpe_nearest", NEAR_SQL)
+def dpe_nearest(spark, d):
+    customer, nation = read(spark, d, "customer"), read(spark, d, "nation")
+    there = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"]).selectExpr(*DIAGNOSTICS)
+    return nearby.energy_by_point(sales(spark, d), there, 3, 2_000.0, hold)

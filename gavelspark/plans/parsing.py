@@ -42,15 +42,24 @@ over_sales("sc_tribunal", {"court": (lambda: parsing.explicit_court(c("t")), "CA
 
 #: Three texts a sale: the listing, its second sentence, a page of a file.
 PIECES = ["Zone inondable, PLU en vigueur", "Servitude de passage, accès par l''indivision", "Lot de copropriété : charges et syndic", "Usage d''habitation", "Plan cadastral et registre", "Permis de construire,   à régulariser : régularisation", "Maison"]
-TEXT = "CASE (sale_id * 3 + k * k) % 7 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PIECES)) + " END"
-TEXTS = f", texts AS (SELECT sale_id, k AS ordinal, CASE WHEN k > 1 THEN 'pdf' ELSE 'sale_text' END AS source_kind, {TEXT} AS text FROM sales CROSS JOIN (VALUES (0), (1), (2)) v(k))"
+TEXT = "CASE (sale_id * 3 + k * (k - 1)) % 7 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PIECES)) + " END"
+PROVENANCE = [
+    "CASE WHEN k > 1 THEN 'pdf' ELSE 'sale_text' END AS source_kind",
+    "CASE k WHEN 0 THEN 5e-1 WHEN 1 THEN 55e-2 ELSE CASE sale_id % 3 WHEN 0 THEN 9e-1 WHEN 1 THEN 0e0 END END AS confidence",
+    "CASE k WHEN 0 THEN 'Titre annonce' WHEN 1 THEN 'Description annonce' END AS source_name",
+    "CASE WHEN k > 1 THEN 'https://f.example/' || CAST(sale_id % 3 AS STRING) END AS document_url",
+    "CASE WHEN k > 1 THEN CAST(sale_id % 4 AS INT) END AS page_number",
+]
+TEXTS = f", texts AS (SELECT sale_id, k AS ordinal, {', '.join(PROVENANCE).replace('AS STRING', 'AS VARCHAR')}, {TEXT} AS text FROM sales CROSS JOIN (VALUES (0), (1), (2)) v(k))"
 NORM = "translate(" + FOLDED + ", '''’', '  ')"
 DEFS = ", ".join(f"('{k}', '{p}', {conf}, '{'|'.join(pats)}')" for k, (p, conf, pats) in parsing.PLANNING.items())
-SIGNALS = S + TEXTS + f", defs(kind, priority, base, pattern) AS (VALUES {DEFS}), f AS (SELECT sale_id, ordinal, kind, priority, source_kind = 'pdf' AS documented, CASE WHEN source_kind = 'pdf' THEN greatest(base, 0.72) ELSE base END AS confidence, source_kind, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS excerpt FROM texts JOIN defs ON regexp_matches({NORM.format('text')}, pattern)), g AS (SELECT *, row_number() OVER (PARTITION BY sale_id, kind, left({NORM.format('excerpt')}, 220) ORDER BY ordinal) AS r FROM f), signals AS (SELECT *, kind || '_' || left(sha1(concat_ws('|', CAST(sale_id AS VARCHAR), kind, source_kind, excerpt)), 20) AS signal_key FROM g WHERE r = 1)"
+SAID = "coalesce(nullif(confidence, 0), base)"
+KEY = "concat_ws('|', CAST(sale_id AS VARCHAR), kind, source_kind, coalesce(source_name, ''), coalesce(document_url, ''), coalesce(CAST(nullif(page_number, 0) AS VARCHAR), ''), left(" + NORM.format("excerpt") + ", 240))"
+SIGNALS = S + TEXTS + f", defs(kind, priority, base, pattern) AS (VALUES {DEFS}), f AS (SELECT texts.* EXCLUDE (confidence), kind, priority, source_kind = 'pdf' AS documented, CASE WHEN source_kind = 'pdf' THEN greatest({SAID}, 0.72) ELSE {SAID} END AS confidence, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS excerpt FROM texts JOIN defs ON regexp_matches({NORM.format('text')}, pattern)), g AS (SELECT *, row_number() OVER (PARTITION BY sale_id, kind, left({NORM.format('excerpt')}, 220), document_url, page_number ORDER BY ordinal) AS r FROM f), signals AS (SELECT *, kind || '_' || left(sha1({KEY}), 20) AS signal_key FROM g WHERE r = 1)"
 
 
 def _texts(spark, d):
-    return sales(spark, d).select("sale_id", F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("k")).selectExpr("sale_id", "k AS ordinal", "CASE WHEN k > 1 THEN 'pdf' ELSE 'sale_text' END AS source_kind", TEXT.replace("''", "\\'") + " AS text")
+    return sales(spark, d).select("sale_id", F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("k")).selectExpr("sale_id", "k AS ordinal", *PROVENANCE, TEXT.replace("''", "\\'") + " AS text")
 
 
 @query("sc_planning_extract", SIGNALS + " SELECT sale_id, ordinal, kind, documented, CAST(confidence AS DOUBLE) AS confidence, excerpt, signal_key FROM signals")
@@ -71,15 +80,15 @@ BLOCKS = "CASE sale_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'no json' WHEN 2 THEN '[
 
 @query("sc_flatten_kv", S + f", b AS (SELECT sale_id, {BLOCKS.replace('AS STRING', 'AS VARCHAR')} FROM sales), o AS (SELECT * FROM b WHERE sale_id % 5 > 2), a AS (SELECT * FROM b WHERE sale_id % 5 = 2) SELECT sale_id, 'bien.ville' AS path, t ->> '$.bien.ville' AS value FROM o UNION ALL SELECT sale_id, 'bien.lots[0]', t ->> '$.bien.lots[0]' FROM o UNION ALL SELECT sale_id, 'bien.lots[1].no', t ->> '$.bien.lots[1].no' FROM o UNION ALL SELECT sale_id, 'prix', t ->> '$.prix' FROM o UNION ALL SELECT sale_id, '[0].a', t ->> '$[0].a' FROM a UNION ALL SELECT sale_id, '[1][0]', t ->> '$[1][0]' FROM a UNION ALL SELECT sale_id, '[1][1]', t ->> '$[1][1]' FROM a")
 def flatten_kv(spark, d):
-    return sales(spark, d).selectExpr("sale_id", BLOCKS).select("sale_id", F.inline(parsing.key_values("t")))
+    return sales(spark, d).selectExpr("sale_id", BLOCKS).transform(parsing.key_values, "t")
 
 
 COUNTED = "CASE sale_id % 8 WHEN 0 THEN 'Appartement de ' || CAST(sale_id % 5 + 2 AS STRING) || ' pièces avec deux chambres' WHEN 1 THEN 'Studio au 2e' WHEN 2 THEN 'Maison T' || CAST(sale_id % 5 + 1 AS STRING) WHEN 3 THEN 'chambre 1, chambre 2, chambre 3' WHEN 4 THEN 'Nb de pièces : 4, date de vente 1998' WHEN 5 THEN 'pièce principale et chambre' WHEN 6 THEN 'annexe de 3 pièces' END"
 over_sales(
     "sc_count_words",
     {
-        "rooms": (lambda: parsing.dwelling_counts(c("t"))["rooms"], "CAST(CASE sale_id % 8 WHEN 0 THEN sale_id % 5 + 2 WHEN 1 THEN 1 WHEN 2 THEN sale_id % 5 + 1 WHEN 5 THEN 1 END AS INTEGER)"),
-        "bedrooms": (lambda: parsing.dwelling_counts(c("t"))["bedrooms"], "CAST(CASE sale_id % 8 WHEN 0 THEN 2 WHEN 3 THEN 3 END AS INTEGER)"),
+        "rooms": (lambda: parsing.dwelling_counts(c("t"))[0], "CAST(CASE sale_id % 8 WHEN 0 THEN sale_id % 5 + 2 WHEN 1 THEN 1 WHEN 2 THEN sale_id % 5 + 1 WHEN 5 THEN 1 END AS INTEGER)"),
+        "bedrooms": (lambda: parsing.dwelling_counts(c("t"))[1], "CAST(CASE sale_id % 8 WHEN 0 THEN 2 WHEN 3 THEN 3 END AS INTEGER)"),
     },
     t=COUNTED,
 )

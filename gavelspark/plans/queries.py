@@ -168,11 +168,6 @@ def canonical_mutation(spark, d):
     return agg.canonical_mutations(mutations(spark, d))
 
 
-@query("agg_cell_log_stats", f"WITH {MUTATIONS_CTE} SELECT CAST(floor(latitude / 5e-2) AS BIGINT) AS cell_y, CAST(floor(longitude / 5e-2) AS BIGINT) AS cell_x, count(*) AS n, round(sum(ln(price_eur)), 6) AS sum_log, round(stddev_samp(ln(price_eur)), 6) AS std_log FROM mutations WHERE price_eur > 0 GROUP BY ALL")
-def cell_log_stats(spark, d):
-    return agg.cell_log_stats(mutations(spark, d), c("latitude"), c("longitude"), c("price_eur"))
-
-
 def priced(spark, d, *more):
     return sales(spark, d).where("starting_price_eur IS NOT NULL").select("sale_id", "city", "starting_price_eur", *more)
 
@@ -222,16 +217,6 @@ SHOWN = ["sale_id", "city", "status", "starting_price_eur", "sale_date"]
 COLUMNS = ", ".join(SHOWN)
 
 
-@query("flt_search_sql", S + f"SELECT {COLUMNS} FROM sales WHERE status IN ('upcoming', 'adjudicated') AND latitude IS NOT NULL AND longitude IS NOT NULL AND contains({FOLDED.format('concat_ws(chr(32), title, city, address)')}, 'republique') AND property_type IN ('house', 'apartment', 'land') AND starting_price_eur >= 20000 AND starting_price_eur <= 300000 AND surface_m2 >= 20")
-def search_sql(spark, d):
-    return search.search(sales(spark, d), statuses=["upcoming", "adjudicated"], keywords=["République"], property_types=["house", "apartment", "land"], min_price=20_000, max_price=300_000, min_surface=20).select(*SHOWN)
-
-
-@query("flt_client", S + f"SELECT {COLUMNS} FROM sales WHERE starting_price_eur <= 300000 AND coalesce(starting_price_eur, 0) >= 20000 AND starting_price_eur / surface_m2 <= 5000 AND dpe_class IN ('A', 'B', 'C')")
-def client(spark, d):
-    return search.client_filters(sales(spark, d), 5000.0, 300_000, 20_000, ["A", "B", "C"]).select(*SHOWN)
-
-
 @query("flt_viewport", S + f"SELECT {COLUMNS} FROM sales WHERE latitude BETWEEN 44.5e0 AND 46e0 AND longitude BETWEEN 1e0 AND 3e0")
 def viewport(spark, d):
     return sales(spark, d).where(search.in_bbox(44.5, 1.0, 46.0, 3.0)).select(*SHOWN)

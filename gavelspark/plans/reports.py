@@ -201,7 +201,6 @@ over_sales("agg_checklist", {"done": (lambda: F.size(F.filter(F.array(*(c("sale_
 over_sales("sc_readiness", {"readiness": (lambda: reports.readiness(c("days"), c("blocked"), c("open_items"), c("progress")), "CASE WHEN days IS NULL THEN 'missing_date' WHEN days < 0 THEN 'past' WHEN blocked > 0 THEN 'blocked' WHEN days <= 7 AND open_items > 0 THEN 'urgent' WHEN progress >= 80 THEN 'ready' ELSE 'needs_work' END"), "urgency": (lambda: reports.audience_urgency(c("days")), "CASE WHEN days IS NULL THEN 'unknown' WHEN days < 0 THEN 'past' WHEN days = 0 THEN 'today' WHEN days <= 7 THEN 'week' WHEN days <= 30 THEN 'month' ELSE 'later' END")}, days="CASE WHEN sale_id % 13 > 0 THEN sale_id % 90 - 20 END", blocked="CASE WHEN sale_id % 6 = 0 THEN 1 ELSE 0 END", open_items="sale_id % 3", progress="sale_id % 101")
 over_sales("sc_doc_signature", {"signature": (lambda: F.array_join(F.array_sort(F.array_distinct(F.array("source_name", "city", "status"))), "|"), "array_to_string(list_sort(list_distinct([source_name, city, status])), '|')")})
 over_sales("sc_media_filter", {"images": (lambda: F.array_join(F.filter(F.array(F.concat("source_url", F.lit(".jpg")), F.concat("source_url", F.lit(".PDF")), F.concat("source_url", F.lit("/logo.png")), F.concat("source_url", F.lit(".webp?x=1"))), reports.is_property_image), ";"), "source_url || '.jpg;' || source_url || '.webp?x=1'")})
-over_sales("sc_outcome_forecast", {"pressure": (lambda: F.round(reports.pressure({"discount": (c("d1"), 0.3), "adjudication": (c("d2"), 0.2), "demand": (c("d3"), 0.2), "history": (c("d4"), 0.15), "liquidity": (F.lit(None).cast("double"), 0.15)}), 4), "round((coalesce(d1 * 0.3e0, 0e0) + d2 * 0.2e0 + coalesce(d3 * 0.2e0, 0e0) + coalesce(d4 * 0.15e0, 0e0)) / (CASE WHEN d1 IS NULL THEN 0e0 ELSE 0.3e0 END + 0.2e0 + CASE WHEN d3 IS NULL THEN 0e0 ELSE 0.2e0 END + CASE WHEN d4 IS NULL THEN 0e0 ELSE 0.15e0 END), 4)")}, d1="CASE WHEN sale_id % 4 > 0 THEN (sale_id % 100) * 1e0 END", d2="(sale_id % 97) * 1e0", d3="CASE WHEN sale_id % 3 > 0 THEN (sale_id % 89) * 1e0 END", d4="CASE WHEN sale_id % 5 > 0 THEN (sale_id % 83) * 1e0 END")
 over_sales("sc_audit", {"audit": (lambda: reports.audit_score([c("s1"), c("s2"), c("s3")]), "100 - (" + " + ".join(f"CASE s{i} WHEN 'ok' THEN 0 WHEN 'watch' THEN 8 WHEN 'risk' THEN 18 ELSE 15 END" for i in (1, 2, 3)) + ")")}, s1="CASE sale_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'watch' ELSE 'risk' END", s2="CASE sale_id % 5 WHEN 0 THEN 'risk' WHEN 1 THEN 'ok' END", s3="CASE sale_id % 2 WHEN 0 THEN 'ok' ELSE 'watch' END")
 
 

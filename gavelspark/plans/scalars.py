@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import hexagons
 from ..functions import numbers as num
 from ..functions import text
 from ..operators import aggregates as agg
@@ -63,8 +64,33 @@ over_sales("sc_month_cyclic", {"month_sin": (lambda: F.round(F.sin(2 * num.PI *
 over_sales("sc_lifecycle_past", {"status_now": (lambda: F.when((c("sale_date") < F.lit(NOW).cast("date")) & (c("status") != "adjudicated"), "past").otherwise(c("status")), f"CASE WHEN sale_date < DATE '{NOW}' AND status <> 'adjudicated' THEN 'past' ELSE status END")})
 # places
 HAVERSINE = "2 * {r}e0 * asin(sqrt(least(1e0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({y} - {x}) / 2), 2))))"
-over_sales("sc_haversine", {"metres": (lambda: F.round(num.haversine_m(c("latitude"), c("longitude"), F.lit(48.8566), F.lit(2.3522)), 3), f"round({HAVERSINE.format(r=6371000, a='latitude', b='48.8566e0', x='longitude', y='2.3522e0')}, 3)")})
-over_sales("sc_cell", {"cell_y": (lambda: num.grid_cell(c("latitude"), c("longitude"))[0], "CAST(floor(latitude / 5e-2) AS BIGINT)"), "cell_x": (lambda: num.grid_cell(c("latitude"), c("longitude"))[1], "CAST(floor(longitude / 5e-2) AS BIGINT)"), "likeness": (lambda: num.ring_similarity(c("ring")), "CASE ring WHEN 0 THEN 1e0 WHEN 1 THEN 0.82e0 WHEN 2 THEN 0.58e0 WHEN 3 THEN 0.38e0 ELSE 0.2e0 END")}, ring="sale_id % 6")
+over_sales("sc_haversine", {"metres": (lambda: F.round(num.haversine_m(c("latitude"), c("longitude"), F.lit(48.8566), F.lit(2.3522)), 3), f"CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN round({HAVERSINE.format(r=6371000, a='latitude', b='48.8566e0', x='longitude', y='2.3522e0')}, 3) END")})
+
+
+def hexagon(lat: str, lng: str, size: float) -> tuple[str, str]:
+    """SQL of a hexagonal cell's q and r."""
+    x, y = f"(radians({lng}) * cos(radians(46.5e0)) * 6371000)", f"(radians({lat}) * 6371000)"
+    q, r = f"(({x} * sqrt(3e0) / 3 - {y} / 3) / {size}e0)", f"({y} * 2 / 3 / {size}e0)"
+    s = f"(-{q} - {r})"
+    a, b, d = (f"floor({v} + 5e-1)" for v in (q, r, s))
+    dq, dr, ds = (f"abs({n} - {v})" for n, v in ((a, q), (b, r), (d, s)))
+    return f"CAST(CASE WHEN {dq} > {dr} AND {dq} > {ds} THEN -{b} - {d} ELSE {a} END AS BIGINT)", f"CAST(CASE WHEN NOT ({dq} > {dr} AND {dq} > {ds}) AND {dr} > {ds} THEN -{a} - {d} ELSE {b} END AS BIGINT)"
+
+
+HOUSE, LAND = hexagons.EDGES["house"], hexagons.EDGES["land"]
+HEX_Q, HEX_R = hexagon("latitude", "longitude", HOUSE)
+MID_Q, MID_R = hexagon("46e0", "2e0", HOUSE)
+AWAY = f"(abs({HEX_Q} - {MID_Q}) + abs({HEX_R} - {MID_R}) + abs({HEX_Q} - {MID_Q} + {HEX_R} - {MID_R})) // 2"
+over_sales(
+    "sc_cell",
+    {
+        "q": (lambda: hexagons.cell_of(c("latitude"), c("longitude"), HOUSE)["q"], HEX_Q),
+        "r": (lambda: hexagons.cell_of(c("latitude"), c("longitude"), HOUSE)["r"], HEX_R),
+        "steps": (lambda: hexagons.steps_between(hexagons.cell_of(c("latitude"), c("longitude"), HOUSE), hexagons.cell_of(F.lit(46.0), F.lit(2.0), HOUSE)), f"CAST({AWAY} AS INTEGER)"),
+        "likeness": (lambda: num.ring_similarity(c("ring")), "CASE ring WHEN 0 THEN 1e0 WHEN 1 THEN 0.82e0 WHEN 2 THEN 0.58e0 WHEN 3 THEN 0.38e0 ELSE 0.2e0 END"),
+    },
+    ring="sale_id % 6",
+)
 over_sales("sc_tiles", {"tile_x": (lambda: num.tile(c("latitude"), c("longitude"), 12)[0], "CAST(floor((longitude + 180) / 360 * 4096) AS BIGINT)"), "tile_y": (lambda: num.tile(c("latitude"), c("longitude"), 12)[1], "CAST(floor((1 - ln(tan(radians(latitude)) + 1 / cos(radians(latitude))) / pi()) / 2 * 4096) AS BIGINT)")})
 RING = [(0, 0), (4, 1), (6, 5), (1, 7), (0, 0)]
 
@@ -86,9 +112,54 @@ over_sales("sc_postal_city", {"postal": (lambda: text.postal_code(c("t")), "null
 over_sales("sc_department", {"dept": (lambda: text.department(c("p")), "CASE WHEN p LIKE '97%' OR p LIKE '98%' THEN substring(p, 1, 3) WHEN length(p) >= 2 THEN substring(p, 1, 2) END")}, p="CASE sale_id % 4 WHEN 0 THEN '97' || substring(postal_code, 3, 3) WHEN 1 THEN substring(postal_code, 1, 1) ELSE postal_code END")
 over_sales("sc_insee_parcel", {"insee": (lambda: text.insee_code(c("department"), c("k")), "CASE WHEN length(k) >= 5 THEN k ELSE department || lpad(k, 3, '0') END"), "parcel": (lambda: text.parcel_id(c("department"), c("k"), c("pre"), c("sec"), c("plan")), "upper(department || lpad(k, 3, '0') || lpad(coalesce(pre, '000'), 3, '0') || lpad(sec, 2, '0') || lpad(plan, 4, '0'))")}, k="CAST(sale_id % 900 AS STRING)", pre="CASE WHEN sale_id % 3 = 0 THEN CAST(sale_id % 90 AS STRING) END", sec="CASE sale_id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'Zb' ELSE NULL END", plan="CAST(sale_id % 7000 AS STRING)")
 over_sales("sc_fingerprint", {"signature": (lambda: text.sale_signature(c("sale_date"), c(P)), f"coalesce(CAST(sale_date AS VARCHAR), '') || '|' || coalesce(CAST({P} AS VARCHAR), '')"), "snapshot": (lambda: F.concat_ws("|", *(F.coalesce(c(x).cast("string"), F.lit("")) for x in (P, "sale_date", "status", "investment_score"))), f"concat_ws('|', coalesce(CAST({P} AS VARCHAR), ''), coalesce(CAST(sale_date AS VARCHAR), ''), coalesce(status, ''), coalesce(CAST(investment_score AS VARCHAR), ''))")})
-over_sales("sc_enum_norm", {"kind": (lambda: text.property_type_of(c("title")), f"CASE WHEN regexp_matches({FOLDED.format('title')}, '\\b(parking|garage|box)\\b') THEN 'parking' WHEN regexp_matches({FOLDED.format('title')}, '\\b(maison|villa|pavillon)\\b') THEN 'house' WHEN regexp_matches({FOLDED.format('title')}, '\\b(appartement|studio|t[1-6])\\b') THEN 'apartment' WHEN regexp_matches({FOLDED.format('title')}, '\\bimmeuble\\b') THEN 'building' WHEN regexp_matches({FOLDED.format('title')}, '\\b(terrain|parcelle)\\b') THEN 'land' WHEN regexp_matches({FOLDED.format('title')}, '\\b(local|bureau|commerce)\\b') THEN 'commercial' ELSE 'other' END")})
+
+
+def one_of(key: str, values: list[str | None]) -> str:
+    """SQL: a value by the remainder of a key."""
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN '{x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(values) if x is not None) + " END"
+
+
+#: What is written of a type, an occupancy and a state, and what it means.
+TYPES = [("Appartement T3", "apartment"), ("MAI", "house"), ("Bâtiments agricoles et parcelles de prés", "mixed"), ("Hangar, stabulation", "commercial"), ("Parcelles boisées", "land"), ("Terrain et maison", "house"), ("Stationnement au sous-sol", "parking"), ("Propriété", "mixed"), ("Local commercial", "commercial"), ("Immeuble de rapport, parking", "building"), ("Cave", "other"), (None, "other"), ("studio meublé", "apartment"), ("unknown", "unknown")]
+OCCUPANCIES = [("Libre de toute occupation", "vacant"), ("à vérifier", "unknown"), ("occupé sans bail", "occupied"), ("absence de bail écrit", "unknown"), ("loué à un tiers", "rented"), ("bail en cours", "rented"), ("occupé par le propriétaire", "owner_occupied"), ("squatté", "squatted"), ("occupée", "occupied"), ("amiante, plomb, termites", None), (None, None)]
+STATES = [("Adjugé", "adjudicated"), ("vente passée", "past"), ("A venir", "upcoming"), ("upcoming", "upcoming"), ("reportée", ""), (None, "")]
+MEANT = one_of("sale_id", [m for _, m in STATES])
+over_sales(
+    "sc_enum_norm",
+    {
+        "kind": (lambda: text.property_type_of(c("a")), one_of("sale_id", [m for _, m in TYPES])),
+        "titled": (lambda: text.property_type_of(c("title")), "CASE sale_id % 4 WHEN 0 THEN 'house' WHEN 1 THEN 'apartment' WHEN 2 THEN 'building' ELSE 'other' END"),
+        "occupancy": (lambda: text.occupancy_of(c("b")), one_of("sale_id", [m for _, m in OCCUPANCIES])),
+        "state": (lambda: text.sale_state_of(c("s"), c("sale_date"), F.lit("1996-01-01").cast("date")), f"coalesce(nullif({MEANT}, ''), CASE WHEN sale_date < DATE '1996-01-01' THEN 'past' ELSE 'upcoming' END)"),
+    },
+    a=one_of("sale_id", [w for w, _ in TYPES]),
+    b=one_of("sale_id", [w for w, _ in OCCUPANCIES]),
+    s=one_of("sale_id", [w for w, _ in STATES]),
+)
 over_sales("sc_excerpt", {"around": (lambda: text.excerpt(c("address"), "de", 6), "CASE WHEN position('de' IN address) > 0 THEN substring(address, greatest(position('de' IN address) - 6, 1), position('de' IN address) - greatest(position('de' IN address) - 6, 1) + 8) END")})
-over_sales("sc_doc_classify", {"kind": (lambda: text.document_type(c("t")), "CASE WHEN regexp_matches(t, 'cahier|conditions') THEN 'sale_conditions' WHEN regexp_matches(t, 'proces|descriptif|pv') THEN 'description' WHEN regexp_matches(t, 'diagnostic|dpe|amiante') THEN 'diagnostic' WHEN regexp_matches(t, 'affiche|annonce') THEN 'notice' ELSE 'other' END")}, t="CASE sale_id % 6 WHEN 0 THEN 'cahier des conditions' WHEN 1 THEN 'pv descriptif' WHEN 2 THEN 'diagnostic amiante' WHEN 3 THEN 'affiche legale' WHEN 4 THEN title ELSE 'autre' END")
+#: Labels of documents, their addresses, and what they are.
+LABELS = [
+    ("PV descriptif anonyme", "https://x.example/1.pdf", "pv_huissier"),
+    ("Cahier des conditions de vente", "https://x.example/1.pdf", "cahier_conditions_vente"),
+    ("CAHIER LIQUIDATION 20260415.pdf", None, "cahier_conditions_vente"),
+    ("Dossier de présentation", None, "cahier_conditions_vente"),
+    ("Diagnostics techniques DPE.pdf", None, "diagnostics_techniques"),
+    ("Cahier et diagnostic", None, "diagnostics_techniques"),
+    ("Dossier diag (1)", None, "diagnostics_techniques"),
+    ("Avis simplifié.pdf", None, "annonce_vente"),
+    ("PLACARD PUBLICITE .pdf", None, "annonce_vente"),
+    ("PV de notaire.pdf", None, "pv_notaire"),
+    ("Procès verbal", "https://x.example/download?id=1", "proces_verbal"),
+    ("Proces verbal de description", "https://x.example/download?id=2", "pv_huissier"),
+    ("Conditions de vente", None, "conditions_vente"),
+    ("Bail commercial", None, "bail"),
+    ("Commandement de payer", None, "procedure_saisie"),
+    ("Parcelles", None, "cadastre"),
+    (None, "https://x.example/2.PDF", "pdf"),
+    ("Photo", "https://x.example/2", "other"),
+    (None, None, "other"),
+]
+over_sales("sc_doc_classify", {"kind": (lambda: text.document_type(c("label"), c("url")), one_of("sale_id", [k for _, _, k in LABELS]))}, label=one_of("sale_id", [x for x, _, _ in LABELS]), url=one_of("sale_id", [u for _, u, _ in LABELS]))
 over_sales("sc_title", {"shown": (lambda: text.display_title(c("property_type"), c("city"), c(SURF), c("title")), f"coalesce(nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), ''), concat_ws(' ', coalesce(CASE property_type WHEN 'apartment' THEN 'Appartement' WHEN 'house' THEN 'Maison' WHEN 'building' THEN 'Immeuble' WHEN 'land' THEN 'Terrain' WHEN 'parking' THEN 'Parking' WHEN 'commercial' THEN 'Local commercial' END, 'Bien immobilier'), CASE WHEN {SURF} > 0 THEN CAST({SURF} AS VARCHAR) || ' m²' END, '- ' || city))")})
 over_sales("sc_url_guard", {"allowed": (lambda: text.allowed_url(c("u"), ["automobile.example", "building.example"]), "coalesce(starts_with(u, 'https://automobile.example/') OR starts_with(u, 'https://building.example/'), FALSE)")}, u="CASE sale_id % 4 WHEN 0 THEN replace(source_url, 'https', 'http') WHEN 1 THEN replace(source_url, '.example', '.example.evil') ELSE source_url END")
 over_sales("snk_csv_safe", {"line": (lambda: F.concat_ws(",", *(text.csv_cell(x) for x in (c("t"), c("city"), c(P)))), "concat_ws(',', " + ", ".join(f"'\"' || replace(CASE WHEN regexp_matches(coalesce(CAST({x} AS VARCHAR), ''), '^[=+\\-@]') THEN '''' ELSE '' END || coalesce(CAST({x} AS VARCHAR), ''), '\"', '\"\"') || '\"'" for x in ("t", "city", P)) + ")")}, t="CASE sale_id % 4 WHEN 0 THEN '=SUM(A1)' WHEN 1 THEN 'a \"b\" c' WHEN 2 THEN '-' || title ELSE title END")
@@ -151,3 +222,11 @@ def distinct_centroid(spark, d):
 @query("win_running_weight", S + ", v AS (SELECT city, investment_score AS v, sum(surface_m2) AS w FROM sales WHERE investment_score IS NOT NULL AND surface_m2 IS NOT NULL GROUP BY ALL) SELECT city, v, CAST(sum(w) OVER (PARTITION BY city ORDER BY v) AS BIGINT) AS upto FROM v")
 def running_weight(spark, d):
     return agg.running_weight(sales(spark, d).where("investment_score IS NOT NULL AND surface_m2 IS NOT NULL"), "city", "investment_score", "surface_m2")
+
+
+CELL_Q, CELL_R = hexagon("latitude", "longitude", LAND)
+
+
+@query("agg_cell_log_stats", f"WITH {MUTATIONS_CTE} SELECT {CELL_Q} AS q, {CELL_R} AS r, count(*) AS n, round(sum(ln(price_eur)), 6) AS sum_log, round(stddev_samp(ln(price_eur)), 6) AS std_log FROM mutations WHERE price_eur > 0 GROUP BY ALL")
+def cell_log_stats(spark, d):
+    return agg.cell_log_stats(mutations(spark, d), c("latitude"), c("longitude"), c("price_eur"), LAND)

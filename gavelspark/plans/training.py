@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import training
+from ..operators import boosting, training
 from ..sources.adapters import MUTATIONS_CTE, SALES_CTE, mutations, sales
 from ..storage import hold
 from .registry import query
@@ -62,3 +62,18 @@ P10_SQL = "exp(CASE WHEN coalesce(surface_m2 <= 100, true) THEN 7.3e0 ELSE 7.7e0
 def infer_tree(spark, d):
     rows = sales(spark, d)
     return rows.select("sale_id", training.tree_quantiles(ARTIFACT, {n: c(n) for n in ARTIFACT["feature_names"]}).alias("q")).select("sale_id", "q.*")
+
+
+TREE_FEATURES = ["surface_m2", "latitude", "longitude", "rooms_count", "kind", "month"]
+
+
+def frame(spark, d):
+    """Prepared rows with what trees learn from, and their part."""
+    rows = training.split_by_days(training.prepare(mutations(spark, d).selectExpr(*RAW)))
+    kinds = F.array_position(F.array(*(F.lit(x) for x in ("apartment", "house", "building", "commercial", "land"))), c("segment"))
+    return rows.select("mutation_id", "part", "segment", F.log("target_price_per_m2").alias("y"), *TREE_FEATURES[:4], kinds.cast("double").alias("kind"), F.months_between("sale_date", F.lit("1992-01-01")).alias("month"))
+
+
+@query("ml_train_trees")
+def train_trees(spark, d):
+    return boosting.train(frame(spark, d), TREE_FEATURES, "y", hold, trees=8)[1]

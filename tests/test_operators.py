@@ -278,8 +278,8 @@ def test_answers_of_models(spark):
 
 def test_leaves_of_json(spark):
     told = ['{"a": {"b": [1, "x", [], {"c": null}]}, "d": 1.5}', "[]", "5", "{", "", None]
-    rows = spark.createDataFrame(list(enumerate(told)), "i long, t string").select("i", parsing.key_values("t").alias("l")).orderBy("i").collect()
-    assert [[tuple(x) for x in r.l] for r in rows] == [[("a.b[0]", "1"), ("a.b[1]", "x"), ("a.b[3].c", None), ("d", "1.5")], [], [], [], [], []]
+    rows = spark.createDataFrame(list(enumerate(told)), "i long, t string").transform(parsing.key_values, "t").collect()
+    assert Counter(map(tuple, rows)) == Counter([(0, "a.b[0]", "1"), (0, "a.b[1]", "x"), (0, "a.b[3].c", None), (0, "d", "1.5")])
 
 
 @pytest.mark.parametrize(
@@ -287,5 +287,5 @@ def test_leaves_of_json(spark):
     [("Maison de six pièces dont 4 chambres", 6, 4), ("Villa de 120,5 m², de cinq pièces", 5, None), ("Appartement T3", 3, None), ("chambre n°1 chambre n° 2", None, 2), ("Studio", 1, None), ("Type de bien : T4, prix de vente", None, None), ("une remise de 2 pièces", None, None), ("", None, None), (None, None, None)],
 )
 def test_rooms_in_texts(spark, written, rooms, bedrooms):
-    df = spark.createDataFrame([(written,)], "t string").select(parsing.dwelling_counts(c("t")).alias("x"))
-    assert tuple(df.first().x) == (rooms, bedrooms)
+    df = spark.createDataFrame([(written,)], "t string").select(*parsing.dwelling_counts(c("t")))
+    assert tuple(df.first()) == (rooms, bedrooms)
