@@ -72,6 +72,12 @@ def let_through(bits: np.ndarray | None, h: np.ndarray) -> np.ndarray:
     return ((bits[a >> 3] >> (a & 7)) & (bits[b >> 3] >> (b & 7)) & 1).astype(bool)
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x), np.int64)
+    out[np.argsort(x, kind="stable")] = np.arange(len(x))
+    return out
+
+
 def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.ndarray | None], eager: bool) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
     """Length, phrases and their counts in ids (places of words; 0 is END) under the last filter, without what was counted under one before.
 
@@ -81,7 +87,8 @@ def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.
     all_words, n = pa.array(words, pa.binary()), len(ids)
     at, number = np.flatnonzero(ids != 0), ids[ids != 0]
     kinds_hash, kinds = longer(np.full(len(words), hash_of(lang), np.uint64), word_hash), len(words)
-    order = np.arange(kinds)
+    rank = _ranks(np.array(words, object))  # of the words in byte order
+    order = rank
     before = [np.ones(kinds, bool) for _ in filters[:-1]]  # of each kind: was it counted under that filter?
     for k in range(1, LONGEST + 1):
         new = ~np.logical_or.reduce(before) if before else np.ones(kinds, bool)
@@ -89,7 +96,7 @@ def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.
             counts = np.bincount(number, minlength=kinds)
             hit = np.flatnonzero(new & (counts > 0))
             if len(hit):
-                hit = hit[np.argsort(order[hit], kind="stable")]  # phrases that begin alike lie together: the shuffle packs them better
+                hit = hit[np.argsort(order[hit])]  # phrases that begin alike lie together: the shuffle packs them better
                 place = np.zeros(kinds, np.int64)
                 place[number[::-1]] = at[::-1]
                 parts = [all_words.take(pa.array(ids[place[hit] + i])) for i in range(k)]
@@ -105,7 +112,7 @@ def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, filters: list[np.
         both = np.flatnonzero(reach[0][at] & reach[0][at + 1])
         nxt = at[both]
         number, pairs = pd.factorize(number[both].astype(np.int64) * len(words) + ids[nxt + k])
-        order = pairs
+        order = _ranks(order)[pairs // len(words)] * len(words) + rank[pairs % len(words)]
         kinds_hash, kinds = longer(kinds_hash[pairs // len(words)], word_hash[pairs % len(words)]), len(pairs)
         place = np.zeros(kinds, np.int64)
         place[number] = nxt  # any place of each
