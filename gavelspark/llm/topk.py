@@ -1,10 +1,10 @@
 """Exact top-k inner-product search by dual cover trees.
 
-The upper level of the data's tree is shared by all tasks: CELLS centres, far from each other, of a bounded sample of the vectors. Every vector belongs to the cell of its nearest centre; a cell's covering radius is the greatest distance of its vectors from it. A query first searches the cell whose centre it likes best, which gives it a kth score; after that it goes only to cells whose bound <q, p> + |q| r_P still reaches that score. So what is shuffled is each vector twice, whatever the number of queries, and a query as often as cells can matter to it. A cell of many vectors is dealt into blocks.
+The upper level of the data's tree is shared by all tasks: CELLS centres, far from each other, of a bounded sample of the vectors. Every vector belongs to the cell of its nearest centre; a cell's covering radius is the greatest distance of its vectors from it. There are as many cells as leave A_CELL vectors to each, CELLS at most. A query first searches the cells whose centres it likes best, as many as hold more than k vectors, which gives it a kth score; after that it goes only to cells whose bound <q, p> + |q| r_P still reaches that score. So what is shuffled is each vector twice, whatever the number of queries, and a query as often as cells can matter to it. A cell of many vectors is dealt into blocks.
 
 In a block a cover tree is grown over the vectors, and one over each batch of queries; both are walked together. A node has a level: its points lie within BASE**level of its centre (covering), and the centres of its children, one or more levels down, are further than BASE**(their level) from each other (separation). No inner product of the points of nodes Q and P exceeds <q, p> + |q| r_P + |p| r_Q + r_Q r_P; a pair of nodes is left when this is below the worst kth score that the query node's members have so far. Where a level would have more than FANOUT centres, the vectors are too far from each other for a tree to prune, and the node keeps its points as a leaf.
 
-Vectors become whole numbers, floor(scale * x), and scores are exact: products are taken in doubles where every partial sum is below 2^53, else in 64-bit integers (beyond these, they wrap).
+Vectors become whole numbers, floor(scale * x), and scores are exact: products are taken in doubles where every partial sum is below 2^53, else in 64-bit integers; vectors whose products could pass these are an error.
 
 Defined results: vectors that are null, or hold a null or a component that is not finite, take no part, nor do rows with a null id. Vectors of different lengths do not meet. Equal queries (id and vector) are one; queries of one id and different vectors have a result each. A query's own rows are all with its id; every other row is a candidate, repeated ones as often as they are there. Ties go to the smaller id. An empty table gives an empty one.
 """
@@ -22,7 +22,7 @@ from ._common import materialize, pick, table
 
 DATA_BLOCK, LEAF, FANOUT, BASE = 8_000, 128, 48, 1.5
 #: Centres of the shared upper level, and how many vectors they are chosen from: all that the driver sees.
-CELLS, SAMPLE = 256, 2_048
+CELLS, SAMPLE, A_CELL = 256, 2_048, 40
 
 
 def far_centres(x: np.ndarray, rows: np.ndarray, first: int, apart: float, most: int) -> tuple[list[int], np.ndarray, np.ndarray] | None:
@@ -89,7 +89,10 @@ class Block:
     def search(self, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row of the query, id, copies and score: for each row of q the best vectors, k at most, of other ids than its own and of scores of `least` or more."""
         ids, x, xt, qt = self.ids, self.x, self.tree, Tree(q)
-        exact = float(np.abs(q).max(initial=0)) * self.largest * max(1, x.shape[1]) < 2**53
+        most = float(np.abs(q).max(initial=0)) * self.largest * max(1, x.shape[1])
+        if most >= 2**63:
+            raise ValueError("inner products may pass 64 bits")
+        exact = most < 2**53
         best = np.repeat(least[:, None], k, 1)
         where = np.full((len(q), k), -1)
         worst = np.full(len(qt.centre), -np.inf)  # least kth score below a query node
@@ -168,7 +171,7 @@ def upper_level(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
         for size, _, part in _by_length(batch):
             x = np.unique(_matrix(part.column("v"), size), axis=0)
             centres, near = [0], ((x - x[0]) ** 2).sum(1)
-            while len(centres) < min(CELLS, len(x)):
+            while len(centres) < min(CELLS, len(x), 1 + n // A_CELL):
                 centres.append(int(near.argmax()))
                 near = np.minimum(near, ((x - x[centres[-1]]) ** 2).sum(1))
             out[size] = x[centres]
@@ -192,25 +195,28 @@ def in_cells(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, v array<double>, copies long, query boolean, length int, cell int, away double")
 
 
-def _cells_to_search(asked: DataFrame, centres: dict[int, np.ndarray], radius: dict[tuple[int, int], float], first: bool) -> DataFrame:
-    """asked (query_no, vec_id, v, length, least) beside each cell to search: the one of the greatest product with its centre, or of all others those whose bound reaches `least`."""
-    sent = asked.sparkSession.sparkContext.broadcast((centres, radius))
+def _cells_to_search(asked: DataFrame, centres: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[float, int]], k: int, first: bool) -> DataFrame:
+    """asked (query_no, vec_id, v, length, least) beside each cell to search: first those of the greatest products with their centres, as many as hold more than k vectors (one is the query's own); then of all others those whose bound reaches `least`. cells: covering radius and number of vectors by length and cell."""
+    sent = asked.sparkSession.sparkContext.broadcast((centres, cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, radius = sent.value
+        centres, cells = sent.value
         for b in batches:
             for size, _, part in _by_length(b):
                 p = centres.get(size, np.zeros((1, max(size, 1))))
-                r = np.array([radius.get((size, c), -1.0) for c in range(len(p))]) if size in centres else np.array([np.inf])
+                known = [cells.get((size, c), (-1.0, 0)) for c in range(len(p))] if size in centres else [(np.inf, 0)]
+                r, n = np.array([x for x, _ in known]), np.array([x for _, x in known])
                 x, least = _matrix(part.column("v"), size), part.column("least").to_numpy(zero_copy_only=False)
                 product = np.where(r[None] < 0, -np.inf, x @ p.T)
+                order = np.argsort(-product, 1, kind="stable")
+                held = np.cumsum(n[order], 1)
+                nearest = np.zeros(product.shape, bool)
+                np.put_along_axis(nearest, order, held - n[order] <= k, 1)  # what the cells before hold is not enough
+                nearest &= (r >= 0)[None]
                 bound = product + np.sqrt((x * x).sum(1))[:, None] * np.maximum(r, 0)[None]
                 bound += 1e-6 * (1 + np.abs(product))
                 bound = np.where(np.isnan(bound), np.inf, bound)  # the zero query in a cell without a radius
-                best = product.argmax(1)
-                ok = (bound >= least[:, None]) & (r >= 0)[None]
-                ok[np.arange(len(x)), best] = False
-                at, cell = (np.arange(len(x)), best) if first else np.nonzero(ok)
+                at, cell = np.nonzero(nearest if first else (bound >= least[:, None]) & (r >= 0)[None] & ~nearest)
                 for lo in range(0, len(at), 10_000):
                     some = part.take(pa.array(at[lo : lo + 10_000]))
                     yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell[lo : lo + 10_000].astype(np.int32))], [*some.schema.names, "cell"])
@@ -258,18 +264,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     centres = upper_level(rows, rows.count())
     placed = materialize(in_cells(rows, centres), "cells")
     stats = materialize(placed.groupBy("length", "cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / DATA_BLOCK).cast("int")), "stats")
-    near = stats.where(F.col("length").isin([*centres])).select("length", "cell", "radius").collect()  # CELLS rows a length of the sample
-    radius = {(r["length"], r["cell"]): r["radius"] * (1 + 1e-9) for r in near}
+    near = stats.where(F.col("length").isin([*centres])).select("length", "cell", "radius", "n").collect()  # CELLS rows a length of the sample
+    cells = {(r["length"], r["cell"]): (r["radius"] * (1 + 1e-9), r["n"]) for r in near}
     blocks = stats.select("length", "cell", "n_blocks")
     data = placed.join(blocks, ["length", "cell"]).withColumn("sub", F.pmod(F.xxhash64("vec_id", "v"), F.col("n_blocks")).cast("int"))
     lowest = F.lit(-(1 << 63)).cast("long")
     asked = placed.where("query").select(F.xxhash64("vec_id", "v").alias("query_no"), "vec_id", "v", "length", lowest.alias("least"))
-    first = materialize(_search_cells(data, _cells_to_search(asked, centres, radius, True), blocks, k), "first")
+    first = materialize(_search_cells(data, _cells_to_search(asked, centres, cells, k, True), blocks, k), "first")
     w = Window.partitionBy("query_no", "query_id").orderBy(F.desc("score"), "vec_id")
     upto = F.sum("copies").over(w.rowsBetween(Window.unboundedPreceding, 0))
     kth = first.select("query_no", "query_id", "score", upto.alias("upto")).where(F.col("upto") >= k).groupBy("query_no", "query_id").agg(F.max("score").alias("kth"))
     more = asked.join(kth.withColumnRenamed("query_id", "vec_id"), ["query_no", "vec_id"], "left").select("query_no", "vec_id", "v", "length", F.coalesce("kth", "least").alias("least"))
-    rest = _search_cells(data, _cells_to_search(more, centres, radius, False), blocks, k)
+    rest = _search_cells(data, _cells_to_search(more, centres, cells, k, False), blocks, k)
     each = first.unionByName(rest).withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long"))))).drop("_one")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -734,6 +734,25 @@ def test_a_query_goes_to_few_cells(spark, monkeypatch):
     assert sent[0].count() == 80 and sent[1].count() < 80
 
 
+def test_first_search_finds_a_kth_score(spark, monkeypatch):
+    """Where cells hold fewer vectors than are asked for, a query first goes to several."""
+    monkeypatch.setattr(topk, "A_CELL", 4)
+    r = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in r.normal(0, 1, 6)]) for i in range(400)]
+    kth = []
+    cells = topk._cells_to_search
+    monkeypatch.setattr(topk, "_cells_to_search", lambda asked, *a: kth.append(asked) or cells(asked, *a))
+    got = Counter((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in rows_of(topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0)))
+    assert got == brute_top(rows, lambda i: i % 10 == 0, 10)
+    assert kth[1].where("least > -9223372036854775808").count() == 40
+
+
+def test_products_beyond_64_bits_are_an_error(spark):
+    rows = [(i, [1e8 * (i + 1)] * 40) for i in range(3)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 def test_top_k_is_that_of_sql(spark):
     rows = [r for r in vector_rows() if r[1] is None or r[1]]
     assert same_as_sql(spark, {"embeddings": (rows, "vec_id long, embedding array<float>")}, topk.op9, topk.SQL)
