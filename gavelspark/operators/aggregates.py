@@ -294,10 +294,14 @@ def distinct_centroid(rows: DataFrame, by: str) -> DataFrame:
     return rows.select(by, "latitude", "longitude").distinct().groupBy(by).agg(F.round(F.avg("latitude"), 6).alias("latitude"), F.round(F.avg("longitude"), 6).alias("longitude"))
 
 
-def running_weight(rows: DataFrame, by: str, value: str, weight: str) -> DataFrame:
-    """For each distinct value of a group the weight of all up to it."""
-    steps = rows.groupBy(by, c(value).alias("v")).agg(F.sum(weight).alias("w"))
-    return steps.select(by, "v", F.sum("w").over(Window.partitionBy(by).orderBy("v")).alias("upto"))
+def running_weight(rows: DataFrame, by: str, value: str, weight: str, width: float = 10.0) -> DataFrame:
+    """For each distinct value of a group the weight of all up to it: that of the buckets (of `width`) below, and that of its bucket's values up to it. A window spans a group's buckets, or a bucket's values."""
+    steps = rows.groupBy(by, c(value).alias("v")).agg(F.sum(weight).alias("w")).withColumn("_bucket", F.floor(c("v") / width))
+    upto = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    buckets = steps.groupBy(by, "_bucket").agg(F.sum("w").alias("_w"))
+    below = buckets.select(by, "_bucket", F.coalesce(F.sum("_w").over(upto(Window.partitionBy(by).orderBy("_bucket"), -1)), F.lit(0)).alias("_below"))
+    inside = F.sum("w").over(upto(Window.partitionBy(by, "_bucket").orderBy("v"), 0))
+    return steps.join(below, [by, "_bucket"]).select(by, "v", (c("_below") + inside).alias("upto"))
 
 
 def mutation_kinds(lines: DataFrame) -> DataFrame:

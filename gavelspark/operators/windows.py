@@ -14,17 +14,24 @@ def latest_by(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).alias("b")).select(key, "b.*")
 
 
-def islands(rows: DataFrame, ordinal: str, signature: Column) -> DataFrame:
+def islands(rows: DataFrame, ordinal: str, signature: Column, block: int = 100_000) -> DataFrame:
     """Contiguous rows (by a dense ordinal) of equal signature: island, the ordinal of its first row, and occurrence, the how manieth island of this signature it is.
 
-    Whether a row begins an island follows from an equi-join with its predecessor; its island is the last beginning up to it among rows of its signature, so no window spans the table.
+    Whether a row begins an island follows from an equi-join with its predecessor. Ordinals are cut into blocks: windows span a block's rows, and what a block takes over from those before (its last beginning, and the islands of each signature so far) follows from a row a block, or a block and signature. However few signatures there are, no task gets all rows of one.
     """
-    r = rows.withColumn("_s", F.xxhash64(signature)).withColumn("_sig", signature)
+    r = rows.withColumns({"_s": F.xxhash64(signature), "_sig": signature, "_block": F.floor(c(ordinal) / block)})
     before = r.select((c(ordinal) + 1).alias(ordinal), c("_sig").alias("_before"), F.lit(True).alias("_there"))
     r = r.join(before, ordinal, "left").withColumn("_begins", c("_there").isNull() | ~c("_sig").eqNullSafe(c("_before")))
-    w = Window.partitionBy("_s", "_sig").orderBy(ordinal)
-    out = r.withColumns({"island": F.max(F.when(c("_begins"), c(ordinal))).over(w), "occurrence": F.sum(c("_begins").cast("bigint")).over(w)})
-    return out.drop("_s", "_sig", "_before", "_there", "_begins")
+    begun = F.when(c("_begins"), c(ordinal))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    last = r.groupBy("_block").agg(F.max(begun).alias("_last"))
+    last = last.select("_block", F.max("_last").over(earlier(Window.orderBy("_block"))).alias("_taken"))  # a row a block
+    n = r.groupBy("_s", "_sig", "_block").agg(F.sum(c("_begins").cast("bigint")).alias("_n"))
+    n = n.select(c("_s").alias("_s2"), c("_sig").alias("_sig2"), c("_block").alias("_block2"), F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("_s", "_sig").orderBy("_block"))), F.lit(0)).alias("_so_far"))
+    r = r.join(last, "_block").join(n, (c("_s") == c("_s2")) & c("_sig").eqNullSafe(c("_sig2")) & (c("_block") == c("_block2")))
+    here, own = Window.partitionBy("_block").orderBy(ordinal), Window.partitionBy("_block", "_s", "_sig").orderBy(ordinal)
+    out = r.withColumns({"island": F.coalesce(F.max(begun).over(here), c("_taken")), "occurrence": c("_so_far") + F.sum(c("_begins").cast("bigint")).over(own)})
+    return out.select(*rows.columns, "island", "occurrence")
 
 
 def singletons(rows: DataFrame, key: str) -> DataFrame:

@@ -92,3 +92,13 @@ over_sales(
     },
     t=COUNTED,
 )
+
+HAS = "CASE sale_id % 6 WHEN 0 THEN 'Villa avec ' || CAST(sale_id % 9 + 1 AS STRING) || ' salles de bains et deux parkings' WHEN 1 THEN '1 salle d’eau, ' || CAST(sale_id % 4 + 2 AS STRING) || ' places de stationnement' WHEN 2 THEN 'Salle de bains : 3. Garage attenant' WHEN 3 THEN 'trois garages' WHEN 4 THEN 'salle à manger' END"
+over_sales(
+    "sc_count_amenities",
+    {
+        "bathrooms": (lambda: parsing.amenity_counts(c("t"))[0], "CAST(CASE sale_id % 6 WHEN 0 THEN sale_id % 9 + 1 WHEN 1 THEN 1 WHEN 2 THEN 3 END AS INTEGER)"),
+        "parking": (lambda: parsing.amenity_counts(c("t"))[1], "CAST(CASE sale_id % 6 WHEN 0 THEN 2 WHEN 1 THEN sale_id % 4 + 2 WHEN 2 THEN 1 WHEN 3 THEN 3 END AS INTEGER)"),
+    },
+    t=HAS,
+)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import aggregates as agg
+from ..operators import alerts as alerting
 from ..operators import joins, search
 from ..sources.adapters import MUTATIONS_CTE, SALES_CTE, TRIBUNALS_CTE, mutations, read, sales, tribunals
 from .registry import query
@@ -253,12 +254,22 @@ ALERTS = {
     "min_yield": "CASE WHEN n_nationkey % 9 = 1 THEN 5 END",
     "dpe_classes": "CASE WHEN n_nationkey % 3 = 2 THEN 'ABCD' END",
     "house_with_land": "n_nationkey % 10 = 6",
+    "min_discount": "CASE WHEN n_nationkey % 12 = 7 THEN 20 END",
+    "zone_id": "CASE WHEN n_nationkey % 8 IN (0, 5) THEN n_nationkey END",
+    "zone_active": "n_nationkey <> 16",
+    "zone_postal_prefix": "CASE WHEN n_nationkey % 8 = 5 THEN substring(lpad(CAST((n_nationkey + 1) * 1000 AS STRING), 5, '0'), 1, 2) END",
+    "zone_latitude": "CASE WHEN n_nationkey % 8 = 0 THEN 46e0 END",
+    "zone_longitude": "CASE WHEN n_nationkey % 8 = 0 THEN 3e0 END",
+    "zone_radius_km": "CASE WHEN n_nationkey % 8 = 0 THEN 100e0 END",
 }
 ALERTS_CTE = f"alerts AS (SELECT {', '.join(f'{e} AS {n}' for n, e in ALERTS.items())} FROM nation)".replace("STRING", "VARCHAR")
 RENT = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in numbers.RENTS.items()) + " ELSE 11e0 END"
 M2 = "CASE WHEN s.surface_m2 > 0 AND s.starting_price_eur > 0 THEN s.starting_price_eur / s.surface_m2 END"
 YIELD = f"CASE WHEN s.starting_price_eur > 0 AND s.surface_m2 > 0 THEN s.surface_m2 * {RENT.format('s.department')} * 12 / (s.starting_price_eur * 1.1e0) * 100 END"
+ZONE_KM = "2 * 6371 * asin(sqrt(pow(sin(radians(s.latitude - a.zone_latitude) / 2), 2) + cos(radians(a.zone_latitude)) * cos(radians(s.latitude)) * pow(sin(radians(s.longitude - a.zone_longitude) / 2), 2)))"
+DISCOUNT = "CASE WHEN sale_id % 3 > 0 THEN (sale_id % 50) * 1e0 END"
 FAILS = {
+    "zone": f"a.zone_id IS NOT NULL AND (NOT a.zone_active OR (a.zone_postal_prefix IS NOT NULL AND NOT starts_with(s.postal_code, a.zone_postal_prefix)) OR (a.zone_radius_km IS NOT NULL AND NOT coalesce({ZONE_KM} <= a.zone_radius_km, FALSE)))",
     "city": "a.city IS NOT NULL AND coalesce(lower(strip_accents(trim(s.city))), '') <> lower(strip_accents(trim(a.city)))",
     "department": "a.department IS NOT NULL AND s.department IS DISTINCT FROM a.department",
     "type": "a.property_type IS NOT NULL AND NOT coalesce(contains(s.property_type, a.property_type), FALSE)",
@@ -270,7 +281,9 @@ FAILS = {
     "yield": f"a.min_yield IS NOT NULL AND coalesce({YIELD} < a.min_yield, TRUE)",
     "dpe": "a.dpe_classes IS NOT NULL AND NOT coalesce(contains(a.dpe_classes, s.dpe_class), FALSE)",
     "house_with_land": f"a.house_with_land AND NOT {HOUSE.format('s.')}",
+    "discount": f"a.min_discount IS NOT NULL AND coalesce({DISCOUNT.replace('sale_id', 's.sale_id')} < a.min_discount, TRUE)",
 }
+REASONS = f"concat_ws(',', CASE WHEN a.max_price_m2 IS NOT NULL THEN 'prix au m²' END, CASE WHEN a.min_yield IS NOT NULL THEN 'rendement' END, CASE WHEN a.dpe_classes IS NOT NULL THEN 'DPE ' || s.dpe_class END, CASE WHEN a.house_with_land THEN 'terrain' END, CASE WHEN a.min_discount IS NOT NULL THEN 'décote' END, CASE WHEN a.zone_id IS NOT NULL THEN 'zone surveillée' END)"
 FAILURE = "CASE " + " ".join(f"WHEN {e} THEN '{n}'" for n, e in FAILS.items()) + " END"
 
 
@@ -278,14 +291,18 @@ def alerts(spark, d):
     return read(spark, d, "nation").selectExpr(*(f"{e} AS {n}" for n, e in ALERTS.items()))
 
 
-@query("flt_alert_match", S + f", {ALERTS_CTE} SELECT alert_id, sale_id FROM alerts a, sales s WHERE {FAILURE} IS NULL")
+@query("flt_alert_match", S + f", {ALERTS_CTE} SELECT alert_id, sale_id, {REASONS} AS reasons FROM alerts a, sales s WHERE {FAILURE} IS NULL")
 def alert_match(spark, d):
-    return search.alert_matches(alerts(spark, d), sales(spark, d))
+    told = sales(spark, d).selectExpr("*", f"{DISCOUNT} AS market_discount_pct")
+    return alerting.matches(alerts(spark, d), told).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("flt_alert_reason", S + f", {ALERTS_CTE} SELECT sale_id, {FAILURE} AS reason FROM sales s JOIN alerts a ON a.department = s.department")
 def alert_reason(spark, d):
-    return sales(spark, d).alias("s").join(alerts(spark, d).alias("a"), "department").select("sale_id", search.alert_reason().alias("reason"))
+    told = sales(spark, d).selectExpr("*", f"{DISCOUNT} AS market_discount_pct")
+    stated = alerts(spark, d)
+    stated = stated.select("*", *(F.lit(None).cast(kind).alias(n) for n, kind in alerting.ZONE.items() if n not in stated.columns))
+    return told.alias("s").join(stated.alias("a"), "department").select("sale_id", alerting.failure().alias("reason"))
 
 
 @query("flt_raw_validate", S + "SELECT sale_id, concat_ws(',', CASE WHEN sale_id % 9 = 0 THEN 'source_name' END, CASE WHEN sale_id % 5 = 0 THEN 'source_url' END, CASE WHEN trim(coalesce(title, '')) = '' AND sale_id % 2 = 1 THEN 'content' END) AS errors FROM sales")

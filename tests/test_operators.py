@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gavelspark import storage
 from gavelspark.functions import numbers, parsing, text
-from gavelspark.operators import aggregates, entities, joins, search, states, training
+from gavelspark.operators import aggregates, alerts, entities, joins, states, training, windows
 from gavelspark.sources import files
 from gavelspark.streaming import feeds
 
@@ -92,18 +92,44 @@ def test_radius_far_from_the_equator(spark):
 
 
 def test_alerts_state_what_they_want(spark):
-    names = list(search.ALERT)
-    sale = spark.createDataFrame([(1, "Bordeaux", "33", "house", 100_000, 80.0, "vacant", 60, "C", "Maison", None, 300), (2, None, None, None, None, None, None, None, None, None, None, None)], "sale_id long, city string, department string, property_type string, starting_price_eur long, surface_m2 double, occupancy_status string, investment_score long, dpe_class string, title string, has_garden boolean, land_surface_m2 long")
-    alerts = [{}, {"department": "33"}, {"department": "64"}, {"city": " bordeaux"}, {"max_price": 90_000.0}, {"min_surface": 80.0}, {"min_score": 61.0}, {"max_price_m2": 1250.0}, {"min_yield": 12.0}, {"min_yield": 13.0}, {"dpe_classes": "AB"}, {"dpe_classes": "BC"}, {"house_with_land": True}, {"occupancy_status": "Vacant", "property_type": "maison"}]
-    df = spark.createDataFrame([tuple([i] + [a.get(n) for n in names[1:]]) for i, a in enumerate(alerts)], ", ".join(f"{n} {k}" for n, k in search.ALERT.items()))
-    want = {(0, 1), (0, 2), (1, 1), (3, 1), (5, 1), (7, 1), (8, 1), (11, 1), (12, 1)}
-    assert {(x.alert_id, x.sale_id) for x in search.alert_matches(df, sale).collect()} == want
-
-
-@pytest.mark.parametrize("small", [0, 50_000])
-def test_many_alerts_without_a_department(spark, monkeypatch, small):
-    monkeypatch.setattr(search, "SMALL_ALERTS", small)
-    test_alerts_state_what_they_want(spark)
+    """Whichever way they go: no pair is missed, and none met twice."""
+    kinds = alerts.ALERT | alerts.ZONE
+    sale = spark.createDataFrame([(1, "Bordeaux", "33", "33000", "house", 100_000, 80.0, "vacant", 60, "C", "Maison", None, 300, 44.84, -0.58, 12.0), (2, *[None] * 15)], "sale_id long, city string, department string, postal_code string, property_type string, starting_price_eur long, surface_m2 double, occupancy_status string, investment_score long, dpe_class string, title string, has_garden boolean, land_surface_m2 long, latitude double, longitude double, market_discount_pct double")
+    near, far = {"zone_id": 1, "zone_active": True, "zone_latitude": 44.8, "zone_longitude": -0.6, "zone_radius_km": 20.0}, {"zone_id": 1, "zone_active": True, "zone_latitude": 48.8, "zone_longitude": 2.0, "zone_radius_km": 20.0}
+    stated = [{}, {"department": "33"}, {"department": "64"}, {"city": " bordeaux"}, {"max_price": 90_000.0}, {"min_surface": 80.0}, {"min_score": 61.0}, {"max_price_m2": 1250.0}, {"min_yield": 12.0}, {"min_yield": 13.0}, {"dpe_classes": "AB"}, {"dpe_classes": "BC"}, {"house_with_land": True}, {"occupancy_status": "Vacant", "property_type": "maison"}]
+    stated += [{"max_price": 100_000.0}, {"min_discount": 12.0}, {"min_discount": 13.0}, near, far, near | {"zone_active": False}, near | {"zone_latitude": None}, {"zone_id": 2, "zone_active": True, "zone_department": "33", "zone_postal_prefix": "330"}, {"zone_id": 2, "zone_active": True, "zone_city": "BORDEAUX", "zone_postal_prefix": "331"}]
+    df = spark.createDataFrame([tuple([i] + [a.get(n) for n in list(kinds)[1:]]) for i, a in enumerate(stated)], ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    want = Counter([(0, 1), (0, 2), (1, 1), (3, 1), (5, 1), (7, 1), (8, 1), (11, 1), (12, 1), (14, 1), (15, 1), (17, 1), (21, 1)])
+    got = alerts.matches(df, sale).collect()
+    assert Counter((x.alert_id, x.sale_id) for x in got) == want
+    assert {x.alert_id: x.reasons for x in got if x.sale_id == 1 and x.reasons} == {7: ["prix au m²"], 8: ["rendement"], 11: ["DPE C"], 12: ["terrain"], 15: ["décote"], 17: ["zone surveillée"], 21: ["zone surveillée"]}
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_islands_over_any_blocks(spark, block):
+    r = random.Random(block)
+    signs = [r.choice(["a", "a", "b", None]) for _ in range(120)]
+    got = {x.i: (x.island, x.occurrence) for x in windows.islands(spark.createDataFrame(list(enumerate(signs)), "i long, s string"), "i", c("s"), block).collect()}
+    want, seen = {}, Counter()
+    for i, s in enumerate(signs):
+        if i == 0 or s != signs[i - 1]:
+            seen[s] += 1
+            begins = i
+        want[i] = (begins, seen[s])
+    assert got == want
+
+
+@pytest.mark.parametrize("width", [0.5, 3.0, 1000.0])
+def test_running_weights_over_any_buckets(spark, width):
+    r = random.Random(2)
+    rows = [(r.choice("xy"), r.randrange(-20, 20), r.randrange(5)) for _ in range(200)]
+    got = {(x.k, x.v): x.upto for x in aggregates.running_weight(spark.createDataFrame(rows, "k string, v long, w long"), "k", "v", "w", width).collect()}
+    assert got == {(k, v): sum(w for a, b, w in rows if a == k and b <= v) for k, v, _ in rows}
+
+
+def test_alerts_meet_sales_in_an_equi_join(spark, sf):
+    plan = entry.queries()["flt_alert_match"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_market_trend_of_a_steady_rise(spark):
