@@ -2,7 +2,7 @@
 
 The upper level of the data's tree is shared by all tasks: CELLS centres, far from each other, of a bounded sample of the vectors. Every vector belongs to the cell of its nearest centre; a cell's covering radius is the greatest distance of its vectors from it. There are as many cells as leave A_CELL vectors to each, CELLS at most. A query first searches the cells whose centres it likes best, as many as hold more than k vectors, which gives it a kth score; after that it goes only to cells whose bound <q, p> + |q| r_P still reaches that score. So what is shuffled is each vector twice, whatever the number of queries, and a query as often as cells can matter to it. A cell of many vectors is dealt into blocks.
 
-In a block a cover tree is grown over the vectors, and one over each batch of queries; both are walked together. A node has a level: its points lie within BASE**level of its centre (covering), and the centres of its children, one or more levels down, are further than BASE**(their level) from each other (separation). No inner product of the points of nodes Q and P exceeds <q, p> + |q| r_P + |p| r_Q + r_Q r_P; a pair of nodes is left when this is below the worst kth score that the query node's members have so far. Where a level would have more than FANOUT centres, the vectors are too far from each other for a tree to prune, and the node keeps its points as a leaf.
+In a block a cover tree is grown over the vectors, and one over each batch of queries; both are walked together. A node has a level: its points lie within BASE**level of its centre (covering), and the centres of its children, one or more levels down, are further than BASE**(their level) from each other (separation). No inner product of the points of nodes Q and P exceeds <q, p> + |q| r_P + |p| r_Q + r_Q r_P; a pair of nodes is left when this is below the worst kth score that the query node's members have so far; at a leaf, each of its queries is left by its own bound. Where a level would have more than FANOUT centres, the vectors are too far from each other for a tree to prune, and the node keeps its points as a leaf.
 
 Vectors become whole numbers, floor(scale * x), and scores are exact: products are taken in doubles where every partial sum is below 2^53, else in 64-bit integers; vectors whose products could pass these are an error.
 
@@ -106,8 +106,12 @@ class Block:
             return (xt.x[centres] @ q[c]) + qt.norms[c] * rp + xt.norms[centres] * r + r * rp + 1e-6 * (1 + qt.norms[c] * xt.norms[centres])
 
         def base(i: int, j: int) -> None:
-            """Only scores that reach a query's kth one so far are sorted in."""
-            rows, cols = qt.points[i], xt.points[j]
+            """Each query of the node that the data node's own bound lets in meets its points; only scores that reach a query's kth one so far are sorted in."""
+            rows, cols, centre = qt.points[i], xt.points[j], xt.x[xt.centre[j]]
+            product = q[rows] @ centre
+            rows = rows[product + qt.norms[rows] * xt.radius[j] + 1e-6 * (1 + np.abs(product)) >= best[rows, -1]]
+            if not len(rows):
+                return
             s = _products(q[rows], x[cols], exact)
             r, c = np.nonzero((s >= best[rows, -1][:, None]) & (q_ids[rows][:, None] != ids[cols][None]))
             if not len(r):

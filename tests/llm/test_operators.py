@@ -747,6 +747,23 @@ def test_first_search_finds_a_kth_score(spark, monkeypatch):
     assert kth[1].where("least > -9223372036854775808").count() == 40
 
 
+@pytest.mark.parametrize("dim, least", [(64, 0.8), (3, 0.7)])
+def test_trees_leave_out_most_pairs_of_clustered_vectors(monkeypatch, dim, least):
+    """Of groups far apart, and of few dimensions, though the queries lie all over."""
+    r = np.random.default_rng(1)
+    centres = r.normal(0, 1, (50, dim)) * 3
+    x = np.floor(1024 * (centres[r.integers(0, 50, 4000)] + r.normal(0, 0.05, (4000, dim)))) if dim > 3 else np.floor(1024 * r.normal(0, 1, (4000, dim)))
+    pairs, products = [0], topk._products
+    monkeypatch.setattr(topk, "_products", lambda a, b, exact: pairs.append(len(a) * len(b)) or products(a, b, exact))
+    at = np.arange(0, 4000, 100)
+    row, ids, _, scores = topk.Block(np.arange(4000), x, np.ones(4000, int)).search(at, x[at], np.full(40, -(1 << 62)), 10)
+    assert sum(pairs) < (1 - least) * 40 * 4000
+    for i, q in enumerate(at):
+        s = (x @ x[q]).astype(np.int64)
+        order = [j for j in np.lexsort((np.arange(4000), -s)) if j != q][:10]
+        assert sorted(zip(-scores[row == i], ids[row == i], strict=True)) == [(-s[j], j) for j in order]
+
+
 def test_products_beyond_64_bits_are_an_error(spark):
     rows = [(i, [1e8 * (i + 1)] * 40) for i in range(3)]
     with pytest.raises(Exception, match="64 bits"):
