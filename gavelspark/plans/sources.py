@@ -25,7 +25,7 @@ ANSWER_SQL = ANSWER.replace("AS STRING", "AS VARCHAR")
 
 @query(
     "src_geojson",
-    f"WITH a AS (SELECT s_suppkey, {ANSWER_SQL} FROM supplier), f AS (SELECT s_suppkey, unnest(json_extract(answer, '$.features[*]')) AS f, generate_subscripts(json_extract(answer, '$.features[*]'), 1) AS nth FROM a WHERE json_valid(answer)), p AS (SELECT s_suppkey, f ->> '$.properties.id' AS id, f ->> '$.properties.section' AS section, CAST(f ->> '$.properties.area' AS BIGINT) AS area, CAST(f -> '$.geometry' AS VARCHAR) AS geometry, row_number() OVER (PARTITION BY s_suppkey, f ->> '$.properties.id' ORDER BY nth) AS r FROM f) SELECT s_suppkey, id, section, area, geometry FROM p WHERE id IS NOT NULL AND r = 1",
+    f"WITH a AS (SELECT s_suppkey, {ANSWER_SQL} FROM supplier), f AS (SELECT s_suppkey, unnest(json_extract(answer, '$.features[*]')) AS f, generate_subscripts(json_extract(answer, '$.features[*]'), 1) AS nth FROM a WHERE json_valid(answer)), p AS (SELECT s_suppkey, f ->> '$.properties.id' AS id, f ->> '$.properties.section' AS section, CAST(f ->> '$.properties.area' AS BIGINT) AS area, CAST(f -> '$.geometry' AS VARCHAR) AS geometry, row_number() OVER (PARTITION BY s_suppkey, f ->> '$.properties.id' ORDER BY nth) AS r FROM f) SELECT s_suppkey, id, section, area, geometry, FALSE AS capped FROM p WHERE id IS NOT NULL AND r = 1",
 )
 def geojson_rows(spark, d):
     answers = read(spark, d, "supplier").selectExpr("s_suppkey", ANSWER)

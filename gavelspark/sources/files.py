@@ -110,9 +110,9 @@ def read_json_list(spark: SparkSession, path: str, schema: str, required: list[s
 
 
 def features(collections: DataFrame, text: str, keep: list[str], properties: str, key: str, most: int = 100) -> DataFrame:
-    """A row for each of the first `most` features of GeoJSON texts: the columns `keep`, the properties, and the geometry as text; of features of one row with the same key the first stays, those without one go. A text that is no collection has none. `most` is the limit of one answer of the service, not of the table."""
+    """A row for each of the first `most` features of GeoJSON texts: the columns `keep`, the properties, and the geometry as text; of features of one row with the same key the first stays, those without one go. A text that is no collection has none. `most` is the limit of one answer of the service, not of the table; capped says that an answer had more."""
     parsed = F.from_json(c(text), f"struct<features:array<struct<properties:struct<{properties}>,geometry:string>>>")
-    each = collections.select(*keep, F.posexplode(F.slice(parsed["features"], 1, most)).alias("_at", "_f")).select(*keep, "_at", c("_f.properties.*"), c("_f.geometry").alias("geometry")).where(c(key).isNotNull())
+    each = collections.select(*keep, (F.size(parsed["features"]) > most).alias("capped"), F.posexplode(F.slice(parsed["features"], 1, most)).alias("_at", "_f")).select(*keep, "_at", "capped", c("_f.properties.*"), c("_f.geometry").alias("geometry")).where(c(key).isNotNull())
     others = [x for x in each.columns if x not in (*keep, key, "_at")]
     first = each.groupBy(*keep, key).agg(F.min_by(F.struct(*others), "_at").alias("_r"))
     return first.select(*keep, key, "_r.*")
