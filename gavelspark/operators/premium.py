@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.occurrences import ANY_CASE, around, occurrences
+from ..functions.occurrences import ANY_CASE, around, occurrences, quick
 from ..functions.text import clean_text, let
 
 c = F.col
@@ -59,7 +59,7 @@ MOST_ACTIONS = 7
 
 
 def _has(x: Column, pattern: str) -> Column:
-    return F.coalesce(x.rlike(ANY_CASE + "(?s)" + pattern), F.lit(False))
+    return F.coalesce(x.rlike(ANY_CASE + "(?s)" + quick(pattern)), F.lit(False))
 
 
 def _shown(text: Column, patterns: list[str]) -> Column:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.occurrences import ANY_CASE, after, around, before, occurrences
+from ..functions.occurrences import ANY_CASE, after, around, before, occurrences, quick
 from ..functions.text import clean_text, let
 
 c = F.col
@@ -151,7 +151,7 @@ RISKS = {
 
 
 def _has(x: Column, pattern: str) -> Column:
-    return x.rlike(ANY_CASE + pattern)
+    return x.rlike(ANY_CASE + quick(pattern))
 
 
 def normal_document_type(document_type: Column, source_kind: Column) -> Column:
@@ -159,7 +159,8 @@ def normal_document_type(document_type: Column, source_kind: Column) -> Column:
     raw = F.translate(F.lower(F.coalesce(clean_text(document_type), F.lit(""))), "- ", "__")
     names = F.create_map(*(F.lit(x) for pair in DOCUMENT_ALIASES.items() for x in pair))
     own = F.when(source_kind == "sale_text", "source_listing").otherwise("pdf")
-    return F.when((source_kind == "sale_text") & raw.isin("", "none", "null"), "source_listing").otherwise(F.coalesce(F.try_element_at(names, raw), F.nullif(raw, F.lit("")), own))
+    named = lambda raw: F.when((source_kind == "sale_text") & raw.isin("", "none", "null"), "source_listing").otherwise(F.coalesce(F.try_element_at(names, raw), F.when(raw != "", raw), own))
+    return let(raw, named)
 
 
 def _denies(risk: Risk, context: Column) -> Column:

@@ -15,6 +15,11 @@ from .registry import query
 c = F.col
 S = f"WITH {SALES_CTE} "
 
+def spread(rows, key: str):
+    """Rows over all shuffle partitions by key: a file that is one split to read is many tasks to work on, and what is grouped by key stays where it is."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 #: Texts of sales with what they tell: text, kind of source, type of document, and label, severity, confidence and number of the occurrences that count.
 TOLD = [
     ("Le procès-verbal descriptif constate des infiltrations d'eau et des dégradations importantes dans le logement. Des travaux de remise en état sont à prévoir.", "pdf", "pv_huissier", [("travaux", 5, 0.86, 2)]),
@@ -37,7 +42,7 @@ EXPECTED = ", ".join(f"({i}, '{label}', {severity}, {confidence}e0, {n})" for i,
 @query("sc_risk_extract", S + f"SELECT sale_id, label AS risk_label, severity, confidence, n FROM sales JOIN (VALUES {EXPECTED}) t(i, label, severity, confidence, n) ON sale_id % {len(TOLD)} = i")
 def risk_extract(spark, d):
     of = lambda k: F.get(F.array(*(F.lit(x[k]).cast("string") for x in TOLD)), (c("sale_id") % len(TOLD)).cast("int"))
-    texts = sales(spark, d).select("sale_id", of(0).alias("text"), of(1).alias("source_kind"), of(2).alias("document_type"))
+    texts = spread(sales(spark, d).select("sale_id"), "sale_id").select("sale_id", of(0).alias("text"), of(1).alias("source_kind"), of(2).alias("document_type"))
     return risks.risk_occurrences(texts).groupBy("sale_id", "risk_label", "severity", "confidence").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -135,7 +140,7 @@ FACTS = (
 
 
 def pages_of(spark, d):
-    return sales(spark, d).select("*", F.explode(F.array(*(F.lit(k) for k in range(4)))).alias("k")).selectExpr(*PAGES, PAGE_TEXT + " AS text")
+    return spread(sales(spark, d).select("sale_id", "starting_price_eur", "surface_m2", "dpe_class"), "sale_id").select("*", F.explode(F.array(*(F.lit(k) for k in range(4)))).alias("k")).selectExpr(*PAGES, PAGE_TEXT + " AS text")
 
 
 @query("sc_pdf_facts", S + FACTS)
