@@ -18,21 +18,30 @@ c = F.col
 def nearest(subjects: DataFrame, points: DataFrame, key: str, k: int, most_m: float, hold: Callable[[DataFrame, str], DataFrame], first_m: float = 250.0) -> DataFrame:
     """key, point_id, metres, place (from 1): the k points nearest to each subject (key, latitude, longitude), within most_m. points: point_id, latitude, longitude. Ties go to the smaller point_id.
 
-    A round's cells have an edge that is sure to hold, in a cell and those around it, all points within `reach`; a subject with k points within reach is done, others go on with twice the reach. So pairs grow with the subjects, not with the area. Subjects and points without a place take no part; a subject's rows are one.
+    A round's cells have an edge that is sure to hold, in a cell and those around it, all points within `reach`; a subject with k points within reach is done, others go on with twice the reach. So pairs grow with the subjects, not with the area. Places are paired, not rows: subjects at one place have the same points, and of the points at one place the k with the smallest ids count. Subjects and points without a place take no part; a subject's rows are one.
     """
-    left = hold(subjects.where("latitude is not null and longitude is not null").select(key, "latitude", "longitude").dropDuplicates([key]), "subjects")
+    placed = subjects.where("latitude is not null and longitude is not null").select(key, "latitude", "longitude").dropDuplicates([key])
+    found = _nearest_of_places(placed.select("latitude", "longitude").distinct(), points, k, most_m, hold, first_m)
+    return placed.join(found, ["latitude", "longitude"]).select(key, "point_id", "metres", "place")
+
+
+def _nearest_of_places(places: DataFrame, points: DataFrame, k: int, most_m: float, hold: Callable[[DataFrame, str], DataFrame], first_m: float) -> DataFrame:
+    key = ["latitude", "longitude"]
+    left = hold(places, "subjects")
     there = points.where("latitude is not null and longitude is not null").select("point_id", c("latitude").alias("p_latitude"), c("longitude").alias("p_longitude"))
+    there = there.withColumn("_n", F.row_number().over(Window.partitionBy("p_latitude", "p_longitude").orderBy("point_id"))).where(c("_n") <= k).drop("_n")
+    there = hold(there, "points")
     reach, out = min(first_m, most_m), None
     while True:
         size = reach * 1.05  # the plane is true to a few per cent
         own = left.withColumn("cell", F.explode(disk(cell_of(c("latitude"), c("longitude"), size), 1)))
         pairs = own.join(there.withColumn("cell", cell_of(c("p_latitude"), c("p_longitude"), size)), "cell")
-        metres = pairs.select(key, "point_id", haversine_m(c("latitude"), c("longitude"), c("p_latitude"), c("p_longitude")).alias("metres")).where(c("metres") <= reach)
-        w = Window.partitionBy(key).orderBy("metres", "point_id")
+        metres = pairs.select(*key, "point_id", haversine_m(c("latitude"), c("longitude"), c("p_latitude"), c("p_longitude")).alias("metres")).where(c("metres") <= reach)
+        w = Window.partitionBy(*key).orderBy("metres", "point_id")
         best = hold(metres.withColumn("place", F.row_number().over(w)).where(c("place") <= k), "nearest")
         if reach >= most_m:
             return best if out is None else out.union(best)
-        done = best.where(c("place") == k).select(key)
+        done = best.where(c("place") == k).select(*key)
         found = best.join(done, key, "left_semi")
         out = found if out is None else out.union(found)
         left = hold(left.join(done, key, "left_anti"), "subjects")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavelspark.functions.occurrences import quick
-from gavelspark.operators import facts, listings
+from gavelspark.operators import facts, listings, nearby
+from gavelspark.storage import hold
 
 c = F.col
 
@@ -56,3 +57,12 @@ def test_diagnostics_of_one_address_make_no_pairs_of_rows(spark):
     got = {r.sale_id: (r.diagnostic_id, r.confidence) for r in df.collect()}
     assert got == {i: (1000 + i % 2, 0.95) for i in range(300)}
     assert joined_rows(df) < 300 * 10
+
+
+def test_points_of_one_place_make_no_pairs_of_rows(spark):
+    subjects = spark.range(200).select(c("id").alias("sale_id"), F.lit(44.0).alias("latitude"), F.lit(0.5).alias("longitude"))
+    points = spark.range(500).select(c("id").alias("point_id"), F.lit(44.0).alias("latitude"), F.lit(0.5).alias("longitude"))
+    held = []
+    df = nearby.nearest(subjects, points, "sale_id", 3, 400.0, lambda d, n: held.append(d) or hold(d, n))
+    assert sorted((r.sale_id, r.point_id, r.place) for r in df.collect()) == [(s, p, p + 1) for s in range(200) for p in range(3)]
+    assert all(d.count() <= 3 for d in held)
