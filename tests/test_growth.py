@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavelspark.functions.occurrences import quick
-from gavelspark.operators import facts, listings, nearby
+from gavelspark.operators import facts, joins, listings, nearby
 from gavelspark.storage import hold
 
 c = F.col
@@ -66,3 +66,16 @@ def test_points_of_one_place_make_no_pairs_of_rows(spark):
     df = nearby.nearest(subjects, points, "sale_id", 3, 400.0, lambda d, n: held.append(d) or hold(d, n))
     assert sorted((r.sale_id, r.point_id, r.place) for r in df.collect()) == [(s, p, p + 1) for s in range(200) for p in range(3)]
     assert all(d.count() <= 3 for d in held)
+
+
+def test_each_context_pair_once_however_often_it_agrees(spark):
+    day = lambda n: F.date_add(F.lit("2001-01-01").cast("date"), n)
+    made = lambda rows, p: spark.createDataFrame(rows, "id long, parcel_id string, d int, address_key long, postal_code string").select(c("id").alias(f"{p}_id"), "parcel_id", day(c("d")).alias(f"{p}_date"), "address_key", "postal_code")
+    candidates = [(1, "p", 0, 7, "x"), (1, "q", 0, 7, "x"), (2, "p", 31, 7, None), (3, "r", 90, None, "x"), (3, "r", 0, 7, "x"), (4, None, 60, 8, "y")]
+    lots = [(1, "p", 10, 7, "x"), (2, "q", 61, 7, "x"), (3, "r", 30, 9, "x"), (3, "p", 62, 8, "y")]
+    df = joins.match_contexts(made(candidates, "candidate"), made(lots, "lot"))
+    want = {(a[0], b[0]) for a in candidates for b in lots if (a[1] and a[1] == b[1]) or (abs(a[2] - b[2]) <= 30 and ((a[3] and a[3] == b[3]) or (a[4] and a[4] == b[4])))}
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    hot = [(i, str(i), i * 40, 7, str(i)) for i in range(300)]
+    df = joins.match_contexts(made(hot, "candidate"), made([(i, str(-1 - i), d, k, str(-1 - i)) for i, _, d, k, _ in hot], "lot"))
+    assert len(df.collect()) == 300 and joined_rows(df) < 300 * 10
