@@ -79,3 +79,11 @@ def test_each_context_pair_once_however_often_it_agrees(spark):
     hot = [(i, str(i), i * 40, 7, str(i)) for i in range(300)]
     df = joins.match_contexts(made(hot, "candidate"), made([(i, str(-1 - i), d, k, str(-1 - i)) for i, _, d, k, _ in hot], "lot"))
     assert len(df.collect()) == 300 and joined_rows(df) < 300 * 10
+
+
+def test_points_may_go_to_the_cells_instead(spark):
+    at = lambda n, m: [(44 + c("id") * n % 97 / 2000.0), (0.5 + c("id") * m % 89 / 2000.0)]
+    subjects = spark.range(150).select(c("id").alias("sale_id"), *(x.alias(y) for x, y in zip(at(13, 7), ("latitude", "longitude"), strict=True)))
+    points = spark.range(150).select(c("id").alias("point_id"), *(x.alias(y) for x, y in zip(at(11, 17), ("point_latitude", "point_longitude"), strict=True)))
+    one, other = (sorted((r.sale_id, r.point_id) for r in joins.within_radius(subjects, points, 900.0, widen_points=w).collect()) for w in (False, True))
+    assert one == other and one
