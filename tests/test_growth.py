@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavelspark.functions.occurrences import quick
-from gavelspark.operators import facts, joins, listings, nearby
+from gavelspark.operators import facts, joins, listings, nearby, reports
 from gavelspark.storage import hold
 
 c = F.col
@@ -87,3 +87,11 @@ def test_points_may_go_to_the_cells_instead(spark):
     points = spark.range(150).select(c("id").alias("point_id"), *(x.alias(y) for x, y in zip(at(11, 17), ("point_latitude", "point_longitude"), strict=True)))
     one, other = (sorted((r.sale_id, r.point_id) for r in joins.within_radius(subjects, points, 900.0, widen_points=w).collect()) for w in (False, True))
     assert one == other and one
+
+
+def test_means_at_a_half_go_up_in_any_order(spark):
+    values = [0.1, 0.2, 0.3, 0.4] * 25 + [41.75 * 2 - 0.25] * 100
+    rows = spark.createDataFrame([(1, v) for v in values] + [(2, v) for v in reversed(values)] + [(3, float("inf")), (3, 1.0)], "u long, v double")
+    got = {r.u: r.latency for r in reports.runtime_health(rows.where("u < 3"), "u", c("v"), F.lit(False), 1, 50.0, 20.0).collect()}
+    assert got[1] == got[2] == 41.8
+    assert [round(r.latency, 1) for r in reports.runtime_health(spark.createDataFrame([(1, x) for x in [0.1] * 5 + [0.2] * 5], "u long, v double"), "u", c("v"), F.lit(False), 1, 50.0, 20.0).collect()] == [0.2]
