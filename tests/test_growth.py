@@ -89,6 +89,17 @@ def test_points_may_go_to_the_cells_instead(spark):
     assert one == other and one
 
 
+def test_radius_pairs_places_not_rows(spark):
+    at = [(44 + c("id") % 5 * 0.004).alias("latitude"), (0.5 + c("id") % 3 * 0.005).alias("longitude")]
+    rows = spark.range(600).select(c("id").alias("sale_id"), *at).union(spark.createDataFrame([(900, None, 0.5), (901, 60.0, 0.5), (901, 60.0, 0.5)], "sale_id long, latitude double, longitude double"))
+    df = joins.neighbours(rows, 1000.0, 4, chunk=15)
+    got = sorted(tuple(r) for r in df.collect())
+    assert joined_rows(df) < len(got) / 10
+    points = rows.toDF("point_id", "point_latitude", "point_longitude")
+    by_rows = joins.within_radius(rows, points, 1000.0, c("sale_id") != c("point_id"))
+    assert got == sorted((r.sale_id, r.point_id, round(r.distance_m, 2)) for r in by_rows.collect()) and len(got) > 10_000
+
+
 def test_means_at_a_half_go_up_in_any_order(spark):
     values = [0.1, 0.2, 0.3, 0.4] * 25 + [41.75 * 2 - 0.25] * 100
     rows = spark.createDataFrame([(1, v) for v in values] + [(2, v) for v in reversed(values)] + [(3, float("inf")), (3, 1.0)], "u long, v double")
