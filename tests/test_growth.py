@@ -5,8 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from gavelspark.functions.occurrences import quick
 from gavelspark.operators import facts, joins, listings, nearby, reports
+from gavelspark.sources import adapters
 from gavelspark.storage import hold
 
 c = F.col
@@ -100,6 +102,27 @@ def test_radius_pairs_places_not_rows(spark):
     assert got == sorted((r.sale_id, r.point_id, round(r.distance_m, 2)) for r in by_rows.collect()) and len(got) > 10_000
 
 
+@pytest.fixture
+def small_parts(monkeypatch, spark, sf):
+    """Register lines dealt over 20 partitions and one more at most."""
+    monkeypatch.setattr(adapters, "ROWS", adapters.read(spark, sf, "lineitem").count() // 20)
+    return adapters.line_parts(spark, sf)
+
+
+def most_partitions(df) -> int:
+    """Of the plan's exchanges the one with the most."""
+    return max(int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+@pytest.mark.parametrize("name", ["join_parcel_self"])
+def test_register_lines_go_over_partitions_by_their_number(spark, sf, small_parts, name, monkeypatch):
+    df = entry.queries()[name](spark, sf)
+    assert most_partitions(df) == small_parts >= 20
+    got = sorted(tuple(r) for r in df.collect())
+    monkeypatch.setattr(adapters, "FEW", 1 << 30)
+    assert got == sorted(tuple(r) for r in entry.queries()[name](spark, sf).collect()) and got
+
+
 def test_means_at_a_half_go_up_in_any_order(spark):
     values = [0.1, 0.2, 0.3, 0.4] * 25 + [41.75 * 2 - 0.25] * 100
     rows = spark.createDataFrame([(1, v) for v in values] + [(2, v) for v in reversed(values)] + [(3, float("inf")), (3, 1.0)], "u long, v double")
