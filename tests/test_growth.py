@@ -114,7 +114,7 @@ def most_partitions(df) -> int:
     return max(int(n) for n in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()))
 
 
-@pytest.mark.parametrize("name", ["join_parcel_self", "agg_distinct_centroid", "agg_parcel_sum_of_max"])
+@pytest.mark.parametrize("name", ["join_parcel_self", "agg_distinct_centroid", "agg_parcel_sum_of_max", "set_match_dvf"])
 def test_register_lines_go_over_partitions_by_their_number(spark, sf, small_parts, name, monkeypatch):
     df = entry.queries()[name](spark, sf)
     assert most_partitions(df) == small_parts >= 20
