@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts, risks, states
 from ..sources import registry
-from ..sources.adapters import SALES_CTE, sales
+from ..sources.adapters import SALES_CTE, parts_for, sales
 from ..storage import shared_dir
 from ..streaming import monitors
 from .queries import read
@@ -81,7 +81,7 @@ def watched(spark, d):
 
 @query("st_change_feed", S + f", r AS ({ROWS}), p AS (SELECT *, {', '.join(PAIR.format(x) for x in ('price', 'day', 'status', 'documents', 'document_count', 'score'))} FROM r WINDOW w AS (PARTITION BY sale_id ORDER BY k)), m AS ({MOVES}) SELECT sale_id, event_kind, event_kind || ':' || field || ':' || previous || ':' || current AS fingerprint, severity, min(checked_at) AS checked_at FROM m GROUP BY ALL")
 def change_feed(spark, d):
-    return monitors.change_feed(watched(spark, d)).select("sale_id", "event_kind", "fingerprint", "severity", F.col("checked_at").cast("timestamp_ntz").alias("checked_at"))
+    return monitors.change_feed(watched(spark, d), parts=parts_for(read(spark, d, "orders"), TIMES)).select("sale_id", "event_kind", "fingerprint", "severity", F.col("checked_at").cast("timestamp_ntz").alias("checked_at"))
 
 
 LOG = "ts > TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-25 00:00:00'"

@@ -61,10 +61,11 @@ def _moved(field: str, least: int) -> Column:
     return was.isNotNull() & now.isNotNull() & (was != now) & far
 
 
-def change_feed(rows: DataFrame, forget: str | None = None) -> DataFrame:
-    """The changes between consecutive snapshots of each watch; its first one, and one more than `forget` after the last, is a baseline. A change that a user was told of a sale (same kind, from the same value to the same value) is not told again, unless all watches of the sale had been forgotten in between."""
-    w = Window.partitionBy(*WATCH).orderBy("checked_at")
+def change_feed(rows: DataFrame, forget: str | None = None, parts: int | None = None) -> DataFrame:
+    """The changes between consecutive snapshots of each watch; its first one, and one more than `forget` after the last, is a baseline. A change that a user was told of a sale (same kind, from the same value to the same value) is not told again, unless all watches of the sale had been forgotten in between. parts: over how many partitions users and sales are dealt, once for all steps, if not the session's number for each."""
     each = snapshots(rows)
+    if parts:
+        each = each.repartition(parts, *WATCH[:2])
     if forget:
         seen = Window.partitionBy(*WATCH[:2]).orderBy("checked_at")
         fresh = c("checked_at") > F.lag("checked_at").over(seen) + F.expr(f"interval {forget}")

@@ -123,6 +123,15 @@ def test_register_lines_go_over_partitions_by_their_number(spark, sf, small_part
     assert got == sorted(tuple(r) for r in entry.queries()[name](spark, sf).collect()) and got
 
 
+def test_watches_are_dealt_once_by_their_number(spark, sf, small_parts, monkeypatch):
+    df = entry.queries()["st_change_feed"](spark, sf)
+    parts = adapters.parts_for(adapters.read(spark, sf, "orders"), 4)
+    assert most_partitions(df) == parts and df._jdf.queryExecution().executedPlan().toString().count(f", {parts})") == 1
+    got = sorted(tuple(r) for r in df.collect())
+    monkeypatch.setattr(adapters, "FEW", 1 << 30)
+    assert got == sorted(tuple(r) for r in entry.queries()["st_change_feed"](spark, sf).collect()) and got
+
+
 def test_means_at_a_half_go_up_in_any_order(spark):
     values = [0.1, 0.2, 0.3, 0.4] * 25 + [41.75 * 2 - 0.25] * 100
     rows = spark.createDataFrame([(1, v) for v in values] + [(2, v) for v in reversed(values)] + [(3, float("inf")), (3, 1.0)], "u long, v double")
