@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, content_hash, street_key
@@ -82,27 +86,70 @@ def address_key() -> Column:
     return F.when(street.rlike(r"\d") & (F.char_length(street) >= 6), F.concat_ws("|", street, place))
 
 
-def same_property(a: str, b: str) -> Column:
-    """One property, unless date and price are known on both sides and both differ (the price by more than 2 per cent of the greater)."""
-    price = lambda p: c(f"{p}starting_price_eur")
-    known = c(f"{a}sale_date").isNotNull() & c(f"{b}sale_date").isNotNull() & (F.coalesce(price(a), F.lit(0)) != 0) & (F.coalesce(price(b), F.lit(0)) != 0)
-    close = (price(a) > 0) & (price(b) > 0) & (F.abs(price(a) - price(b)) <= 0.02 * F.greatest(price(a), price(b)))
-    return ~(known & (c(f"{a}sale_date") != c(f"{b}sale_date")) & ~close)
-
-
-def by_address(rows: DataFrame, hold) -> DataFrame:
+#: By how much of the greater one prices of one property may differ; a width of their logarithms beyond which they differ by more; rows of an address that a round reads in order.
+CLOSE, LOG_WIDTH, PREFIX = 0.02, 0.0203, 1000
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of key and sale_id those that are not the same property as a first row before them. Properties are the same unless date and price (not 0) are known on both sides and both differ, the price by more than CLOSE or not above 0."""
+    key, dates, prices, all_in = None, set(), [], False
+    for batch in batches:
+        found = []
+        for i, (k, date, price) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("key", "sale_date", "starting_price_eur")), strict=True)):
+            if fresh := k != key:
+                key, dates, prices, all_in = k, set(), [], False
+            if date is None or not price:
+                all_in = all_in or fresh  # the first row of all: any row is the same as it
+                if fresh:
+                    found.append(i)
+                continue
+            at = bisect_left(prices, price) if price > 0 else 0
+            near = price > 0 and any(abs(price - p) <= CLOSE * max(price, p) for p in prices[max(0, at - 1) : at + 1])
+            if all_in or date in dates or near:
+                continue
+            found.append(i)
+            dates.add(date)
+            if price > 0:
+                prices.insert(at, price)
+        yield batch.take(pa.array(found, pa.int32()))
+
+
+def _taken_in(left: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Rows with group_id: the first of the firsts of their key that is the same property; null if none is. By equi-joins, each with one row a key: on address, address and date, address and bucket of price."""
+    price = c("starting_price_eur")
+    known = c("sale_date").isNotNull() & (F.coalesce(price, F.lit(0)) != 0)
+    bucket = F.when(known & (price > 0), F.floor(F.ln(price.cast("double")) / LOG_WIDTH))
+    any_one = firsts.groupBy("key").agg(F.min("sale_id").alias("_any"), F.min(F.when(~known, c("sale_id"))).alias("_unknown"))
+    by_date = firsts.where(known).groupBy("key", "sale_date").agg(F.min("sale_id").alias("_dated"))
+    around = firsts.where(bucket.isNotNull()).select("key", "sale_id", price.alias("p"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
+    by_price = around.groupBy("key", "_bucket").agg(F.collect_list(F.struct("p", c("sale_id").alias("id"))).alias("_near"))
+    close = F.filter("_near", lambda x: F.abs(price - x["p"]) <= CLOSE * F.greatest(price, x["p"]))
+    priced = F.array_min(F.transform(close, lambda x: x["id"]))
+    group = F.when(known, F.least("_unknown", "_dated", priced)).otherwise(c("_any"))
+    joined = left.withColumn("_bucket", bucket).join(by_price, ["key", "_bucket"], "left").join(by_date, ["key", "sale_date"], "left").join(any_one, "key", "left")
+    return joined.select(*left.columns, group.alias("group_id"))
+
+
+def by_address(rows: DataFrame, hold, prefix: int = PREFIX) -> DataFrame:
     """Stage 3: sale_id, group_id: rows of one precise address and one property are a group, named by its first row; rows without a precise address are alone.
 
-    Greedy by order of sale_id, as a list would be worked through: in each round the first row left of every address takes in all rows that are the same property as it. A round is an aggregate and an equi-join over what is left; it ends when nothing is. hold(DataFrame, name) writes a round's rest to the shared folder, so that plans do not grow. A row is compared with a group's first row, not with what that has become by merging.
+    Greedy by order of sale_id, as a list would be worked through: the first row left of every address takes in all rows that are the same property as it. A round finds the firsts among the first `prefix` rows left of each address, and all rows left join the first of them that is the same; what is left over is the next round's. So a round ends all but a few rows of an address, however many it has. hold(DataFrame, name) writes a round's rest to the shared folder, so that plans do not grow. A row is compared with a group's first row, not with what that has become by merging.
     """
-    keyed = rows.select("sale_id", "sale_date", "starting_price_eur", address_key().alias("key"))
+    at = ["address", "postal_code", "city"]
+    # a key takes long to make out: once for each address as it is written
+    keys = rows.select(*at).distinct().select(*(c(x).alias(f"_{x}") for x in at), address_key().alias("key"))
+    asked = rows.select("sale_id", "sale_date", "starting_price_eur", *at)
+    alike = [c(x).eqNullSafe(c(f"_{x}")) for x in at]
+    keyed = hold(asked.join(keys, alike).select("sale_id", "sale_date", "starting_price_eur", "key"), "left")
     done = keyed.where("key IS NULL").select("sale_id", c("sale_id").alias("group_id"))
-    left = hold(keyed.where("key IS NOT NULL"), "left")
+    left = keyed.where("key IS NOT NULL")
+    w = Window.partitionBy("key").orderBy("sale_id")
     while not left.isEmpty():
-        first = left.groupBy("key").agg(F.min_by(F.struct("sale_id", "sale_date", "starting_price_eur"), "sale_id").alias("f")).select("key", *(c(f"f.{x}").alias(f"f_{x}") for x in ("sale_id", "sale_date", "starting_price_eur")))
-        joined = hold(left.join(first, "key").withColumn("same", same_property("", "f_")), "round")
-        done = done.union(joined.where("same").select("sale_id", c("f_sale_id").alias("group_id")))
-        left = joined.where("NOT same").select("sale_id", "sale_date", "starting_price_eur", "key")
+        some = left.withColumn("_n", F.row_number().over(w)).where(c("_n") <= prefix).drop("_n").sortWithinPartitions("key", "sale_id")
+        firsts = hold(some.mapInArrow(_firsts, some.schema), "firsts")
+        joined = hold(_taken_in(left, firsts), "round")
+        done = done.union(joined.where("group_id IS NOT NULL").select("sale_id", "group_id"))
+        left = joined.where("group_id IS NULL").drop("group_id")
     return done
 
 

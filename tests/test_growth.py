@@ -1,5 +1,7 @@
 """Work that grows with the rows, not with their pairs; texts that are only searched where something may be found."""
 
+import datetime
+import random
 import re
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gavelspark.functions.occurrences import quick
-from gavelspark.operators import facts, joins, listings, nearby, reports
+from gavelspark.operators import entities, facts, joins, listings, nearby, reports
 from gavelspark.sources import adapters
 from gavelspark.storage import hold
 
@@ -132,6 +134,32 @@ def test_watches_are_dealt_once_by_their_number(spark, sf, small_parts, monkeypa
     assert got == sorted(tuple(r) for r in entry.queries()["st_change_feed"](spark, sf).collect()) and got
 
 
+def test_properties_of_an_address_take_few_rounds(spark):
+    """Against a list worked through in order; before, each property took a round of jobs."""
+    made, rnd = [], random.Random(3)
+    for i in range(2400):
+        day = rnd.choice([None, *(datetime.date(2000, 1, 1) + datetime.timedelta(d) for d in range(900))])
+        made.append((i * 7 % 2411, day, rnd.choice([None, 0, -5, rnd.randint(1, 60), rnd.randint(1000, 90_000), rnd.randint(1000, 90_000), rnd.randint(10**14, 10**15)]), f"{i % 3 + 1} rue du Marché", "x", rnd.choice(["33000", "33001"])))
+    for i in range(40):  # at the border of two per cent, and addresses without a number
+        made.append((5000 + i, datetime.date(2001, 1, 1 + i % 28), (98_000, 100_000, 96_040, 96_039, 102_041)[i % 5], "9 rue Haute", "y", "44000"))
+        made.append((6000 + i, None, 5, "rue Haute", "y", "44000"))
+    df = spark.createDataFrame(made, "sale_id long, sale_date date, starting_price_eur long, address string, city string, postal_code string")
+    keys = {r.sale_id: r.k for r in df.select("sale_id", entities.address_key().alias("k")).collect()}
+    firsts, want = {}, {}
+    for i, day, price, *_ in sorted(made, key=lambda x: x[0]):
+        same = lambda d, p: not (d and day and p and price and d != day and not (p > 0 and price > 0 and abs(p - price) <= 0.02 * max(p, price)))  # noqa: B023, E731
+        group = None if keys[i] is None else next((g for g, d, p in firsts.get(keys[i], []) if same(d, p)), None)
+        want[i] = i if group is None else group
+        if group is None and keys[i] is not None:
+            firsts.setdefault(keys[i], []).append((i, day, price))
+    assert max(map(len, firsts.values())) > 40
+    for prefix, most in ((1000, 7), (60, 17)):
+        held = []
+        got = entities.by_address(df, lambda d, n: held.append(n) or hold(d, n), prefix).collect()
+        assert {r.sale_id: r.group_id for r in got} == want and len(got) == len(made)
+        assert len(held) <= most, held
+
+
 def test_means_at_a_half_go_up_in_any_order(spark):
     values = [0.1, 0.2, 0.3, 0.4] * 25 + [41.75 * 2 - 0.25] * 100
     rows = spark.createDataFrame([(1, v) for v in values] + [(2, v) for v in reversed(values)] + [(3, float("inf")), (3, 1.0)], "u long, v double")
