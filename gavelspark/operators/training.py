@@ -40,13 +40,13 @@ def prepare(rows: DataFrame) -> DataFrame:
 
 
 def split_by_days(rows: DataFrame, train: float = 0.7, calibration: float = 0.15) -> DataFrame:
-    """part of each row by its place in time within its segment; all of a day are in one part, so the windows span days, not rows."""
+    """part of each row by its place in time within its segment; all of a day are in one part, so the windows span days, not rows. Days are few, however many rows: they go to the rows, which stay where they are."""
     days = rows.groupBy("segment", "sale_date").agg(F.count("*").alias("_n"))
     w = Window.partitionBy("segment")
     before = F.coalesce(F.sum("_n").over(w.orderBy("sale_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     share = before / F.sum("_n").over(w)
     days = days.withColumn("part", F.when(share < train, "train").when(share < train + calibration, "calibration").otherwise("test"))
-    return rows.join(days.drop("_n"), ["segment", "sale_date"])
+    return rows.join(F.broadcast(days.drop("_n")), ["segment", "sale_date"])
 
 
 def quantile_cells(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -68,10 +68,11 @@ TREE_FEATURES = ["surface_m2", "latitude", "longitude", "rooms_count", "kind", "
 
 
 def frame(spark, d):
-    """Prepared rows with what trees learn from, and their part."""
-    rows = training.split_by_days(training.prepare(mutations(spark, d).selectExpr(*RAW)))
+    """Prepared rows with what trees learn from, and their part. The prepared rows are written once: days, edges and bins each read them."""
+    rows = training.prepare(mutations(spark, d).selectExpr(*RAW))
     kinds = F.array_position(F.array(*(F.lit(x) for x in ("apartment", "house", "building", "commercial", "land"))), c("segment"))
-    return rows.select("mutation_id", "part", "segment", F.log("target_price_per_m2").alias("y"), *TREE_FEATURES[:4], kinds.cast("double").alias("kind"), F.months_between("sale_date", F.lit("1992-01-01")).alias("month"))
+    rows = hold(rows.select("segment", "sale_date", F.log("target_price_per_m2").alias("y"), *TREE_FEATURES[:4], kinds.cast("double").alias("kind"), F.months_between("sale_date", F.lit("1992-01-01")).alias("month")), "prepared")
+    return training.split_by_days(rows).select("part", "segment", "y", *TREE_FEATURES)
 
 
 @query("ml_train_trees")

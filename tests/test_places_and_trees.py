@@ -143,3 +143,20 @@ def test_trees_of_the_register_beat_cells(spark, sf):
         e = c("y") - F.coalesce(F.get("q", F.lit(i)), F.get("w", F.lit(i)))
         assert got[f"loss_{q}"] < test.agg(F.avg(F.greatest(alpha * e, (alpha - 1) * e))).first()[0]
     assert got.coverage > 0.8 * 0.9
+
+
+def test_trees_hold_blocks_and_count_in_tasks(spark, monkeypatch):
+    """A block of rows is one row, and what lacks is added up before it is sent; other blocks, and what is counted by value, change nothing."""
+    df = spark.createDataFrame([*learnable(), (1.0, 1.0, float("nan"), "train"), (1.0, 1.0, 1.0, None)], "a double, b double, y double, part string").repartition(3)
+    held = {}
+    keep = lambda d, name: held.setdefault(name, []).append(hold(d, name)) or held[name][-1]
+    one, report = boosting.train(df, ["a", "b"], "y", keep, trees=3)
+    assert held["binned"][0].count() <= 3 * 3 and sum(report.first()[:3]) == 1500
+    monkeypatch.setattr(boosting, "NEAR", 300)
+    assert boosting.train(df.repartition(7), ["a", "b"], "y", keep, trees=3)[0] == one
+
+
+def test_training_frame_reads_prepared_rows(spark, sf):
+    """The register is read and joined once, into a table; days are sent to its rows."""
+    plan = frames.frame(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
