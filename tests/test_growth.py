@@ -125,6 +125,22 @@ def test_register_lines_go_over_partitions_by_their_number(spark, sf, small_part
     assert got == sorted(tuple(r) for r in entry.queries()[name](spark, sf).collect()) and got
 
 
+def test_orders_follow_customers_over_partitions_by_their_number(spark, sf, monkeypatch):
+    """Before, Spark joined partitions together by size: seven million orders a task at 360 times sf0.1."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    few = sorted(map(tuple, adapters.sales(spark, sf).select("sale_id", "city", "source_name").collect()))
+    monkeypatch.setattr(adapters, "ROWS", len(few) // 20)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        df = adapters.sales(spark, sf).select("sale_id", "city", "source_name")
+        parts = adapters.parts_for(adapters.read(spark, sf, "orders"))
+        exchanges = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+        assert {("o_custkey", str(parts)), ("c_custkey", str(parts))} <= set(exchanges) and parts >= 20
+        assert sorted(map(tuple, df.collect())) == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_watches_are_dealt_once_by_their_number(spark, sf, small_parts, monkeypatch):
     df = entry.queries()["st_change_feed"](spark, sf)
     parts = adapters.parts_for(adapters.read(spark, sf, "orders"), 4)
