@@ -132,7 +132,7 @@ def test_orders_follow_customers_over_partitions_by_their_number(spark, sf, monk
     monkeypatch.setattr(adapters, "ROWS", len(few) // 20)
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-        df = adapters.sales(spark, sf).select("sale_id", "city", "source_name")
+        df = adapters.sales(spark, sf, deal=True).select("sale_id", "city", "source_name")
         parts = adapters.parts_for(adapters.read(spark, sf, "orders"))
         exchanges = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
         assert {("o_custkey", str(parts)), ("c_custkey", str(parts))} <= set(exchanges) and parts >= 20
