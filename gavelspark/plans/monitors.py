@@ -123,11 +123,11 @@ def registry_history(spark, d):
     return rows.select(F.right("page", F.lit(10)).alias("day"), F.col("position").cast("bigint").alias("position"), "id", "action", "payload")
 
 
-#: Four pages a sale: a deposit that is no price, the price of the conditions, a notice whose price may differ, and a diagnostic.
+#: Four pages a sale: a deposit that is no price, the price and days of the conditions, a notice whose price may differ, with land and occupancy, and a diagnostic.
 PAGE_TEXT = (
     "CASE k WHEN 0 THEN 'Le chèque représente 10% du montant de la mise à prix, avec un minimum de 3.000 euros.' "
-    "WHEN 1 THEN 'Mise à prix adjudication. L’adjudication aura lieu en un seul lot sur la mise à prix ci-après indiquée : ' || CAST(starting_price_eur AS STRING) || ' € (euros).' "
-    "WHEN 2 THEN 'Mise à prix : ' || CAST(starting_price_eur + CASE WHEN sale_id % 3 = 0 THEN 1000 ELSE 0 END AS STRING) || ',00 €. Surface habitable : ' || CAST(surface_m2 AS STRING) || ' m².' "
+    "WHEN 1 THEN 'Mise à prix adjudication. L’adjudication aura lieu en un seul lot sur la mise à prix ci-après indiquée : ' || CAST(starting_price_eur AS STRING) || ' € (euros). Audience d’adjudication le ' || date_format(sale_date, 'dd/MM/yyyy') || ' à 14h30. Visites sur place le ' || date_format(sale_date - 7, 'dd/MM/yyyy') || ' à 10h00.' "
+    "WHEN 2 THEN 'Mise à prix : ' || CAST(starting_price_eur + CASE WHEN sale_id % 3 = 0 THEN 1000 ELSE 0 END AS STRING) || ',00 €. Surface habitable : ' || CAST(surface_m2 AS STRING) || ' m².' || CASE WHEN land_surface_m2 > 0 THEN ' Contenance cadastrale : ' || CAST(land_surface_m2 AS STRING) || ' m².' ELSE '' END || CASE occupancy_status WHEN 'vacant' THEN ' Bien libre de toute occupation.' WHEN 'rented' THEN ' Bien loué suivant bail en cours.' WHEN 'occupied' THEN ' Bien occupé.' WHEN 'squatted' THEN ' Bien squatté.' ELSE '' END "
     "ELSE 'Diagnostic de performance énergétique. Classe énergie : ' || coalesce(dpe_class, 'N') || '. GES : C. Consommation énergétique : 394 kWhEP/m²/an.' || CASE WHEN sale_id % 2 = 1 THEN ' Surface de référence : ' || CAST(surface_m2 + 1 AS STRING) || ',50 m².' ELSE '' END END"
 )
 PAGES = ["sale_id", "CASE WHEN k < 2 THEN 0 ELSE k - 1 END AS document_no", "'https://f.example/' || CAST(sale_id AS STRING) AS document_url", "'x' AS document_label", "CASE WHEN k < 2 THEN 'CCV' WHEN k = 2 THEN 'Avis simplifié' ELSE 'diagnostics' END AS document_type", "CASE k WHEN 0 THEN 4 WHEN 1 THEN 17 WHEN 2 THEN 1 ELSE 2 END AS page_number", "9e-1 AS page_confidence"]
@@ -135,12 +135,16 @@ WON = "starting_price_eur IS NOT NULL"
 FACTS = (
     f"SELECT sale_id, 'starting_price' AS fact, CAST(starting_price_eur AS VARCHAR) || '.00' AS value, CASE WHEN sale_id % 3 = 0 OR surface_m2 IS NULL THEN 1 ELSE 2 END AS support, 'cahier_conditions_vente' AS document_type, 17 AS page_number, CASE WHEN sale_id % 3 = 0 AND surface_m2 IS NOT NULL THEN CAST(starting_price_eur + 1000 AS VARCHAR) || '.00:1' ELSE '' END AS lost FROM sales WHERE {WON} "
     "UNION ALL SELECT sale_id, 'surface', CASE WHEN sale_id % 2 = 1 THEN CAST(surface_m2 + 1 AS VARCHAR) || '.50' ELSE CAST(surface_m2 AS VARCHAR) || '.00' END, 1, CASE WHEN sale_id % 2 = 1 THEN 'diagnostics_techniques' ELSE 'annonce_vente' END, CASE WHEN sale_id % 2 = 1 THEN 2 ELSE 1 END, CASE WHEN sale_id % 2 = 1 AND starting_price_eur IS NOT NULL THEN CAST(surface_m2 AS VARCHAR) || '.00:1' ELSE '' END FROM sales WHERE surface_m2 IS NOT NULL AND (starting_price_eur IS NOT NULL OR sale_id % 2 = 1) "
-    "UNION ALL SELECT sale_id, 'energy', '{\"dpe\":\"' || coalesce(dpe_class, 'C') || '\",\"ges\":\"C\",\"consumption\":394.0}', 1, 'diagnostics_techniques', 2, '' FROM sales WHERE sale_id % 2 = 0 OR surface_m2 IS NOT NULL"
+    "UNION ALL SELECT sale_id, 'energy', '{\"dpe\":\"' || coalesce(dpe_class, 'C') || '\",\"ges\":\"C\",\"consumption\":394.0}', 1, 'diagnostics_techniques', 2, '' FROM sales WHERE sale_id % 2 = 0 OR surface_m2 IS NOT NULL "
+    f"UNION ALL SELECT sale_id, 'sale_date', strftime(sale_date, '%Y-%m-%dT14:30:00'), 1, 'cahier_conditions_vente', 17, '' FROM sales WHERE {WON} AND sale_date IS NOT NULL "
+    f"UNION ALL SELECT sale_id, 'visit_dates', strftime(sale_date - 7, 'Visites sur place le %d/%m/%Y à 10h00'), 1, 'cahier_conditions_vente', 17, '' FROM sales WHERE {WON} AND sale_date IS NOT NULL "
+    f"UNION ALL SELECT sale_id, 'land', CAST(land_surface_m2 AS VARCHAR) || '.00', 1, 'annonce_vente', 1, '' FROM sales WHERE {WON} AND surface_m2 IS NOT NULL AND land_surface_m2 > 0 "
+    f"UNION ALL SELECT sale_id, 'occupancy', occupancy_status, 1, 'annonce_vente', 1, '' FROM sales WHERE {WON} AND surface_m2 IS NOT NULL AND occupancy_status IN ('vacant', 'rented', 'occupied', 'squatted')"
 )
 
 
 def pages_of(spark, d):
-    return spread(sales(spark, d).select("sale_id", "starting_price_eur", "surface_m2", "dpe_class"), "sale_id").select("*", F.explode(F.array(*(F.lit(k) for k in range(4)))).alias("k")).selectExpr(*PAGES, PAGE_TEXT + " AS text")
+    return spread(sales(spark, d).select("sale_id", "starting_price_eur", "surface_m2", "dpe_class", "land_surface_m2", "sale_date", "occupancy_status"), "sale_id").select("*", F.explode(F.array(*(F.lit(k) for k in range(4)))).alias("k")).selectExpr(*PAGES, PAGE_TEXT + " AS text")
 
 
 @query("sc_pdf_facts", S + FACTS)

@@ -48,6 +48,25 @@ def test_energy_of_the_fullest_page(spark):
     assert told(spark, (0, "pdf", 1, 1.0, ""), (1, "pdf", 1, 1.0, None), (2, "pdf", 1, 1.0, "Rien.")) == {}
 
 
+def test_land_days_visits_and_occupancy_are_told(spark):
+    """Before, pages told no more than price, surface and energy."""
+    hearing = "Frais de la vente aux enchères : 3 000 €.\nAudience d’adjudication le 3 mars 2025 à 14h30.\nVisites sur place : 12/02/2025 de 10h à 11h.\nDate des visites : 13/02/2025."
+    land = "Parcelle section AB 12, contenance totale : 1 ha 2 a 5 ca. Surface habitable : 80 m²."
+    got = told(spark, (0, "cahier_conditions_vente", 2, 0.9, hearing), (1, "annonce_vente", 1, 0.9, "Surface du terrain : 1.200 m². Vente aux enchères le 04/03/2025. Libre de toute occupation."), (2, "pv_huissier", 3, 0.9, land), (2, "pv_huissier", 4, 0.9, "Le bien est loué suivant bail en cours."), (3, "pdf", 1, 1.0, "Visite virtuelle. Jouissance du lot 4."))
+    assert {n: (r.value, r.document_type, r.page_number, [x.value for x in r.lost]) for n, r in got.items() if n != "surface"} == {
+        "land": ("10205.00", "pv_huissier", 3, ["1200.00"]),
+        "sale_date": ("2025-03-04T00:00:00", "annonce_vente", 1, ["2025-03-03T14:30:00"]),
+        "visit_dates": ("Visites sur place : 12/02/2025 de 10h à 11h | 13/02/2025", "cahier_conditions_vente", 2, []),
+        "occupancy": ("rented", "pv_huissier", 4, ["vacant"]),
+    }
+
+
+def test_a_partial_measure_lowers_all_surfaces_of_its_document(spark):
+    """Before, it was looked for in the surface's own page."""
+    got = told(spark, (0, "diagnostics_techniques", 1, 0.9, "Surface habitable : 80 m²."), (0, "diagnostics_techniques", 2, 0.9, "Le mesurage est incomplet."), (1, "annonce_vente", 1, 0.9, "Surface habitable : 95 m²."))
+    assert got["surface"].value == "95.00"
+
+
 @pytest.mark.parametrize("own, price, status", [(None, 10500.0, "extracted"), (10500.0, 10500.0, "corroborated"), (11.0, 10500.0, "resolved"), (0.0, 10500.0, "resolved"), (9000.0, 9000.0, "conflict_unresolved"), (900.0, 900.0, "conflict_unresolved")])
 def test_prices_that_are_stored_and_documented(spark, own, price, status):
     found = facts.document_facts(spark.createDataFrame([(1, 0, "u", "x", "ccv", 1, 0.9, PRICE)], PAGES))
