@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gavelspark.functions.occurrences import quick
-from gavelspark.operators import entities, facts, joins, listings, nearby, reports
+from gavelspark.operators import entities, facts, joins, listings, nearby, reports, valuation
 from gavelspark.sources import adapters
 from gavelspark.storage import hold
 
@@ -104,6 +104,23 @@ def test_radius_pairs_places_not_rows(spark):
     assert got == sorted((r.sale_id, r.point_id, round(r.distance_m, 2)) for r in by_rows.collect()) and len(got) > 10_000
 
 
+def test_scored_pairs_join_places_not_rows(spark):
+    """Before, all rows were joined, and that twice."""
+    at = lambda p: [(44 + c("id") % 5 * 0.004).alias(f"{p}latitude"), F.when(c("id") % 50 > 0, 0.5 + c("id") % 3 * 0.005).alias(f"{p}longitude")]
+    kind = F.when(c("id") % 4 > 0, c("id").bitwiseAND(1).cast("string")).alias("property_type")
+    subjects = spark.range(400).select(c("id").alias("sale_id"), kind, (c("id") % 40 + 10).alias("surface_m2"), *at(""))
+    points = spark.range(400).select(c("id").alias("point_id"), kind, (c("id") % 40 + 10).alias("point_surface"), F.lit(90_000).alias("point_price"), F.lit("2001-01-01").cast("date").alias("point_date"), *at("point_"))
+    columns = ["sale_id", "surface_m2", "point_id", "point_surface", "price_m2", "months", "distance_m"]
+    pairs = valuation.candidates(subjects, points, "2001-09-01").select(*columns).collect()
+    far = {}
+    for r in pairs:
+        far[r.sale_id] = max(far.get(r.sale_id, 0.0), r.distance_m)
+    df = valuation.pairs_with_farthest(subjects, points, "2001-09-01", chunk=15).select(*columns, "far")
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted((*r, far[r.sale_id]) for r in pairs) and len(got) > 10_000
+    assert joined_rows(df) < len(got) / 10
+
+
 @pytest.fixture
 def small_parts(monkeypatch, spark, sf):
     """Register lines dealt over 20 partitions and one more at most."""
