@@ -85,6 +85,20 @@ def test_each_context_pair_once_however_often_it_agrees(spark):
     assert len(df.collect()) == 300 and joined_rows(df) < 300 * 10
 
 
+def test_contexts_agree_in_commune_and_city_too(spark):
+    """Before, only parcel, address and postal code were compared. Against all pairs; no join's pairs are gathered again."""
+    rnd = random.Random(5)
+    made = lambda n, ids: [(rnd.randrange(ids), rnd.choice([None, "p", "q", "r"]), rnd.choice([None, *range(0, 400, 7)]), *(rnd.choice([None, *(f"{k}{i}" for i in range(9))]) for k in "aic"), rnd.choice([None, "Pau", "PAU", "pau", "Lens"])) for _ in range(n)]
+    frame = lambda rows, p: spark.createDataFrame(rows, "id long, parcel_id string, d int, address_key string, insee_code string, postal_code string, city string").select(c("id").alias(f"{p}_id"), "parcel_id", F.date_add(F.lit("2001-01-01").cast("date"), c("d")).alias(f"{p}_date"), "address_key", "insee_code", "postal_code", "city")
+    same = lambda x, y: x is not None and x == y
+    low = lambda x: x and x.lower()
+    for ids in (40, 5000):
+        candidates, lots = made(120, ids), made(120, ids)
+        df = joins.match_contexts(frame(candidates, "candidate"), frame(lots, "lot"))
+        want = {(a[0], b[0]) for a in candidates for b in lots if same(a[1], b[1]) or (a[2] is not None and b[2] is not None and abs(a[2] - b[2]) <= 30 and (any(same(a[i], b[i]) for i in (3, 4, 5)) or same(low(a[6]), low(b[6]))))}
+        assert sorted(map(tuple, df.collect())) == sorted(want) and want
+
+
 def test_points_may_go_to_the_cells_instead(spark):
     at = lambda n, m: [(44 + c("id") * n % 97 / 2000.0), (0.5 + c("id") * m % 89 / 2000.0)]
     subjects = spark.range(150).select(c("id").alias("sale_id"), *(x.alias(y) for x, y in zip(at(13, 7), ("latitude", "longitude"), strict=True)))
