@@ -97,6 +97,8 @@ def test_contexts_agree_in_commune_and_city_too(spark):
         df = joins.match_contexts(frame(candidates, "candidate"), frame(lots, "lot"))
         want = {(a[0], b[0]) for a in candidates for b in lots if same(a[1], b[1]) or (a[2] is not None and b[2] is not None and abs(a[2] - b[2]) <= 30 and (any(same(a[i], b[i]) for i in (3, 4, 5)) or same(low(a[6]), low(b[6]))))}
         assert sorted(map(tuple, df.collect())) == sorted(want) and want
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Join")]
 
 
 def test_points_may_go_to_the_cells_instead(spark):
